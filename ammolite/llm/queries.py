@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from ammolite.llm.bin_packing import op10_bin_packing
 from ammolite.llm.quality_rules import op9_quality_rules
 from ammolite.llm.token_codes import op5_token_codes
+from ammolite.llm.web_archive import op6_web_archive
 
 QUERIES = {
     "op5_token_codes": op5_token_codes,
+    "op6_web_archive": op6_web_archive,
     "op9_quality_rules": op9_quality_rules,
+    "op10_bin_packing": op10_bin_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
