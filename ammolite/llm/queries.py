@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from ammolite.llm.bin_packing import op10_bin_packing
+from ammolite.llm.contamination import op7_contamination
+from ammolite.llm.page_text import op4_page_text
 from ammolite.llm.quality_rules import op9_quality_rules
 from ammolite.llm.token_codes import op5_token_codes
 from ammolite.llm.web_archive import op6_web_archive
 
 QUERIES = {
+    "op4_page_text": op4_page_text,
     "op5_token_codes": op5_token_codes,
     "op6_web_archive": op6_web_archive,
+    "op7_contamination": op7_contamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_bin_packing": op10_bin_packing,
 }
