@@ -67,6 +67,31 @@ def byte_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+#: Bits for each key in a bitmap, and its size at most (2**28 bits: 32 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 28
+
+
+def key_bitmap(keys: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of bounded size with the bits set at the low bits of the hashed keys (long) in column `name`.
+
+    It only spares work: in_bitmap() is true of every key, and of few others while the keys are many fewer than the bits.
+    """
+    n, bits = keys.count(), 1 << 15
+    while bits < min(MOST_BITS, BITS_EACH * n):
+        bits *= 2
+    at = F.col(name).bitwiseAND(F.lit(bits - 1))
+    rows = keys.groupBy(F.shiftright(at, 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("b")).collect()
+    out = np.zeros((bits >> 15, 4096), np.uint8)
+    for k, b in rows:
+        out[k] = np.frombuffer(bytes(b), np.uint8)
+    return out.reshape(-1)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from ammolite.llm.bin_packing import op10_bin_packing
 from ammolite.llm.contamination import op7_contamination
+from ammolite.llm.language_model import op3_language_model
 from ammolite.llm.page_text import op4_page_text
 from ammolite.llm.quality_rules import op9_quality_rules
+from ammolite.llm.secret_scan import op1_secret_scan
+from ammolite.llm.span_dedup import OP2_SQL, op2_span_dedup
 from ammolite.llm.token_codes import op5_token_codes
 from ammolite.llm.web_archive import op6_web_archive
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_span_dedup": op2_span_dedup,
+    "op3_language_model": op3_language_model,
     "op4_page_text": op4_page_text,
     "op5_token_codes": op5_token_codes,
     "op6_web_archive": op6_web_archive,
@@ -18,4 +24,4 @@ QUERIES = {
     "op10_bin_packing": op10_bin_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_span_dedup": OP2_SQL}

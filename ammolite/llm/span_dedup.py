@@ -26,12 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import WordHash, ensure_columns, gram_hashes, materialize, mix, signed, sliding_min
+from ammolite.llm.common import WordHash, ensure_columns, gram_hashes, in_bitmap, key_bitmap, materialize, mix, signed, sliding_min
 
 SPAN, GRAM = 13, 4
-#: Bits for each repeated minimizer in the bitmap, and its size at most (2**28 bits: 32 MB).
-BITS_EACH, MOST_BITS = 16, 1 << 28
-
 
 def paths(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer of each window, hash of each window, first window of each path) of a document's word hashes."""
@@ -75,21 +72,6 @@ def _path_rows(batches):
         yield _flush(parts, ["m", "path", "doc"])
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bits set at the keys' low bits; `bits` a power of two of at least 2**15. The result's size is `bits` / 8 bytes."""
-    at = F.col("m").bitwiseAND(F.lit(bits - 1))
-    rows = keys.groupBy(F.shiftright(at, 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("b")).collect()
-    out = np.zeros((bits >> 15, 4096), np.uint8)
-    for k, b in rows:
-        out[k] = np.frombuffer(bytes(b), np.uint8)
-    return out.reshape(-1)
-
-
-def _test(bitmap: np.ndarray, m: np.ndarray) -> np.ndarray:
-    at = m & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the text that stays) of every row of `documents` (doc_id, text)."""
     spark = documents.sparkSession
@@ -97,13 +79,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     compact = docs.mapInArrow(_path_rows, "m long, path long, doc long").groupBy("m").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.min("path").alias("p1"), F.max("path").alias("p2"))
     repeated = materialize(compact.where("source < last").select("m", "source", (F.col("p1") != F.col("p2")).alias("branches")), "repeated-paths")
 
-    counts = {r.branches: r["count"] for r in repeated.groupBy("branches").count().collect()}
-    maps = {}
-    for branches in (False, True):
-        bits = 1 << 15
-        while bits < min(MOST_BITS, BITS_EACH * counts.get(branches, 0)):
-            bits *= 2
-        maps[branches] = _bitmap(repeated.where(F.col("branches") == branches), bits)
+    maps = {branches: key_bitmap(repeated.where(F.col("branches") == branches), "m") for branches in (False, True)}
     sent = spark.sparkContext.broadcast((maps[False], maps[True]))
 
     def second(batches):
@@ -113,8 +89,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         names = ["m", "window", "whole", "doc"]
         for key, words in _documents(batches, known):
             minimizers, windows, _ = paths(words)
-            whole = np.unique(minimizers[_test(whole_map, minimizers)])
-            pick = _test(branch_map, minimizers)
+            whole = np.unique(minimizers[in_bitmap(whole_map, minimizers)])
+            pick = in_bitmap(branch_map, minimizers)
             pairs = np.unique(np.stack([minimizers[pick], windows[pick]]), axis=1)
             n = len(whole) + pairs.shape[1]
             if n:
