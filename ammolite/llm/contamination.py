@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ammolite.llm.common import WordHash, ensure_columns, gram_hashes, materialize, signed, sliding_min
 
@@ -142,8 +143,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, .
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.record_batch([*kept, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*names_kept, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"])
-    return joined.mapInArrow(judge, schema)
+    added = StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+    return joined.mapInArrow(judge, StructType([*(f for f in rows.schema if f.name != "_text"), *added]))
 
 
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

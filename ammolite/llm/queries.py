@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ammolite.llm.bin_packing import op10_bin_packing
 from ammolite.llm.contamination import op7_contamination
+from ammolite.llm.jaccard_join import OP8_SQL, op8_jaccard_join
 from ammolite.llm.language_model import op3_language_model
 from ammolite.llm.page_text import op4_page_text
 from ammolite.llm.quality_rules import op9_quality_rules
@@ -20,8 +21,9 @@ QUERIES = {
     "op5_token_codes": op5_token_codes,
     "op6_web_archive": op6_web_archive,
     "op7_contamination": op7_contamination,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_bin_packing": op10_bin_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_span_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_span_dedup": OP2_SQL, "op8_jaccard_join": OP8_SQL}
