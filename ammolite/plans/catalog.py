@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ammolite.plans import ecology
+from ammolite.plans import ecology, univariate
 
-QUERIES = {**ecology.QUERIES}
-ORACLE_SQL = {**ecology.ORACLE_SQL}
+QUERIES = {**ecology.QUERIES, **univariate.QUERIES}
+ORACLE_SQL = {**ecology.ORACLE_SQL, **univariate.ORACLE_SQL}
