@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ammolite.plans import ecology, univariate
+from ammolite.plans import ecology, series, univariate
 
-QUERIES = {**ecology.QUERIES, **univariate.QUERIES}
-ORACLE_SQL = {**ecology.ORACLE_SQL, **univariate.ORACLE_SQL}
+QUERIES = {**ecology.QUERIES, **univariate.QUERIES, **series.QUERIES}
+ORACLE_SQL = {**ecology.ORACLE_SQL, **univariate.ORACLE_SQL, **series.ORACLE_SQL}
