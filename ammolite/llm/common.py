@@ -146,7 +146,7 @@ class ChunkIds:
     together, as one text, and told apart by the vocabulary's own word marks.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 600_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -195,8 +195,10 @@ class ChunkIds:
             self.known.update(zip(words, self._encode_words(words)))
             rest = [w for w in missing if not self.simple(w)]
             self.known.update(zip(rest, self._encode(rest)))
+        # the few chunks of this block in a small table: looking every one up in the large table would wait for memory
+        ids = {w: self.known[w] for w in every}
         whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
+        return [next(whole) if c is None else b"".join(map(ids.__getitem__, c)) for c in cut]
 
 
 def tokenizer_path(name: str) -> str:
@@ -210,7 +212,7 @@ def blocks(seq: list, size: int):
         yield seq[i : i + size]
 
 
-def text_blocks(texts: list[str], most: int = 2_000_000):
+def text_blocks(texts: list[str], most: int = 4_000_000):
     """Index ranges of consecutive texts that together hold about `most` characters, so that work on them stays small."""
     start, held = 0, 0
     for i, t in enumerate(texts):
