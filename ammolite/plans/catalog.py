@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ammolite.plans import ecology, series, univariate
+from ammolite.plans import ecology, series, stratigraphy, univariate
 
-QUERIES = {**ecology.QUERIES, **univariate.QUERIES, **series.QUERIES}
-ORACLE_SQL = {**ecology.ORACLE_SQL, **univariate.ORACLE_SQL, **series.ORACLE_SQL}
+QUERIES = {**ecology.QUERIES, **univariate.QUERIES, **series.QUERIES, **stratigraphy.QUERIES}
+ORACLE_SQL = {**ecology.ORACLE_SQL, **univariate.ORACLE_SQL, **series.ORACLE_SQL, **stratigraphy.ORACLE_SQL}
