@@ -19,13 +19,17 @@ def series(df: DataFrame, key: str | Column, t: str | Column, v: str | Column) -
     return df.select(col(key).alias("series"), missing(t).alias("t"), missing(v).alias("v")).where("t is not null and v is not null")
 
 
-_BY_T = W.partitionBy("series").orderBy("t")
-_ALL = W.partitionBy("series")
+def _by_t():
+    return W.partitionBy("series").orderBy("t")
+
+
+def _all():
+    return W.partitionBy("series")
 
 
 def autocorrelation(x: DataFrame, lags: int) -> DataFrame:
     """Biased r_k for k = 0..lags with the white-noise band 1.96 / sqrt(n)."""
-    d = x.select("series", F.row_number().over(_BY_T).alias("i"), (F.col("v") - F.avg("v").over(_ALL)).alias("z"))
+    d = x.select("series", F.row_number().over(_by_t()).alias("i"), (F.col("v") - F.avg("v").over(_all())).alias("z"))
     total = d.groupBy("series").agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("s"))
     shifted = d.select("series", F.col("z").alias("z0"), "i").withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select("series", (F.col("i") + F.col("lag")).alias("i"), "lag", "z0")
     r = shifted.join(d, ["series", "i"]).groupBy("series", "lag").agg(F.sum(F.col("z0") * F.col("z")).alias("c"))
@@ -41,7 +45,7 @@ def cross_correlation(x: DataFrame, first: object, second: object, lags: int) ->
 
 def lead_lag_rmse(x: DataFrame, first: object, second: object, lags: int, overlap: int = 3) -> DataFrame:
     """RMSE of the z-standardised series at each signed lag with at least `overlap` common times."""
-    z = x.where(F.col("series").isin(first, second)).select("series", "t", ((F.col("v") - F.avg("v").over(_ALL)) / F.stddev_samp("v").over(_ALL)).alias("v"))
+    z = x.where(F.col("series").isin(first, second)).select("series", "t", ((F.col("v") - F.avg("v").over(_all())) / F.stddev_samp("v").over(_all())).alias("v"))
     a, b = z.where(F.col("series") == F.lit(first)).select(F.col("t").alias("ta"), F.col("v").alias("a")), z.where(F.col("series") == F.lit(second)).select("t", F.col("v").alias("b"))
     moved = a.withColumn("lag", F.explode(F.sequence(F.lit(-lags), F.lit(lags)))).select("lag", (F.col("ta") + F.col("lag")).alias("t"), "a")
     d = F.col("a") - F.col("b")
@@ -50,7 +54,7 @@ def lead_lag_rmse(x: DataFrame, first: object, second: object, lags: int, overla
 
 def derivative(x: DataFrame) -> DataFrame:
     """Second-order differences for uneven steps inside, one-sided ones at the ends."""
-    t0, v0, t1, v1 = F.lag("t").over(_BY_T), F.lag("v").over(_BY_T), F.lead("t").over(_BY_T), F.lead("v").over(_BY_T)
+    t0, v0, t1, v1 = F.lag("t").over(_by_t()), F.lag("v").over(_by_t()), F.lead("t").over(_by_t()), F.lead("v").over(_by_t())
     s = x.select("*", t0.alias("t0"), v0.alias("v0"), t1.alias("t1"), v1.alias("v1"))
     a, b = F.col("t") - F.col("t0"), F.col("t1") - F.col("t")
     inner = (a * a * F.col("v1") + (b * b - a * a) * F.col("v") - b * b * F.col("v0")) / (a * b * (a + b))
@@ -66,7 +70,7 @@ def _rows(width: int) -> tuple[int, int]:
 
 def fixed_count_summary(x: DataFrame, width: int) -> DataFrame:
     """Mean, sd (0 for one value), extremes and median over windows of `width` rows."""
-    w = _BY_T.rowsBetween(*_rows(width))
+    w = _by_t().rowsBetween(*_rows(width))
     return x.select(
         "series", "t", F.count("v").over(w).alias("n"), F.round(F.avg("v").over(w), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("v").over(w), F.lit(0.0)), 6).alias("sd"), F.round(F.min("v").over(w), 6).alias("minimum"),
         F.round(F.max("v").over(w), 6).alias("maximum"), F.round(F.expr("percentile(v, 0.5)").over(w), 6).alias("median"),
@@ -102,7 +106,7 @@ def runs_test(x: DataFrame) -> DataFrame:
     """Runs above and not above the series' median, with the Wald-Wolfowitz z."""
     m = x.groupBy("series").agg(F.expr("percentile(v, 0.5)").alias("m"))
     s = x.join(m, "series").select("series", "t", (F.col("v") > F.col("m")).cast("int").alias("above"))
-    r = s.select("series", "above", F.coalesce(F.col("above") != F.lag("above").over(_BY_T), F.lit(True)).cast("int").alias("new"))
+    r = s.select("series", "above", F.coalesce(F.col("above") != F.lag("above").over(_by_t()), F.lit(True)).cast("int").alias("new"))
     g = r.groupBy("series").agg(F.sum("new").alias("runs"), F.sum("above").alias("n1"), F.sum(1 - F.col("above")).alias("n2"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     mean = 2 * n1 * n2 / (n1 + n2) + 1
@@ -153,10 +157,10 @@ def sort_unique(df: DataFrame, value: str) -> DataFrame:
 def standardize(x: DataFrame, method: str = "zscore") -> DataFrame:
     """zscore (n - 1) or minmax; a constant series has null values."""
     if method == "zscore":
-        s = F.stddev_samp("v").over(_ALL)
-        z = F.when(s > 0, (F.col("v") - F.avg("v").over(_ALL)) / s)
+        s = F.stddev_samp("v").over(_all())
+        z = F.when(s > 0, (F.col("v") - F.avg("v").over(_all())) / s)
     else:
-        lo, hi = F.min("v").over(_ALL), F.max("v").over(_ALL)
+        lo, hi = F.min("v").over(_all()), F.max("v").over(_all())
         z = F.when(hi > lo, (F.col("v") - lo) / (hi - lo))
     return x.select("series", "t", F.round(z, 6).alias("v"))
 
@@ -174,21 +178,21 @@ def detrend_linear(x: DataFrame) -> DataFrame:
 
 def local_peaks(x: DataFrame, threshold: float) -> DataFrame:
     """Local maxima strictly above the threshold; ends are no maxima."""
-    s = x.select("*", F.lag("v").over(_BY_T).alias("v0"), F.lead("v").over(_BY_T).alias("v1"))
+    s = x.select("*", F.lag("v").over(_by_t()).alias("v0"), F.lead("v").over(_by_t()).alias("v1"))
     return s.where((F.col("v") > threshold) & (F.col("v") > F.col("v0")) & (F.col("v") > F.col("v1"))).select("series", "t", F.round("v", 6).alias("v"))
 
 
 def excursions(x: DataFrame, sds: float) -> DataFrame:
     """Islands of consecutive values more than `sds` population standard deviations from the mean, on one side each."""
-    z = (F.col("v") - F.avg("v").over(_ALL)) / F.stddev_pop("v").over(_ALL)
-    s = x.select("series", "t", F.row_number().over(_BY_T).alias("i"), F.when(z > sds, 1).when(z < -sds, -1).otherwise(0).alias("side"), z.alias("z")).where("side <> 0")
+    z = (F.col("v") - F.avg("v").over(_all())) / F.stddev_pop("v").over(_all())
+    s = x.select("series", "t", F.row_number().over(_by_t()).alias("i"), F.when(z > sds, 1).when(z < -sds, -1).otherwise(0).alias("side"), z.alias("z")).where("side <> 0")
     island = F.col("i") - F.row_number().over(W.partitionBy("series", "side").orderBy("t"))
     return s.withColumn("k", island).groupBy("series", "side", "k").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("n"), F.round(F.max(F.abs("z")), 6).alias("peak_z")).drop("k")
 
 
 def lomb_scargle(x: DataFrame, frequencies: list[float]) -> DataFrame:
     """Normalised power at each of the given frequencies, a bounded list. The phase offset is found in one pass, the power in a second."""
-    s = x.select("series", "t", (F.col("v") - F.avg("v").over(_ALL)).alias("z"), F.var_pop("v").over(_ALL).alias("var"), F.explode(F.array(*map(F.lit, frequencies))).alias("f"))
+    s = x.select("series", "t", (F.col("v") - F.avg("v").over(_all())).alias("z"), F.var_pop("v").over(_all()).alias("var"), F.explode(F.array(*map(F.lit, frequencies))).alias("f"))
     w = 2 * 3.141592653589793 * F.col("f")
     tau = s.groupBy("series", "f").agg(F.atan2(F.sum(F.sin(2 * w * F.col("t"))), F.sum(F.cos(2 * w * F.col("t")))).alias("tau2")).withColumn("tau", F.col("tau2") / (2 * w)).drop("tau2")
     a = w * (F.col("t") - F.col("tau"))
