@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,15 +105,75 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_ODD = [(2 * i + 1) * 0x9E3779B97F4A7C15 ** (i + 1) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(64)]
+
+
 def gram_hashes(words: np.ndarray, n: int, salt: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hash of every run of n consecutive word hashes, in order; empty if there are fewer words."""
+    """Hash of every run of n (at most 64) consecutive word hashes, in order; empty if there are fewer words."""
     m = len(words) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(m, salt, np.uint64)
-    for i in range(n):
-        h = mix(h ^ words[i : i + m]) + np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    return h
+    h = words[:m] * np.uint64(_ODD[0])
+    for i in range(1, n):
+        h += words[i : i + m] * np.uint64(_ODD[i])
+    return mix(h ^ np.uint64(salt))
+
+
+#: Bytes that are no white space, and A-Z lower-cased, as tables.
+_IN_WORD = np.array([b not in _BYTE_SPACES for b in range(256)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+END_WORD = np.uint64(0x2545F4914F6CDD1D)
+
+
+class WordBlock:
+    """The words of some texts: hash (64-bit), first byte and end of each, in order, and how many each text has."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool):
+        x = _LOWER[data] if lower else data
+        n = len(x)
+        inside = _IN_WORD[x]
+        first, last = inside.copy(), np.zeros(n + 1, bool)
+        if n:
+            first[1:] &= ~inside[:-1]
+            last[1:n] = inside[:-1] & ~inside[1:]
+            last[n] = inside[-1]
+            begins = bounds[:-1][(bounds[:-1] > 0) & (bounds[:-1] < n)]
+            first[begins] = inside[begins]  # a word never runs on from one text into the next
+            last[begins] |= inside[begins - 1]
+        self.bytes, self.starts, self.ends = x, np.flatnonzero(first), np.flatnonzero(last)
+        self.counts = np.diff(np.searchsorted(self.starts, bounds))
+        sizes = self.ends - self.starts
+        eights = np.ndarray((n + 1,), "<u8", buffer=np.concatenate([x, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+        self.hashes = mix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        live, at = np.arange(len(sizes)), 0
+        while len(live):  # eight bytes of every word that has so many
+            left = sizes[live] - at
+            part = eights[self.starts[live] + at] & _MASKS[np.minimum(left, 8)]
+            self.hashes[live] = mix(self.hashes[live] ^ part)
+            live, at = live[left > 8], at + 8
+
+
+def word_blocks(texts: pa.Array, lower: bool, most: int = 4_000_000):
+    """(first text, last text + 1, WordBlock) over consecutive texts of about `most` bytes together; null texts have no words."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        bounds = offsets[lo : hi + 1] - offsets[lo]
+        yield lo, hi, WordBlock(data[offsets[lo] : offsets[hi]], bounds, lower)
+        lo = hi
+
+
+def runs(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The numbers first[k] .. first[k] + lengths[k] - 1 of all k, end to end."""
+    total = int(lengths.sum())
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -19,57 +19,64 @@ than nothing and has nothing smaller; rows with the same doc_id are one source a
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import WordHash, ensure_columns, gram_hashes, in_bitmap, key_bitmap, materialize, mix, signed, sliding_min
+from ammolite.llm.common import WordBlock, ensure_columns, gram_hashes, in_bitmap, key_bitmap, materialize, mix, runs, signed, sliding_min, word_blocks
 
 SPAN, GRAM = 13, 4
 
-def paths(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer of each window, hash of each window, first window of each path) of a document's word hashes."""
-    minimizers = sliding_min(gram_hashes(words, GRAM, salt=7), SPAN - GRAM + 1)
-    windows = gram_hashes(words, SPAN, salt=11)
-    return minimizers, windows, np.flatnonzero(np.concatenate(([True], minimizers[1:] != minimizers[:-1])))
+class Paths:
+    """The windows of a block of texts, and their paths: consecutive windows of a text with the same minimizer."""
 
+    def __init__(self, block: WordBlock):
+        self.counts = np.maximum(block.counts - SPAN + 1, 0)
+        at = runs(self.counts, np.cumsum(block.counts) - block.counts)
+        self.minimizers = sliding_min(gram_hashes(block.hashes, GRAM, salt=7), SPAN - GRAM + 1)[at]
+        self.windows = gram_hashes(block.hashes, SPAN, salt=11)[at]
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts)
+        change = (self.minimizers[1:] != self.minimizers[:-1]) | (self.text[1:] != self.text[:-1])
+        self.starts = np.flatnonzero(np.concatenate(([True], change))) if len(at) else np.empty(0, np.int64)
 
-def path_hashes(windows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of the windows of each path in their order."""
-    place = np.arange(len(windows), dtype=np.uint64) - np.repeat(starts, np.diff(np.append(starts, len(windows)))).astype(np.uint64)
-    return mix(np.add.reduceat(windows * (mix(place + np.uint64(1)) | np.uint64(1)), starts))
+    def path_hashes(self) -> np.ndarray:
+        """Hash of the windows of each path in their order."""
+        if not len(self.windows):
+            return np.empty(0, np.uint64)
+        place = np.arange(len(self.windows)) - np.repeat(self.starts, np.diff(np.append(self.starts, len(self.windows))))
+        return mix(np.add.reduceat(self.windows * (mix(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), self.starts))
 
 
-def _documents(batches, known: WordHash):
-    """(doc_id, word hashes) of the documents that have a window."""
+def _blocks(batches):
+    """(doc_id of each text, whether it is null, Paths)."""
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if text and key is not None:
-                words = text.encode().split()
-                if len(words) >= SPAN:
-                    yield key, known.array(words)
+        keys = np.asarray(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+        named = ~np.asarray(b.column(0).is_null().to_numpy(zero_copy_only=False), bool)
+        for lo, hi, block in word_blocks(b.column(1), lower=False):
+            yield keys[lo:hi], named[lo:hi], Paths(block)
 
 
-def _flush(parts: list[list[np.ndarray]], names: list[str]):
-    return pa.record_batch([signed(x) if x.dtype == np.uint64 else x for x in map(np.concatenate, parts)], names=names)
+def _rows(names: list[str], *columns: np.ndarray):
+    return pa.record_batch([signed(x) if x.dtype == np.uint64 else x for x in columns], names=names)
 
 
 def _path_rows(batches):
-    known, parts, held = WordHash(), [[], [], []], 0
-    for key, words in _documents(batches, known):
-        minimizers, windows, starts = paths(words)
-        pairs = np.unique(np.stack([minimizers[starts], path_hashes(windows, starts)]), axis=1)
-        for column, values in zip(parts, (pairs[0], pairs[1], np.full(pairs.shape[1], key, np.int64))):
-            column.append(values)
-        held += pairs.shape[1]
-        if held > 200_000:
-            yield _flush(parts, ["m", "path", "doc"])
-            parts, held = [[], [], []], 0
-    if held:
-        yield _flush(parts, ["m", "path", "doc"])
+    for keys, named, p in _blocks(batches):
+        m, path, text = p.minimizers[p.starts], p.path_hashes(), p.text[p.starts]
+        keep = named[text]
+        yield _rows(["m", "path", "doc"], m[keep], path[keep], keys[text[keep]])
+
+
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Positions of the distinct rows."""
+    order = np.lexsort(columns)
+    if not len(order):
+        return order
+    differ = np.zeros(len(order) - 1, bool)
+    for c in columns:
+        differ |= c[order[1:]] != c[order[:-1]]
+    return order[np.concatenate(([True], differ))]
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -83,27 +90,17 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast((maps[False], maps[True]))
 
     def second(batches):
-        """Rows (m, window, doc): window null for paths that may be repeated whole, else one row per window of a path that may branch."""
+        """Rows (m, window, doc): window 0 for paths that may be repeated whole, else one row per window of a path that may branch."""
         whole_map, branch_map = sent.value
-        known, parts, held = WordHash(), [[], [], [], []], 0
-        names = ["m", "window", "whole", "doc"]
-        for key, words in _documents(batches, known):
-            minimizers, windows, _ = paths(words)
-            whole = np.unique(minimizers[in_bitmap(whole_map, minimizers)])
-            pick = in_bitmap(branch_map, minimizers)
-            pairs = np.unique(np.stack([minimizers[pick], windows[pick]]), axis=1)
-            n = len(whole) + pairs.shape[1]
-            if n:
-                mark = np.zeros(n, bool)
-                mark[: len(whole)] = True
-                for column, values in zip(parts, (np.concatenate([whole, pairs[0]]), np.concatenate([np.zeros(len(whole), np.uint64), pairs[1]]), mark, np.full(n, key, np.int64))):
-                    column.append(values)
-                held += n
-            if held > 200_000:
-                yield _flush(parts, names)
-                parts, held = [[], [], [], []], 0
-        if held:
-            yield _flush(parts, names)
+        for keys, named, p in _blocks(batches):
+            doc, ours = keys[p.text], named[p.text]
+            whole = np.flatnonzero(ours & in_bitmap(whole_map, p.minimizers))
+            whole = whole[_distinct(p.minimizers[whole], doc[whole])]
+            pick = np.flatnonzero(ours & in_bitmap(branch_map, p.minimizers))
+            pick = pick[_distinct(p.windows[pick], p.minimizers[pick], doc[pick])]
+            both = np.concatenate([whole, pick])
+            mark = np.arange(len(both)) < len(whole)
+            yield _rows(["m", "window", "whole", "doc"], p.minimizers[both], np.where(mark, np.uint64(0), p.windows[both]), mark, doc[both])
 
     rows = materialize(docs.mapInArrow(second, "m long, window long, whole boolean, doc long"), "repeated-candidates")
     compacted = repeated.where(~F.col("branches")).select("m", "source")
@@ -116,23 +113,28 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     joined = docs.join(marks, docs.doc_id == marks.doc, "left").select("doc_id", "text", "whole", "single")
 
     def cut(batches):
-        known = WordHash()
         for b in batches:
             out = []
-            for text, whole, single in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
-                words = (text or "").encode().split()
-                if not whole.is_valid or len(words) < SPAN:
-                    out.append((len(words), 0, b" ".join(words).decode()))
-                    continue
-                minimizers, windows, _ = paths(known.array(words))
-                lists = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64) for x in (whole, single)]
-                dup = np.isin(minimizers, lists[0]) | np.isin(windows, lists[1])
-                ends = np.zeros(len(words) + 1, np.int64)
-                at = np.flatnonzero(dup)
-                np.add.at(ends, at, 1)
-                np.add.at(ends, at + SPAN, -1)
-                gone = np.cumsum(ends[:-1]) > 0
-                out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()))
+            for lo, hi, block in word_blocks(b.column(1), lower=False):
+                p = Paths(block)
+                dup = np.zeros(len(p.windows), bool)
+                first = np.cumsum(p.counts) - p.counts
+                for k in range(lo, hi):
+                    if b.column(2)[k].is_valid:
+                        w = slice(int(first[k - lo]), int(first[k - lo] + p.counts[k - lo]))
+                        marked = [np.asarray(b.column(c)[k].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64) for c in (2, 3)]
+                        dup[w] = np.isin(p.minimizers[w], marked[0]) | np.isin(p.windows[w], marked[1])
+                # a window covers its 13 words: ends are counted where they begin and where they stop
+                word = (np.cumsum(block.counts) - block.counts)[p.text[dup]] + np.flatnonzero(dup) - first[p.text[dup]]
+                change = np.bincount(word, minlength=len(block.hashes) + SPAN + 1).astype(np.int64)
+                change[SPAN:] -= np.bincount(word, minlength=len(block.hashes) + 1)[: len(change) - SPAN]
+                gone = np.cumsum(change)[: len(block.hashes)] > 0
+                at = 0
+                for k, n in zip(range(lo, hi), block.counts.tolist()):
+                    words, g = (b.column(1)[k].as_py() or "").encode().split(), gone[at : at + n]
+                    at += n
+                    kept = b" ".join([w for w, x in zip(words, g.tolist()) if not x]) if g.any() else b" ".join(words)
+                    out.append((n, int(g.sum()), kept.decode()))
             columns = list(zip(*out)) or [()] * 3
             yield pa.record_batch([b.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
