@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import WordHash, ensure_columns, gram_hashes, in_bitmap, key_bitmap, materialize, mix, signed
+from ammolite.llm.common import WordBlock, ensure_columns, gram_hashes, in_bitmap, key_bitmap, materialize, mix, runs, signed, word_blocks
 
 GRAM = 5
 #: A token counts as frequent when tasks that hold it at least LOCAL times hold it FREQUENT times together.
@@ -35,29 +36,52 @@ LOCAL, FREQUENT = 8, 64
 #: Buckets in which a class is compared with its neighbours in the first run.
 FIRST_BUCKETS = 4
 #: Classes in a leaf, nodes below a node.
-LEAF, FANOUT = 8, 4
-
-
-def token_set(text: str | None, known: WordHash) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    n = min(GRAM, len(words))
-    return np.unique(gram_hashes(known.array(words), n, salt=n))
-
-
-def class_of(tokens: np.ndarray) -> int:
-    """A hash of the set, as Spark's long."""
-    x = mix(np.array([int(np.add.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)))) + len(tokens) & 0xFFFFFFFFFFFFFFFF], np.uint64))
-    return int(x.view(np.int64)[0])
-
-
-def prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.75 n) + 1 tokens, frequent ones last."""
-    late = in_bitmap(frequent, tokens)
-    ordered = np.concatenate([tokens[~late], tokens[late]])
-    return ordered[: len(tokens) - -(-3 * len(tokens) // 4) + 1]
+LEAF, FANOUT = 32, 4
+#: Rows of a family of buckets that one task compares, on average; larger families are dealt out by token.
+FAMILY = 100_000
+
+
+class Sets:
+    """The sorted distinct shingle hashes of every text of a block, end to end: text k has tokens[ends[k] - sizes[k] : ends[k]]."""
+
+    def __init__(self, block: WordBlock):
+        first = np.cumsum(block.counts) - block.counts
+        long = np.maximum(block.counts - GRAM + 1, 0)
+        grams = gram_hashes(block.hashes, GRAM, salt=GRAM)[runs(long, first)]
+        sets, at = [], 0
+        for k, n in enumerate(long.tolist()):
+            c = int(block.counts[k])
+            x = grams[at : at + n] if n or not c else gram_hashes(block.hashes[first[k] : first[k] + c], c, salt=c)
+            at += n
+            if len(x) > 1:
+                x = np.sort(x)
+                x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+            sets.append(x)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(self.tokens ^ np.uint64(0x5851F42D4C957F2D)))))
+        #: A hash of each set.
+        self.classes = signed(mix(sums[self.ends] - sums[self.ends - self.sizes] + self.sizes.astype(np.uint64)))
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.tokens[self.ends[k] - self.sizes[k] : self.ends[k]]
+
+    def prefixes(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, text of each): the first n - ceil(0.75 n) + 1 of each set, frequent ones last."""
+        late = in_bitmap(frequent, self.tokens)
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.lexsort((late, text)) if late.any() else np.arange(len(text))  # stable: hashes stay in order
+        wanted = np.where(self.sizes > 0, self.sizes - -(-3 * self.sizes // 4) + 1, 0)
+        at = order[runs(wanted, self.ends - self.sizes)]
+        return self.tokens[at], text[at]
+
+
+def _sets(batches):
+    """(doc_id column, Sets) of blocks of texts."""
+    for b in batches:
+        for lo, hi, block in word_blocks(b.column(1), lower=True):
+            yield b.column(0).slice(lo, hi - lo), Sets(block)
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -161,83 +185,73 @@ def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, components: np.ndarray,
     return np.minimum(classes[i], classes[j]), np.maximum(classes[i], classes[j])
 
 
-def _texts(batches):
-    known = WordHash()
-    for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield key, token_set(text, known)
-
-
 def _class_rows(batches):
-    """Rows (kind, a, b, c): 0, doc_id, size, class of each document; 1, token, count, 0 of tokens frequent within a task's part."""
-    rows, sets, held = [], [], 0
-
-    def flush():
-        n = len(rows)
-        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        tokens, counts = np.unique(flat, return_counts=True)
+    """Rows (kind, a, b, c): 0, doc_id, size, class of each document; 1, token, count, 0 of tokens frequent within a block."""
+    for names, sets in _sets(batches):
+        n = len(names)
+        yield pa.record_batch([np.zeros(n, np.int32), names, sets.sizes, sets.classes], names=["kind", "a", "b", "c"])
+        x = np.sort(sets.tokens)
+        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+        counts = np.diff(np.append(at, len(x)))
         often = counts >= LOCAL
-        tokens, counts = signed(tokens[often]).tolist(), counts[often].tolist()
-        ids, sizes, names = (list(x) for x in zip(*rows)) if rows else ([], [], [])
-        return pa.record_batch([pa.array([0] * n + [1] * len(tokens), pa.int32()), pa.array(ids + tokens, pa.int64()), pa.array(sizes + counts, pa.int64()), pa.array(names + [0] * len(tokens), pa.int64())], names=["kind", "a", "b", "c"])
-
-    for key, tokens in _texts(batches):
-        rows.append((key, len(tokens), class_of(tokens)))
-        sets.append(tokens)
-        held += len(tokens)
-        if held > 4_000_000:
-            yield flush()
-            rows, sets, held = [], [], 0
-    if rows:
-        yield flush()
+        n = int(often.sum())
+        if n:
+            yield pa.record_batch([np.ones(n, np.int32), signed(x[at[often]]), counts[often], np.zeros(n, np.int64)], names=["kind", "a", "b", "c"])
 
 
 def _prefix_rows(frequent: np.ndarray, live: np.ndarray | None):
     """(token, cls, size) for the prefix of every document; with `live` only for the tokens in it."""
 
     def run(batches):
-        parts, held = [[], [], []], 0
-
-        def flush():
-            return pa.record_batch([signed(np.concatenate(parts[0])), np.concatenate(parts[1]), np.concatenate(parts[2])], names=["token", "cls", "size"])
-
-        for _, tokens in _texts(batches):
-            if not len(tokens):
-                continue
-            first = prefix(tokens, frequent)
+        for _, sets in _sets(batches):
+            tokens, text = sets.prefixes(frequent)
             if live is not None:
-                first = first[in_bitmap(live, first)]
-            for column, values in zip(parts, (first, np.full(len(first), class_of(tokens), np.int64), np.full(len(first), len(tokens), np.int64))):
-                column.append(values)
-            held += len(first)
-            if held > 300_000:
-                yield flush()
-                parts, held = [[], [], []], 0
-        if parts[0]:
-            yield flush()
+                keep = in_bitmap(live, tokens)
+                tokens, text = tokens[keep], text[keep]
+            yield pa.record_batch([signed(tokens), sets.classes[text], sets.sizes[text]], names=["token", "cls", "size"])
 
     return run
 
 
 def _set_rows(wanted: np.ndarray, whole: bool):
-    """(cls, tokens or signature) of the documents whose class is in `wanted`."""
+    """(cls, tokens or signature) of the classes in `wanted`, once for every task that meets them."""
 
     def run(batches):
-        names, values, held = [], [], 0
-        for _, tokens in _texts(batches):
-            if len(tokens) and in_bitmap(wanted, np.array([class_of(tokens)], np.int64).view(np.uint64))[0]:
-                names.append(class_of(tokens))
-                values.append(tokens.tobytes() if whole else signature(tokens))
-                held += len(values[-1])
-                if held > 8_000_000:
-                    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["cls", "v"])
-                    names, values, held = [], [], 0
-        if names:
+        seen: set[int] = set()
+        for _, sets in _sets(batches):
+            names, values = [], []
+            for k in np.flatnonzero(in_bitmap(wanted, sets.classes.view(np.uint64)) & (sets.sizes > 0)).tolist():
+                if (name := int(sets.classes[k])) not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    values.append(sets[k].tobytes() if whole else signature(sets[k]))
             yield pa.record_batch([pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["cls", "v"])
 
     return run
 
 
+def _bounded(batches):
+    """Pairs (a, size_a, u, c, size_c, v) whose signatures leave enough overlap."""
+    for b in batches:
+        a, n, c, m = (np.asarray(b.column(x).to_numpy(zero_copy_only=False), np.int64) for x in ("a", "n", "c", "m"))
+        ok = _signatures_allow(n, b.column("u").to_pylist(), m, b.column("v").to_pylist())
+        yield pa.record_batch([a[ok], c[ok]], names=["a", "c"])
+
+
+def _signatures_allow(n: np.ndarray, u: list[bytes], m: np.ndarray, v: list[bytes]) -> np.ndarray:
+    """Whether two sets of n and m tokens can overlap enough, given their signatures: larger ones are folded to the smaller."""
+    ok = (4 * n >= 3 * m) & (4 * m >= 3 * n)
+    width_u, width_v = np.array([len(x) for x in u], np.int64), np.array([len(x) for x in v], np.int64)
+    for w, z in {(int(width_u[k]), int(width_v[k])) for k in np.flatnonzero(ok)}:
+        pick = np.flatnonzero(ok & (width_u == w) & (width_v == z))
+        least = min(w, z)
+        for part in np.array_split(pick, max(1, len(pick) * max(w, z) // 8_000_000)):
+            x, y = (np.bitwise_or.reduce(np.frombuffer(b"".join([values[k] for k in part]), np.uint64).reshape(len(part), -1, least // 8), axis=1) for values in (u, v))
+            one, two = np.bitwise_count(x & ~y).sum(1).astype(np.int64), np.bitwise_count(y & ~x).sum(1).astype(np.int64)
+            ok[part] = np.minimum(n[part] - one, m[part] - two) >= required(n[part] + m[part])
+    return ok
+
+
 def _verify(batches):
     for b in batches:
         a, c = b.column("a").to_pylist(), b.column("c").to_pylist()
@@ -255,13 +269,15 @@ def _broadcast(spark: SparkSession, bitmap: np.ndarray):
     return spark.sparkContext.broadcast(bitmap)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the class pairs (a, c) those that are similar, judged on their whole sets."""
-    involved = pairs.select(F.explode(F.array("a", "c")).alias("cls")).distinct()
+def verified(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of the class pairs (a, c) those that are similar: signatures (cls, size, v) exclude most others, whole sets decide."""
+    one, two = marks.select(F.col("cls").alias("a"), F.col("size").alias("n"), F.col("v").alias("u")), marks.select(F.col("cls").alias("c"), F.col("size").alias("m"), "v")
+    likely = materialize(pairs.join(one, "a").join(two, "c").select("a", "n", "u", "c", "m", "v").mapInArrow(_bounded, "a long, c long"), "likely-pairs")
+    involved = likely.select(F.explode(F.array("a", "c")).alias("cls")).distinct()
     wanted = _broadcast(docs.sparkSession, key_bitmap(involved, "cls"))
-    sets = docs.mapInArrow(lambda batches: _set_rows(wanted.value, True)(batches), "cls long, v binary").join(involved, "cls", "left_semi").groupBy("cls").agg(F.first("v").alias("v"))
+    sets = docs.mapInArrow(lambda batches: _set_rows(wanted.value, True)(batches), "cls long, v binary").join(involved, "cls", "left_semi").dropDuplicates(["cls"])
     sets = materialize(sets, "sets")
-    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("v").alias("u")), "a").join(sets.select(F.col("cls").alias("c"), "v"), "c")
+    joined = likely.join(sets.select(F.col("cls").alias("a"), F.col("v").alias("u")), "a").join(sets.select(F.col("cls").alias("c"), "v"), "c")
     return materialize(joined.select("a", "c", "u", "v").mapInArrow(_verify, "a long, c long"), "links")
 
 
@@ -283,7 +299,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _neighbours(batches):
-    """Pairs of each class with the one before it and the first one of its bucket; rows come sorted by (token, size, cls)."""
+    """Pairs of each class with the one before it and the first one of its bucket; rows come sorted by token, and in a bucket by how much a class shares."""
     last = None
     for b in batches:
         token, cls, size = (np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64) for i in range(3))
@@ -293,7 +309,7 @@ def _neighbours(batches):
         first = np.repeat(starts, np.diff(np.append(starts, len(token))))
         here = np.arange(len(token))
         pairs = np.concatenate([np.stack([here[1:] - 1, here[1:]]), np.stack([first, here])], axis=1)
-        x, y = pairs[:, (token[pairs[0]] == token[pairs[1]]) & (cls[pairs[0]] != cls[pairs[1]]) & (4 * size[pairs[0]] >= 3 * size[pairs[1]])]
+        x, y = pairs[:, (token[pairs[0]] == token[pairs[1]]) & (cls[pairs[0]] != cls[pairs[1]]) & (4 * size[pairs[0]] >= 3 * size[pairs[1]]) & (4 * size[pairs[1]] >= 3 * size[pairs[0]])]
         yield pa.record_batch([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], names=["a", "c"])
         # the next batch goes on with this bucket's first class and its last
         keep = sorted({int(first[-1]), len(token) - 1})
@@ -301,22 +317,50 @@ def _neighbours(batches):
 
 
 def _tree_rows(batches):
-    """Pairs from the signature trees of buckets; rows (token, cls, size, component, v) come sorted by token."""
-    held: list[tuple] = []
-
-    def flush():
-        _, cls, size, component, v = zip(*held)
-        x, y = bucket_pairs(np.array(cls, np.int64), np.array(size, np.int64), np.array(component, np.int64), list(v))
-        return pa.record_batch([x, y], names=["a", "c"])
-
+    """Pairs from the signature trees of buckets. Rows (x, salt, token, cls, size, component, v) come sorted by (x, salt, token):
+    of each family of buckets first the signatures of its classes (token null), then the buckets."""
+    rest = None
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if held and held[0][0] != row[0]:
-                yield flush()
-                held = []
-            held.append(row)
-    if held:
-        yield flush()
+        rows = pa.Table.from_batches([b])
+        rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+        x, salt = np.asarray(rows["x"].to_numpy(), np.int64), np.asarray(rows["salt"].to_numpy(), np.int64)
+        change = np.flatnonzero((x[1:] != x[:-1]) | (salt[1:] != salt[:-1])) + 1
+        if len(change):
+            yield _families(rows.slice(0, int(change[-1])))
+        rest = rows.slice(int(change[-1])) if len(change) else rows
+    if rest is not None and len(rest):
+        yield _families(rest)
+
+
+def _families(rows: pa.Table):
+    """Distinct pairs of whole families. Buckets of no more than a leaf are trees of one node and are compared together, a pair once."""
+    marked = rows["token"].is_null()
+    signatures, rows = rows.filter(marked), rows.filter(pc.invert(marked))
+    known = dict(zip(signatures["cls"].to_pylist(), signatures["v"].to_pylist()))
+    x, salt, token, cls, size, component = (np.asarray(rows[c].to_numpy(), np.int64) for c in ("x", "salt", "token", "cls", "size", "component"))
+    starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (salt[1:] != salt[:-1])))) if len(token) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(token)))
+    left, right, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+    for n in np.unique(sizes[sizes <= LEAF]).tolist():
+        i, j = np.triu_indices(n, 1)
+        first = starts[sizes == n][:, None]
+        left.append((first + i).ravel())
+        right.append((first + j).ravel())
+    i, j = np.concatenate(left), np.concatenate(right)
+    keep = (component[i] != component[j]) & (4 * size[i] >= 3 * size[j]) & (4 * size[j] >= 3 * size[i])
+    i, j = i[keep], j[keep]
+    low, high = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+    order = np.lexsort((high, low))
+    low, high, i, j = low[order], high[order], i[order], j[order]
+    keep = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(low) else np.empty(0, bool)
+    low, high, i, j = low[keep], high[keep], i[keep], j[keep]
+    ok = _signatures_allow(size[i], [known[k] for k in cls[i].tolist()], size[j], [known[k] for k in cls[j].tolist()])
+    found.append((low[ok], high[ok]))
+    for at, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+        w = slice(at, at + n)
+        found.append(bucket_pairs(cls[w], size[w], component[w], [known[k] for k in cls[w].tolist()]))
+    pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
+    return pa.record_batch([pairs[0], pairs[1]], names=["a", "c"])
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -334,21 +378,30 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     entries = docs.mapInArrow(lambda batches: _prefix_rows(frequent.value, live.value)(batches), entry).groupBy("token", "cls").agg(F.first("size").alias("size")).join(shared, "token", "left_semi")
     entries = materialize(entries, "entries")
 
+    held = entries.groupBy("cls").agg(F.first("size").alias("size"))
+    wanted = _broadcast(spark, key_bitmap(held, "cls"))
+    marks = docs.mapInArrow(lambda batches: _set_rows(wanted.value, False)(batches), "cls long, v binary").dropDuplicates(["cls"])
+    marks = materialize(marks.join(held, "cls").select("cls", "size", "v"), "signatures")
+
     # first run: neighbours in the few first buckets of each class
-    few = entries.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_BUCKETS).alias("t"), F.first("size").alias("size")).select(F.explode("t").alias("token"), "cls", "size")
-    near = few.repartition("token").sortWithinPartitions("token", "size", "cls").mapInArrow(_neighbours, "a long, c long").distinct()
-    links = verified(docs, materialize(near, "first-pairs"))
+    # the original of a group of edited copies shares more of its prefix than they do, so it comes first in its buckets
+    few = entries.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_BUCKETS).alias("t"), F.first("size").alias("size"), (F.count("*") / F.first("size")).alias("shared"))
+    few = few.select(F.explode("t").alias("token"), "cls", "size", "shared")
+    near = few.repartition("token").sortWithinPartitions("token", F.desc("shared"), "size", "cls").select("token", "cls", "size").mapInArrow(_neighbours, "a long, c long").distinct()
+    links = verified(docs, near, marks)
     known = components(links)
 
     # second run: buckets in which components still meet
     placed = materialize(entries.join(known, "cls", "left").select("token", "cls", "size", F.coalesce("component", "cls").alias("component")), "placed")
-    meeting = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    placed = materialize(placed.join(meeting, "token", "left_semi"), "meeting")
-    wanted = _broadcast(spark, key_bitmap(placed.select("cls").distinct(), "cls"))
-    marks = docs.mapInArrow(lambda batches: _set_rows(wanted.value, False)(batches), "cls long, v binary").groupBy("cls").agg(F.first("v").alias("v"))
-    dealt = placed.join(marks, "cls").select("token", "cls", "size", "component", "v")
-    pairs = dealt.repartition("token").sortWithinPartitions("token").mapInArrow(_tree_rows, "a long, c long").distinct()
-    more = verified(docs, materialize(pairs, "tree-pairs"))
+    meeting = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").drop("y")
+    # buckets with the same smallest component are a family: one task sees a pair of it in all of them, and signatures are sent once
+    salts = meeting.groupBy("x").agg(F.ceil(F.sum("n") / FAMILY).alias("salts"))
+    meeting = meeting.join(salts, "x").select("token", "x", F.pmod(F.xxhash64("token"), F.col("salts")).alias("salt"))
+    dealt = materialize(placed.join(meeting, "token").select("x", "salt", "token", "cls", "size", "component"), "dealt")
+    told = dealt.select("x", "salt", "cls").distinct().join(marks, "cls").select("x", "salt", F.lit(None).cast("long").alias("token"), "cls", "size", F.lit(0).cast("long").alias("component"), "v")
+    rows_in = dealt.withColumn("v", F.lit(None).cast("binary")).unionByName(told)
+    pairs = rows_in.repartition("x", "salt").sortWithinPartitions("x", "salt", F.col("token").asc_nulls_first()).mapInArrow(_tree_rows, "a long, c long").distinct()
+    more = verified(docs, pairs, marks)
     final = components(links.unionByName(more))
 
     named = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"))
