@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ammolite.plans import ecology, matrix, series, stratigraphy, univariate
+from ammolite.plans import ecology, isotopes, matrix, series, stratigraphy, univariate
 
-QUERIES = {**ecology.QUERIES, **univariate.QUERIES, **series.QUERIES, **stratigraphy.QUERIES, **matrix.QUERIES}
-ORACLE_SQL = {**ecology.ORACLE_SQL, **univariate.ORACLE_SQL, **series.ORACLE_SQL, **stratigraphy.ORACLE_SQL, **matrix.ORACLE_SQL}
+QUERIES = {**ecology.QUERIES, **univariate.QUERIES, **series.QUERIES, **stratigraphy.QUERIES, **matrix.QUERIES, **isotopes.QUERIES}
+ORACLE_SQL = {**ecology.ORACLE_SQL, **univariate.ORACLE_SQL, **series.ORACLE_SQL, **stratigraphy.ORACLE_SQL, **matrix.ORACLE_SQL, **isotopes.ORACLE_SQL}
