@@ -80,7 +80,7 @@ class Sets:
 def _sets(batches):
     """(doc_id column, Sets) of blocks of texts."""
     for b in batches:
-        for lo, hi, block in word_blocks(b.column(1), lower=True):
+        for lo, hi, block in word_blocks(b.column(1), lower=True, most=2_000_000):
             yield b.column(0).slice(lo, hi - lo), Sets(block)
 
 
@@ -253,16 +253,18 @@ def _signatures_allow(n: np.ndarray, u: list[bytes], m: np.ndarray, v: list[byte
 
 
 def _verify(batches):
+    """Pairs (a, c) whose whole sets u and v are similar; a few hundred sets are unpacked at a time."""
     for b in batches:
-        a, c = b.column("a").to_pylist(), b.column("c").to_pylist()
-        out = [], []
-        for x, y, u, v in zip(a, c, b.column("u").to_pylist(), b.column("v").to_pylist()):
-            s, t = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= 75 * (len(s) + len(t) - both):
-                out[0].append(x)
-                out[1].append(y)
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "c"])
+        for lo in range(0, len(b), 250):
+            part = b.slice(lo, 250)
+            out = [], []
+            for x, y, u, v in zip(*(part.column(c).to_pylist() for c in ("a", "c", "u", "v"))):
+                s, t = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= 75 * (len(s) + len(t) - both):
+                    out[0].append(x)
+                    out[1].append(y)
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "c"])
 
 
 def _broadcast(spark: SparkSession, bitmap: np.ndarray):
