@@ -1,16 +1,18 @@
 """Scores of texts under a hierarchical Pitman-Yor language model learned from the training documents.
 
-Every word is a dish. It is served in context restaurants: one for each pair of classes of the two words before (a word's
-class comes from its ending), each a child of the restaurant of the nearer class, and those children of the root, whose
-base is uniform over the vocabulary and one unknown word. A restaurant's tables are customers of its parent. Gibbs sweeps
-sample the number of tables of every dish in every restaurant, given the table totals of the sweep before and the parent's
-probabilities; predictive probabilities are averaged over the sweeps after the burn-in.
-
-A dish's counts in all restaurants are one row, so a sweep is a map over dishes followed by a sum over the 273 restaurants
-(16 classes: 256 + 16 + 1), the only thing that goes through the driver. Random numbers are hashes of dish, restaurant and
-sweep, so a sweep replays a dish's earlier ones from the recorded totals: no state is rewritten, and any task anywhere
-computes the same seating. More than 16 customers are seated in blocks of a sixteenth of those present; a block opens its
-expected number of tables, rounded at random.
+Every word is a dish. It is served in context restaurants: one for each pair of words that stands before a word (leaf), each
+a child of the restaurant of the nearer word (inner), and those children of the root, whose base is uniform over the
+vocabulary and one unknown word. A restaurant's tables are customers of its parent. Gibbs sweeps sample the number of tables
+of every dish in every restaurant, given the table totals of the sweep before and the parent's probabilities; predictive
+probabilities are averaged over the sweeps after the burn-in.
+
+Restaurants are keyed by 64-bit hashes of the actual words, and everything that grows with the corpus is a Spark table:
+leaf entries (context, nearer word, word, customers), inner entries (nearer word, word), and totals by context, nearer word
+and word, joined in every sweep. Only sums over the root go through the driver. A dish with one customer has one table in
+every sample, so a sweep visits the entries with more than one and adds the others as a constant. Counts are summed over
+each group of documents before they are dealt, so a common phrase is one row a group. Random numbers are hashes of entry
+and sweep: no seating depends on partitions. Up to 64 customers are seated one by one; more in blocks of a 64th of those
+present, a block opening its expected number of tables, rounded at random.
 
 Words are identified by 64-bit hashes. Defined results: a null text is empty and has one token, the end; a null doc_id is
 trained on (its remainder is taken as 0); repeated rows are texts of their own; with no training tokens every word is
@@ -20,16 +22,18 @@ unknown and both scores are logarithms of 1 / (V + 1) = 1.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ammolite.llm.common import END_WORD, WordBlock, ensure_columns, materialize, mix, runs, signed, word_blocks
 
+#: Restaurants of `Dishes`, the small model in memory.
 CLASSES = 16
 CONTEXTS = CLASSES * CLASSES
-SWEEPS, BURN_IN = 3, 1
+#: Sweeps in all, and how many of them are discarded.
+SWEEPS, BURN_IN = 5, 2
 STRENGTH = (1.0, 1.0, 1.0)
 #: Bytes of text whose tokens are grouped by word in one row set: a bound on a task's memory.
 GROUP_BYTES = 8_000_000
@@ -37,21 +41,13 @@ GROUP_BYTES = 8_000_000
 
 #: What the row of the end token tells of each of its documents.
 _NAME = np.dtype([("doc_id", "<i8"), ("nameless", "?"), ("held_out", "?")])
-_TOKEN = np.dtype([("d", "<u2"), ("c", "u1")])
+#: Stands twice before a text.
+BEGIN_WORD = np.uint64(0x9FB21C651E98DF25)
 
 
-def _classes(block: WordBlock) -> np.ndarray:
-    """The class of each word, 1 to 15, from its last two bytes; 0 stands before a text."""
-    last = block.bytes[block.ends - 1].astype(np.int64)
-    other = np.where(block.ends - block.starts > 1, block.bytes[np.maximum(block.ends - 2, 0)], 7)
-    return ((last * 31 + other) % (CLASSES - 1) + 1).astype(np.uint8)
-
-
-def _tokens(batches, only_training: bool):
-    """Groups of documents: (keys, names, word hash of every token, context of every token, document of every token)."""
+def _tokens(batches):
+    """Groups of documents: (keys, names, context, nearer word and word of every token, document of every token)."""
     for b in batches:
-        if only_training:
-            b = b.filter(pc.invert(b.column(1)))
         keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
         names = np.empty(len(keys), _NAME)
         names["doc_id"], names["nameless"] = b.column(3).fill_null(0).to_numpy(zero_copy_only=False), b.column(3).is_null().to_numpy(zero_copy_only=False)
@@ -59,14 +55,20 @@ def _tokens(batches, only_training: bool):
         for lo, hi, block in word_blocks(b.column(2), lower=True, most=GROUP_BYTES):
             # two empty places before each text and its end after it
             counts = block.counts
-            first = np.cumsum(counts + 1) - (counts + 1)
-            words = runs(counts, first)
-            h = np.full(len(block.hashes) + len(counts), END_WORD)
-            h[words] = block.hashes
-            kinds = np.zeros(len(block.hashes) + 2 * len(counts), np.uint8)
-            kinds[runs(counts, np.cumsum(counts + 2) - counts)] = _classes(block)
+            w = np.full(len(block.hashes) + len(counts), END_WORD)
+            w[runs(counts, np.cumsum(counts + 1) - (counts + 1))] = block.hashes
+            before = np.full(len(block.hashes) + 2 * len(counts), BEGIN_WORD)
+            before[runs(counts, np.cumsum(counts + 2) - counts)] = block.hashes
             at = runs(counts + 1, np.cumsum(counts + 2) - (counts + 2))
-            yield keys[lo:hi], names[lo:hi], h, kinds[at] * np.uint8(CLASSES) + kinds[at + 1], np.repeat(np.arange(hi - lo), counts + 1)
+            v = before[at + 1]
+            yield keys[lo:hi], names[lo:hi], mix(mix(before[at] ^ np.uint64(0xD1B54A32D192ED03)) + v), v, w, np.repeat(np.arange(hi - lo), counts + 1)
+
+
+def _grouped(c, w, place):
+    """Order of tokens by entry (context, word), then by place, and where each entry starts."""
+    order = np.lexsort((place, mix(c ^ mix(w))))
+    c, w = c[order], w[order]
+    return order, np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
 
 
 def _slices(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -76,41 +78,13 @@ def _slices(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 
 def _count_rows(batches):
-    """(h, seats): the word's contexts (bytes) and counts (32-bit), once for every group of documents."""
-    for _, _, h, c, _ in _tokens(batches, only_training=True):
-        order = np.lexsort((c, h))
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
-        yield from _seat_batches(h[first], c[first], np.diff(np.append(first, len(h))))
-
-
-def _seat_batches(h, c, n):
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, int)
-    ends = np.append(starts[1:], len(h))
-    words, contexts, counts = h[starts], _slices(c.astype(np.uint8), ends), _slices(n.astype("<i4"), ends)
-    for lo in range(0, len(words), 50_000):
-        hi = lo + 50_000
-        yield pa.record_batch([signed(words[lo:hi]), pa.array(contexts[lo:hi], pa.binary()), pa.array(counts[lo:hi], pa.binary())], names=["h", "contexts", "counts"])
-
-
-def _merge_rows(batches):
-    """Rows sorted by h, summed into one row for each h; memory holds one batch and one word."""
-    rest = None
-    for b in batches:
-        h, c, n = _expand(b.column(0), b.column(1), b.column(2))
-        if rest is not None:
-            h, c, n = (np.concatenate(x) for x in zip(rest, (h, c, n)))
-        order = np.lexsort((c, h.view(np.int64)))
-        h, c, n = h[order], c[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
-        n = np.add.reduceat(n, first)
-        h, c = h[first], c[first]
-        last = int(np.flatnonzero(h == h[-1])[0])
-        rest = (h[last:], c[last:], n[last:])
-        if last:
-            yield from _seat_batches(h[:last], c[:last], n[:last])
-    if rest is not None:
-        yield from _seat_batches(*rest)
+    """(c, v, w, n): training customers of every entry of a group of documents; 0 where it is only in held-out ones."""
+    for _, names, c, v, w, doc in _tokens(batches):
+        order, first = _grouped(c, w, doc)
+        n = np.add.reduceat((~names["held_out"][doc[order]]).astype(np.int64), first)
+        c, v, w = (x[order[first]] for x in (c, v, w))
+        for lo in range(0, len(n), 50_000):
+            yield pa.record_batch([signed(c[lo : lo + 50_000]), signed(v[lo : lo + 50_000]), signed(w[lo : lo + 50_000]), n[lo : lo + 50_000]], names=["c", "v", "w", "n"])
 
 
 def _blob(column) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +93,13 @@ def _blob(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(v for v in values if v), np.uint8), np.array([len(v) if v else 0 for v in values], np.int64)
 
 
-def _expand(words, contexts, counts):
-    c, lengths = _blob(contexts)
-    n = _blob(counts)[0].view("<i4").astype(np.int64)
-    h = np.asarray(words.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-    return np.repeat(h, lengths), c, n
+def predictive(n, tables, discount, strength, all_tables, all_customers, parent):
+    """Probability of a dish with `n` customers at `tables` tables; of NumPy arrays and of Columns."""
+    return (n - discount * tables + (strength + discount * all_tables) * parent) / (strength + all_customers)
 
 
 class Chain:
-    """What the sweeps share: discounts, customers and, for each sweep so far, tables of all restaurants."""
+    """Of the small model in memory: discounts, customers and, for each sweep so far, tables of all restaurants."""
 
     def __init__(self, vocabulary: int, discounts: tuple, customers: np.ndarray):
         self.vocabulary, self.discounts, self.customers = vocabulary, discounts, customers
@@ -144,7 +116,7 @@ def _seat(counts: np.ndarray, weight: np.ndarray, discount: float, seeds: np.nda
     live = np.flatnonzero(counts > 1)
     seated = 1
     while len(live):
-        step = max(1, seated // 16)
+        step = max(1, seated // 64)
         block = np.minimum(step, counts[live] - seated)
         p = weight[live] / (seated - discount * tables[live] + weight[live])
         tables[live] += np.minimum(block, np.floor(block * p + _uniform(seeds[live], seated)))
@@ -154,7 +126,7 @@ def _seat(counts: np.ndarray, weight: np.ndarray, discount: float, seeds: np.nda
 
 
 class Dishes:
-    """Counts of some dishes and the sweeps over them: entry = (dish, context) with its customers."""
+    """The model with few restaurants in memory, context k a child of k % 16: entry = (dish, context) with its customers."""
 
     def __init__(self, chain: Chain, h: np.ndarray, dish: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
         self.chain, self.n_dishes, self.dish, self.contexts, self.counts = chain, len(h), dish, contexts, counts
@@ -180,11 +152,11 @@ class Dishes:
         d0, d1, d2 = self.chain.discounts
         inner_n, root_n = np.bincount(self.of_inner, leaf_t, len(self.inner)), np.bincount(self.inner_dish, inner_t, self.n_dishes)
         inner_total, root_total = leaves.reshape(CLASSES, CLASSES).sum(0), inners.sum()
-        p0 = (root_n - d0 * root_t + (STRENGTH[0] + d0 * root) / (self.chain.vocabulary + 1)) / (STRENGTH[0] + root_total)
+        p0 = predictive(root_n, root_t, d0, STRENGTH[0], root, root_total, 1 / (self.chain.vocabulary + 1))
         k = self.inner_class
-        p1 = (inner_n - d1 * inner_t + (STRENGTH[1] + d1 * inners[k]) * p0[self.inner_dish]) / (STRENGTH[1] + inner_total[k])
+        p1 = predictive(inner_n, inner_t, d1, STRENGTH[1], inners[k], inner_total[k], p0[self.inner_dish])
         k = self.contexts
-        p2 = (self.counts - d2 * leaf_t + (STRENGTH[2] + d2 * leaves[k]) * p1[self.of_inner]) / (STRENGTH[2] + self.chain.customers[k])
+        p2 = predictive(self.counts, leaf_t, d2, STRENGTH[2], leaves[k], self.chain.customers[k], p1[self.of_inner])
         return p0, p1, p2
 
     def sweep(self, k: int):
@@ -199,141 +171,117 @@ class Dishes:
         self.state = leaf, inner, top
 
 
-def _each_dish(b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    c, lengths = _blob(b.column("contexts"))
-    n = _blob(b.column("counts"))[0].view("<i4").astype(np.int64)
-    h = np.asarray(b.column("h").to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-    return h, np.repeat(np.arange(len(h)), lengths), c, n
-
-
-def _totals_rows(chain: Chain | None):
-    """Table totals after one more sweep than `chain` has; without a chain, customers, vocabulary and counts of counts."""
+def _seats(n, weight, discount: float, sweep: int, level: int, *entry):
+    """Column: tables of `n` customers of the entry in this sweep."""
+    salt = np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
 
-    def run(batches):
-        sums = np.zeros(2 * (CONTEXTS + CLASSES + 1) + 16)
-        for b in batches:
-            h, dish, contexts, counts = _each_dish(b)
-            if chain is None:
-                sums[:CONTEXTS] += np.bincount(contexts, counts, CONTEXTS)
-                inner, of_inner = np.unique(dish * CLASSES + contexts % CLASSES, return_inverse=True)
-                at_inner, at_root = np.bincount(of_inner, minlength=len(inner)), np.bincount(inner // CLASSES, minlength=len(h))
-                sums[-16:-9] += [len(h), (at_root == 1).sum(), (at_root == 2).sum(), (at_inner == 1).sum(), (at_inner == 2).sum(), (counts == 1).sum(), (counts == 2).sum()]
-                continue
-            rows = Dishes(chain, h, dish, contexts, counts)
-            rows.start()
-            for k in range(len(chain.tables)):
-                rows.sweep(k)
-            leaf, inner, root = rows.state
-            sums[:CONTEXTS] += np.bincount(contexts, leaf, CONTEXTS)
-            sums[CONTEXTS : CONTEXTS + CLASSES] += np.bincount(rows.inner_class, inner, CLASSES)
-            sums[CONTEXTS + CLASSES] += root.sum()
-        yield pa.record_batch([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "v"])
-
-    return run
+    @F.pandas_udf("double")
+    def seat(n: pd.Series, weight: pd.Series, seed: pd.Series) -> pd.Series:
+        seeds = mix(seed.to_numpy(np.int64).view(np.uint64) ^ salt)
+        return pd.Series(_seat(n.to_numpy(np.int64), weight.to_numpy(np.float64), discount, seeds))
 
+    return seat(n.cast("long"), weight, F.xxhash64(*entry))
 
-def _sum_over(dishes: DataFrame, chain: Chain | None) -> np.ndarray:
-    rows = dishes.mapInArrow(_totals_rows(chain), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(2 * (CONTEXTS + CLASSES + 1) + 16)
-    for k, v in rows:
-        out[k] = v
-    return out
 
-
-def learn(dishes: DataFrame) -> Chain:
-    """Discounts from counts of counts, then the sweeps."""
-    s = _sum_over(dishes, None)
+def learn(grams: DataFrame) -> tuple[DataFrame, int, int]:
+    """(c, w, p, n_word) of every entry of `grams` (c, v, w, n), training tokens and vocabulary: discounts from counts of counts, then the sweeps."""
+    col, total = F.col, lambda x: F.coalesce(F.sum(x), F.lit(0))
+    flag = lambda x: F.sum(x.cast("long"))
+    contexts = materialize(grams.groupBy("c").agg(F.sum("n").alias("customers"), flag(col("n") == 1).alias("single"), flag(col("n") > 0).alias("start"), flag(col("n") > 1).alias("many")), "contexts")
+    pairs = materialize(grams.groupBy("v", "w").agg(F.sum("n").alias("n_word"), flag(col("n") == 1).alias("single"), flag(col("n") > 0).alias("n1")), "pairs")
+    # an entry with one training token is the only customer of its dish in the pair's restaurant
+    moving = col("n_word") > 1
+    words = materialize(pairs.groupBy("w").agg(F.sum("n_word").alias("n_word"), flag(col("n_word") == 1).alias("fixed"), flag(col("n1") > 0).alias("n0")), "words")
+    nearer = materialize(pairs.groupBy("v").agg(flag(col("n_word") == 1).alias("fixed"), F.sum("n1").alias("customers"), flag(col("n1") > 0).alias("tables")), "nearer")
+    count = lambda df, name: df.agg(*(total((col(name) == k).cast("long")) for k in (1, 2))).first()
     share = lambda one, two: float(min(0.95, max(0.05, one / (one + 2 * two)))) if one + two else 0.5
-    vocabulary, *counts = s[-16:-9]
-    chain = Chain(int(vocabulary), tuple(share(counts[2 * i], counts[2 * i + 1]) for i in range(3)), s[:CONTEXTS])
-    for _ in range(SWEEPS + 1):
-        t = _start_totals(dishes) if not chain.tables else _sum_over(dishes, chain)
-        chain.tables.append((t[:CONTEXTS], t[CONTEXTS : CONTEXTS + CLASSES], float(t[CONTEXTS + CLASSES])))
-    return chain
-
-
-def _start_totals(dishes: DataFrame) -> np.ndarray:
-    """One table for every dish in every restaurant that serves it."""
-    return _sum_over(dishes, Chain(0, (0.5, 0.5, 0.5), np.ones(CONTEXTS)))
+    d0, d1, d2 = share(*count(words, "n0")), share(*count(pairs, "n1")), share(*count(grams, "n"))
+    n_training, vocabulary, root_customers = words.agg(total("n_word"), total((col("n_word") > 0).cast("long")), total("n0")).first()
+
+    leaves = materialize(grams.where("n > 1"), "leaves").withColumn("sum", F.lit(0.0))
+    inner = pairs.where(moving).select("v", "w", "single", col("n1").cast("double").alias("n1"), F.lit(1.0).alias("t1"))
+    crowded = contexts.where("many > 0").select("c", "single", col("start").cast("double").alias("t2"))
+    halls = nearer.select("v", "fixed", col("customers").cast("double").alias("n1_all"), col("tables").cast("double").alias("t1_all"))
+    root = words.select("w", "n_word", "fixed", col("n0").cast("double").alias("n0"), (col("n0") > 0).cast("double").alias("t0"))
+    root_tables, used, kept = float(vocabulary), [], {"leaf": [], "inner": [], "hall": [], "root": []}
+    for k in range(SWEEPS + 1):
+        p0 = predictive(col("n0"), col("t0"), d0, STRENGTH[0], root_tables, float(root_customers), 1 / (vocabulary + 1))
+        root = materialize(root.withColumn("p0", p0), "root")
+        p1 = predictive(col("n1"), col("t1"), d1, STRENGTH[1], col("t1_all"), col("n1_all"), col("p0"))
+        if k > min(BURN_IN, SWEEPS - 1):
+            used.append(k)
+            kept["leaf"].append(crowded.select("c", col("t2").alias(f"t2_{k}")))
+            kept["inner"].append(inner.select("v", "w", (col("n1") - d1 * col("t1")).alias(f"own_{k}")))
+            kept["hall"].append(halls.select("v", col("n1_all").alias(f"n1_all_{k}"), col("t1_all").alias(f"t1_all_{k}")))
+            kept["root"].append(root.select("w", col("p0").alias(f"p0_{k}")))
+        if k == SWEEPS:
+            break
+        open_ = materialize(inner.join(halls.drop("fixed"), "v").join(root.select("w", "p0"), "w").select("v", "w", "single", ((STRENGTH[1] + d1 * col("t1_all")) * col("p0")).alias("weight"), p1.alias("p1")), "inner-weights")
+        seated = leaves.join(crowded.select("c", "t2"), "c").join(open_.select("v", "w", "p1"), ["v", "w"])
+        seated = seated.withColumn("t", _seats(col("n"), (STRENGTH[2] + d2 * col("t2")) * col("p1"), d2, k, 2, "c", "w"))
+        leaves = materialize(seated.select("c", "v", "w", "n", (col("sum") + (col("t") if k + 1 > min(BURN_IN, SWEEPS - 1) else 0.0)).alias("sum"), "t"), "seated")
+        crowded = materialize(crowded.join(leaves.groupBy("c").agg(F.sum("t").alias("more")), "c").select("c", "single", (col("single") + col("more")).alias("t2")), "crowded")
+        sent = open_.join(leaves.groupBy("v", "w").agg(F.sum("t").alias("more")), ["v", "w"], "left").withColumn("n1", col("single") + F.coalesce("more", F.lit(0.0)))
+        inner = materialize(sent.withColumn("t1", _seats(col("n1"), col("weight"), d1, k, 1, "v", "w")).select("v", "w", "single", "n1", "t1"), "inner")
+        leaves = leaves.drop("t")
+        halls = materialize(halls.select("v", "fixed").join(inner.groupBy("v").agg(F.sum("n1").alias("n"), F.sum("t1").alias("t")), "v", "left").select("v", "fixed", (col("fixed") + F.coalesce("n", F.lit(0.0))).alias("n1_all"), (col("fixed") + F.coalesce("t", F.lit(0.0))).alias("t1_all")), "halls")
+        top = root.select("w", "n_word", "fixed").join(inner.groupBy("w").agg(F.sum("t1").alias("t")), "w", "left").select("w", "n_word", "fixed", (col("fixed") + F.coalesce("t", F.lit(0.0))).alias("n0"))
+        root = materialize(top.withColumn("t0", _seats(col("n0"), F.lit((STRENGTH[0] + d0 * root_tables) / (vocabulary + 1)), d0, k, 0, "w")), "root-seated")
+        root_customers, root_tables = root.agg(total("n0").cast("double"), total("t0").cast("double")).first()
+
+    def together(tables, on):
+        out = tables[0]
+        for more in tables[1:]:
+            out = out.join(more, on)
+        return out
+
+    one = (col("n_word") == 1).cast("double") * (1 - d1)
+    backs = pairs.drop("single", "n1").join(together(kept["inner"], ["v", "w"]), ["v", "w"], "left").join(together(kept["hall"], "v"), "v").join(together([words.select("w", col("n_word").alias("n_all")), *kept["root"]], "w"), "w")
+    p1s = [((F.coalesce(f"own_{k}", one) + (STRENGTH[1] + d1 * col(f"t1_all_{k}")) * col(f"p0_{k}")) / (STRENGTH[1] + col(f"n1_all_{k}"))).alias(f"p1_{k}") for k in used]
+    backs = backs.select("v", "w", "n_all", *p1s)
+    totals = contexts.select("c", "customers", "single").join(together(kept["leaf"], "c"), "c", "left").select("c", "customers", *(F.coalesce(f"t2_{k}", "single").alias(f"t2_{k}") for k in used))
+    own = col("n") - d2 * F.coalesce(col("sum") / len(used), col("n"))
+    back = sum(((STRENGTH[2] + d2 * col(f"t2_{k}")) * col(f"p1_{k}") for k in used), F.lit(0.0)) / len(used)
+    entries = grams.join(leaves.select("c", "w", "sum"), ["c", "w"], "left").join(totals, "c").join(backs, ["v", "w"])
+    return entries.select("c", "w", ((own + back) / (STRENGTH[2] + col("customers"))).alias("p"), col("n_all").alias("n_word")), n_training, vocabulary
 
 
 def _token_rows(batches):
-    """(h, base, tokens, names): of every word of a group, the documents (16-bit, from `base`) and contexts of its tokens.
+    """(c, w, base, docs, names): of every entry of a group, the documents (32-bit, from `base`) of its tokens.
 
-    Each text has one end token, so the end's row also carries its documents' names: what a key stands for travels with it.
+    Each text has one end token, so an end's rows also carry their documents' names: what a key stands for travels with it.
     """
-    for keys, names, h, c, doc in _tokens(batches, only_training=False):
-        step = 1 << 16
-        base = keys[0]
+    for keys, names, c, v, w, doc in _tokens(batches):
+        base = keys.min()
+        step = 1 << 32
         place = (keys - base)[doc]
-        for page in range(int(place.max()) // step + 1):  # keys of a partition run on, so this is one page
+        for page in np.unique(place // step):  # keys of a partition run on, so this is one page
             pick = np.flatnonzero(place // step == page)
-            if not len(pick):
-                continue
-            order = pick[np.lexsort((place[pick], h[pick]))]
-            hs = h[order]
-            starts = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1])))
-            ends = np.append(starts[1:], len(hs))
-            packed = np.empty(len(hs), _TOKEN)
-            packed["d"], packed["c"] = place[order] % step, c[order]
-            words, tokens, told = hs[starts], _slices(packed, ends), [None] * len(starts)
-            at = int(np.flatnonzero(words == END_WORD)[0])
-            told[at] = names[doc[order[starts[at] : ends[at]]]].tobytes()
-            for lo in range(0, len(words), 50_000):
+            order, starts = _grouped(c[pick], w[pick], place[pick])
+            order = pick[order]
+            ends = np.append(starts[1:], len(order))
+            docs = _slices((place[order] % step).astype("<u4"), ends)
+            told = [None] * len(starts)
+            for i in np.flatnonzero(w[order[starts]] == END_WORD):
+                told[i] = names[doc[order[starts[i] : ends[i]]]].tobytes()
+            for lo in range(0, len(starts), 50_000):
                 hi = lo + 50_000
-                part = tokens[lo:hi]
-                yield pa.record_batch([signed(words[lo:hi]), np.full(len(part), base + page * step, np.int64), pa.array(part, pa.binary()), pa.array(told[lo:hi], pa.binary())], names=["h", "base", "tokens", "names"])
+                first = order[starts[lo:hi]]
+                yield pa.record_batch([signed(c[first]), signed(w[first]), np.full(len(first), base + page * step, np.int64), pa.array(docs[lo:hi], pa.binary()), pa.array(told[lo:hi], pa.binary())], names=["c", "w", "base", "docs", "names"])
 
 
-def _score_rows(chain: Chain, n_training: int):
-    """Sums by document over each batch of (h, base, tokens, contexts, counts)."""
-    vocabulary = chain.vocabulary
-    use = range(min(BURN_IN, SWEEPS - 1) + 1, SWEEPS + 1)
+def _score_rows(n_training: int, vocabulary: int):
+    """Sums by document over each batch of (base, docs, names, p, n_word)."""
 
     def run(batches):
         for b in batches:
-            # rows come sorted by word, as the join left them: a dish is replayed once for all of its rows in a batch
-            every = np.asarray(b.column("h").to_numpy(zero_copy_only=False), np.int64)
-            new = np.concatenate(([True], every[1:] != every[:-1])) if len(every) else np.empty(0, bool)
-            h, dish, contexts, counts = _each_dish(b.take(pa.array(np.flatnonzero(new))))
-            rows = Dishes(chain, h, dish, contexts, counts)
-            raw, sizes = _blob(b.column("tokens"))
-            tokens = raw.view(_TOKEN)
-            row = np.repeat(np.arange(len(every)), sizes // 3)
-            of = (np.cumsum(new) - 1)[row]
-            c2 = tokens["c"].astype(np.int64)
-            c1 = c2 % CLASSES
-            entry_key = rows.dish * CONTEXTS + contexts
-            want2, want1 = of * CONTEXTS + c2, of * CLASSES + c1
-
-            def find(keys, wanted):
-                at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-                return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-
-            at2, has2 = find(entry_key, want2)
-            at1, has1 = find(rows.inner, want1)
-            total = np.zeros(len(of))
-            rows.start()
-            for k in range(SWEEPS + 1):
-                if k:
-                    rows.sweep(k - 1)
-                if k not in use:
-                    continue
-                p0, p1, p2 = rows.probabilities(k)
-                leaves, inners, _ = chain.tables[k]
-                _, d1, d2 = chain.discounts
-                inner_total = leaves.reshape(CLASSES, CLASSES).sum(0)
-                x = p0[of]
-                back = (STRENGTH[1] + d1 * inners[c1]) / (STRENGTH[1] + inner_total[c1]) * x
-                x = np.where(has1, p1[at1], back) if len(p1) else back
-                back = (STRENGTH[2] + d2 * leaves[c2]) / (STRENGTH[2] + chain.customers[c2]) * x
-                total += np.where(has2, p2[at2], back) if len(p2) else back
-            score = np.log10(total / len(use))
-            c = np.bincount(rows.dish, counts, len(h))[of]
-            base = np.log10((c + 1) / (n_training + vocabulary + 1))
-            key = np.asarray(b.column("base").to_numpy(zero_copy_only=False), np.int64)[row] + tokens["d"]
+            raw, sizes = _blob(b.column("docs"))
+            row = np.repeat(np.arange(len(sizes)), sizes // 4)
+            key = np.asarray(b.column("base").to_numpy(zero_copy_only=False), np.int64)[row] + raw.view("<u4")
+            c = np.asarray(b.column("n_word").to_numpy(zero_copy_only=False), np.int64)
+            base, score = np.log10((c + 1) / (n_training + vocabulary + 1)), np.log10(b.column("p").to_numpy(zero_copy_only=False))
             keys, at = np.unique(key, return_inverse=True)
-            sums = [np.bincount(at, x, len(keys)) for x in (np.ones(len(key)), c > 0, base, score)]
+            sums = [np.bincount(at, x[row], len(keys)) for x in (np.ones(len(sizes)), c > 0, base, score)]
             told, lengths = _blob(b.column("names"))
             told = told.view(_NAME)
             which = at[(lengths > 0)[row]]
@@ -347,12 +295,10 @@ def _score_rows(chain: Chain, n_training: int):
 def score_texts(documents: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; `held_out` is a boolean Column over doc_id."""
     docs = ensure_columns(documents, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text", "doc_id")
-    counted = docs.mapInArrow(_count_rows, "h long, contexts binary, counts binary").repartition("h").sortWithinPartitions("h")
-    dishes = materialize(counted.mapInArrow(_merge_rows, "h long, contexts binary, counts binary"), "dishes")
-    chain = learn(dishes)
-    n_training = int(chain.customers.sum())
-    tokens = docs.mapInArrow(_token_rows, "h long, base long, tokens binary, names binary").join(dishes, "h", "left").select("h", "base", "tokens", "names", "contexts", "counts")
-    sums = tokens.mapInArrow(_score_rows(chain, n_training), "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    counted = docs.mapInArrow(_count_rows, "c long, v long, w long, n long")
+    entries, n_training, vocabulary = learn(materialize(counted.groupBy("c", "v", "w").agg(F.sum("n").alias("n")), "grams"))
+    tokens = docs.mapInArrow(_token_rows, "c long, w long, base long, docs binary, names binary").join(entries, ["c", "w"]).select("base", "docs", "names", "p", "n_word")
+    sums = tokens.mapInArrow(_score_rows(n_training, vocabulary), "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     sums = sums.groupBy("key").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out")), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_training).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -1,0 +1,30 @@
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from ammolite.llm import language_model
+
+
+def test_words_with_the_same_ending_are_contexts_of_their_own(spark):
+    rng = random.Random(3)
+    noise = lambda: " ".join(f"n{rng.randrange(300)}" for _ in range(20))
+    rows = [(i, f"{noise()} redtail bluetail {'one' if i % 2 else 'two'}" if i % 4 < 2 else f"{noise()} greytail pinktail {'three' if i % 2 else 'four'}") for i in range(160)]
+    rows += [(1000, "redtail bluetail one"), (1001, "redtail bluetail three"), (1002, "greytail pinktail three"), (1003, "greytail pinktail one")]
+    found = {r.doc_id: r.score for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
+    assert found[1000] > found[1001] + 1 and found[1002] > found[1003] + 1
+
+
+def test_single_customers_match_the_model_by_hand(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a x")], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in language_model.score_texts(docs, F.col("doc_id") == 2).collect()}
+    d = 0.95  # every dish has one customer: counts of counts give the largest discount
+    p0 = (1 - d + (1 + 4 * d) / 5) / (1 + 4)
+    p = p0
+    for _ in range(2):  # inner and leaf restaurants each have one customer at one table
+        p = (1 - d + (1 + d) * p) / (1 + 1)
+    assert math.isclose(found[1], 4 * math.log10(p), rel_tol=1e-9)
+    unknown = (1 + 4 * d) / 5 / (1 + 4)
+    u = unknown * (1 + d) / 2  # behind `a`, which was seen
+    u = u * (1 + d) / 2
+    assert math.isclose(found[2], math.log10(p) + math.log10(u) + math.log10(p0), rel_tol=1e-9)
