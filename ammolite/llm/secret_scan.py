@@ -8,8 +8,13 @@ automaton to compare with. Every other candidate string of every text is scored
 those that a credential automaton finds as likely as its own training strings, and clearly likelier than the ordinary one
 does, are spans of kind `format`.
 
+Candidates are the maximal runs of the characters that a labelled value can have, from the length of the shortest that can
+be labelled (ASSIGN_LEAST, or a given shorter one) upwards; where a run is none itself, the run without dots around it and then its parts between dots are scored.
+There is no longest candidate. A string is as likely as an automaton's own when its bits lie within what the automaton's
+mean and spread a step give for its length, and needs MARGIN bits a character, LEAST_BITS in all, over ordinary text.
+
 The labelled credentials are the base spans' secrets unless the caller passes a table (kind, value). Fitting uses those of
-each kind whose hashes are lowest, at most `max_labelled`; everything else covers all rows.
+each kind whose hashes are lowest, at most `max_labelled` and LABELLED_CHARS together; everything else covers all rows.
 
 Defined results: a null text is empty and has no spans; with no labelled credentials nothing is learned and only base spans
 are returned; repeated rows are scanned each for itself. Offsets are code points, end exclusive.
@@ -21,7 +26,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ammolite.llm.common import ensure_columns, materialize
@@ -31,16 +36,25 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
-#: What can be a credential: long runs of the characters that credentials are made of, with a digit in them.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,256}")
+#: What can be a credential: runs of the characters that labelled values are made of.
+RUN = r"[A-Za-z0-9+/_.=-]"
 #: Strings that an automaton is fitted on, at most, and the fewest that make one.
 MAX_LABELLED, LEAST_LABELLED = 2000, 12
+LABELLED_CHARS = 4_000_000
 ALPHA = 0.05
 #: Bits a character by which a format must be likelier than ordinary text.
 MARGIN = 0.75
+#: Bits in all by which it must be, however short the string: about one candidate in a million by chance.
+LEAST_BITS = 20.0
+#: Standard deviations below its mean that a string's likelihood may lie.
+SPREAD = 3.0
+#: Class sequences whose verdict is remembered.
+REMEMBERED = 200_000
 
 _CLASSES = {**dict.fromkeys("0123456789", ("0", 10)), **dict.fromkeys("abcdef", ("a", 6)), **dict.fromkeys("ghijklmnopqrstuvwxyz", ("g", 20)), **dict.fromkeys("ABCDEF", ("A", 6)), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", ("G", 20))}
 
+_SEQUENCE = str.maketrans({c: symbol for c, (symbol, _) in _CLASSES.items()})
+
 
 def classes(value: str) -> list[str]:
     return [_CLASSES.get(c, (c, 1))[0] for c in value]
@@ -53,16 +67,20 @@ class Automaton:
         self.ends, self.moves = ends, moves  # moves: symbol -> [state, count]
         self.total = [e + sum(n for _, n in m.values()) for e, m in zip(ends, moves)]
 
-    def bits(self, value: str) -> float:
-        """log2 likelihood a character of the string and its end; unseen moves keep a small share and return to the start."""
-        state, sum_ = 0, 0.0
+    def steps(self, value: str) -> list[float]:
+        """log2 likelihood of each character and of the end; unseen moves keep a small share and return to the start."""
+        state, out = 0, []
         for c in value:
             symbol, size = _CLASSES.get(c, (c, 1))
             to, n = self.moves[state].get(symbol, (0, 0))
-            sum_ += math.log2((n + 0.05) / (self.total[state] + 0.5)) - math.log2(size)
+            out.append(math.log2((n + 0.05) / (self.total[state] + 0.5)) - math.log2(size))
             state = to
-        sum_ += math.log2((self.ends[state] + 0.05) / (self.total[state] + 0.5))
-        return sum_ / (len(value) + 1)
+        out.append(math.log2((self.ends[state] + 0.05) / (self.total[state] + 0.5)))
+        return out
+
+    def bits(self, value: str) -> float:
+        """log2 likelihood a character of the string and its end."""
+        return sum(self.steps(value)) / (len(value) + 1)
 
 
 def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
@@ -134,26 +152,63 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
 
 
 class Model:
-    """The automata of each kind with their thresholds, and that of ordinary strings."""
+    """The automata of each kind with mean and deviation of their own strings' steps, and that of ordinary strings."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.ordinary = infer(ordinary) if len(ordinary) >= LEAST_LABELLED else None
+        self.least = shortest(labelled)
         self.kinds = {}
         for kind, values in sorted(labelled.items()):
             if len(values) >= LEAST_LABELLED:
                 automaton = infer(values)
-                scores = sorted(automaton.bits(v) for v in values)
-                self.kinds[kind] = (automaton, scores[len(scores) // 20], max(map(len, values)), min(map(len, values)))
+                steps = [x for v in values for x in automaton.steps(v)]
+                mean = sum(steps) / len(steps)
+                self.kinds[kind] = (automaton, mean, math.sqrt(sum((x - mean) ** 2 for x in steps) / len(steps)))
+        self._known: dict[str, bool] = {}
 
     def secret(self, value: str) -> bool:
-        if not any(c.isdigit() for c in value):
-            return False
-        base = self.ordinary.bits(value) if self.ordinary else -math.log2(64)
-        for automaton, least, longest, shortest in self.kinds.values():
-            if shortest <= len(value) <= longest and (bits := automaton.bits(value)) >= least and bits >= base + MARGIN:
-                return True
+        """Depends on the classes of the characters alone, so verdicts are remembered by class sequence."""
+        key = value.translate(_SEQUENCE)
+        found = self._known.get(key)
+        if found is None:
+            found = self._judge(value)
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            if len(key) <= 256:
+                self._known[key] = found
+        return found
+
+    def _judge(self, value: str) -> bool:
+        n = len(value) + 1
+        base = None
+        for automaton, mean, deviation in self.kinds.values():
+            bits = sum(automaton.steps(value))
+            if bits >= n * mean - SPREAD * deviation * math.sqrt(n):
+                if base is None:
+                    base = n * (self.ordinary.bits(value) if self.ordinary else -math.log2(64))
+                if bits >= base + max(MARGIN * n, LEAST_BITS):
+                    return True
         return False
 
+    def spans(self, text: str, base: list[tuple]) -> list[tuple[int, int]]:
+        """(start, end) of the candidates that are secrets."""
+        if not self.kinds:
+            return []
+        out = []
+        for start, end in candidates(text, base, self.least):
+            touched = [(s, e) for s, e in base if s < end and start < e]
+            for s, e in variants(text, start, end, self.least):
+                if not any(x < e and s < y for x, y in touched + out[-8:]) and self.secret(text[s:e]):
+                    out.append((s, e))
+                    if (s, e) == (start, end):
+                        break
+        return out
+
+
+def shortest(labelled: dict[str, list[str]]) -> int:
+    """The fewest characters of a candidate: those of the shortest value that can be labelled, or is."""
+    return min((len(v) for values in labelled.values() if len(values) >= LEAST_LABELLED for v in values if len(v) < ASSIGN_LEAST), default=ASSIGN_LEAST)
+
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, kind number, end, secret) of the base scan, in the order of the contract."""
@@ -172,59 +227,85 @@ def _long_hex(text: str):
     return _LONG_HEX.finditer(text)
 
 
-def candidates(text: str, base: list[tuple]) -> list[tuple[int, int]]:
-    """Other strings that may be credentials: candidate runs with a digit that touch no base span."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        if any(c.isdigit() for c in m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
-            out.append((m.start(), m.end()))
-    return out
+def candidates(text: str, base: list[tuple], least: int) -> list[tuple[int, int]]:
+    """Strings that may be credentials: maximal runs of at least so many characters that no base span covers."""
+    found = [m.span() for m in re.finditer(f"{RUN}{{{least},}}", text)]
+    return [(s, e) for s, e in found if not any(x <= s and e <= y for x, y in base)] if base else found
+
+
+def variants(text: str, start: int, end: int, least: int):
+    """Spans to score of a run: itself, without dots around it, and its parts between dots."""
+    yield start, end
+    run = text[start:end]
+    if "." not in run:
+        return
+    s, e = end - len(run.lstrip(".")), start + len(run.rstrip("."))
+    if e - s >= least and (s, e) != (start, end):
+        yield s, e
+    for m in re.finditer(f"[^.]{{{least},}}", run):
+        if (start + m.start(), start + m.end()) != (s, e):
+            yield start + m.start(), start + m.end()
+
+
+_BASE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, base (spans), base_values, candidates (start, end, value) of every row, from one pass over the texts."""
+    """doc_id, text, base (spans) of every row."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                base = base_spans(text) if text else []
-                more = candidates(text, base) if text else []
-                rows.append(([{"kind": k, "start": s, "end": e, "value": v} for s, k, e, v in base], [{"start": s, "end": e, "value": text[s:e]} for s, e in more]))
-            kinds = [pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))]
-            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], []), kinds))], names=["doc_id", "base", "candidates"])
+            rows = [[{"kind": k, "start": s, "end": e, "value": v} for s, k, e, v in (base_spans(t) if t else [])] for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(rows, _BASE)], names=["doc_id", "text", "base"])
+
+    return ensure_columns(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, text string, base array<struct<kind: int, start: bigint, end: bigint, value: string>>")
 
-    spans = "array<struct<{}start: bigint, end: bigint, value: string>>"
-    return ensure_columns(documents, doc_id="long", text="string").mapInArrow(run, f"doc_id long, base {spans.format('kind: int, ')}, candidates {spans.format('')}")
+
+def _each_text(b):
+    """(text, base spans' starts and ends) of every row of a batch of scan()."""
+    for text, base in zip(b.column("text").to_pylist(), b.column("base").to_pylist()):
+        yield text or "", [(x["start"], x["end"]) for x in base]
 
 
 def _lowest(values: DataFrame, most: int) -> list[str]:
     """Distinct values, at most `most` of them: those whose hashes are lowest, whatever the partitions."""
-    return sorted(r.value for r in values.select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(most).collect())
+    few = values.select("value").distinct().select("value", F.xxhash64("value").alias("h")).orderBy("h", "value").limit(most)
+    held = F.sum(F.length("value")).over(Window.orderBy("h", "value"))
+    return sorted(r.value for r in few.select("value", held.alias("held")).where(F.col("held") <= LABELLED_CHARS).collect())
+
+
+def _strings(scanned: DataFrame, least: int) -> DataFrame:
+    """value of every candidate."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([t[s:e] for t, base in _each_text(b) for s, e in candidates(t, base, least)], pa.string())], names=["value"])
+
+    return scanned.select("text", "base").mapInArrow(run, "value string")
 
 
 def learn(scanned: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> Model:
     if labelled is None:
-        labelled = scanned.select(F.explode("base").alias("x")).select(F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.kind") + 1).alias("kind"), "x.value")
-    labelled = labelled.where(F.length("value").between(1, 256))
+        labelled = materialize(scanned.select(F.explode("base").alias("x")).select(F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.kind") + 1).alias("kind"), "x.value"), "labelled")
+    labelled = labelled.where(F.length("value") >= 1)
     kinds = [r.kind for r in labelled.select("kind").distinct().orderBy("kind").limit(64).collect() if r.kind]
-    ordinary = scanned.select(F.explode("candidates").alias("x")).select("x.value")
-    return Model({k: _lowest(labelled.where(F.col("kind") == k), max_labelled) for k in kinds}, _lowest(ordinary, max_labelled))
+    known = {k: _lowest(labelled.where(F.col("kind") == k), max_labelled) for k in kinds}
+    return Model(known, _lowest(_strings(scanned, shortest(known)), max_labelled))
 
 
 def find_secrets(documents: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id and spans (kind, start, end), by start, of every row."""
-    scanned = materialize(scan(documents), "scanned")
+    scanned = scan(documents)
     model = learn(scanned, labelled, max_labelled)
 
     def run(batches):
         for b in batches:
             out = []
-            for base, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                spans = [(x["start"], x["kind"], x["end"]) for x in base] + [(x["start"], 3, x["end"]) for x in more if model.secret(x["value"])]
+            for base, (text, places) in zip(b.column("base").to_pylist(), _each_text(b)):
+                spans = [(x["start"], x["kind"], x["end"]) for x in base] + [(s, 3, e) for s, e in model.spans(text, places)]
                 out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([b.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
     return scanned.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
@@ -235,8 +316,8 @@ def redact(documents: DataFrame, model: Model, mask: str = "[SECRET]") -> DataFr
     def clean(text: str | None) -> str | None:
         if not text:
             return text
-        base = base_spans(text)
-        spans = sorted([(s, e) for s, _, e, _ in base] + [x for x in candidates(text, base) if model.secret(text[x[0] : x[1]])])
+        base = [(s, e) for s, _, e, _ in base_spans(text)]
+        spans = sorted(base + model.spans(text, base))
         out, at = [], 0
         for s, e in spans:
             if s >= at:

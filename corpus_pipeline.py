@@ -40,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs, secret_scan.learn(materialize(secret_scan.scan(docs), "scanned")))
+    return secret_scan.redact(docs, secret_scan.learn(secret_scan.scan(docs)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
