@@ -3,8 +3,10 @@
 The base scan finds assignments, access keys and long hex runs in the whole text. Grammar inference then learns what the
 credentials of each kind look like: their strings, as sequences of character classes, form a prefix tree whose states carry
 counts, and states whose outgoing and ending frequencies are statistically compatible (Hoeffding bound, recursively) are
-merged, red states with blue ones, into a probabilistic automaton. Ordinary long strings of the same table give one more
-automaton to compare with. Every other candidate string of every text is scored by its likelihood per character under each;
+merged, red states with blue ones, into a probabilistic automaton. All candidates of the same table, as often as they occur,
+give one more to compare with: a prefix tree counted in Spark, without the branches that too few strings support; where a
+string leaves it, the two symbols before decide if enough strings have them, else the frequency of the symbol. A string's own
+occurrence is taken out of the counts it is compared with. Every other candidate string of every text is scored by its likelihood per character under each;
 those that a credential automaton finds as likely as its own training strings, and clearly likelier than the ordinary one
 does, are spans of kind `format`.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,8 +51,12 @@ MARGIN = 0.75
 LEAST_BITS = 20.0
 #: Standard deviations below its mean that a string's likelihood may lie.
 SPREAD = 3.0
+#: Strings that must share a branch of the ordinary tree: so many, and this share of all.
+SUPPORT, SUPPORT_SHARE = 20, 1 / 20_000
 #: Class sequences whose verdict is remembered.
 REMEMBERED = 200_000
+#: Characters of different class sequences whose moves are counted together in a task.
+HELD_CHARS = 1_000_000
 
 _CLASSES = {**dict.fromkeys("0123456789", ("0", 10)), **dict.fromkeys("abcdef", ("a", 6)), **dict.fromkeys("ghijklmnopqrstuvwxyz", ("g", 20)), **dict.fromkeys("ABCDEF", ("A", 6)), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", ("G", 20))}
 
@@ -151,11 +158,87 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
     return Automaton([ends[q] for q in red], [{s: [at[to], n] for s, (to, n) in moves[q].items()} for q in red])
 
 
+_ONES = (1 << 64) - 1
+TREE, CONTEXT, SYMBOL = 0, 1, 2
+
+
+def _child(node: int, symbol: str) -> int:
+    """64-bit name of the tree node behind `node`; the root is 0."""
+    node = (node + ord(symbol) + 1) * 0x9E3779B97F4A7C15 & _ONES
+    return ((node ^ node >> 29) * 0xBF58476D1CE4E5B9 & _ONES) ^ node >> 32
+
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _context(before: str) -> int:
+    """Name of the last two symbols (fewer at the start)."""
+    out = 0
+    for symbol in before[-2:]:
+        out = out << 8 | ord(symbol)
+    return out
+
+
+def count_moves(sequences: dict[str, int]) -> dict[tuple[int, int, str], int]:
+    """(level, node, symbol or "" at the end) -> strings that make the move; for SYMBOL, how often."""
+    out: dict[tuple[int, int, str], int] = {}
+    for sequence, n in sequences.items():
+        node, own = 0, set()
+        for i, symbol in enumerate((*sequence, "")):
+            out[TREE, node, symbol] = out.get((TREE, node, symbol), 0) + n
+            own.add((CONTEXT, _context(sequence[max(0, i - 2) : i]), symbol))
+            out[SYMBOL, 0, symbol] = out.get((SYMBOL, 0, symbol), 0) + n
+            if symbol:
+                node = _long(_child(node & _ONES, symbol))
+        for move in own:
+            out[move] = out.get(move, 0) + n
+    return out
+
+
+class Ordinary:
+    """Likelihood of ordinary strings from the supported moves of all candidates."""
+
+    def __init__(self, moves: dict[tuple[int, int, str], int]):
+        self.moves: dict[tuple[int, int], dict[str, int]] = {}
+        for (level, node, symbol), n in moves.items():
+            self.moves.setdefault((level, node), {})[symbol] = n
+        self.strings = sum(self.moves.get((TREE, 0), {}).values())
+        self.symbols = sum(self.moves.get((SYMBOL, 0), {}).values())
+
+    def bits(self, value: str) -> float:
+        """log2 likelihood a character of the string and its end, its own occurrence left out."""
+        sequence = value.translate(_SEQUENCE)
+        node, arrived, out = 0, self.strings, 0.0
+        own, at = self.moves.get((SYMBOL, 0), {}), {}
+        for symbol in (*sequence, ""):
+            at[symbol] = at.get(symbol, 0) + 1
+        for i, symbol in enumerate((*sequence, "")):
+            share = 1.0
+            if node is not None:
+                moves = self.moves.get((TREE, node), {})
+                n = moves.get(symbol, 0)
+                if n:
+                    share = None
+                    out += math.log2((n - 1 + 0.05) / (arrived - 1 + 0.5))
+                    if symbol:
+                        node, arrived = _long(_child(node & _ONES, symbol)), n
+                else:
+                    share, node = (max(0, arrived - sum(moves.values()) - 1) + 0.45) / (max(0, arrived - 1) + 0.5), None
+            if share is not None:
+                moves = self.moves.get((CONTEXT, _context(sequence[max(0, i - 2) : i])), {})
+                n, all_ = (moves[symbol] - 1, sum(moves.values()) - 1) if symbol in moves else (max(0, own.get(symbol, 0) - at[symbol]), self.symbols - len(sequence) - 1)
+                out += math.log2(share) + math.log2((n + 0.05) / (max(0, all_) + 1))
+            if symbol:
+                out -= math.log2(_CLASSES.get(value[i], (symbol, 1))[1])
+        return out / (len(value) + 1)
+
+
 class Model:
     """The automata of each kind with mean and deviation of their own strings' steps, and that of ordinary strings."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.ordinary = infer(ordinary) if len(ordinary) >= LEAST_LABELLED else None
+    def __init__(self, labelled: dict[str, list[str]], ordinary: Ordinary):
+        self.ordinary = ordinary if ordinary.strings >= LEAST_LABELLED else None
         self.least = shortest(labelled)
         self.kinds = {}
         for kind, values in sorted(labelled.items()):
@@ -165,6 +248,7 @@ class Model:
                 mean = sum(steps) / len(steps)
                 self.kinds[kind] = (automaton, mean, math.sqrt(sum((x - mean) ** 2 for x in steps) / len(steps)))
         self._known: dict[str, bool] = {}
+        self._plain: set[str] = set()
 
     def secret(self, value: str) -> bool:
         """Depends on the classes of the characters alone, so verdicts are remembered by class sequence."""
@@ -194,6 +278,16 @@ class Model:
         """(start, end) of the candidates that are secrets."""
         if not self.kinds:
             return []
+        if not base:  # most texts: none of their strings is a secret, as remembered
+            plain = self._plain
+            more = set(_runs(self.least).findall(text)).difference(plain)
+            for value in more:
+                if not any(self.secret(value[s:e]) for s, e in variants(value, 0, len(value), self.least)) and len(value) <= 64:
+                    if len(plain) >= REMEMBERED:
+                        plain.clear()
+                    plain.add(value)
+            if plain.issuperset(more):
+                return []
         out = []
         for start, end in candidates(text, base, self.least):
             touched = [(s, e) for s, e in base if s < end and start < e]
@@ -227,9 +321,13 @@ def _long_hex(text: str):
     return _LONG_HEX.finditer(text)
 
 
+def _runs(least: int) -> re.Pattern:
+    return re.compile(f"{RUN}{{{least},}}")
+
+
 def candidates(text: str, base: list[tuple], least: int) -> list[tuple[int, int]]:
     """Strings that may be credentials: maximal runs of at least so many characters that no base span covers."""
-    found = [m.span() for m in re.finditer(f"{RUN}{{{least},}}", text)]
+    found = [m.span() for m in _runs(least).finditer(text)]
     return [(s, e) for s, e in found if not any(x <= s and e <= y for x, y in base)] if base else found
 
 
@@ -274,14 +372,37 @@ def _lowest(values: DataFrame, most: int) -> list[str]:
     return sorted(r.value for r in few.select("value", held.alias("held")).where(F.col("held") <= LABELLED_CHARS).collect())
 
 
-def _strings(scanned: DataFrame, least: int) -> DataFrame:
-    """value of every candidate."""
+def ordinary(scanned: DataFrame, least: int) -> Ordinary:
+    """Counts of all candidates' moves; only supported ones, of which a depth has at most 1 / SUPPORT_SHARE, reach the driver."""
 
     def run(batches):
-        for b in batches:
-            yield pa.record_batch([pa.array([t[s:e] for t, base in _each_text(b) for s, e in candidates(t, base, least)], pa.string())], names=["value"])
+        def rows(sequences):
+            moves = list(count_moves(sequences).items())
+            for lo in range(0, len(moves), 50_000):
+                part = moves[lo : lo + 50_000]
+                yield pa.record_batch([pa.array([k[0] for k, _ in part], pa.int32()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([k[2] for k, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["level", "node", "symbol", "n"])
 
-    return scanned.select("text", "base").mapInArrow(run, "value string")
+        sequences, held = Counter(), 0
+        for b in batches:
+            values = Counter()
+            for t, base in _each_text(b):
+                values.update([t[s:e] for s, e in candidates(t, base, least)] if base else _runs(least).findall(t))
+            for value, n in values.items():
+                sequence = value.translate(_SEQUENCE)
+                if sequence not in sequences:
+                    held += len(sequence)
+                sequences[sequence] += n
+                if held > HELD_CHARS:
+                    yield from rows(sequences)
+                    sequences, held = Counter(), 0
+        yield from rows(sequences)
+
+    counts = scanned.select("text", "base").mapInArrow(run, "level int, node long, symbol string, n long").groupBy("level", "node", "symbol").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "moves")
+    strings = counts.where((F.col("level") == TREE) & (F.col("node") == 0)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = (F.col("level") == SYMBOL) | ((F.col("level") == TREE) & (F.col("node") == 0))
+    few = counts.where(first | (F.col("n") >= max(SUPPORT, math.ceil(strings * SUPPORT_SHARE))))
+    return Ordinary({(r.level, r.node, r.symbol): r.n for r in few.collect()})
 
 
 def learn(scanned: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> Model:
@@ -290,7 +411,7 @@ def learn(scanned: DataFrame, labelled: DataFrame | None = None, max_labelled: i
     labelled = labelled.where(F.length("value") >= 1)
     kinds = [r.kind for r in labelled.select("kind").distinct().orderBy("kind").limit(64).collect() if r.kind]
     known = {k: _lowest(labelled.where(F.col("kind") == k), max_labelled) for k in kinds}
-    return Model(known, _lowest(_strings(scanned, shortest(known)), max_labelled))
+    return Model(known, ordinary(scanned, shortest(known)))
 
 
 def find_secrets(documents: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -18,3 +18,21 @@ def test_formats_of_every_length_and_with_dots(spark):
     texts = dict(rows)
     assert {d: [texts[d][x.start : x.end] for x in spans] for d, spans in found.items() if spans and d < 600} == {d: [v] for d, v in bare.items()}
     assert len(found[600]) == 1 and 24 <= found[600][0].end - found[600][0].start <= 25
+
+
+def test_rare_clean_format_is_ordinary(spark):
+    rng = random.Random(9)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    hexes = lambda n: word(n, "0123456789abcdef")
+    rows = [(i, f"token={hexes(12)}-{hexes(10)} end") for i in range(60)]
+    rows += [(1000 + i, f"part number {rng.randrange(10**11, 10**12)}-{rng.randrange(10**9, 10**10)} of it") for i in range(200)]
+    rows += [(5000 + i, " ".join(f"host-{hexes(5)}.{word(9, 'abcdefghijklmnopqrstuvwxyz')}" for _ in range(40))) for i in range(1000)]
+    rows += [(9000, f"bare {hexes(12)}-{hexes(10)} here")]
+    found = {r.doc_id: [x for x in r.spans if x.kind == "format"] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [d for d, spans in found.items() if spans] == [9000]
+
+
+def test_counts_of_ordinary_strings_cover_every_occurrence(spark):
+    docs = spark.createDataFrame([(i, "aaaaaa gggggg gggggg" + " 000000" * (i % 2)) for i in range(100)], "doc_id long, text string").repartition(3)
+    counts = secret_scan.ordinary(secret_scan.scan(docs), 6)
+    assert counts.strings == 350 and counts.moves[secret_scan.TREE, 0] == {"a": 100, "g": 200, "0": 50}
