@@ -11,7 +11,7 @@ leaf entries (context, nearer word, word, customers), inner entries (nearer word
 and word, joined in every sweep. Only sums over the root go through the driver. A dish with one customer has one table in
 every sample, so a sweep visits the entries with more than one and adds the others as a constant. Counts are summed over
 each group of documents before they are dealt, so a common phrase is one row a group. Random numbers are hashes of entry
-and sweep: no seating depends on partitions. Up to 64 customers are seated one by one; more in blocks of a 64th of those
+and sweep: no seating depends on partitions. Up to 128 customers are seated one by one; more in blocks of a 64th of those
 present, a block opening its expected number of tables, rounded at random.
 
 Words are identified by 64-bit hashes. Defined results: a null text is empty and has one token, the end; a null doc_id is
