@@ -1,23 +1,26 @@
 """Join of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more, by signature trees.
 
-Documents with the same set are one class; classes are joined. Two similar classes share one of their first
-n - ceil(0.75 n) + 1 tokens in any order common to all, so classes are dealt to tokens of that prefix, and only tokens that
-two classes share go on. The order puts tokens that very many documents hold last: a passage or licence that a third of the
-table repeats makes no bucket, unless documents consist of it.
-
-Inside a bucket a signature tree is built: leaves hold the bitmap of a class's tokens, inner nodes the OR of theirs with
-the range of their sizes and of the components they belong to. A dual traversal starts from (root, root) and drops every
-pair of nodes whose sizes are too far apart, whose bitmaps leave too little overlap, or whose classes are already
-connected. Pairs of classes that remain are verified on the whole sets.
-
-It runs twice. First each class is only compared with its neighbours and the first class of its bucket in a few buckets,
-which connects groups of copies without pairing them all. Then the traversal covers every bucket in which classes of
-different components meet. What it verifies, together with what is connected, leaves out no link between components, so
-components are exact.
+Documents with the same set are one class; classes are joined. Two similar classes share SHARED of their first
+n - ceil(0.75 n) + SHARED tokens in any order common to all (all that they share, if that is less), so classes are dealt to
+tokens of that prefix, only tokens that two classes hold go on, and of the classes only those with so many of them. The order
+puts tokens that very many documents hold last: a passage or licence that a third of the table repeats makes no bucket,
+unless documents consist of it.
+
+First each class is only compared with its neighbours and the first class of its bucket in a few buckets, which connects
+groups of copies without pairing them all. Then come the buckets in which classes of different components meet. Those with
+the same smallest component are a family, and a task gets a family's buckets and the whole sets of its classes, each once.
+In a bucket a signature tree is built: leaves hold the bitmap of a class's tokens, inner nodes the OR of theirs with the range
+of their sizes and of the components they belong to. A dual traversal starts from (root, root) and drops every pair of
+nodes whose sizes are too far apart, whose bitmaps leave too little overlap, or whose classes are already connected. Pairs of
+classes that remain are verified on the whole sets, and each link that is found connects its classes at once, so a task
+returns fewer links than it has classes. The classes of a family too large for a task are dealt to blocks, and every pair of
+blocks is a task. What is verified, together with what is connected, leaves out no link between components, so components
+are exact.
 
 Shingles are 64-bit hashes. Defined results: null, empty and blank texts have no shingles and are components of their own;
-texts of fewer than five words have one; repeated rows have the same set and so one component; a null doc_id never gives a
-component its name unless all of its documents are nameless.
+texts of fewer than five words have one, whatever their length; very long texts count whole; texts at exactly 0.75 are
+linked; repeated rows have the same set and so one component, and each keeps its row; a null doc_id never gives a
+component its name unless all of its documents are nameless; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,17 +31,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import WordBlock, ensure_columns, gram_hashes, in_bitmap, key_bitmap, materialize, mix, runs, signed, word_blocks
+from ammolite.llm.common import WordBlock, discard, ensure_columns, gram_hashes, in_bitmap, key_bitmap, materialize, mix, runs, signed, word_blocks
 
 GRAM = 5
 #: A token counts as frequent when tasks that hold it at least LOCAL times hold it FREQUENT times together.
 LOCAL, FREQUENT = 8, 64
 #: Buckets in which a class is compared with its neighbours in the first run.
 FIRST_BUCKETS = 4
-#: Classes in a leaf, nodes below a node.
-LEAF, FANOUT = 32, 4
-#: Rows of a family of buckets that one task compares, on average; larger families are dealt out by token.
-FAMILY = 100_000
+#: Tokens of their prefixes that two similar classes share at least; longer prefixes spare classes that share a few by chance.
+SHARED = 8
+#: Bits of a signature for each token, at least.
+SIGNATURE_BITS = 8
+#: Classes in a leaf, nodes below a node; pairs of nodes that are looked at together.
+LEAF, FANOUT, FRONTIER = 32, 4, 1_000_000
+#: Rows, and bytes of sets, of a block of a family's classes; two blocks are a task.
+BLOCK_ROWS, BLOCK_BYTES = 100_000, 16_000_000
 
 
 class Sets:
@@ -67,14 +74,16 @@ class Sets:
     def __getitem__(self, k: int) -> np.ndarray:
         return self.tokens[self.ends[k] - self.sizes[k] : self.ends[k]]
 
-    def prefixes(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, text of each): the first n - ceil(0.75 n) + 1 of each set, frequent ones last."""
+    def prefixes(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, text of each, whether it makes buckets): the first n - ceil(0.75 n) + SHARED of each set, frequent ones last. Those up to + 1 make buckets."""
         late = in_bitmap(frequent, self.tokens)
         text = np.repeat(np.arange(len(self.sizes)), self.sizes)
         order = np.lexsort((late, text)) if late.any() else np.arange(len(text))  # stable: hashes stay in order
-        wanted = np.where(self.sizes > 0, self.sizes - -(-3 * self.sizes // 4) + 1, 0)
-        at = order[runs(wanted, self.ends - self.sizes)]
-        return self.tokens[at], text[at]
+        least = np.where(self.sizes > 0, self.sizes - -(-3 * self.sizes // 4) + 1, 0)
+        wanted = np.minimum(self.sizes, least + SHARED - 1)
+        place = runs(wanted, self.ends - self.sizes)
+        at = order[place]
+        return self.tokens[at], text[at], (place - (self.ends - self.sizes)[text[at]]) < least[text[at]]
 
 
 def _sets(batches):
@@ -85,9 +94,9 @@ def _sets(batches):
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bitmap of at least twice as many bits as there are tokens, a power of two."""
+    """A bitmap of at least SIGNATURE_BITS bits for each token, a power of two."""
     bits = 64
-    while bits < 2 * len(tokens):
+    while bits < SIGNATURE_BITS * len(tokens):
         bits *= 2
     held = np.zeros(bits, bool)
     held[((tokens >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -133,56 +142,100 @@ def _possible(x, y, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return ok
 
 
-def traverse(a: SignatureTree, b: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in a, in b) of class pairs that no bound excludes; with a is b each pair once."""
-    la, lb = len(a.levels) - 1, len(b.levels) - 1
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    while len(i):
+def traverse(a: SignatureTree, b: SignatureTree):
+    """Positions (in a, in b) of class pairs that no bound excludes, some at a time; with a is b each pair once."""
+    todo = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        la, lb, i, j = todo.pop()
         keep = _possible(a.levels[la], b.levels[lb], i, j)
         i, j = i[keep], j[keep]
         if la == lb == 0:
-            break
-        down_a, down_b = la >= lb, lb >= la
-        if down_a and la:
-            first, n = a.children(la, i)
-            j = np.repeat(j, n)
-            i = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            la -= 1
-        if down_b and lb:
-            first, n = b.children(lb, j)
-            i = np.repeat(i, n)
-            j = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            lb -= 1
-        if a is b:
-            keep = i <= j
-            i, j = i[keep], j[keep]
-    if a is b:
-        keep = i < j
-        i, j = i[keep], j[keep]
-    return a.order[i], b.order[j]
-
-
-def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, components: np.ndarray, bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Class pairs of a bucket that may be similar and are not connected yet."""
-    width = np.array([len(x) for x in bitmaps])
-    trees, found = {}, [(np.empty(0, np.int64), np.empty(0, np.int64))]
-
-    def build(members: np.ndarray, bits: int) -> SignatureTree:
-        rows = [np.frombuffer(bitmaps[m], np.uint64) for m in members]
+            if a is b:
+                keep = i < j
+                i, j = i[keep], j[keep]
+            yield a.order[i], b.order[j]
+            continue
+        if len(i) * LEAF * LEAF > FRONTIER and len(i) > 1:  # what this many pairs of nodes lead to: a part at a time
+            width = max(1, FRONTIER // (LEAF * LEAF))
+            parts = [(i[lo : lo + width], j[lo : lo + width]) for lo in range(0, len(i), width)]
+        else:
+            parts = [(i, j)]
+        for i, j in reversed(parts):
+            ka, kb = la, lb
+            if la >= lb and la:
+                first, n = a.children(la, i)
+                j = np.repeat(j, n)
+                i = runs(n, first)
+                ka -= 1
+            if lb >= la and lb:
+                first, n = b.children(lb, j)
+                i = np.repeat(i, n)
+                j = runs(n, first)
+                kb -= 1
+            if a is b:
+                keep = i <= j
+                i, j = i[keep], j[keep]
+            if len(i):
+                todo.append((ka, kb, i, j))
+
+
+class Family:
+    """The classes of a task: their sets, and what is connected so far."""
+
+    def __init__(self, classes: np.ndarray, sets: list[bytes], components: np.ndarray):
+        self.classes, self.components = classes, components
+        self.sets = [np.frombuffer(x, np.uint64) for x in sets]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        self.marks = [signature(x) for x in self.sets]
+        self.width = np.array([len(x) for x in self.marks], np.int64)
+        self.labels = np.unique(components, return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
+
+    def verify(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Connect the similar ones of these pairs that nothing connects yet."""
+        labels = self.labels
+        for x, y in zip(i.tolist(), j.tolist()):
+            one, two = labels[x], labels[y]
+            if one != two and similar(self.sets[x], self.sets[y]):
+                labels[labels == two] = one
+                self.links.append((int(self.classes[x]), int(self.classes[y])))
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.labels[i] != self.labels[j]
+
+    def small(self, i: np.ndarray, j: np.ndarray) -> None:
+        """The pairs of small buckets."""
+        ok = self.apart(i, j) & (4 * self.sizes[i] >= 3 * self.sizes[j]) & (4 * self.sizes[j] >= 3 * self.sizes[i])
+        low, high = np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
+        key = np.unique(low * len(self.sets) + high)
+        i, j = key // max(1, len(self.sets)), key % max(1, len(self.sets))
+        ok = _signatures_allow(self.sizes[i], [self.marks[k] for k in i.tolist()], self.sizes[j], [self.marks[k] for k in j.tolist()])
+        self.verify(i[ok], j[ok])
+
+    def tree(self, members: np.ndarray, bits: int) -> SignatureTree:
+        rows = [np.frombuffer(self.marks[m], np.uint64) for m in members.tolist()]
         rows = np.stack([np.bitwise_or(r[: len(r) // 2], r[len(r) // 2 :]) if 8 * len(r) > bits else r for r in rows])
-        return SignatureTree(np.lexsort((classes[members], sizes[members], components[members])), rows, sizes[members], components[members])
-
-    for w in np.unique(width):
-        here = np.flatnonzero(width == w)
-        trees[w] = tree = build(here, int(w))
-        i, j = traverse(tree, tree)
-        found.append((here[i], here[j]))
-        if w // 2 in trees:  # the next smaller bitmaps: these are folded once
-            below = np.flatnonzero(width == w // 2)
-            i, j = traverse(trees[w // 2], build(here, int(w) // 2))
-            found.append((below[i], here[j]))
-    i, j = (np.concatenate(x) for x in zip(*found))
-    return np.minimum(classes[i], classes[j]), np.maximum(classes[i], classes[j])
+        labels = self.labels[members]
+        return SignatureTree(np.lexsort((self.classes[members], self.sizes[members], labels)), rows, self.sizes[members], labels)
+
+    def bucket(self, members: np.ndarray, others: np.ndarray | None = None) -> None:
+        """All pairs of `members`, or of one of `members` and one of `others`, that may be similar. Larger signatures are folded once."""
+        sides = [members] if others is None else [members, others]
+        widths = [self.width[m] for m in sides]
+        for w in np.unique(np.concatenate(widths)).tolist():
+            here = [m[width == w] for m, width in zip(sides, widths)]
+            below = [m[width == w // 2] for m, width in zip(sides, widths)]
+            jobs = [(here[0], here[-1], w), (below[0], here[-1], w // 2)]
+            if others is not None:
+                jobs.append((here[0], below[1], w // 2))
+            for x, y, bits in jobs:
+                if len(x) and len(y):
+                    a = self.tree(x, bits)
+                    b = a if x is y else self.tree(y, bits)
+                    for i, j in traverse(a, b):
+                        i, j = x[i], y[j]
+                        keep = self.apart(i, j)
+                        self.verify(i[keep], j[keep])
 
 
 def _class_rows(batches):
@@ -200,32 +253,33 @@ def _class_rows(batches):
 
 
 def _prefix_rows(frequent: np.ndarray, live: np.ndarray | None):
-    """(token, cls, size) for the prefix of every document; with `live` only for the tokens in it."""
+    """(token, cls, size, core) for the prefix of every document; with `live` only for the tokens in it."""
 
     def run(batches):
         for _, sets in _sets(batches):
-            tokens, text = sets.prefixes(frequent)
+            tokens, text, core = sets.prefixes(frequent)
             if live is not None:
                 keep = in_bitmap(live, tokens)
-                tokens, text = tokens[keep], text[keep]
-            yield pa.record_batch([signed(tokens), sets.classes[text], sets.sizes[text]], names=["token", "cls", "size"])
+                # a class that shares too few tokens of its prefix has no partner
+                keep &= (np.bincount(text[keep], minlength=len(sets.sizes)) >= np.minimum(SHARED, -(-3 * sets.sizes // 4)))[text]
+                tokens, text, core = tokens[keep], text[keep], core[keep]
+            yield pa.record_batch([signed(tokens), sets.classes[text], sets.sizes[text], core], names=["token", "cls", "size", "core"])
 
     return run
 
 
-def _set_rows(wanted: np.ndarray, whole: bool):
-    """(cls, tokens or signature) of the classes in `wanted`, once for every task that meets them."""
+def _set_rows(wanted: np.ndarray):
+    """(cls, size, signature, tokens) of the classes in `wanted`, once for every task that meets them."""
 
     def run(batches):
         seen: set[int] = set()
         for _, sets in _sets(batches):
-            names, values = [], []
+            at = []
             for k in np.flatnonzero(in_bitmap(wanted, sets.classes.view(np.uint64)) & (sets.sizes > 0)).tolist():
                 if (name := int(sets.classes[k])) not in seen:
                     seen.add(name)
-                    names.append(name)
-                    values.append(sets[k].tobytes() if whole else signature(sets[k]))
-            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["cls", "v"])
+                    at.append(k)
+            yield pa.record_batch([sets.classes[at], sets.sizes[at], pa.array([signature(sets[k]) for k in at], pa.binary()), pa.array([sets[k].tobytes() for k in at], pa.binary())], names=["cls", "size", "s", "v"])
 
     return run
 
@@ -252,35 +306,32 @@ def _signatures_allow(n: np.ndarray, u: list[bytes], m: np.ndarray, v: list[byte
     return ok
 
 
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= 75 * (len(s) + len(t) - both)
+
+
 def _verify(batches):
     """Pairs (a, c) whose whole sets u and v are similar; a few hundred sets are unpacked at a time."""
     for b in batches:
         for lo in range(0, len(b), 250):
-            part = b.slice(lo, 250)
-            out = [], []
-            for x, y, u, v in zip(*(part.column(c).to_pylist() for c in ("a", "c", "u", "v"))):
-                s, t = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= 75 * (len(s) + len(t) - both):
-                    out[0].append(x)
-                    out[1].append(y)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "c"])
+            a, c, u, v = (b.column(x).slice(lo, 250).to_pylist() for x in ("a", "c", "u", "v"))
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(u, v)]
+            yield pa.record_batch([pa.array([x for x, k in zip(a, ok) if k], pa.int64()), pa.array([x for x, k in zip(c, ok) if k], pa.int64())], names=["a", "c"])
 
 
 def _broadcast(spark: SparkSession, bitmap: np.ndarray):
     return spark.sparkContext.broadcast(bitmap)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Of the class pairs (a, c) those that are similar: signatures (cls, size, v) exclude most others, whole sets decide."""
-    one, two = marks.select(F.col("cls").alias("a"), F.col("size").alias("n"), F.col("v").alias("u")), marks.select(F.col("cls").alias("c"), F.col("size").alias("m"), "v")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the class pairs (a, c) those that are similar: signatures exclude most others, whole sets decide."""
+    one, two = sets.select(F.col("cls").alias("a"), F.col("size").alias("n"), F.col("s").alias("u")), sets.select(F.col("cls").alias("c"), F.col("size").alias("m"), F.col("s").alias("v"))
     likely = materialize(pairs.join(one, "a").join(two, "c").select("a", "n", "u", "c", "m", "v").mapInArrow(_bounded, "a long, c long"), "likely-pairs")
-    involved = likely.select(F.explode(F.array("a", "c")).alias("cls")).distinct()
-    wanted = _broadcast(docs.sparkSession, key_bitmap(involved, "cls"))
-    sets = docs.mapInArrow(lambda batches: _set_rows(wanted.value, True)(batches), "cls long, v binary").join(involved, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = materialize(sets, "sets")
     joined = likely.join(sets.select(F.col("cls").alias("a"), F.col("v").alias("u")), "a").join(sets.select(F.col("cls").alias("c"), "v"), "c")
-    return materialize(joined.select("a", "c", "u", "v").mapInArrow(_verify, "a long, c long"), "links")
+    links = materialize(joined.select("a", "c", "u", "v").mapInArrow(_verify, "a long, c long"), "links")
+    discard(likely)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,7 +344,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct(F.col("x").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y").where("x != y").distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first())
         if now == before:
             return edges.select(F.col("x").alias("cls"), F.col("y").alias("component")).unionByName(edges.select(F.col("y").alias("cls"), F.col("y").alias("component")).distinct())
@@ -319,53 +371,52 @@ def _neighbours(batches):
 
 
 def _tree_rows(batches):
-    """Pairs from the signature trees of buckets. Rows (x, salt, token, cls, size, component, v) come sorted by (x, salt, token):
-    of each family of buckets first the signatures of its classes (token null), then the buckets."""
-    rest = None
+    """Links from the signature trees of families. Rows (x, part, side, token, cls, component, v) come sorted by (x, part, token):
+    of each family, or pair of blocks of one, first the sets of its classes (token null), then the buckets."""
+    held, key = [], None
     for b in batches:
-        rows = pa.Table.from_batches([b])
-        rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
-        x, salt = np.asarray(rows["x"].to_numpy(), np.int64), np.asarray(rows["salt"].to_numpy(), np.int64)
-        change = np.flatnonzero((x[1:] != x[:-1]) | (salt[1:] != salt[:-1])) + 1
-        if len(change):
-            yield _families(rows.slice(0, int(change[-1])))
-        rest = rows.slice(int(change[-1])) if len(change) else rows
-    if rest is not None and len(rest):
-        yield _families(rest)
-
-
-def _families(rows: pa.Table):
-    """Distinct pairs of whole families. Buckets of no more than a leaf are trees of one node and are compared together, a pair once."""
+        x, part = np.asarray(b.column(0).to_numpy(), np.int64), np.asarray(b.column(1).to_numpy(), np.int64)
+        cuts = (np.flatnonzero((x[1:] != x[:-1]) | (part[1:] != part[:-1])) + 1).tolist()
+        if held and len(x) and key != (x[0], part[0]):
+            yield _links(held)
+            held = []
+        if cuts:
+            yield _links([*held, b.slice(0, cuts[-1])])
+            held = []
+        if len(x):
+            held.append(b.slice(cuts[-1] if cuts else 0))
+            key = x[-1], part[-1]
+    if held:
+        yield _links(held)
+
+
+def _links(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The links that connect classes of whole families. Buckets of no more than a leaf are trees of one node and are compared together."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
     marked = rows["token"].is_null()
-    signatures, rows = rows.filter(marked), rows.filter(pc.invert(marked))
-    known = dict(zip(signatures["cls"].to_pylist(), signatures["v"].to_pylist()))
-    x, salt, token, cls, size, component = (np.asarray(rows[c].to_numpy(), np.int64) for c in ("x", "salt", "token", "cls", "size", "component"))
-    starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (salt[1:] != salt[:-1])))) if len(token) else np.empty(0, np.int64)
+    told, rows = rows.filter(marked), rows.filter(pc.invert(marked))
+    classes, first = np.unique(told["cls"].to_numpy(), return_index=True)
+    values = told["v"].combine_chunks()
+    family = Family(classes, [values[k].as_py() for k in first.tolist()], told["component"].to_numpy()[first])
+    x, part, side, token, cls = (rows[c].to_numpy() for c in ("x", "part", "side", "token", "cls"))
+    at = np.searchsorted(classes, cls)
+    starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (part[1:] != part[:-1])))) if len(token) else np.empty(0, np.int64)
     sizes = np.diff(np.append(starts, len(token)))
-    left, right, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
     for n in np.unique(sizes[sizes <= LEAF]).tolist():
         i, j = np.triu_indices(n, 1)
-        first = starts[sizes == n][:, None]
-        left.append((first + i).ravel())
-        right.append((first + j).ravel())
-    i, j = np.concatenate(left), np.concatenate(right)
-    keep = (component[i] != component[j]) & (4 * size[i] >= 3 * size[j]) & (4 * size[j] >= 3 * size[i])
-    i, j = i[keep], j[keep]
-    low, high = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-    order = np.lexsort((high, low))
-    low, high, i, j = low[order], high[order], i[order], j[order]
-    keep = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(low) else np.empty(0, bool)
-    low, high, i, j = low[keep], high[keep], i[keep], j[keep]
-    ok = _signatures_allow(size[i], [known[k] for k in cls[i].tolist()], size[j], [known[k] for k in cls[j].tolist()])
-    found.append((low[ok], high[ok]))
-    for at, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-        w = slice(at, at + n)
-        found.append(bucket_pairs(cls[w], size[w], component[w], [known[k] for k in cls[w].tolist()]))
-    pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
-    return pa.record_batch([pairs[0], pairs[1]], names=["a", "c"])
-
-
-def near_duplicates(documents: DataFrame) -> DataFrame:
+        for begin in np.array_split(starts[sizes == n], max(1, int((sizes == n).sum()) * len(i) // FRONTIER)):
+            family.small(at[(begin[:, None] + i).ravel()], at[(begin[:, None] + j).ravel()])
+    for begin, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+        members, sides = at[begin : begin + n], side[begin : begin + n]
+        if sides.min() == sides.max():
+            family.bucket(members)
+        else:
+            family.bucket(members[sides == 0], members[sides == 1])
+    pairs = np.array(family.links, np.int64).reshape(-1, 2)
+    return pa.record_batch([pairs[:, 0], pairs[:, 1]], names=["a", "c"])
+
+
+def near_duplicates(documents: DataFrame, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `documents` (doc_id, text)."""
     spark = documents.sparkSession
     docs = ensure_columns(documents, doc_id="long", text="string")
@@ -373,38 +424,46 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     often = rows.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = _broadcast(spark, key_bitmap(materialize(often, "frequent"), "token"))
 
-    entry = "token long, cls long, size long"
+    entry = "token long, cls long, size long, core boolean"
     shared = docs.mapInArrow(lambda batches: _prefix_rows(frequent.value, None)(batches), entry).groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x < y").select("token")
     shared = materialize(shared, "shared-tokens")
     live = _broadcast(spark, key_bitmap(shared, "token"))
-    entries = docs.mapInArrow(lambda batches: _prefix_rows(frequent.value, live.value)(batches), entry).groupBy("token", "cls").agg(F.first("size").alias("size")).join(shared, "token", "left_semi")
+    entries = docs.mapInArrow(lambda batches: _prefix_rows(frequent.value, live.value)(batches), entry).groupBy("token", "cls").agg(F.first("size").alias("size"), F.first("core").alias("core")).join(shared, "token", "left_semi")
     entries = materialize(entries, "entries")
+    discard(shared)
 
-    held = entries.groupBy("cls").agg(F.first("size").alias("size"))
+    # the original of a group of edited copies shares more of its prefix than they do, so it comes first in its buckets
+    held = entries.groupBy("cls").agg(F.first("size").alias("size"), F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("core"), F.col("token")))), 1, FIRST_BUCKETS).alias("t"))
+    held = materialize(held.where(F.col("n") >= F.least(F.lit(SHARED), F.ceil(F.col("size") * 3 / 4))), "partnered")
     wanted = _broadcast(spark, key_bitmap(held, "cls"))
-    marks = docs.mapInArrow(lambda batches: _set_rows(wanted.value, False)(batches), "cls long, v binary").dropDuplicates(["cls"])
-    marks = materialize(marks.join(held, "cls").select("cls", "size", "v"), "signatures")
+    sets = docs.mapInArrow(lambda batches: _set_rows(wanted.value)(batches), "cls long, size long, s binary, v binary").join(held.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = materialize(sets, "sets")
 
     # first run: neighbours in the few first buckets of each class
-    # the original of a group of edited copies shares more of its prefix than they do, so it comes first in its buckets
-    few = entries.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_BUCKETS).alias("t"), F.first("size").alias("size"), (F.count("*") / F.first("size")).alias("shared"))
-    few = few.select(F.explode("t").alias("token"), "cls", "size", "shared")
+    few = held.select(F.explode("t").alias("token"), "cls", "size", (F.col("n") / F.col("size")).alias("shared"))
     near = few.repartition("token").sortWithinPartitions("token", F.desc("shared"), "size", "cls").select("token", "cls", "size").mapInArrow(_neighbours, "a long, c long").distinct()
-    links = verified(docs, near, marks)
+    links = verified(near, sets)
     known = components(links)
 
-    # second run: buckets in which components still meet
-    placed = materialize(entries.join(known, "cls", "left").select("token", "cls", "size", F.coalesce("component", "cls").alias("component")), "placed")
-    meeting = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").drop("y")
-    # buckets with the same smallest component are a family: one task sees a pair of it in all of them, and signatures are sent once
-    salts = meeting.groupBy("x").agg(F.ceil(F.sum("n") / FAMILY).alias("salts"))
-    meeting = meeting.join(salts, "x").select("token", "x", F.pmod(F.xxhash64("token"), F.col("salts")).alias("salt"))
-    dealt = materialize(placed.join(meeting, "token").select("x", "salt", "token", "cls", "size", "component"), "dealt")
-    told = dealt.select("x", "salt", "cls").distinct().join(marks, "cls").select("x", "salt", F.lit(None).cast("long").alias("token"), "cls", "size", F.lit(0).cast("long").alias("component"), "v")
-    rows_in = dealt.withColumn("v", F.lit(None).cast("binary")).unionByName(told)
-    pairs = rows_in.repartition("x", "salt").sortWithinPartitions("x", "salt", F.col("token").asc_nulls_first()).mapInArrow(_tree_rows, "a long, c long").distinct()
-    more = verified(docs, pairs, marks)
-    final = components(links.unionByName(more))
+    # second run: buckets in which components still meet; those with the same smallest component are a family
+    placed = materialize(entries.where("core").join(held.select("cls"), "cls", "left_semi").join(known, "cls", "left").select("token", "cls", "size", F.coalesce("component", "cls").alias("component")), "placed")
+    discard(entries)
+    meeting = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").drop("y")
+    dealt = materialize(placed.join(meeting, "token"), "dealt")
+    discard(placed)
+    members = dealt.groupBy("x", "cls").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("component").alias("component"))
+    large = members.groupBy("x").agg(F.ceil(F.greatest(F.sum("n") / block_rows, F.sum("size") * 8 / block_bytes)).alias("blocks"))
+    members = materialize(members.join(large, "x").select("x", "cls", "component", "blocks"), "members")
+    # block b of k goes to the tasks of the pairs (b, b), (b, every other): a row for each
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct((F.least(o, block) * F.col("blocks") + F.greatest(o, block)).alias("part"), (block > o).cast("int").alias("side")))
+    told = members.join(sets.select("cls", "v"), "cls").select("x", F.explode(pair).alias("p"), F.lit(None).cast("long").alias("token"), "cls", "component", "v")
+    buckets = dealt.join(large, "x").select("x", F.explode(pair).alias("p"), "token", "cls", "component", F.lit(None).cast("binary").alias("v"))
+    rows_in = told.unionByName(buckets).select("x", "p.part", "p.side", "token", "cls", "component", "v")
+    more = rows_in.repartition("x", "part").sortWithinPartitions("x", "part", F.col("token").asc_nulls_first()).mapInArrow(_tree_rows, "a long, c long")
+    final = components(links.unionByName(materialize(more, "more-links")))
+    for used in (sets, dealt, members, held):
+        discard(used)
 
     named = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"))
     named = named.join(final, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component"))

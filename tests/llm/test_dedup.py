@@ -72,15 +72,18 @@ def test_components_match_brute_force(spark):
             w[(k * 7) % 80] = f"i{k}"
         rows.append((1000 + k, " ".join(w), "", 1, ""))
     rows.append(rows[0])
-    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    assert sorted(map(tuple, found)) == components_by_force(rows)
+    expected = components_by_force(rows)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs).collect())) == expected
+    # families dealt to blocks of a few classes
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs, block_rows=40, block_bytes=2000).collect())) == expected
 
 
 def test_components_of_an_empty_table(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_signature_trees_keep_every_similar_pair():
+def test_signature_trees_keep_every_similar_pair(monkeypatch):
     import random
 
     import numpy as np
@@ -97,11 +100,21 @@ def test_signature_trees_keep_every_similar_pair():
             s = {rng.getrandbits(64) for _ in range(rng.randrange(8, 120))}
         sets.append(s)
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
-    names, sizes = np.arange(300), np.array([len(s) for s in sets])
-    x, y = jaccard_join.bucket_pairs(names, sizes, names.copy(), [jaccard_join.signature(a) for a in arrays])
-    got = set(zip(x.tolist(), y.tolist()))
+    names = np.arange(300)
     true = {(i, j) for i in range(300) for j in range(i + 1, 300) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
-    assert true <= got and len(got) < 300 * 299 / 2 / 4
+
+    class Pairs(jaccard_join.Family):
+        def verify(self, i, j):  # nothing is connected, so every pair that no bound excludes comes here
+            got.update((min(p), max(p)) for p in zip(i.tolist(), j.tolist()))
+
+    for frontier in (1, 1_000_000):
+        monkeypatch.setattr(jaccard_join, "FRONTIER", frontier)
+        got = set()
+        Pairs(names, [a.tobytes() for a in arrays], names).bucket(names)
+        assert true <= got and len(got) < 300 * 299 / 2 / 20
+        got = set()
+        Pairs(names, [a.tobytes() for a in arrays], names).bucket(names[::2], names[1::2])
+        assert {p for p in true if sum(p) % 2} <= got <= {(i, j) for i in range(300) for j in range(300) if (i + j) % 2}
 
 
 def hits_by_force(rows, items):
