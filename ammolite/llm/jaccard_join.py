@@ -1,20 +1,20 @@
 """Join of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more, by signature trees.
 
-Documents with the same set are one class; classes are joined. Two similar classes share SHARED of their first
-n - ceil(0.75 n) + SHARED tokens in any order common to all (all that they share, if that is less), so classes are dealt to
-tokens of that prefix, only tokens that two classes hold go on, and of the classes only those with so many of them. The order
-puts tokens that very many documents hold last: a passage or licence that a third of the table repeats makes no bucket,
-unless documents consist of it.
+Documents with the same set are one class; classes are joined. Two similar classes share one of their first
+n - ceil(0.75 n) + 1 tokens in any order common to all, so classes are dealt to tokens of that prefix. With a prefix longer by
+extra(n) tokens they share as many more, so only classes go on that have enough tokens there which two classes hold. The
+order puts tokens that very many documents hold last: a passage or licence that a third of the table repeats makes no
+bucket, unless documents consist of it.
 
 First each class is only compared with its neighbours and the first class of its bucket in a few buckets, which connects
 groups of copies without pairing them all. Then come the buckets in which classes of different components meet. Those with
-the same smallest component are a family, and a task gets a family's buckets and the whole sets of its classes, each once.
+the same smallest component are a family, and a task gets a family's buckets and the signatures of its classes, each once.
 In a bucket a signature tree is built: leaves hold the bitmap of a class's tokens, inner nodes the OR of theirs with the range
 of their sizes and of the components they belong to. A dual traversal starts from (root, root) and drops every pair of
-nodes whose sizes are too far apart, whose bitmaps leave too little overlap, or whose classes are already connected. Pairs of
-classes that remain are verified on the whole sets, and each link that is found connects its classes at once, so a task
-returns fewer links than it has classes. The classes of a family too large for a task are dealt to blocks, and every pair of
-blocks is a task. What is verified, together with what is connected, leaves out no link between components, so components
+nodes whose sizes are too far apart, whose bitmaps leave too little overlap, or whose classes are already connected. Classes
+that are in a remaining pair get their whole sets, and the same traversal over them verifies pairs: each link that it finds
+connects its classes at once, so a task returns fewer links than it has classes. The classes of a family too large for a
+task are dealt to blocks, and every pair of blocks is a task. What is verified, together with what is connected, leaves out no link between components, so components
 are exact.
 
 Shingles are 64-bit hashes. Defined results: null, empty and blank texts have no shingles and are components of their own;
@@ -38,16 +38,26 @@ GRAM = 5
 LOCAL, FREQUENT = 8, 64
 #: Buckets in which a class is compared with its neighbours in the first run.
 FIRST_BUCKETS = 4
-#: Tokens of their prefixes that two similar classes share at least; longer prefixes spare classes that share a few by chance.
-SHARED = 8
-#: Bits of a signature for each token, at least.
-SIGNATURE_BITS = 8
+#: Tokens by which a prefix is longer, at least and by share of its set: they spare classes that share a few by chance.
+EXTRA, EXTRA_SHARE = 7, 12
+#: Bits of a signature for each token, at least: of those that are sent, and where the sets are at hand.
+SIGNATURE_BITS, FINE_BITS = 4, 16
 #: Classes in a leaf, nodes below a node; pairs of nodes that are looked at together.
 LEAF, FANOUT, FRONTIER = 32, 4, 1_000_000
 #: Rows, and bytes of sets, of a block of a family's classes; two blocks are a task.
 BLOCK_ROWS, BLOCK_BYTES = 100_000, 16_000_000
 
 
+def extra(sizes: np.ndarray) -> np.ndarray:
+    return np.maximum(EXTRA, sizes // EXTRA_SHARE)
+
+
+def partnered(sizes: np.ndarray) -> np.ndarray:
+    """Tokens in its longer prefix that a class shares with any similar class, at least; that may be as small as 0.75 n."""
+    least = -(-3 * sizes // 4)
+    return np.minimum(least, 1 + extra(least))
+
+
 class Sets:
     """The sorted distinct shingle hashes of every text of a block, end to end: text k has tokens[ends[k] - sizes[k] : ends[k]]."""
 
@@ -75,12 +85,12 @@ class Sets:
         return self.tokens[self.ends[k] - self.sizes[k] : self.ends[k]]
 
     def prefixes(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, text of each, whether it makes buckets): the first n - ceil(0.75 n) + SHARED of each set, frequent ones last. Those up to + 1 make buckets."""
+        """(tokens, text of each, whether it makes buckets): the first n - ceil(0.75 n) + 1 + extra(n) of each set, frequent ones last; the extra ones make no buckets."""
         late = in_bitmap(frequent, self.tokens)
         text = np.repeat(np.arange(len(self.sizes)), self.sizes)
         order = np.lexsort((late, text)) if late.any() else np.arange(len(text))  # stable: hashes stay in order
         least = np.where(self.sizes > 0, self.sizes - -(-3 * self.sizes // 4) + 1, 0)
-        wanted = np.minimum(self.sizes, least + SHARED - 1)
+        wanted = np.minimum(self.sizes, least + extra(self.sizes))
         place = runs(wanted, self.ends - self.sizes)
         at = order[place]
         return self.tokens[at], text[at], (place - (self.ends - self.sizes)[text[at]]) < least[text[at]]
@@ -93,10 +103,10 @@ def _sets(batches):
             yield b.column(0).slice(lo, hi - lo), Sets(block)
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """A bitmap of at least SIGNATURE_BITS bits for each token, a power of two."""
+def signature(tokens: np.ndarray, each: int) -> bytes:
+    """A bitmap of at least so many bits for each token, a power of two."""
     bits = 64
-    while bits < SIGNATURE_BITS * len(tokens):
+    while bits < each * len(tokens):
         bits *= 2
     held = np.zeros(bits, bool)
     held[((tokens >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -180,25 +190,16 @@ def traverse(a: SignatureTree, b: SignatureTree):
 
 
 class Family:
-    """The classes of a task: their sets, and what is connected so far."""
+    """The classes of a task: signatures, what is connected, and which are in a pair that no bound excludes."""
 
-    def __init__(self, classes: np.ndarray, sets: list[bytes], components: np.ndarray):
-        self.classes, self.components = classes, components
-        self.sets = [np.frombuffer(x, np.uint64) for x in sets]
-        self.sizes = np.array([len(x) for x in self.sets], np.int64)
-        self.marks = [signature(x) for x in self.sets]
-        self.width = np.array([len(x) for x in self.marks], np.int64)
+    def __init__(self, classes: np.ndarray, sizes: np.ndarray, marks: list[bytes], components: np.ndarray):
+        self.classes, self.sizes, self.marks = classes, sizes, marks
+        self.width = np.array([len(x) for x in marks], np.int64)
         self.labels = np.unique(components, return_inverse=True)[1]
-        self.links: list[tuple[int, int]] = []
+        self.involved = np.zeros(len(classes), bool)
 
-    def verify(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Connect the similar ones of these pairs that nothing connects yet."""
-        labels = self.labels
-        for x, y in zip(i.tolist(), j.tolist()):
-            one, two = labels[x], labels[y]
-            if one != two and similar(self.sets[x], self.sets[y]):
-                labels[labels == two] = one
-                self.links.append((int(self.classes[x]), int(self.classes[y])))
+    def found(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.involved[i] = self.involved[j] = True
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return self.labels[i] != self.labels[j]
@@ -207,10 +208,10 @@ class Family:
         """The pairs of small buckets."""
         ok = self.apart(i, j) & (4 * self.sizes[i] >= 3 * self.sizes[j]) & (4 * self.sizes[j] >= 3 * self.sizes[i])
         low, high = np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
-        key = np.unique(low * len(self.sets) + high)
-        i, j = key // max(1, len(self.sets)), key % max(1, len(self.sets))
+        key, n = np.unique(low * len(self.classes) + high), max(1, len(self.classes))
+        i, j = key // n, key % n
         ok = _signatures_allow(self.sizes[i], [self.marks[k] for k in i.tolist()], self.sizes[j], [self.marks[k] for k in j.tolist()])
-        self.verify(i[ok], j[ok])
+        self.found(i[ok], j[ok])
 
     def tree(self, members: np.ndarray, bits: int) -> SignatureTree:
         rows = [np.frombuffer(self.marks[m], np.uint64) for m in members.tolist()]
@@ -218,15 +219,16 @@ class Family:
         labels = self.labels[members]
         return SignatureTree(np.lexsort((self.classes[members], self.sizes[members], labels)), rows, self.sizes[members], labels)
 
-    def bucket(self, members: np.ndarray, others: np.ndarray | None = None) -> None:
-        """All pairs of `members`, or of one of `members` and one of `others`, that may be similar. Larger signatures are folded once."""
-        sides = [members] if others is None else [members, others]
+    def bucket(self, members: np.ndarray, side: np.ndarray) -> None:
+        """All pairs of `members`, or those of one of either side where there are two, that may be similar. Larger signatures are folded once."""
+        two = len(members) and side.min() != side.max()
+        sides = [members[side == 0], members[side == 1]] if two else [members]
         widths = [self.width[m] for m in sides]
         for w in np.unique(np.concatenate(widths)).tolist():
             here = [m[width == w] for m, width in zip(sides, widths)]
             below = [m[width == w // 2] for m, width in zip(sides, widths)]
             jobs = [(here[0], here[-1], w), (below[0], here[-1], w // 2)]
-            if others is not None:
+            if two:
                 jobs.append((here[0], below[1], w // 2))
             for x, y, bits in jobs:
                 if len(x) and len(y):
@@ -235,7 +237,24 @@ class Family:
                     for i, j in traverse(a, b):
                         i, j = x[i], y[j]
                         keep = self.apart(i, j)
-                        self.verify(i[keep], j[keep])
+                        self.found(i[keep], j[keep])
+
+
+class Verified(Family):
+    """A family with its classes' sets: pairs that nothing connects yet are verified, and connected at once."""
+
+    def __init__(self, classes: np.ndarray, sets: list[bytes], components: np.ndarray):
+        self.sets = [np.frombuffer(x, np.uint64) for x in sets]
+        super().__init__(classes, np.array([len(x) for x in self.sets], np.int64), [signature(x, FINE_BITS) for x in self.sets], components)
+        self.links: list[tuple[int, int]] = []
+
+    def found(self, i: np.ndarray, j: np.ndarray) -> None:
+        labels = self.labels
+        for x, y in zip(i.tolist(), j.tolist()):
+            one, two = labels[x], labels[y]
+            if one != two and similar(self.sets[x], self.sets[y]):
+                labels[labels == two] = one
+                self.links.append((int(self.classes[x]), int(self.classes[y])))
 
 
 def _class_rows(batches):
@@ -261,25 +280,26 @@ def _prefix_rows(frequent: np.ndarray, live: np.ndarray | None):
             if live is not None:
                 keep = in_bitmap(live, tokens)
                 # a class that shares too few tokens of its prefix has no partner
-                keep &= (np.bincount(text[keep], minlength=len(sets.sizes)) >= np.minimum(SHARED, -(-3 * sets.sizes // 4)))[text]
+                keep &= (np.bincount(text[keep], minlength=len(sets.sizes)) >= partnered(sets.sizes))[text]
                 tokens, text, core = tokens[keep], text[keep], core[keep]
             yield pa.record_batch([signed(tokens), sets.classes[text], sets.sizes[text], core], names=["token", "cls", "size", "core"])
 
     return run
 
 
-def _set_rows(wanted: np.ndarray):
-    """(cls, size, signature, tokens) of the classes in `wanted`, once for every task that meets them."""
+def _set_rows(wanted: np.ndarray, whole: bool):
+    """(cls, tokens or signature) of the classes in `wanted`, once for every task that meets them."""
 
     def run(batches):
         seen: set[int] = set()
         for _, sets in _sets(batches):
-            at = []
+            names, values = [], []
             for k in np.flatnonzero(in_bitmap(wanted, sets.classes.view(np.uint64)) & (sets.sizes > 0)).tolist():
                 if (name := int(sets.classes[k])) not in seen:
                     seen.add(name)
-                    at.append(k)
-            yield pa.record_batch([sets.classes[at], sets.sizes[at], pa.array([signature(sets[k]) for k in at], pa.binary()), pa.array([sets[k].tobytes() for k in at], pa.binary())], names=["cls", "size", "s", "v"])
+                    names.append(name)
+                    values.append(sets[k].tobytes() if whole else signature(sets[k], SIGNATURE_BITS))
+            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["cls", "v"])
 
     return run
 
@@ -324,13 +344,22 @@ def _broadcast(spark: SparkSession, bitmap: np.ndarray):
     return spark.sparkContext.broadcast(bitmap)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the class pairs (a, c) those that are similar: signatures exclude most others, whole sets decide."""
-    one, two = sets.select(F.col("cls").alias("a"), F.col("size").alias("n"), F.col("s").alias("u")), sets.select(F.col("cls").alias("c"), F.col("size").alias("m"), F.col("s").alias("v"))
+def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, v): the whole sets of the distinct `classes` (cls)."""
+    wanted = _broadcast(docs.sparkSession, key_bitmap(classes, "cls"))
+    sets = docs.mapInArrow(lambda batches: _set_rows(wanted.value, True)(batches), "cls long, v binary")
+    return materialize(sets.join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of the class pairs (a, c) those that are similar: signatures (cls, size, v) exclude most others, whole sets decide."""
+    one, two = marks.select(F.col("cls").alias("a"), F.col("size").alias("n"), F.col("v").alias("u")), marks.select(F.col("cls").alias("c"), F.col("size").alias("m"), "v")
     likely = materialize(pairs.join(one, "a").join(two, "c").select("a", "n", "u", "c", "m", "v").mapInArrow(_bounded, "a long, c long"), "likely-pairs")
+    sets = whole_sets(docs, likely.select(F.col("a").alias("cls")).union(likely.select("c")).distinct())
     joined = likely.join(sets.select(F.col("cls").alias("a"), F.col("v").alias("u")), "a").join(sets.select(F.col("cls").alias("c"), "v"), "c")
     links = materialize(joined.select("a", "c", "u", "v").mapInArrow(_verify, "a long, c long"), "links")
     discard(likely)
+    discard(sets)
     return links
 
 
@@ -370,49 +399,67 @@ def _neighbours(batches):
         last = token[keep], cls[keep], size[keep]
 
 
-def _tree_rows(batches):
-    """Links from the signature trees of families. Rows (x, part, side, token, cls, component, v) come sorted by (x, part, token):
-    of each family, or pair of blocks of one, first the sets of its classes (token null), then the buckets."""
-    held, key = [], None
-    for b in batches:
-        x, part = np.asarray(b.column(0).to_numpy(), np.int64), np.asarray(b.column(1).to_numpy(), np.int64)
-        cuts = (np.flatnonzero((x[1:] != x[:-1]) | (part[1:] != part[:-1])) + 1).tolist()
-        if held and len(x) and key != (x[0], part[0]):
-            yield _links(held)
-            held = []
-        if cuts:
-            yield _links([*held, b.slice(0, cuts[-1])])
-            held = []
-        if len(x):
-            held.append(b.slice(cuts[-1] if cuts else 0))
-            key = x[-1], part[-1]
-    if held:
-        yield _links(held)
-
-
-def _links(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """The links that connect classes of whole families. Buckets of no more than a leaf are trees of one node and are compared together."""
-    rows = pa.Table.from_batches(batches).combine_chunks()
+def _by_family(of_rows):
+    """Rows come sorted by (x, part): `of_rows` gets those of whole families, or pairs of blocks of one."""
+
+    def run(batches):
+        held, key = [], None
+        for b in batches:
+            x, part = np.asarray(b.column(0).to_numpy(), np.int64), np.asarray(b.column(1).to_numpy(), np.int64)
+            cuts = (np.flatnonzero((x[1:] != x[:-1]) | (part[1:] != part[:-1])) + 1).tolist()
+            if held and len(x) and key != (x[0], part[0]):
+                yield of_rows(pa.Table.from_batches(held))
+                held = []
+            if cuts:
+                yield of_rows(pa.Table.from_batches([*held, b.slice(0, cuts[-1])]))
+                held = []
+            if len(x):
+                held.append(b.slice(cuts[-1] if cuts else 0))
+                key = x[-1], part[-1]
+        if held:
+            yield of_rows(pa.Table.from_batches(held))
+
+    return run
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+
+
+def _involved(rows: pa.Table) -> pa.RecordBatch:
+    """(x, part, side, cls, component) of the classes in pairs that the signature trees leave. Rows (x, part, side, token, cls, component, size, v):
+    of each family first its classes with their signatures (token null), then the buckets. Those of no more than a leaf are trees of one node and are compared together."""
     marked = rows["token"].is_null()
-    told, rows = rows.filter(marked), rows.filter(pc.invert(marked))
+    told, rows = rows.filter(marked), rows.filter(pc.invert(marked)).combine_chunks()
     classes, first = np.unique(told["cls"].to_numpy(), return_index=True)
-    values = told["v"].combine_chunks()
-    family = Family(classes, [values[k].as_py() for k in first.tolist()], told["component"].to_numpy()[first])
+    once = told.take(first)
+    family = Family(classes, once["size"].to_numpy(), once["v"].to_pylist(), once["component"].to_numpy())
     x, part, side, token, cls = (rows[c].to_numpy() for c in ("x", "part", "side", "token", "cls"))
-    at = np.searchsorted(classes, cls)
-    starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (part[1:] != part[:-1])))) if len(token) else np.empty(0, np.int64)
+    at, starts = np.searchsorted(classes, cls), _starts(x, part, token)
     sizes = np.diff(np.append(starts, len(token)))
     for n in np.unique(sizes[sizes <= LEAF]).tolist():
         i, j = np.triu_indices(n, 1)
         for begin in np.array_split(starts[sizes == n], max(1, int((sizes == n).sum()) * len(i) // FRONTIER)):
             family.small(at[(begin[:, None] + i).ravel()], at[(begin[:, None] + j).ravel()])
     for begin, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-        members, sides = at[begin : begin + n], side[begin : begin + n]
-        if sides.min() == sides.max():
-            family.bucket(members)
-        else:
-            family.bucket(members[sides == 0], members[sides == 1])
-    pairs = np.array(family.links, np.int64).reshape(-1, 2)
+        family.bucket(at[begin : begin + n], side[begin : begin + n])
+    keep = told.filter(pa.array(family.involved[np.searchsorted(classes, told["cls"].to_numpy())])).select(["x", "part", "side", "cls", "component"])
+    return pa.record_batch([c.combine_chunks() for c in keep.columns], names=keep.column_names) if len(keep) else pa.record_batch([pa.array([], f.type) for f in keep.schema], names=keep.column_names)
+
+
+def _links(rows: pa.Table) -> pa.RecordBatch:
+    """The links (a, c) that connect the classes of each family. Rows (x, part, side, cls, component, v)."""
+    x, part, side, cls, component = (rows[c].to_numpy() for c in ("x", "part", "side", "cls", "component"))
+    found = []
+    starts = _starts(x, part)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(x)]):
+        family = Verified(cls[lo:hi], rows["v"].slice(lo, hi - lo).to_pylist(), component[lo:hi])
+        family.bucket(np.arange(hi - lo), side[lo:hi])
+        found += family.links
+    pairs = np.array(found, np.int64).reshape(-1, 2)
     return pa.record_batch([pairs[:, 0], pairs[:, 1]], names=["a", "c"])
 
 
@@ -434,35 +481,40 @@ def near_duplicates(documents: DataFrame, block_rows: int = BLOCK_ROWS, block_by
 
     # the original of a group of edited copies shares more of its prefix than they do, so it comes first in its buckets
     held = entries.groupBy("cls").agg(F.first("size").alias("size"), F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("core"), F.col("token")))), 1, FIRST_BUCKETS).alias("t"))
-    held = materialize(held.where(F.col("n") >= F.least(F.lit(SHARED), F.ceil(F.col("size") * 3 / 4))), "partnered")
+    least = F.ceil(F.col("size") * 3 / 4)
+    held = materialize(held.where(F.col("n") >= F.least(least, 1 + F.greatest(F.lit(EXTRA), F.floor(least / EXTRA_SHARE)))), "partnered")
     wanted = _broadcast(spark, key_bitmap(held, "cls"))
-    sets = docs.mapInArrow(lambda batches: _set_rows(wanted.value)(batches), "cls long, size long, s binary, v binary").join(held.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    sets = materialize(sets, "sets")
+    marks = docs.mapInArrow(lambda batches: _set_rows(wanted.value, False)(batches), "cls long, v binary").dropDuplicates(["cls"])
+    marks = materialize(marks.join(held.select("cls", "size"), "cls").select("cls", "size", "v"), "signatures")
 
     # first run: neighbours in the few first buckets of each class
     few = held.select(F.explode("t").alias("token"), "cls", "size", (F.col("n") / F.col("size")).alias("shared"))
     near = few.repartition("token").sortWithinPartitions("token", F.desc("shared"), "size", "cls").select("token", "cls", "size").mapInArrow(_neighbours, "a long, c long").distinct()
-    links = verified(near, sets)
+    links = verified(docs, near, marks)
     known = components(links)
 
     # second run: buckets in which components still meet; those with the same smallest component are a family
-    placed = materialize(entries.where("core").join(held.select("cls"), "cls", "left_semi").join(known, "cls", "left").select("token", "cls", "size", F.coalesce("component", "cls").alias("component")), "placed")
+    placed = materialize(entries.where("core").join(held.select("cls"), "cls", "left_semi").join(known, "cls", "left").select("token", "cls", F.coalesce("component", "cls").alias("component")), "placed")
     discard(entries)
     meeting = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").drop("y")
     dealt = materialize(placed.join(meeting, "token"), "dealt")
     discard(placed)
-    members = dealt.groupBy("x", "cls").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("component").alias("component"))
+    members = dealt.groupBy("x", "cls").agg(F.count("*").alias("n"), F.first("component").alias("component")).join(marks, "cls")
     large = members.groupBy("x").agg(F.ceil(F.greatest(F.sum("n") / block_rows, F.sum("size") * 8 / block_bytes)).alias("blocks"))
-    members = materialize(members.join(large, "x").select("x", "cls", "component", "blocks"), "members")
+    large = materialize(large, "families")
     # block b of k goes to the tasks of the pairs (b, b), (b, every other): a row for each
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct((F.least(o, block) * F.col("blocks") + F.greatest(o, block)).alias("part"), (block > o).cast("int").alias("side")))
-    told = members.join(sets.select("cls", "v"), "cls").select("x", F.explode(pair).alias("p"), F.lit(None).cast("long").alias("token"), "cls", "component", "v")
-    buckets = dealt.join(large, "x").select("x", F.explode(pair).alias("p"), "token", "cls", "component", F.lit(None).cast("binary").alias("v"))
-    rows_in = told.unionByName(buckets).select("x", "p.part", "p.side", "token", "cls", "component", "v")
-    more = rows_in.repartition("x", "part").sortWithinPartitions("x", "part", F.col("token").asc_nulls_first()).mapInArrow(_tree_rows, "a long, c long")
-    final = components(links.unionByName(materialize(more, "more-links")))
-    for used in (sets, dealt, members, held):
+    told = members.join(large, "x").select("x", F.explode(pair).alias("p"), F.lit(None).cast("long").alias("token"), "cls", "component", "size", "v")
+    buckets = dealt.join(large, "x").select("x", F.explode(pair).alias("p"), "token", "cls", "component", F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("v"))
+    rows_in = told.unionByName(buckets).select("x", "p.part", "p.side", "token", "cls", "component", "size", "v")
+    met = rows_in.repartition("x", "part").sortWithinPartitions("x", "part", F.col("token").asc_nulls_first()).mapInArrow(_by_family(_involved), "x long, part long, side int, cls long, component long")
+    met = materialize(met, "involved")
+    sets = whole_sets(docs, met.select("cls").distinct())
+    rows_in = met.join(sets, "cls").select("x", "part", "side", "cls", "component", "v")
+    more = materialize(rows_in.repartition("x", "part").sortWithinPartitions("x", "part", "cls").mapInArrow(_by_family(_links), "a long, c long"), "more-links")
+    final = components(links.unionByName(more))
+    for used in (held, marks, dealt, large, met, sets):
         discard(used)
 
     named = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"))

@@ -104,17 +104,22 @@ def test_signature_trees_keep_every_similar_pair(monkeypatch):
     true = {(i, j) for i in range(300) for j in range(i + 1, 300) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
 
     class Pairs(jaccard_join.Family):
-        def verify(self, i, j):  # nothing is connected, so every pair that no bound excludes comes here
+        def found(self, i, j):  # every pair that no bound excludes
             got.update((min(p), max(p)) for p in zip(i.tolist(), j.tolist()))
 
     for frontier in (1, 1_000_000):
         monkeypatch.setattr(jaccard_join, "FRONTIER", frontier)
-        got = set()
-        Pairs(names, [a.tobytes() for a in arrays], names).bucket(names)
-        assert true <= got and len(got) < 300 * 299 / 2 / 20
-        got = set()
-        Pairs(names, [a.tobytes() for a in arrays], names).bucket(names[::2], names[1::2])
-        assert {p for p in true if sum(p) % 2} <= got <= {(i, j) for i in range(300) for j in range(300) if (i + j) % 2}
+        for sides in (np.zeros(300, int), np.arange(300) % 2):
+            got = set()
+            pairs = Pairs(names, np.array([len(s) for s in sets]), [jaccard_join.signature(a, 4) for a in arrays], names)
+            pairs.bucket(names, sides)
+            other = {(i, j) for i, j in true if not sides.any() or sides[i] != sides[j]}
+            assert other <= got and len(got) < 300 * 299 / 2 / 4
+            assert not sides.any() or all(sides[i] != sides[j] for i, j in got)
+    family = jaccard_join.Verified(names, [a.tobytes() for a in arrays], names)
+    family.bucket(names, np.zeros(300, int))
+    assert set(family.links) <= true and len(family.links) < 300
+    assert all(family.labels[i] == family.labels[j] for i, j in true)
 
 
 def hits_by_force(rows, items):
