@@ -6,6 +6,7 @@ They belong on results, a few rows each, not on the rows that those are made fro
 from __future__ import annotations
 
 import math
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -103,3 +104,58 @@ normal_sf = _column(normal_sf_values)
 chi2_sf = _column(chi2_sf_values)
 t_sf = _column(t_sf_values)
 f_sf = _column(f_sf_values)
+
+
+def lgamma_values(x: np.ndarray) -> np.ndarray:
+    return _lgamma(np.asarray(x, float))
+
+
+def normal_quantile_values(p: np.ndarray) -> np.ndarray:
+    """Inverse of the normal distribution, 0 and 1 giving minus and plus infinity; outside of them null."""
+    inverse = statistics.NormalDist().inv_cdf
+    one = lambda q: inverse(q) if 0 < q < 1 else -math.inf if q == 0 else math.inf if q == 1 else math.nan
+    return np.array([one(float(q)) for q in np.asarray(p, float)], float)
+
+
+def kolmogorov_sf_values(x: np.ndarray) -> np.ndarray:
+    """Limit distribution of the largest distance of two empirical distributions."""
+    x = np.asarray(x, float)
+    k = np.arange(1, 101)[:, None]
+    out = 2 * ((-1.0) ** (k - 1) * np.exp(-2.0 * k * k * x * x)).sum(0)
+    return np.where(np.isnan(x), np.nan, np.where(x < 0.05, 1.0, np.clip(out, 0, 1)))
+
+
+def binomial_p_values(k: np.ndarray, n: np.ndarray, p0: np.ndarray) -> np.ndarray:
+    """Two-sided exact p: the probability of all counts no likelier than k (to 1e-7)."""
+    out = []
+    for a, m, p in zip(*(np.asarray(v, float) for v in (k, n, p0))):
+        if not (0 <= a <= m and 0 < p < 1):
+            out.append(math.nan)
+            continue
+        i = np.arange(m + 1)
+        logs = math.lgamma(m + 1) - _lgamma(i + 1) - _lgamma(m - i + 1) + i * math.log(p) + (m - i) * math.log1p(-p)
+        out.append(min(1.0, float(np.exp(logs[logs <= logs[int(a)] + 1e-7]).sum())))
+    return np.array(out, float)
+
+
+def fisher_p_values(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Two-sided exact p of a 2 x 2 table: the probability of all tables with its margins no likelier than it (to 1e-7)."""
+    out = []
+    for cells in zip(*(np.asarray(v, float) for v in (a, b, c, d))):
+        if not all(x >= 0 for x in cells):
+            out.append(math.nan)
+            continue
+        x, r, k, n = cells[0], cells[0] + cells[1], cells[0] + cells[2], sum(cells)
+        i = np.arange(max(0.0, r + k - n), min(r, k) + 1)
+        logs = -(_lgamma(i + 1) + _lgamma(r - i + 1) + _lgamma(k - i + 1) + _lgamma(n - r - k + i + 1))
+        logs -= logs.max()
+        weights = np.exp(logs)
+        out.append(min(1.0, float(weights[logs <= logs[int(x - i[0])] + 1e-7].sum() / weights.sum())))
+    return np.array(out, float)
+
+
+lgamma = _column(lgamma_values)
+normal_quantile = _column(normal_quantile_values)
+kolmogorov_sf = _column(kolmogorov_sf_values)
+binomial_p = _column(binomial_p_values)
+fisher_p = _column(fisher_p_values)

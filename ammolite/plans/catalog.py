@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ammolite.plans import ecology, isotopes, matrix, series, stratigraphy, univariate
+from ammolite.plans import ecology, hypotheses, isotopes, matrix, permutation, plots, series, stratigraphy, univariate
 
-QUERIES = {**ecology.QUERIES, **univariate.QUERIES, **series.QUERIES, **stratigraphy.QUERIES, **matrix.QUERIES, **isotopes.QUERIES}
-ORACLE_SQL = {**ecology.ORACLE_SQL, **univariate.ORACLE_SQL, **series.ORACLE_SQL, **stratigraphy.ORACLE_SQL, **matrix.ORACLE_SQL, **isotopes.ORACLE_SQL}
+_MODULES = (ecology, univariate, hypotheses, permutation, series, stratigraphy, matrix, isotopes, plots)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
