@@ -77,14 +77,17 @@ def fixed_count_summary(x: DataFrame, width: int) -> DataFrame:
     )
 
 
+def range_frame(bandwidth: float) -> str:
+    """The closed interval of t around a row, `bandwidth` wide, as SQL text: rangeBetween() takes no fractions."""
+    return f"OVER (PARTITION BY series ORDER BY t RANGE BETWEEN {bandwidth / 2}D PRECEDING AND {bandwidth / 2}D FOLLOWING)"
+
+
 def fixed_bandwidth_summary(x: DataFrame, bandwidth: float) -> DataFrame:
     """Mean, sd (0 for one value), extremes and standard error over the closed interval of t that is `bandwidth` wide."""
-    x.createOrReplaceTempView("_ammolite_series")
-    h = bandwidth / 2
-    over = f"OVER (PARTITION BY series ORDER BY t RANGE BETWEEN {h}D PRECEDING AND {h}D FOLLOWING)"
-    return x.sparkSession.sql(f"""
-        SELECT series, t, n, round(mean, 6) AS mean, round(coalesce(sd, 0D), 6) AS sd, round(lo, 6) AS minimum, round(hi, 6) AS maximum, round(coalesce(sd, 0D) / sqrt(n), 6) AS se
-        FROM (SELECT series, t, count(v) {over} AS n, avg(v) {over} AS mean, stddev_samp(v) {over} AS sd, min(v) {over} AS lo, max(v) {over} AS hi FROM _ammolite_series)""")
+    over = range_frame(bandwidth)
+    s = x.select("series", "t", *(F.expr(f"{f}(v) {over}").alias(n) for f, n in (("count", "n"), ("avg", "mean"), ("stddev_samp", "sd"), ("min", "minimum"), ("max", "maximum"))))
+    s = s.withColumn("sd", F.coalesce("sd", F.lit(0.0))).withColumn("se", F.col("sd") / F.sqrt("n"))
+    return s.select("series", "t", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "minimum", "maximum", "se")))
 
 
 def mann_kendall(x: DataFrame) -> DataFrame:

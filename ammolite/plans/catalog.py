@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ammolite.plans import ecology, hypotheses, isotopes, matrix, permutation, plots, series, stratigraphy, univariate
+from ammolite.plans import ecology, hypotheses, isotopes, matrix, permutation, plots, series, signals, stratigraphy, timescales, univariate
 
-_MODULES = (ecology, univariate, hypotheses, permutation, series, stratigraphy, matrix, isotopes, plots)
+_MODULES = (ecology, univariate, hypotheses, permutation, series, signals, stratigraphy, timescales, matrix, isotopes, plots)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
