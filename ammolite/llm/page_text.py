@@ -1,12 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over their own and their neighbours' shape.
 
-A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the blocks
-before and after it, and where it stands: inside the article element, or inside something that names itself navigation,
-advert, notice, form, comments and the like. The tree is grown (Gini, axis-parallel cuts) on the labelled table below or on
-one that the caller gives, and its leaves say whether a block belongs to the article.
-
-Defined results: a null or empty html has an empty text; a page in which no block is taken has an empty text; repeated
-pages keep all their rows. Nothing is capped, whatever the length of a page.
+A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the blocks before
+and after it, whether it lies in the page's article element and whether the page has one, and how strongly the nearest
+container around it names itself navigation, advert, notice, form, comments and the like (0, 1 for kinds that may also hold
+an article, 2). The tree is grown (Gini, axis-parallel cuts) on the blocks of the labelled example pages below or on a table
+that the caller gives, and its leaves say whether a block belongs to the article.
+
+A container's name counts for what lies in it, up to an article or main element inside it or a container that names itself
+content; an article element under such a name counts as one only where the page has no other (readers' comments are often
+marked up as articles).
+
+Defined results: a null or empty html has an empty text; a page in which no block is taken has an empty text; repeated pages
+keep all their rows, and so do pages with a null page_id; broken markup is read as a browser would, declarations that are
+none as comments; very long pages are read whole and nothing is capped; ties in growing the tree go to the earlier feature
+and the lower cut; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,45 +26,56 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ammolite.llm.common import ensure_columns
 
-FEATURES = ("words", "density", "prev_words", "prev_density", "next_words", "next_density", "inside_main", "inside_aside", "page_has_main")
+FEATURES = ("words", "density", "prev_words", "prev_density", "next_words", "next_density", "inside_main", "aside", "page_has_main")
 
 # HTML elements by the part they play.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas audio video".split())
 MAIN = frozenset("article main".split())
-ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
-#: Words in class, id or role that name a part which is not the article.
+ASIDE = {"nav": 2, "footer": 2, "menu": 2, "dialog": 2, "aside": 2, "form": 1, "fieldset": 1}
+#: Words in class, id or role that name a part which is not the article, those that may hold one, and those that take such a name back.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsbox banner promo sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social footer masthead comment comments respond disqus replies reply toolbar pagination pager skip copyright legal "
-    "complementary contentinfo search form".split()
+    "complementary contentinfo".split()
 )
+WEAK_NAMES = frozenset("search form results list".split())
+CONTENT_NAMES = frozenset("content article post entry story body main wrapper container layout site with has no without".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: The small labelled table: features in the order of FEATURES, then 1 for blocks of the article.
-LABELLED = [
-    # article paragraphs and headings inside an article element, between blocks of any kind
-    (120, 0.0, 80, 0.0, 95, 0.0, 1, 0, 1, 1), (60, 0.02, 9, 0.0, 45, 0.0, 1, 0, 1, 1), (8, 0.0, 20, 0.0, 70, 0.0, 1, 0, 1, 1), (1, 0.0, 60, 0.0, 2, 0.0, 1, 0, 1, 1), (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1, 1),
-    (35, 0.25, 50, 0.1, 40, 0.0, 1, 0, 1, 1), (5, 1.0, 40, 0.0, 60, 0.0, 1, 0, 1, 1), (12, 0.5, 3, 1.0, 14, 0.4, 1, 0, 1, 1), (300, 0.0, 8, 0.0, 12, 0.9, 1, 0, 1, 1), (4, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1),
-    (9, 0.0, 12, 0.0, 1, 0.0, 1, 0, 1, 1), (18, 0.0, 300, 0.0, 6, 0.0, 1, 0, 1, 1), (1, 0.0, 1, 1.0, 150, 0.0, 1, 0, 1, 1), (700, 0.01, 1, 0.0, 7, 0.0, 1, 0, 1, 1),
-    (20, 0.0, 50, 0.0, 4, 1.0, 1, 0, 1, 1), (100, 0.0, 60, 0.0, 3, 1.0, 1, 0, 1, 1), (30, 0.0, 3, 1.0, 3, 1.0, 1, 0, 1, 1), (6, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1, 1), (2, 1.0, 30, 0.5, 3, 1.0, 1, 0, 1, 1), (64, 0.6, 40, 0.2, 12, 0.7, 1, 0, 1, 1),
-    (15, 0.0, 10, 0.0, 18, 0.0, 1, 0, 1, 1), (3, 0.0, 4, 0.0, 20, 0.0, 1, 0, 1, 1), (50, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1), (10, 0.9, 9, 0.9, 11, 0.9, 1, 0, 1, 1),
-    # the same kinds of text inside adverts, menus, notices, forms and comments, within an article or not
-    (25, 0.0, 60, 0.0, 90, 0.0, 1, 1, 1, 0), (80, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0), (10, 0.0, 1, 1.0, 8, 0.0, 0, 1, 1, 0),
-    (45, 0.0, 50, 0.0, 60, 0.0, 0, 1, 1, 0), (8, 0.1, 300, 0.0, 0, 0.0, 0, 1, 1, 0), (14, 0.0, 100, 0.0, 0, 0.0, 0, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (60, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0),
-    (20, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (150, 0.0, 4, 0.0, 6, 0.0, 0, 1, 0, 0), (6, 0.5, 20, 0.0, 30, 0.0, 1, 1, 1, 0), (200, 0.0, 15, 0.0, 18, 0.0, 1, 1, 1, 0),
-    # outside the article element of a page that has one
-    (6, 0.0, 2, 1.0, 9, 0.0, 0, 0, 1, 0), (40, 0.0, 3, 1.0, 8, 0.0, 0, 0, 1, 0), (2, 1.0, 2, 1.0, 12, 0.0, 0, 0, 1, 0), (90, 0.0, 10, 0.0, 20, 0.0, 0, 0, 1, 0), (1, 0.0, 200, 0.0, 3, 0.0, 0, 0, 1, 0),
-    (50, 0.0, 30, 0.0, 80, 0.0, 0, 0, 1, 0), (130, 0.0, 20, 0.0, 100, 0.0, 0, 0, 1, 0), (9, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1, 0), (25, 0.1, 120, 0.0, 200, 0.0, 0, 0, 1, 0), (70, 0.0, 2, 1.0, 150, 0.0, 0, 0, 1, 0), (300, 0.0, 60, 0.0, 90, 0.0, 0, 0, 1, 0),
-    # pages without one: long blocks of few links, and short ones among them, are the article
-    (110, 0.0, 60, 0.0, 80, 0.0, 0, 0, 0, 1), (45, 0.05, 12, 0.0, 70, 0.0, 0, 0, 0, 1), (22, 0.0, 90, 0.0, 35, 0.0, 0, 0, 0, 1), (7, 0.0, 3, 0.0, 85, 0.0, 0, 0, 0, 1), (6, 0.0, 70, 0.0, 64, 0.0, 0, 0, 0, 1),
-    (19, 0.1, 40, 0.0, 55, 0.0, 0, 0, 0, 1), (9, 0.0, 120, 0.0, 44, 0.0, 0, 0, 0, 1), (33, 0.2, 28, 0.0, 30, 0.1, 0, 0, 0, 1), (5, 0.0, 45, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 1),
-    (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (12, 0.8, 4, 1.0, 6, 1.0, 0, 0, 0, 0), (30, 0.7, 8, 0.6, 9, 0.9, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 1.0, 90, 0.0, 5, 1.0, 0, 0, 0, 0),
-    (2, 0.5, 3, 1.0, 4, 0.5, 0, 0, 0, 0), (8, 0.6, 60, 0.0, 3, 1.0, 0, 0, 0, 0),
+#: Labelled example pages: {n} stands for n words that belong to the article, [n] for n that don't.
+EXAMPLES = [
+    # an article element among menus, adverts and a footer; short paragraphs, lists and a quoted link in it
+    "<nav><ul><li><a>[1]</a></li><li><a>[2]</a></li><li><a>[1]</a></li></ul></nav><div class=ad>[9]</div><article><h1>{6}</h1><p>{80}</p><p>{3}</p><div class=ad>[14]</div><p>{40} <a>{4}</a></p><ul><li>{5}</li><li>{12}</li></ul><p>{1}</p></article><footer>[10]</footer>",
+    "<header>[4]</header><div class=sidebar><p>[30]</p><p>[22]</p></div><article><p>{1}</p><p>{2}</p><p><a>{6}</a></p><p>{300}</p></article><div class=comments><p>[60]</p><p>[25]</p></div><footer><a>[3]</a><a>[2]</a></footer>",
+    "<div>[8]</div><p>[45]</p><main><h2>{3}</h2><p>{15}</p><p><a>{7}</a> {5}</p><section class=comments><p>[70]</p><p>[12]</p></section></main><p>[90]</p><div><a>[2]</a></div>",
+    "<form><article><p>{50}</p><p>{7}</p></article><p>[2]</p></form><p>[130]</p><p>[20]</p>",
+    "<div>[40]</div><div>[7]</div><article><h1>{9}</h1><p>{1}</p><p>{2}</p><p><a>{3}</a></p><p>{4}</p><div class=ad>[2]</div><p>{6}</p><div class=ad>[60]</div><p>{2}</p></article><p>[3]</p><p>[75]</p><p><a>[2]</a></p>",
+    "<article><p><a>{5}</a></p><p><a>{1}</a></p><p>{2}</p><ul><li><a>{9}</a></li><li><a>{30}</a></li><li>{2} <a>{2}</a></li></ul></article><p>[33]</p><p>[2]</p><p>[8]</p><p>[200]</p>",
+    "<p>[5]</p><div>[28]</div><article><h2>{2}</h2><p>{4}</p><h2>{1}</h2><p>{3}</p><p>{70}</p><h3>{2}</h3></article><div>[5]</div><div class=ad>[1]</div><p>[11]</p><p>[52]</p>",
+    "<div class=comments><p>[40]</p></div><article><p>{44}</p><form><p>[3]</p><p>[9]</p><p>[30]</p></form><p>{2}</p><div class=related><a>[5]</a><p>[55]</p></div><p>{150}</p><p>{95}</p></article><form><p>[12]</p></form><p>[85]</p>",
+    "<p>[6]</p><p>[1]</p><article><p>{8}</p><p>{64}</p><p>{18}</p><p>{1}</p><p>{7} <a>{3}</a></p><p>{12}</p><p>{26}</p><p>{2}</p><p>{3}</p><p>{5}</p></article><p>[150]</p><p>[64]</p><p>[15]</p>",
+    # no such element: long blocks of few links, and the short ones among them
+    "<div><a>[3]</a></div><div><a>[2]</a></div><div><a>[4]</a></div><h2>{5}</h2><p>{70}</p><p>{45}</p><p>{9}</p><p>{60} <a>{6}</a></p><div><a>[3]</a></div><div>[4] <a>[3]</a></div><div>[3]</div>",
+    "<td><a>[2]</a></td><td><a>[3]</a></td><td>{90}</td><td>{33}</td><td>{6}</td><td>{110}</td><td>{24}</td><td><a>[5]</a></td><td><a>[1]</a></td><td>[5]</td>",
+    "<p>{40}</p><ul><li><a>[8]</a> [2]</li><li><a>[9]</a> [1]</li><li><a>[12]</a> [4]</li><li><a>[7]</a></li></ul><p>[2]</p>",
+    "<div><a>[1]</a></div><h1>{4}</h1><p>{22}</p><p>{19}</p><p>{55}</p><p>{8}</p><div class=comments><p>[50]</p><p>[30]</p><p>[80]</p></div><div><a>[2]</a> [1]</div>",
+    "<p>{120}</p><p>{35}</p><div class=sidebar><h3>[2]</h3><p>[18]</p><p>[64]</p></div><div class=cookie>[35]</div><div>[2]</div><div><a>[2]</a></div>",
+    "<div><a>[6]</a></div><p>[30] <a>[60]</a></p><div><a>[9]</a></div><h2>{7}</h2><p>{85}</p><p>{64}</p><p>{5}</p>",
+    # forms and lists: labels and links, or a whole article in an odd place
+    "<form><p>[2]</p><p>[3]</p><p>[6]</p><p>[4]</p></form><p>{75}</p><p>{48}</p><div>[3]</div><div><a>[2]</a></div>",
+    "<div class=search><h2>{5}</h2><p>{50}</p><p>{80}</p><p>{65}</p><p>{28}</p></div><div><a>[2]</a></div><div>[2]</div>",
+    "<div class=search><p>[4]</p><p><a>[6]</a></p><p><a>[9]</a> [3]</p></div><p>{58}</p><p>{26}</p><div><a>[3]</a></div><div>[4]</div>",
 ]
 
 
+def labelled_rows(pages: list[str] = EXAMPLES) -> list[tuple]:
+    """The small labelled table: the features of every block of the example pages, then 1 for those of the article."""
+    filled = [re.sub(r"([{\[])(\d+)[}\]]", lambda m: " ".join(["kept" if m[1] == "{" else "left"] * int(m[2])), x) for x in pages]
+    return [(*row, int(text.startswith("kept"))) for x in filled for text, row in zip(*block_rows(x))]
+
+
 def grow(rows: list[tuple], depth: int = 6, least: int = 1):
     """A binary tree: (feature, cut, below, above), or a leaf's label. Ties go to the earlier feature and the lower cut."""
     ones = sum(r[-1] for r in rows)
@@ -91,15 +109,20 @@ def decide(tree, row: tuple) -> int:
 
 
 class Blocks(HTMLParser):
-    """Collects (text, words, words in links, inside main, inside aside) of each block."""
+    """Collects (text, words, words in links, inside main, nearest aside, any aside above) of each block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]  # tag, silent, main, aside, link
+        self.stack: list[tuple[str, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0)]  # tag, silent, main, aside, any aside above, link
         self.parts: list[tuple[str, int]] = []
-        self.blocks: list[tuple[str, int, int, int, int]] = []
+        self.blocks: list[tuple[str, int, int, int, int, int]] = []
         self.has_main = 0
 
+    def parse_marked_section(self, i, report=1):
+        """<![...]> is no HTML: a comment up to the next sign that ends a tag."""
+        end = self.rawdata.find(">", i + 3)
+        return -1 if end < 0 else end + 1
+
     def handle_starttag(self, tag, attrs):
         inline = tag in INLINE
         if not inline:
@@ -113,23 +136,26 @@ class Blocks(HTMLParser):
                     break
                 if self.stack[k][0] not in INLINE:
                     break
-        _, silent, main, aside, link = self.stack[-1]
+        _, silent, main, aside, above, link = self.stack[-1]
+        named, content, article = ASIDE.get(tag, 0), False, tag in MAIN
         if tag in SILENT:
             silent = 1
-        elif tag in MAIN:
-            main = self.has_main = 1
-        elif tag in ASIDE or tag == "header" and not main:
-            aside = 1
+        elif tag == "header" and not main:
+            named = 2
         elif tag == "a":
             link = 1
         for name, value in attrs:
             if name in ("class", "id", "role") and value and tag not in ("html", "body"):
-                aside = aside or int(not ASIDE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())))
-                if name == "role" and value.lower() in MAIN:
-                    main = self.has_main = 1
+                words = set(re.split(r"[^a-z0-9]+", value.lower()))
+                content = content or not CONTENT_NAMES.isdisjoint(words)
+                named = max(named, 0 if not CONTENT_NAMES.isdisjoint(words) else 2 if not ASIDE_NAMES.isdisjoint(words) else int(not WEAK_NAMES.isdisjoint(words)))
+                article = article or name == "role" and value.lower() in MAIN
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and HIDDEN.search(value):
                 silent = 1
-        self.stack.append((tag, silent, main, aside, link))
+        if article:
+            main = self.has_main = 1
+        aside = max(named, 0 if article or content else aside)
+        self.stack.append((tag, silent, main, aside, max(above, aside), link))
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
@@ -145,15 +171,15 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         top = self.stack[-1]
         if not top[1]:
-            self.parts.append((data, top[4]))
+            self.parts.append((data, top[5]))
 
     def cut(self):
         if self.parts:
             words = "".join(x for x, _ in self.parts).split()
             if words:
                 linked = sum(len(x.split()) for x, link in self.parts if link)
-                _, _, main, aside, _ = self.stack[-1]
-                self.blocks.append((" ".join(words), len(words), min(linked, len(words)), main, aside))
+                _, _, main, aside, above, _ = self.stack[-1]
+                self.blocks.append((" ".join(words), len(words), min(linked, len(words)), main, aside, above))
             self.parts = []
 
     def handle_startendtag(self, tag, attrs):
@@ -168,8 +194,10 @@ def block_rows(html: str) -> tuple[list[str], list[tuple]]:
     parser.close()
     parser.cut()
     found = parser.blocks
-    shape = [(0, 0.0), *((n, linked / n) for _, n, linked, _, _ in found), (0, 0.0)]
-    rows = [(*shape[i + 1], *shape[i], *shape[i + 2], main, aside, parser.has_main) for i, (_, _, _, main, aside) in enumerate(found)]
+    # articles under an aside's name are the article only where there is no other
+    other = any(main and not above for _, _, _, main, _, above in found)
+    shape = [(0, 0.0), *((n, linked / n) for _, n, linked, *_ in found), (0, 0.0)]
+    rows = [(*shape[i + 1], *shape[i], *shape[i + 2], main, above if main and other else aside, parser.has_main) for i, (_, _, _, main, aside, above) in enumerate(found)]
     return [x[0] for x in found], rows
 
 
@@ -180,9 +208,9 @@ def main_text(html: str | None, tree) -> str:
     return " ".join(t for t, r in zip(texts, rows) if decide(tree, r))
 
 
-def extract(pages: DataFrame, labelled: list[tuple] = LABELLED) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    tree = grow(labelled)
+def extract(pages: DataFrame, labelled: list[tuple] | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of every page. `labelled` rows are the features in the order of FEATURES, then 1 for blocks of the article."""
+    tree = grow(labelled_rows() if labelled is None else labelled)
 
     def run(batches):
         for b in batches:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ammolite.llm.bin_packing import op10_bin_packing
-from ammolite.llm.contamination import op7_contamination
+from ammolite.llm.contamination import OP7_SQL, op7_contamination
 from ammolite.llm.jaccard_join import OP8_SQL, op8_jaccard_join
 from ammolite.llm.language_model import op3_language_model
 from ammolite.llm.page_text import op4_page_text
@@ -11,7 +11,7 @@ from ammolite.llm.quality_rules import op9_quality_rules
 from ammolite.llm.secret_scan import op1_secret_scan
 from ammolite.llm.span_dedup import OP2_SQL, op2_span_dedup
 from ammolite.llm.token_codes import op5_token_codes
-from ammolite.llm.web_archive import op6_web_archive
+from ammolite.llm.web_archive import OP6_SQL, op6_web_archive
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_bin_packing": op10_bin_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_span_dedup": OP2_SQL, "op8_jaccard_join": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_span_dedup": OP2_SQL, "op6_web_archive": OP6_SQL, "op7_contamination": OP7_SQL, "op8_jaccard_join": OP8_SQL}

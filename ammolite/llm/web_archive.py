@@ -32,6 +32,8 @@ MIN_BYTES = 0
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 256 << 20, 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Parts into which the pages of one payload are dealt.
+SALTS = 16
 RUN_SCHEMA = "run string, url_key string, captured string, page_id long, path string, offset long, size long, digest string, record_type string"
 
 
@@ -130,9 +132,12 @@ def _filesystem(uri: str):
 def write_archives(pages: DataFrame, out: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write one record per row of `pages` (page_id, url, html) below `out`; returns the runs, each sorted."""
     rows = ensure_columns(pages, page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("payload", F.sha1("html"))
-    firsts = rows.groupBy("payload").agg(F.min("page_id").alias("first"))
-    same = (F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.join(firsts, "payload").select("page_id", "url", "html", F.when(same, F.col("first")).alias("first"))
+    # only hashes meet by payload: a page finds its payload's first page by both keys, so a payload that very many pages have is dealt out
+    keys = rows.select("payload", "page_id", F.octet_length("html").alias("n"))
+    firsts = keys.groupBy("payload").agg(F.min("page_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("pages")).where(F.col("pages") > 1).where(F.col("n") >= min_bytes)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    rows = salted.join(firsts.select("payload", "first", salts), ["payload", "salt"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
     def write(batches):
         fs, root = _filesystem(out)
@@ -226,4 +231,14 @@ def read_archives(index: DataFrame) -> DataFrame:
 def op6_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     runs = write_archives(pages, scratch_path(spark, "archives"))
-    return read_archives(merge_runs(runs)).drop("url")
+    # the index is kept: its files, in their order, hold the captures in global order
+    index = materialize(merge_runs(runs), "capture-index")
+    return read_archives(index).drop("url")
+
+
+OP6_SQL = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM h), f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS f FROM s),
+-- base32: five bits at a time, from two hex digits
+d AS (SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(s, CAST(i + 1 AS BIGINT), 1)) - 1) AS x FROM f)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x[5 * i // 4 + 1] * 16 + coalesce(x[5 * i // 4 + 2], 0)) >> (3 - 5 * i % 4)) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+ CASE WHEN page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to FROM d"""

@@ -104,10 +104,3 @@ def test_main_text(spark):
     long = " ".join(["word"] * 5000)
     plain = "plain words without any markup at all, and quite a few of them to read"
     assert got == sorted([(1, article, len(article)), (2, "", 0), (3, "", 0), (4, long, len(long)), (4, "", 0), (5, plain, len(plain))])
-
-
-def test_tree_fits_its_table():
-    tree = page_text.grow(page_text.LABELLED)
-    assert sum(page_text.decide(tree, r[:-1]) == r[-1] for r in page_text.LABELLED) == len(page_text.LABELLED)
-
-
