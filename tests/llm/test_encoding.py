@@ -121,6 +121,41 @@ def test_genetic_packing_beats_arrival_order():
     assert len(best) <= len(bin_packing.best_fit(sizes, list(range(400)), [], 2048))
 
 
+def test_evolution_crosses_over_and_improves_on_best_fit_decreasing(monkeypatch):
+    crossed, plain = [], bin_packing.crossover
+    monkeypatch.setattr(bin_packing, "crossover", lambda *a: crossed.append(1) or plain(*a))
+    rng = random.Random(8)
+    fewer = fuller = 0
+    for case in range(12):
+        sizes = [rng.choice((rng.randrange(300, 1100), rng.randrange(600, 760))) for _ in range(90)]
+        first = bin_packing.best_fit(sizes, sorted(range(90), key=lambda i: (-sizes[i], i)), [], 2048)
+        best = []
+        for epoch in range(6):
+            best = bin_packing.evolve(sizes, best, 2048, random.Random(f"{case}/{epoch}"))
+        assert sorted(i for b in best[0] for i in b) == list(range(90)) and all(sum(sizes[i] for i in b) <= 2048 for b in best[0])
+        before, after = (bin_packing.fitness(sizes, x, 2048) for x in (first, best[0]))
+        assert after >= before
+        fewer += after[0] > before[0]
+        fuller += after > before
+    assert len(crossed) >= 12 * 6 * bin_packing.OFFSPRING and fuller >= 10 and fewer >= 1
+
+
+def test_crossover_injects_whole_bins_and_loses_nothing():
+    rng = random.Random(2)
+    sizes = [rng.randrange(100, 1500) for _ in range(120)]
+    a, b = (bin_packing.best_fit(sizes, rng.sample(range(120), 120), [], 2048) for _ in range(2))
+    child = bin_packing.crossover(sizes, a, b, 2048, rng)
+    assert sorted(i for x in child for i in x) == list(range(120)) and all(sum(sizes[i] for i in x) <= 2048 for x in child)
+    assert sum(sorted(x) in [sorted(y) for y in b] for x in child) >= len(b) // 6
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    pieces = spark.createDataFrame([(1, 0, 700, "x", 5, 9), (None, 0, 2048, None, 6, 9), (1, 0, 700, "x", 5, 9)], "doc_id long, piece int, length long, row string, block int, offset int")
+    got = bin_packing.pack(pieces)
+    assert got.columns == ["doc_id", "piece", "length", "row", "block", "sequence_id", "offset"]
+    assert sorted((r.doc_id or 0, r.length, r.row, r.block, r.offset) for r in got.collect()) == [(0, 2048, None, 6, 0), (1, 700, "x", 5, 0), (1, 700, "x", 5, 700)]
+
+
 def test_scores(spark):
     rows = [r for r in corpus(seed=6, n=120)] + [(None, "w1 w2 w3", "", 1, "")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
