@@ -29,9 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.near_duplicates(docs)
-    firsts = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct(), "group-firsts")
-    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    # one key without nulls, so that the documents are dealt once for both the join and the repeated rows
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    firsts = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct(), "group-firsts")
+    kept = docs.select("*", key, F.xxhash64("text").alias("_text_hash")).join(firsts, "_key", "left_semi")
+    return kept.dropDuplicates(["_key", "_text_hash"]).drop("_key", "_text_hash")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
