@@ -1,22 +1,23 @@
 """Scores of texts under a hierarchical Pitman-Yor language model learned from the training documents.
 
-Every word is a dish. It is served in context restaurants: one for each pair of words that stands before a word (leaf), each
-a child of the restaurant of the nearer word (inner), and those children of the root, whose base is uniform over the
-vocabulary and one unknown word. A restaurant's tables are customers of its parent. Gibbs sweeps sample the number of tables
-of every dish in every restaurant, given the table totals of the sweep before and the parent's probabilities; predictive
-probabilities are averaged over the sweeps after the burn-in.
-
-Restaurants are keyed by 64-bit hashes of the actual words, and everything that grows with the corpus is a Spark table:
-leaf entries (context, nearer word, word, customers), inner entries (nearer word, word), and totals by context, nearer word
-and word, joined in every sweep. Only sums over the root go through the driver. A dish with one customer has one table in
-every sample, so a sweep visits the entries with more than one and adds the others as a constant. Counts are summed over
-each group of documents before they are dealt, so a common phrase is one row a group. Random numbers are hashes of entry
-and sweep: no seating depends on partitions. Up to 128 customers are seated one by one; more in blocks of a 64th of those
-present, a block opening its expected number of tables, rounded at random.
-
-Words are identified by 64-bit hashes. Defined results: a null text is empty and has one token, the end; a null doc_id is
-trained on (its remainder is taken as 0); repeated rows are texts of their own; with no training tokens every word is
-unknown and both scores are logarithms of 1 / (V + 1) = 1.
+Every word is a dish. It is served in context restaurants, one for each word that stands before a word, which share one
+parent, the root, whose base is uniform over the vocabulary and one unknown word. A restaurant's tables are customers of the
+root. Gibbs sweeps sample the number of tables of every dish in every restaurant, given the tables of the sweep before and
+the root's probabilities; tables, totals and root probabilities are averaged over the sweeps after the burn-in, and with
+them the predictive probabilities.
+
+Restaurants are named by 56-bit hashes of the actual words before, so there are as many as the corpus has. An entry
+(context, word, customers) belongs to a part, by its context; the entries of contexts that very many tokens have are dealt
+out by context and word, and only their totals and sums over the root go through the driver. Groups of documents are counted
+before they are dealt and sent as byte planes of sorted entries. A dish with one customer has one table in every sample, so
+sweeps visit the entries with more than one and add the others as a constant. What the root must know of a dish in a part is
+a row (part, word). For scoring, groups send their entries again with the documents of every token; each part returns sums by
+document. Random numbers are hashes of entry and sweep: no seating depends on partitions. Up to 128 customers are seated one
+by one; more in blocks of a 64th of those present, with a binomial number of new tables for a block.
+
+Defined results: a null text is empty and has one token, the end; a null doc_id is trained on (its remainder is taken as 0);
+repeated rows are texts of their own; very long texts count whole; words of equal hash are one; with no training tokens every
+word is unknown and both scores are logarithms of 1 / (V + 1) = 1; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,83 +28,207 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import END_WORD, WordBlock, ensure_columns, materialize, mix, runs, signed, word_blocks
+from ammolite.llm.common import END_WORD, discard, ensure_columns, materialize, mix, runs, signed, word_blocks
 
-#: Restaurants of `Dishes`, the small model in memory.
-CLASSES = 16
-CONTEXTS = CLASSES * CLASSES
 #: Sweeps in all, and how many of them are discarded.
-SWEEPS, BURN_IN = 5, 2
-STRENGTH = (1.0, 1.0, 1.0)
-#: Bytes of text whose tokens are grouped by word in one row set: a bound on a task's memory.
-GROUP_BYTES = 8_000_000
+SWEEPS, BURN_IN = 4, 2
+#: Strengths of the root and of the context restaurants.
+STRENGTH = (1.0, 1.0)
+#: Bytes of text that are counted together, and tokens of a part: bounds on a task's memory.
+GROUP_BYTES, PART_TOKENS = 8_000_000, 3_000_000
+#: A context is dealt out by its words where it has this share of a part's tokens.
+HOT_SHARE = 0.25
 
+#: What a group tells of each of its documents.
+_NAME = np.dtype([("doc_id", "<i8"), ("nameless", "?"), ("held_out", "?"), ("n_tokens", "<i8")])
+#: Stands before a text. Names of words and contexts have 56 bits.
+BEGIN_WORD, NAME_BITS = np.uint64(0x9FB21C651E98DF25), np.uint64((1 << 56) - 1)
+_WIDE = 7
 
-#: What the row of the end token tells of each of its documents.
-_NAME = np.dtype([("doc_id", "<i8"), ("nameless", "?"), ("held_out", "?")])
-#: Stands twice before a text.
-BEGIN_WORD = np.uint64(0x9FB21C651E98DF25)
 
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of unsigned numbers, all lowest bytes first: planes of equal bytes take next to no room when compressed."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-def _tokens(batches):
-    """Groups of documents: (keys, names, context, nearer word and word of every token, document of every token)."""
+
+def unplanes(raw: memoryview, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    return b"".join(planes(x, width) for x, width in columns)
+
+
+def unpack(raw: bytes, counts: list[tuple[int, int]]) -> list[np.ndarray]:
+    out, at, view = [], 0, memoryview(raw)
+    for n, width in counts:
+        out.append(unplanes(view[at:], n, width))
+        at += n * width
+    return out
+
+
+def _steps(v: np.ndarray) -> np.ndarray:
+    """Differences of sorted names, the first from 0."""
+    return np.diff(v, prepend=np.uint64(0))
+
+
+def _groups(batches):
+    """Groups of documents: (first key, names, context, word and document of every token)."""
     for b in batches:
         keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
-        names = np.empty(len(keys), _NAME)
+        names = np.zeros(len(keys), _NAME)
         names["doc_id"], names["nameless"] = b.column(3).fill_null(0).to_numpy(zero_copy_only=False), b.column(3).is_null().to_numpy(zero_copy_only=False)
         names["held_out"] = b.column(1).to_numpy(zero_copy_only=False)
         for lo, hi, block in word_blocks(b.column(2), lower=True, most=GROUP_BYTES):
-            # two empty places before each text and its end after it
+            # an empty place before each text's first word, its end after its last
             counts = block.counts
             w = np.full(len(block.hashes) + len(counts), END_WORD)
             w[runs(counts, np.cumsum(counts + 1) - (counts + 1))] = block.hashes
-            before = np.full(len(block.hashes) + 2 * len(counts), BEGIN_WORD)
-            before[runs(counts, np.cumsum(counts + 2) - counts)] = block.hashes
-            at = runs(counts + 1, np.cumsum(counts + 2) - (counts + 2))
-            v = before[at + 1]
-            yield keys[lo:hi], names[lo:hi], mix(mix(before[at] ^ np.uint64(0xD1B54A32D192ED03)) + v), v, w, np.repeat(np.arange(hi - lo), counts + 1)
+            v = np.full(len(w), BEGIN_WORD)
+            v[runs(counts, np.cumsum(counts + 1) - counts)] = block.hashes
+            names["n_tokens"][lo:hi] = counts + 1
+            yield int(keys[lo]), names[lo:hi], v & NAME_BITS, w & NAME_BITS, np.repeat(np.arange(hi - lo), counts + 1)
 
 
-def _grouped(c, w, place):
-    """Order of tokens by entry (context, word), then by place, and where each entry starts."""
-    order = np.lexsort((place, mix(c ^ mix(w))))
-    c, w = c[order], w[order]
-    return order, np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
+def _word_rows(batches):
+    """(w, n, m): training tokens and all tokens of each word of a group."""
+    for _, names, _, w, doc in _groups(batches):
+        held = names["held_out"][doc]
+        words, at = np.unique(w, return_inverse=True)
+        all_ = np.bincount(at, minlength=len(words))
+        yield pa.record_batch([signed(words), all_ - np.bincount(at, held, len(words)).astype(np.int64), all_], names=["w", "n", "m"])
 
 
-def _slices(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    raw, width = values.tobytes(), values.itemsize
-    at = [0, *(ends * width).tolist()]
-    return [raw[i:j] for i, j in zip(at, at[1:])]
+def part_of(v: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
+    """The part of each entry: by its context, by context and word where the context is hot."""
+    key = np.where(np.isin(v, hot), mix(v ^ mix(w)), mix(v))
+    return (key % np.uint64(parts)).astype(np.int64)
 
 
-def _count_rows(batches):
-    """(c, v, w, n): training customers of every entry of a group of documents; 0 where it is only in held-out ones."""
-    for _, names, c, v, w, doc in _tokens(batches):
-        order, first = _grouped(c, w, doc)
-        n = np.add.reduceat((~names["held_out"][doc[order]]).astype(np.int64), first)
-        c, v, w = (x[order[first]] for x in (c, v, w))
-        for lo in range(0, len(n), 50_000):
-            yield pa.record_batch([signed(c[lo : lo + 50_000]), signed(v[lo : lo + 50_000]), signed(w[lo : lo + 50_000]), n[lo : lo + 50_000]], names=["c", "v", "w", "n"])
+def _entry_starts(part, v, w):
+    return np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
 
 
-def _blob(column) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column end to end, and each value's length (null: 0)."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(v for v in values if v), np.uint8), np.array([len(v) if v else 0 for v in values], np.int64)
+_REQUEST = "part int, kind int, `group` long, n int, m int, w long, c long, p double, body binary"
+_WORDS, _STATE, _ENTRIES, _NAMES = range(4)
 
 
-def predictive(n, tables, discount, strength, all_tables, all_customers, parent):
-    """Probability of a dish with `n` customers at `tables` tables; of NumPy arrays and of Columns."""
-    return (n - discount * tables + (strength + discount * all_tables) * parent) / (strength + all_customers)
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "kind", "group", "n", "m", "w", "c", "p", "body"])
+
+
+def _entry_rows(parts: int, hot: np.ndarray, with_tokens: bool):
+    """A row for each part that a group has entries in: steps of contexts, words, training customers; with tokens also how many tokens an entry has and their documents."""
+
+    def run(batches):
+        for group, names, v, w, doc in _groups(batches):
+            part = part_of(v, w, parts, hot)
+            order = np.lexsort((w, v, part))
+            v, w, part, doc = v[order], w[order], part[order], doc[order]
+            first = _entry_starts(part, v, w)
+            train = np.add.reduceat((~names["held_out"][doc]).astype(np.int64), first)
+            sizes = np.diff(np.append(first, len(v)))
+            cuts = np.flatnonzero(np.diff(part[first], prepend=-1))
+            rows = []
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(first)]):
+                e = first[lo:hi]
+                body = [(_steps(v[e]), _WIDE), (w[e], _WIDE), (train[lo:hi], 4)]
+                at, end = int(first[lo]), int(first[hi]) if hi < len(first) else len(v)
+                if with_tokens:
+                    body += [(sizes[lo:hi], 4), (doc[at:end], 4)]
+                rows.append((int(part[at]), _ENTRIES, group, hi - lo, end - at, None, None, None, pack(body)))
+            if with_tokens:
+                rows.append((group % parts, _NAMES, group, len(names), 0, None, None, None, names.tobytes()))
+            yield _row_batch(rows)
+
+    return run
+
+
+def _by_part(of_part):
+    """Rows come sorted by part: `of_part` gets those of each part, as a table."""
+
+    def run(batches):
+        held, key = [], None
+        for b in batches:
+            part = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and key != part[lo]:
+                        yield from of_part(int(key), pa.Table.from_batches(held))
+                        held = []
+                    held.append(b.slice(lo, hi - lo))
+                    key = part[lo]
+        if held:
+            yield from of_part(int(key), pa.Table.from_batches(held))
+
+    return run
+
 
+def _decode(rows: pa.Table, with_tokens: bool):
+    """Of rows of kind _ENTRIES: contexts, words, training customers; with tokens also the row that each entry is from, how many tokens it has, and their documents."""
+    out = [[] for _ in range(6 if with_tokens else 3)]
+    for k, (n, m, body) in enumerate(zip(rows["n"].to_pylist(), rows["m"].to_pylist(), rows["body"].to_pylist())):
+        found = unpack(body, [(n, _WIDE), (n, _WIDE), (n, 4), *([(n, 4), (m, 4)] if with_tokens else [])])
+        found[0] = np.cumsum(found[0])
+        if with_tokens:
+            found.insert(3, np.full(n, k))
+        for column, values in zip(out, found):
+            column.append(values)
+    return [np.concatenate(c) if c else np.empty(0, np.uint64) for c in out]
+
+
+class Entries:
+    """Distinct entries of a part from those of its groups: context, word, customers; `of` names the entry of each one given."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray, n: np.ndarray):
+        order = np.lexsort((w, v))
+        first = _entry_starts(np.zeros(len(v)), v[order], w[order]) if len(v) else np.empty(0, np.int64)
+        self.v, self.w = v[order[first]], w[order[first]]
+        self.n = np.add.reduceat(n[order].astype(np.int64), first) if len(v) else np.empty(0, np.int64)
+        self.of = np.empty(len(v), np.int64)
+        self.of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
+        self.context, self.at = np.unique(self.v, return_inverse=True)
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """Sum over each context."""
+        return np.bincount(self.at, values, len(self.context))
+
+
+_LEARNED = "part int, kind int, w long, singles long, many long, n long, m long, body binary"
+
+
+def _merge(hot: np.ndarray):
+    """From a part's entries: the state of those with several customers (kind 1; its n and m count entries of one and of two), a row for each word (kind 0), a row for each hot context with its single entries and customers (kind 2)."""
+
+    def of_part(part, rows):
+        e = Entries(*_decode(rows, False))
+        single, many = e.n == 1, e.n > 1
+        words, at = np.unique(e.w, return_inverse=True)
+        alone = e.totals(single).astype(np.int64)
+        body = pack([(_steps(e.v[many]), _WIDE), (e.w[many], _WIDE), (e.n[many], 8), (np.ones(int(many.sum())), 8), (np.zeros(int(many.sum())), 8), (alone[e.at[many]], 8)])
+        burning = np.flatnonzero(np.isin(e.context, hot))
+        customers = e.totals(e.n).astype(np.int64)
+        k = [1, len(words), len(burning)]
+        zeros = lambda n: np.zeros(n, np.int64)
+        yield pa.record_batch(
+            [
+                np.full(sum(k), part, np.int32), np.repeat(np.array([1, 0, 2], np.int32), k), np.concatenate([zeros(1), signed(words), signed(e.context[burning])]),
+                np.concatenate([[int(many.sum())], np.bincount(at, single, len(words)).astype(np.int64), alone[burning]]), np.concatenate([zeros(1), np.bincount(at, many, len(words)).astype(np.int64), customers[burning]]),
+                np.concatenate([[int(single.sum())], zeros(k[1] + k[2])]), np.concatenate([[int((e.n == 2).sum())], zeros(k[1] + k[2])]), pa.array([body] + [None] * (k[1] + k[2]), pa.binary()),
+            ],
+            names=["part", "kind", "w", "singles", "many", "n", "m", "body"],
+        )
+
+    return of_part
 
-class Chain:
-    """Of the small model in memory: discounts, customers and, for each sweep so far, tables of all restaurants."""
 
-    def __init__(self, vocabulary: int, discounts: tuple, customers: np.ndarray):
-        self.vocabulary, self.discounts, self.customers = vocabulary, discounts, customers
-        self.tables: list[tuple[np.ndarray, np.ndarray, float]] = []  # leaves, inner, root
+def predictive(n, tables, discount, strength, all_tables, all_customers, parent):
+    """Probability of a dish with `n` customers at `tables` tables; of NumPy arrays and of Columns."""
+    return (n - discount * tables + (strength + discount * all_tables) * parent) / (strength + all_customers)
 
 
 def _uniform(seeds: np.ndarray, step: int) -> np.ndarray:
@@ -119,188 +244,235 @@ def _seat(counts: np.ndarray, weight: np.ndarray, discount: float, seeds: np.nda
         step = max(1, seated // 64)
         block = np.minimum(step, counts[live] - seated)
         p = weight[live] / (seated - discount * tables[live] + weight[live])
-        tables[live] += np.minimum(block, np.floor(block * p + _uniform(seeds[live], seated)))
+        u = _uniform(seeds[live], 2 * seated)
+        tables[live] += (u < p) if step == 1 else _binomial(block, p, u, seeds[live], 2 * seated + 1)
         seated += step
         live = live[counts[live] > seated]
     return tables
 
 
-class Dishes:
-    """The model with few restaurants in memory, context k a child of k % 16: entry = (dish, context) with its customers."""
-
-    def __init__(self, chain: Chain, h: np.ndarray, dish: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
-        self.chain, self.n_dishes, self.dish, self.contexts, self.counts = chain, len(h), dish, contexts, counts
-        self.h = h
-        key = dish * CLASSES + contexts % CLASSES
-        self.inner, self.of_inner = np.unique(key, return_inverse=True)
-        self.inner_dish, self.inner_class = self.inner // CLASSES, self.inner % CLASSES
-        self.state = None
-
-    def _seeds(self, sweep: int, level: int, dish: np.ndarray, restaurant) -> np.ndarray:
-        salt = np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
-        return mix(mix(self.h[dish] ^ salt) + np.asarray(restaurant, np.uint64))
-
-    def start(self):
-        leaf = np.minimum(self.counts, 1).astype(np.float64)
-        inner = np.minimum(np.bincount(self.of_inner, leaf, len(self.inner)), 1)
-        self.state = leaf, inner, np.minimum(np.bincount(self.inner_dish, inner, self.n_dishes), 1)
-
-    def probabilities(self, sweep: int):
-        """(root, inner, leaf) probabilities of the present state with the totals after `sweep`."""
-        leaf_t, inner_t, root_t = self.state
-        leaves, inners, root = self.chain.tables[sweep]
-        d0, d1, d2 = self.chain.discounts
-        inner_n, root_n = np.bincount(self.of_inner, leaf_t, len(self.inner)), np.bincount(self.inner_dish, inner_t, self.n_dishes)
-        inner_total, root_total = leaves.reshape(CLASSES, CLASSES).sum(0), inners.sum()
-        p0 = predictive(root_n, root_t, d0, STRENGTH[0], root, root_total, 1 / (self.chain.vocabulary + 1))
-        k = self.inner_class
-        p1 = predictive(inner_n, inner_t, d1, STRENGTH[1], inners[k], inner_total[k], p0[self.inner_dish])
-        k = self.contexts
-        p2 = predictive(self.counts, leaf_t, d2, STRENGTH[2], leaves[k], self.chain.customers[k], p1[self.of_inner])
-        return p0, p1, p2
-
-    def sweep(self, k: int):
-        """From the state with totals k to the next."""
-        p0, p1, _ = self.probabilities(k)
-        leaves, inners, root = self.chain.tables[k]
-        d0, d1, d2 = self.chain.discounts
-        every = np.arange(self.n_dishes)
-        leaf = _seat(self.counts, (STRENGTH[2] + d2 * leaves[self.contexts]) * p1[self.of_inner], d2, self._seeds(k, 2, self.dish, self.contexts))
-        inner = _seat(np.bincount(self.of_inner, leaf, len(self.inner)).astype(np.int64), (STRENGTH[1] + d1 * inners[self.inner_class]) * p0[self.inner_dish], d1, self._seeds(k, 1, self.inner_dish, self.inner_class))
-        top = _seat(np.bincount(self.inner_dish, inner, self.n_dishes).astype(np.int64), np.full(self.n_dishes, (STRENGTH[0] + d0 * root) / (self.chain.vocabulary + 1)), d0, self._seeds(k, 0, every, 0))
-        self.state = leaf, inner, top
-
-
-def _seats(n, weight, discount: float, sweep: int, level: int, *entry):
-    """Column: tables of `n` customers of the entry in this sweep."""
-    salt = np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+def _binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray, seeds: np.ndarray, step: int) -> np.ndarray:
+    """Binomial numbers from uniform ones: the distribution's steps are counted up to u; where the mean is over 20, its normal limit."""
+    out = np.zeros(len(n))
+    large = n * p > 20
+    if large.any():
+        normal = np.sqrt(-2 * np.log(np.maximum(u, 2.0**-54))) * np.cos(2 * np.pi * _uniform(seeds, step))
+        out = np.where(large, np.clip(np.rint(n * p + normal * np.sqrt(n * p * (1 - p))), 0, n), 0.0)
+    chance = np.where(large, 1.0, np.exp(n * np.log1p(-np.minimum(p, 1 - 1e-12))))
+    below, odds = chance.copy(), p / np.maximum(1 - p, 1e-12)
+    live = np.flatnonzero(~large & (u >= below))
+    k = 0
+    while len(live) and k < 200:
+        chance[live] *= (n[live] - k) / (k + 1) * odds[live]
+        below[live] += chance[live]
+        k += 1
+        out[live] = np.minimum(k, n[live])
+        live = live[(u[live] >= below[live]) & (n[live] > k)]
+    return out
 
-    @F.pandas_udf("double")
-    def seat(n: pd.Series, weight: pd.Series, seed: pd.Series) -> pd.Series:
-        seeds = mix(seed.to_numpy(np.int64).view(np.uint64) ^ salt)
-        return pd.Series(_seat(n.to_numpy(np.int64), weight.to_numpy(np.float64), discount, seeds))
 
-    return seat(n.cast("long"), weight, F.xxhash64(*entry))
+def _salt(sweep: int, level: int) -> np.uint64:
+    return np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
 
 
-def learn(grams: DataFrame) -> tuple[DataFrame, int, int]:
-    """(c, w, p, n_word) of every entry of `grams` (c, v, w, n), training tokens and vocabulary: discounts from counts of counts, then the sweeps."""
-    col, total = F.col, lambda x: F.coalesce(F.sum(x), F.lit(0))
-    flag = lambda x: F.sum(x.cast("long"))
-    contexts = materialize(grams.groupBy("c").agg(F.sum("n").alias("customers"), flag(col("n") == 1).alias("single"), flag(col("n") > 0).alias("start"), flag(col("n") > 1).alias("many")), "contexts")
-    pairs = materialize(grams.groupBy("v", "w").agg(F.sum("n").alias("n_word"), flag(col("n") == 1).alias("single"), flag(col("n") > 0).alias("n1")), "pairs")
-    # an entry with one training token is the only customer of its dish in the pair's restaurant
-    moving = col("n_word") > 1
-    words = materialize(pairs.groupBy("w").agg(F.sum("n_word").alias("n_word"), flag(col("n_word") == 1).alias("fixed"), flag(col("n1") > 0).alias("n0")), "words")
-    nearer = materialize(pairs.groupBy("v").agg(flag(col("n_word") == 1).alias("fixed"), F.sum("n1").alias("customers"), flag(col("n1") > 0).alias("tables")), "nearer")
-    count = lambda df, name: df.agg(*(total((col(name) == k).cast("long")) for k in (1, 2))).first()
-    share = lambda one, two: float(min(0.95, max(0.05, one / (one + 2 * two)))) if one + two else 0.5
-    d0, d1, d2 = share(*count(words, "n0")), share(*count(pairs, "n1")), share(*count(grams, "n"))
-    n_training, vocabulary, root_customers = words.agg(total("n_word"), total((col("n_word") > 0).cast("long")), total("n0")).first()
-
-    leaves = materialize(grams.where("n > 1"), "leaves").withColumn("sum", F.lit(0.0))
-    inner = pairs.where(moving).select("v", "w", "single", col("n1").cast("double").alias("n1"), F.lit(1.0).alias("t1"))
-    crowded = contexts.where("many > 0").select("c", "single", col("start").cast("double").alias("t2"))
-    halls = nearer.select("v", "fixed", col("customers").cast("double").alias("n1_all"), col("tables").cast("double").alias("t1_all"))
-    root = words.select("w", "n_word", "fixed", col("n0").cast("double").alias("n0"), (col("n0") > 0).cast("double").alias("t0"))
-    root_tables, used, kept = float(vocabulary), [], {"leaf": [], "inner": [], "hall": [], "root": []}
-    for k in range(SWEEPS + 1):
-        p0 = predictive(col("n0"), col("t0"), d0, STRENGTH[0], root_tables, float(root_customers), 1 / (vocabulary + 1))
-        root = materialize(root.withColumn("p0", p0), "root")
-        p1 = predictive(col("n1"), col("t1"), d1, STRENGTH[1], col("t1_all"), col("n1_all"), col("p0"))
-        if k > min(BURN_IN, SWEEPS - 1):
-            used.append(k)
-            kept["leaf"].append(crowded.select("c", col("t2").alias(f"t2_{k}")))
-            kept["inner"].append(inner.select("v", "w", (col("n1") - d1 * col("t1")).alias(f"own_{k}")))
-            kept["hall"].append(halls.select("v", col("n1_all").alias(f"n1_all_{k}"), col("t1_all").alias(f"t1_all_{k}")))
-            kept["root"].append(root.select("w", col("p0").alias(f"p0_{k}")))
-        if k == SWEEPS:
-            break
-        open_ = materialize(inner.join(halls.drop("fixed"), "v").join(root.select("w", "p0"), "w").select("v", "w", "single", ((STRENGTH[1] + d1 * col("t1_all")) * col("p0")).alias("weight"), p1.alias("p1")), "inner-weights")
-        seated = leaves.join(crowded.select("c", "t2"), "c").join(open_.select("v", "w", "p1"), ["v", "w"])
-        seated = seated.withColumn("t", _seats(col("n"), (STRENGTH[2] + d2 * col("t2")) * col("p1"), d2, k, 2, "c", "w"))
-        leaves = materialize(seated.select("c", "v", "w", "n", (col("sum") + (col("t") if k + 1 > min(BURN_IN, SWEEPS - 1) else 0.0)).alias("sum"), "t"), "seated")
-        crowded = materialize(crowded.join(leaves.groupBy("c").agg(F.sum("t").alias("more")), "c").select("c", "single", (col("single") + col("more")).alias("t2")), "crowded")
-        sent = open_.join(leaves.groupBy("v", "w").agg(F.sum("t").alias("more")), ["v", "w"], "left").withColumn("n1", col("single") + F.coalesce("more", F.lit(0.0)))
-        inner = materialize(sent.withColumn("t1", _seats(col("n1"), col("weight"), d1, k, 1, "v", "w")).select("v", "w", "single", "n1", "t1"), "inner")
-        leaves = leaves.drop("t")
-        halls = materialize(halls.select("v", "fixed").join(inner.groupBy("v").agg(F.sum("n1").alias("n"), F.sum("t1").alias("t")), "v", "left").select("v", "fixed", (col("fixed") + F.coalesce("n", F.lit(0.0))).alias("n1_all"), (col("fixed") + F.coalesce("t", F.lit(0.0))).alias("t1_all")), "halls")
-        top = root.select("w", "n_word", "fixed").join(inner.groupBy("w").agg(F.sum("t1").alias("t")), "w", "left").select("w", "n_word", "fixed", (col("fixed") + F.coalesce("t", F.lit(0.0))).alias("n0"))
-        root = materialize(top.withColumn("t0", _seats(col("n0"), F.lit((STRENGTH[0] + d0 * root_tables) / (vocabulary + 1)), d0, k, 0, "w")), "root-seated")
-        root_customers, root_tables = root.agg(total("n0").cast("double"), total("t0").cast("double")).first()
-
-    def together(tables, on):
-        out = tables[0]
-        for more in tables[1:]:
-            out = out.join(more, on)
-        return out
-
-    one = (col("n_word") == 1).cast("double") * (1 - d1)
-    backs = pairs.drop("single", "n1").join(together(kept["inner"], ["v", "w"]), ["v", "w"], "left").join(together(kept["hall"], "v"), "v").join(together([words.select("w", col("n_word").alias("n_all")), *kept["root"]], "w"), "w")
-    p1s = [((F.coalesce(f"own_{k}", one) + (STRENGTH[1] + d1 * col(f"t1_all_{k}")) * col(f"p0_{k}")) / (STRENGTH[1] + col(f"n1_all_{k}"))).alias(f"p1_{k}") for k in used]
-    backs = backs.select("v", "w", "n_all", *p1s)
-    totals = contexts.select("c", "customers", "single").join(together(kept["leaf"], "c"), "c", "left").select("c", "customers", *(F.coalesce(f"t2_{k}", "single").alias(f"t2_{k}") for k in used))
-    own = col("n") - d2 * F.coalesce(col("sum") / len(used), col("n"))
-    back = sum(((STRENGTH[2] + d2 * col(f"t2_{k}")) * col(f"p1_{k}") for k in used), F.lit(0.0)) / len(used)
-    entries = grams.join(leaves.select("c", "w", "sum"), ["c", "w"], "left").join(totals, "c").join(backs, ["v", "w"])
-    return entries.select("c", "w", ((own + back) / (STRENGTH[2] + col("customers"))).alias("p"), col("n_all").alias("n_word")), n_training, vocabulary
-
-
-def _token_rows(batches):
-    """(c, w, base, docs, names): of every entry of a group, the documents (32-bit, from `base`) of its tokens.
-
-    Each text has one end token, so an end's rows also carry their documents' names: what a key stands for travels with it.
-    """
-    for keys, names, c, v, w, doc in _tokens(batches):
-        base = keys.min()
-        step = 1 << 32
-        place = (keys - base)[doc]
-        for page in np.unique(place // step):  # keys of a partition run on, so this is one page
-            pick = np.flatnonzero(place // step == page)
-            order, starts = _grouped(c[pick], w[pick], place[pick])
-            order = pick[order]
-            ends = np.append(starts[1:], len(order))
-            docs = _slices((place[order] % step).astype("<u4"), ends)
-            told = [None] * len(starts)
-            for i in np.flatnonzero(w[order[starts]] == END_WORD):
-                told[i] = names[doc[order[starts[i] : ends[i]]]].tobytes()
-            for lo in range(0, len(starts), 50_000):
-                hi = lo + 50_000
-                first = order[starts[lo:hi]]
-                yield pa.record_batch([signed(c[first]), signed(w[first]), np.full(len(first), base + page * step, np.int64), pa.array(docs[lo:hi], pa.binary()), pa.array(told[lo:hi], pa.binary())], names=["c", "w", "base", "docs", "names"])
-
-
-def _score_rows(n_training: int, vocabulary: int):
-    """Sums by document over each batch of (base, docs, names, p, n_word)."""
+def entry_seeds(v: np.ndarray, w: np.ndarray, sweep: int) -> np.ndarray:
+    return mix(mix(v ^ _salt(sweep, 1)) + w)
+
+
+def _root_seats(n, weight: float, discount: float, sweep: int):
+    """Column: tables of a word's `n` customers in the root."""
+
+    @F.pandas_udf("double")
+    def seat(n: pd.Series, w: pd.Series) -> pd.Series:
+        counts = n.to_numpy(np.int64)
+        return pd.Series(_seat(counts, np.full(len(counts), weight), discount, mix(w.to_numpy(np.int64).view(np.uint64) ^ _salt(sweep, 0))))
+
+    return seat(n.cast("long"), F.col("w"))
+
+
+def _sweep(sweep: int, keep: bool, discount: float, hot: np.ndarray, hot_tables: np.ndarray):
+    """A part's sweep. Rows: (part, w, p) of its words with several customers somewhere, then its state (body). Returns the new state, tables by word (kind 0) and by hot context (kind 2)."""
+
+    def of_part(part, rows):
+        told = rows["body"].is_null().to_numpy()
+        words = rows["w"].to_numpy()[told].view(np.uint64)
+        order = np.argsort(words)
+        words, p0 = words[order], rows["p"].to_numpy()[told][order]
+        body, n = rows["body"].to_pylist()[-1], rows["n"].to_pylist()[-1]
+        v, w, customers, tables, kept, alone = unpack(body, [(n, _WIDE), (n, _WIDE), *[(n, 8)] * 4])
+        v, tables, kept = np.cumsum(v), tables.astype(np.float64), kept.astype(np.float64)
+        context, at = np.unique(v, return_inverse=True)
+        total = np.bincount(at, tables, len(context)) + _once(alone, at, len(context))
+        burning = np.isin(context, hot)
+        total[burning] = hot_tables[np.searchsorted(hot, context[burning])]
+        weight = (STRENGTH[1] + discount * total[at]) * p0[np.searchsorted(words, w)]
+        new = _seat(customers.astype(np.int64), weight, discount, entry_seeds(v, w, sweep))
+        state = pack([(_steps(v), _WIDE), (w, _WIDE), (customers, 8), (new, 8), (kept + new if keep else kept, 8), (alone, 8)])
+        own, word = np.unique(w, return_inverse=True)
+        sums, burnt = np.bincount(word, new, len(own)), np.bincount(at, new, len(context))[burning]
+        k = [1, len(own), len(burnt)]
+        yield pa.record_batch(
+            [np.full(sum(k), part, np.int32), np.repeat(np.array([1, 0, 2], np.int32), k), np.concatenate([[0], signed(own), signed(context[burning])]), np.concatenate([[0.0], sums, burnt]), np.concatenate([[n], np.zeros(k[1] + k[2], np.int64)]).astype(np.int32), pa.array([state] + [None] * (k[1] + k[2]), pa.binary())],
+            names=["part", "kind", "w", "t", "n", "body"],
+        )
+
+    return of_part
+
+
+def _once(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The value of each group, which all its members have."""
+    out = np.zeros(n)
+    out[at] = values
+    return out
+
+
+def _score(n_training: int, vocabulary: int, discount: float, samples: int, hot: np.ndarray, hot_tables: np.ndarray, hot_customers: np.ndarray):
+    """(group, n, body): sums by document of each group's tokens in the part (known words, base, score), and the groups' names."""
+
+    def of_part(part, rows):
+        kind = rows["kind"].to_numpy()
+        pick = lambda k: rows.filter(pa.array(kind == k))
+        told, state, asked, named = pick(_WORDS), pick(_STATE), pick(_ENTRIES), pick(_NAMES)
+        groups, ns, bodies = list(named["group"].to_pylist()), list(named["n"].to_pylist()), list(named["body"].to_pylist())
+        if len(asked):
+            v, w, n, source, tokens, doc = _decode(asked, True)
+            e = Entries(v, w, n)
+            words = told["w"].to_numpy().view(np.uint64)
+            order = np.argsort(words)
+            at = order[np.searchsorted(words, e.w, sorter=order)]
+            c, p0 = told["c"].to_numpy()[at], told["p"].to_numpy()[at]
+            tables = np.minimum(e.n, 1).astype(np.float64)
+            for body, m in zip(state["body"].to_pylist(), state["n"].to_pylist()):
+                _, _, _, _, kept, _ = unpack(body, [(m, _WIDE), (m, _WIDE), *[(m, 8)] * 4])
+                tables[e.n > 1] = kept / samples  # the same entries in the same order
+            total, customers = e.totals(tables), e.totals(e.n)
+            burning = np.isin(e.context, hot)
+            place = np.searchsorted(hot, e.context[burning])
+            total[burning], customers[burning] = hot_tables[place], hot_customers[place]
+            p = predictive(e.n, tables, discount, STRENGTH[1], total[e.at], customers[e.at], p0)
+            logs = np.log10(p), np.log10((c + 1) / (n_training + vocabulary + 1))
+            row = np.repeat(source, tokens.astype(np.int64)).astype(np.int64)
+            which = np.repeat(e.of, tokens.astype(np.int64))
+            cuts = np.searchsorted(row, np.arange(len(asked) + 1))
+            doc = doc.astype(np.int64)
+            for k, group in enumerate(asked["group"].to_pylist()):
+                d, x = doc[cuts[k] : cuts[k + 1]], which[cuts[k] : cuts[k + 1]]
+                there, d = np.unique(d, return_inverse=True)
+                sums = [np.bincount(d, y, len(there)) for y in (c[x] > 0, logs[1][x], logs[0][x])]
+                groups.append(group)
+                ns.append(-len(there))
+                bodies.append(pack([(there, 4), (sums[0].astype(np.uint64), 4)]) + sums[1].tobytes() + sums[2].tobytes())
+        yield pa.record_batch([pa.array(groups, pa.int64()), pa.array(ns, pa.int32()), pa.array(bodies, pa.binary())], names=["group", "n", "body"])
+
+    return of_part
+
+
+def _documents(n_training: int):
+    """Rows (group, n, body) come sorted by group, its names (n > 0) last."""
 
     def run(batches):
+        sums: list[tuple] = []
         for b in batches:
-            raw, sizes = _blob(b.column("docs"))
-            row = np.repeat(np.arange(len(sizes)), sizes // 4)
-            key = np.asarray(b.column("base").to_numpy(zero_copy_only=False), np.int64)[row] + raw.view("<u4")
-            c = np.asarray(b.column("n_word").to_numpy(zero_copy_only=False), np.int64)
-            base, score = np.log10((c + 1) / (n_training + vocabulary + 1)), np.log10(b.column("p").to_numpy(zero_copy_only=False))
-            keys, at = np.unique(key, return_inverse=True)
-            sums = [np.bincount(at, x[row], len(keys)) for x in (np.ones(len(sizes)), c > 0, base, score)]
-            told, lengths = _blob(b.column("names"))
-            told = told.view(_NAME)
-            which = at[(lengths > 0)[row]]
-            doc_id, unnamed, held = np.zeros(len(keys), np.int64), np.ones(len(keys), bool), np.zeros(len(keys), bool)
-            doc_id[which], unnamed[which], held[which] = told["doc_id"], told["nameless"], told["held_out"]
-            yield pa.record_batch([keys, pa.array(doc_id, mask=unnamed), held, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]], names=["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            for group, n, body in zip(*(c.to_pylist() for c in b.columns)):
+                if n < 0:
+                    there, known = unpack(body, [(-n, 4), (-n, 4)])
+                    sums.append((there.astype(np.int64), known, *np.frombuffer(body, np.float64, offset=-8 * n).reshape(2, -n)))
+                    continue
+                names = np.frombuffer(body, _NAME)
+                out = [np.zeros(n) for _ in range(3)]
+                for there, *values in sums:
+                    for total, x in zip(out, values):
+                        total[there] += x
+                sums = []
+                yield pa.record_batch(
+                    [pa.array(names["doc_id"], mask=names["nameless"]), pa.array(names["held_out"].tolist(), pa.bool_()), names["n_tokens"].astype(np.int64), out[0].astype(np.int64), np.full(n, n_training, np.int64), out[1], out[2]],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return run
 
 
+def _share(one, two) -> float:
+    """A discount from how many entries have one and two customers."""
+    return float(min(0.95, max(0.05, one / (one + 2 * two)))) if one else 0.5
+
+
 def score_texts(documents: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; `held_out` is a boolean Column over doc_id."""
+    col, total = F.col, lambda x: F.coalesce(F.sum(x), F.lit(0))
     docs = ensure_columns(documents, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text", "doc_id")
-    counted = docs.mapInArrow(_count_rows, "c long, v long, w long, n long")
-    entries, n_training, vocabulary = learn(materialize(counted.groupBy("c", "v", "w").agg(F.sum("n").alias("n")), "grams"))
-    tokens = docs.mapInArrow(_token_rows, "c long, w long, base long, docs binary, names binary").join(entries, ["c", "w"]).select("base", "docs", "names", "p", "n_word")
-    sums = tokens.mapInArrow(_score_rows(n_training, vocabulary), "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    sums = sums.groupBy("key").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out")), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_training).cast("long").alias("train_tokens"), "base_score", "score")
+    words = materialize(docs.mapInArrow(_word_rows, "w long, n long, m long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "words")
+    n_training, vocabulary, tokens = words.agg(total("n"), total((col("n") > 0).cast("long")), total("m")).first()
+    parts = max(1, -(-tokens // PART_TOKENS))
+    frequent = words.where(col("m") >= HOT_SHARE * PART_TOKENS).select("w").collect()  # fewer than tokens / (HOT_SHARE * PART_TOKENS)
+    hot = np.unique(np.array([*(r.w & int(NAME_BITS) for r in frequent), int(BEGIN_WORD & NAME_BITS)], np.uint64))
+
+    dealt = lambda df, *order: df.repartition(parts, "part").sortWithinPartitions("part", *order)
+    learned = dealt(docs.mapInArrow(_entry_rows(parts, hot, False), _REQUEST).select("part", "kind", "group", "n", "m", "body"))
+    learned = materialize(learned.mapInArrow(_by_part(_merge(hot)), _LEARNED), "learned")
+    ones, twos = learned.where("kind = 1").agg(total("n"), total("m")).first()
+    told = learned.where("kind = 0").select("part", "w", "singles", "many")
+    root = told.groupBy("w").agg(F.sum("singles").alias("fixed"), F.sum("many").alias("moving"))
+    root = materialize(words.select("w", "n").join(root, "w").select("w", "n", "fixed", col("moving").cast("double").alias("moving"), F.lit(0.0).alias("p")), "root")
+    customers = col("fixed") + col("moving")
+    single, double = root.agg(*(total((customers == k).cast("long")) for k in (1, 2))).first()
+    d0, d1 = _share(single, double), _share(ones, twos)
+
+    def by_context(rows, *columns):
+        """Sums over the hot contexts, a bounded list, in its order."""
+        found = {r[0] & int(NAME_BITS): r[1:] for r in rows.groupBy("w").agg(*(F.sum(c) for c in columns)).collect()}
+        return [np.array([float(found.get(int(h), (0,) * len(columns))[k] or 0) for h in hot]) for k in range(len(columns))]
+
+    hot_single, hot_customers = by_context(learned.where("kind = 2"), "singles", "many")
+    # at first every dish has one table in every restaurant that serves it
+    state = learned.where("kind = 1").select("part", "body", col("singles").cast("int").alias("n"))
+    (hot_moving,) = by_context(_first_tables(learned, hot), "t")
+    wanted = told.where("many > 0").select("part", "w")
+    root_tables, kept_tables, samples, old = float(vocabulary), np.zeros(len(hot)), SWEEPS - BURN_IN, []
+    for k in range(SWEEPS + 1):
+        seated = materialize(root.withColumn("t", _root_seats(customers, (STRENGTH[0] + d0 * root_tables) / (vocabulary + 1), d0, k)), "root-seated")
+        root_customers, root_tables = (float(x) for x in seated.agg(total(customers), total("t")).first())
+        p0 = predictive(customers, col("t"), d0, STRENGTH[0], root_tables, root_customers, 1 / (vocabulary + 1))
+        seated = seated.withColumn("p0", p0)
+        if k > BURN_IN:
+            seated = seated.withColumn("p", col("p") + col("p0") / samples)
+        if k == SWEEPS:
+            root = seated
+            break
+        rows = wanted.join(seated.select("w", "p0"), "w").select("part", "w", col("p0").alias("p"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("body"))
+        rows = rows.unionByName(state.select("part", F.lit(0).cast("long").alias("w"), F.lit(0.0).alias("p"), "n", "body"))
+        swept = dealt(rows, col("body").isNotNull()).mapInArrow(_by_part(_sweep(k, k >= BURN_IN, d1, hot, hot_single + hot_moving)), "part int, kind int, w long, t double, n int, body binary")
+        swept = materialize(swept, "swept")
+        (hot_moving,) = by_context(swept.where("kind = 2"), "t")
+        if k >= BURN_IN:
+            kept_tables += (hot_single + hot_moving) / samples
+        state = swept.where("kind = 1").select("part", "body", "n")
+        tables = swept.where("kind = 0").groupBy("w").agg(F.sum("t").alias("now"))
+        root = materialize(seated.join(tables, "w", "left").select("w", "n", "fixed", F.coalesce("now", F.lit(0.0)).alias("moving"), "p"), "root")
+        for table in old:
+            discard(table)
+        old = [swept]
+    facts = told.select("part", "w").join(root.select("w", col("n").alias("c"), "p"), "w")
+    empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    facts = facts.select("part", F.lit(_WORDS).alias("kind"), empty("long", "group"), empty("int", "n"), empty("int", "m"), "w", "c", "p", empty("binary", "body"))
+    state = state.select("part", F.lit(_STATE).alias("kind"), empty("long", "group"), "n", empty("int", "m"), empty("long", "w"), empty("long", "c"), empty("double", "p"), "body")
+    asked = docs.mapInArrow(_entry_rows(parts, hot, True), _REQUEST)
+    score = _by_part(_score(n_training, vocabulary, d1, samples, hot, kept_tables, hot_customers))
+    sums = dealt(asked.unionByName(facts).unionByName(state), "kind").mapInArrow(score, "`group` long, n int, body binary")
+    return sums.repartition("group").sortWithinPartitions("group", "n").mapInArrow(_documents(n_training), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _first_tables(learned: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(w, t): one table for each entry of several customers, by hot context."""
+
+    def run(batches):
+        for b in batches:
+            for n, body in zip(*(c.to_pylist() for c in b.columns)):
+                v = np.cumsum(unpack(body, [(n, _WIDE)])[0])
+                found, t = np.unique(v[np.isin(v, hot)], return_counts=True)
+                yield pa.record_batch([signed(found), t.astype(np.float64)], names=["w", "t"])
+
+    return learned.where("kind = 1").select(F.col("singles").cast("int"), "body").mapInArrow(run, "w long, t double")
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,30 +180,3 @@ def test_scores(spark):
     rate = lambda flag, c: -sum(r[c] for r in found if r.held_out == flag) / sum(r.n_tokens for r in found if r.held_out == flag)
     assert rate(False, "score") < rate(False, "base_score") and rate(True, "score") < rate(True, "base_score")
     assert language_model.score_texts(docs.limit(0), held).collect() == []
-
-
-def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    dishes, contexts = np.repeat(np.arange(30), 4), np.tile(np.array([0, 17, 33, 200], np.uint8), 30)
-    counts = rng.integers(1, 40, 120)
-    customers = np.bincount(contexts, counts, language_model.CONTEXTS)
-    chain = language_model.Chain(30, (0.5, 0.6, 0.7), customers)
-    rows = language_model.Dishes(chain, np.arange(30, dtype=np.uint64), dishes, contexts, counts)
-
-    def record():
-        leaf, inner, root = rows.state
-        chain.tables.append((np.bincount(contexts, leaf, language_model.CONTEXTS), np.bincount(rows.inner_class, inner, language_model.CLASSES), float(root.sum())))
-
-    rows.start()
-    record()
-    for k in range(3):
-        rows.sweep(k)
-        record()
-        assert (rows.state[0] <= counts).all() and (rows.state[0] >= 1).all()
-    p0, p1, p2 = rows.probabilities(3)
-    unknown = (1.0 + 0.5 * chain.tables[3][2]) / (31) / (1.0 + chain.tables[3][1].sum())
-    assert abs(p0.sum() + unknown - 1) < 1e-9
-    leaves = chain.tables[3][0]
-    back = (1.0 + 0.6 * chain.tables[3][1][1]) / (1.0 + leaves.reshape(16, 16).sum(0)[1]) * unknown
-    back = (1.0 + 0.7 * leaves[17]) / (1.0 + customers[17]) * back
-    assert abs(p2[contexts == 17].sum() + back - 1) < 1e-9
