@@ -69,7 +69,7 @@ def impute(cells: DataFrame, how: str = "mean") -> DataFrame:
     """Fill missing cells with the variable's mean or median; a variable that is missing throughout stays so."""
     fill = F.avg("value") if how == "mean" else F.expr("percentile(value, 0.5)")
     f = cells.groupBy("var").agg(fill.alias("f"))
-    return cells.join(F.broadcast(f), "var").select("row_id", "var", F.round(F.coalesce("value", "f"), 6).alias("value"))
+    return cells.join(f, "var").select("row_id", "var", F.round(F.coalesce("value", "f"), 6).alias("value"))
 
 
 def missing_info(cells: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def interpolate_linear(x: DataFrame, at: DataFrame) -> DataFrame:
 
 def select_intervals(x: DataFrame, intervals: DataFrame) -> DataFrame:
     """Rows in any of the closed intervals (lo, hi), a small table; rows in several appear once for each."""
-    return x.join(F.broadcast(intervals.select("lo", "hi")), (F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi"))).select("series", "t", F.round("v", 6).alias("v"), "lo")
+    return x.join(intervals.select("lo", "hi"), (F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi"))).select("series", "t", F.round("v", 6).alias("v"), "lo")
 
 
 def add_gaps(x: DataFrame, lo: float, hi: float) -> DataFrame:

@@ -1,6 +1,6 @@
 """Occurrences with age intervals, time bins, range-through counts and range extensions. Ages grow into the past.
 
-Bins are a small table (a time scale); it is broadcast. Everything else is grouped before it is joined.
+Bins are a small table (a time scale): Spark broadcasts it while it is, no hint forces it. Everything else is grouped before it is joined.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def bin_time(occurrences: DataFrame, bins: DataFrame, method: str = "mid") -> Da
     interval overlaps; majority: the bin that holds most of the interval, the first of equals.
     """
     o = occurrences.select(F.monotonically_increasing_id().alias("id"), "taxon", "min_ma", "max_ma")
-    b = F.broadcast(bins.select("bin", F.col("min_ma").alias("lo"), F.col("max_ma").alias("hi")))
+    b = bins.select("bin", F.col("min_ma").alias("lo"), F.col("max_ma").alias("hi"))
     if method == "mid":
         mid = (F.col("min_ma") + F.col("max_ma")) / 2
         return o.join(b, (mid > F.col("lo")) & (mid < F.col("hi")), "left").select("taxon", "min_ma", "max_ma", "bin")
@@ -39,7 +39,7 @@ def ranges(occurrences: DataFrame) -> DataFrame:
 def range_through(taxa: DataFrame, bins: DataFrame) -> DataFrame:
     """Richness, originations and extinctions by bin; overlap is strict at both ends, a last appearance at 0 is no extinction."""
     b = bins.select("bin", F.col("min_ma").alias("lo"), F.col("max_ma").alias("hi"))
-    inside = taxa.select("taxon", "min_ma", "max_ma").join(F.broadcast(b), (F.col("min_ma") < F.col("hi")) & (F.col("max_ma") > F.col("lo")))
+    inside = taxa.select("taxon", "min_ma", "max_ma").join(b, (F.col("min_ma") < F.col("hi")) & (F.col("max_ma") > F.col("lo")))
     # bins that an interval overlaps run on, so the oldest and the youngest of them are its first and last
     w = W.partitionBy("taxon")
     s = inside.select("bin", (F.max("hi").over(w) == F.col("hi")).alias("first"), ((F.min("lo").over(w) == F.col("lo")) & (F.col("min_ma") > 0)).alias("last"))
@@ -59,7 +59,7 @@ def depth_to_time(x: DataFrame, anchors: DataFrame) -> DataFrame:
     w = W.orderBy("depth")
     a = anchors.select(F.col("depth").alias("d0"), F.col("age").alias("a0"), F.lead("depth").over(w).alias("d1"), F.lead("age").over(w).alias("a1"), F.row_number().over(w).alias("k")).where("d1 is not null")
     n = a.agg(F.max("k").alias("n"))
-    seg = F.broadcast(a.join(n))
+    seg = a.join(n)
     here = ((F.col("k") == 1) | (F.col("depth") >= F.col("d0"))) & ((F.col("k") == F.col("n")) | (F.col("depth") < F.col("d1")))
     return x.join(seg, here).select("depth", F.round(F.col("a0") + (F.col("depth") - F.col("d0")) / (F.col("d1") - F.col("d0")) * (F.col("a1") - F.col("a0")), 6).alias("age"))
 

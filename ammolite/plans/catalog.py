@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ammolite.plans import assemblages, ecology, hypotheses, isotopes, matrix, permutation, plots, series, signals, stratigraphy, timescales, trees, univariate
+from ammolite.plans import assemblages, ecology, hypotheses, isotopes, matrix, permutation, plots, series, signals, spatial, stratigraphy, tables, timescales, trees, univariate
 
-_MODULES = (ecology, assemblages, univariate, hypotheses, permutation, series, signals, stratigraphy, timescales, matrix, isotopes, trees, plots)
+_MODULES = (ecology, assemblages, univariate, hypotheses, permutation, series, signals, stratigraphy, timescales, matrix, isotopes, spatial, tables, trees, plots)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

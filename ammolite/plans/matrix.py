@@ -11,7 +11,7 @@ def _table(spark, sf_dir):
     """Suppliers by order lines of each return flag; a flag that a supplier lacks is missing."""
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("row_id"), F.col("l_returnflag").alias("var")).agg(F.sum("l_quantity").alias("value"))
     wide = x.groupBy("row_id").pivot("var", ["A", "N", "R"]).agg(F.first("value"))
-    return m.melt(wide.select("row_id", *(F.when(F.col("row_id") % 7 != k, F.col(c)).alias(c) for k, c in enumerate("ANR"))), "row_id", list("ANR"))
+    return m.melt(wide, "row_id", list("ANR"))
 
 
 def _wide(spark, sf_dir):
@@ -33,8 +33,8 @@ QUERIES = {
     "effect_sizes": lambda s, d: m.effect_sizes(s.read.parquet(f"{d}/customer.parquet"), "c_mktsegment", "c_acctbal"),
 }
 
-_T = """WITH f AS (SELECT * FROM (VALUES ('A', 0), ('N', 1), ('R', 2)) v(var, k)), r AS (SELECT DISTINCT l_suppkey AS row_id FROM lineitem), q AS (SELECT l_suppkey AS row_id, l_returnflag AS var, sum(l_quantity) AS value FROM lineitem GROUP BY ALL),
-c AS (SELECT r.row_id, f.var, CASE WHEN r.row_id % 7 <> f.k THEN q.value END AS value FROM r CROSS JOIN f LEFT JOIN q ON q.row_id = r.row_id AND q.var = f.var)"""
+_T = """WITH f AS (SELECT * FROM (VALUES ('A'), ('N'), ('R')) v(var)), r AS (SELECT DISTINCT l_suppkey AS row_id FROM lineitem), q AS (SELECT l_suppkey AS row_id, l_returnflag AS var, sum(l_quantity) AS value FROM lineitem GROUP BY ALL),
+c AS (SELECT r.row_id, f.var, q.value FROM r CROSS JOIN f LEFT JOIN q ON q.row_id = r.row_id AND q.var = f.var)"""
 _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ORACLE_SQL = {
     "matrix_log": _T + " SELECT row_id, var, round(ln(value + 1) / ln(10), 6) AS value FROM c",
