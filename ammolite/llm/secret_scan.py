@@ -5,21 +5,25 @@ credentials of each kind look like: their strings, as sequences of character cla
 counts, and states whose outgoing and ending frequencies are statistically compatible (Hoeffding bound, recursively) are
 merged, red states with blue ones, into a probabilistic automaton. All candidates of the same table, as often as they occur,
 give one more to compare with: a prefix tree counted in Spark, without the branches that too few strings support; where a
-string leaves it, the two symbols before decide if enough strings have them, else the frequency of the symbol. A string's own
-occurrence is taken out of the counts it is compared with. Every other candidate string of every text is scored by its likelihood per character under each;
-those that a credential automaton finds as likely as its own training strings, and clearly likelier than the ordinary one
-does, are spans of kind `format`.
+string leaves it, the two symbols before decide if enough strings have them, else the frequency of the symbol. Strings that
+are typical of a credential count beyond the tree only where the tree holds them whole: a clean format, or a word, has its branch
+there, while random credentials soon leave it, however many of them the table holds. A string's own occurrence is taken out of the counts it is compared with. Every
+other candidate string of every text is scored by its likelihood per character under each; those that a credential
+automaton finds typical, and clearly likelier than the ordinary one does, are spans of kind `format`.
 
 Candidates are the maximal runs of the characters that a labelled value can have, from the length of the shortest that can
 be labelled (ASSIGN_LEAST, or a given shorter one) upwards; where a run is none itself, the run without dots around it and then its parts between dots are scored.
-There is no longest candidate. A string is as likely as an automaton's own when its bits lie within what the automaton's
-mean and spread a step give for its length, and needs MARGIN bits a character, LEAST_BITS in all, over ordinary text.
+There is no longest candidate. A string is typical of an automaton when its bits lie within what the mean and the spread of
+held-back strings give for its length (it is fitted on one half of the labelled strings and scores the other), and a secret
+needs MARGIN bits a character, LEAST_BITS in all, over ordinary text.
 
 The labelled credentials are the base spans' secrets unless the caller passes a table (kind, value). Fitting uses those of
 each kind whose hashes are lowest, at most `max_labelled` and LABELLED_CHARS together; everything else covers all rows.
 
-Defined results: a null text is empty and has no spans; with no labelled credentials nothing is learned and only base spans
-are returned; repeated rows are scanned each for itself. Offsets are code points, end exclusive.
+Defined results: a null text is empty and has no spans; very long texts and candidates are scored whole; with no labelled
+credentials, or an empty table, nothing is learned and only base spans are returned; repeated rows, and rows of the same or
+no doc_id, are scanned each for itself; of equal hashes the lesser string is fitted; other columns are not looked at.
+Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -60,6 +64,7 @@ HELD_CHARS = 1_000_000
 
 _CLASSES = {**dict.fromkeys("0123456789", ("0", 10)), **dict.fromkeys("abcdef", ("a", 6)), **dict.fromkeys("ghijklmnopqrstuvwxyz", ("g", 20)), **dict.fromkeys("ABCDEF", ("A", 6)), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", ("G", 20))}
 
+_SIZE = dict(_CLASSES.values())
 _SEQUENCE = str.maketrans({c: symbol for c, (symbol, _) in _CLASSES.items()})
 
 
@@ -89,6 +94,28 @@ class Automaton:
         """log2 likelihood a character of the string and its end."""
         return sum(self.steps(value)) / (len(value) + 1)
 
+    def logs(self) -> None:
+        """Make the logarithms of all moves once."""
+        self.cost = [{s: (to, math.log2((n + 0.05) / (self.total[q] + 0.5)) - math.log2(_SIZE.get(s, 1))) for s, (to, n) in m.items()} for q, m in enumerate(self.moves)]
+        self.unseen = [math.log2(0.05 / (t + 0.5)) for t in self.total]
+        self.ending = [math.log2((e + 0.05) / (t + 0.5)) for e, t in zip(self.ends, self.total)]
+
+    def at_least(self, sequence: str, least: float) -> float | None:
+        """log2 likelihood of a sequence of classes and its end, or nothing as soon as it falls below `least`."""
+        state, bits = 0, 0.0
+        for symbol in sequence:
+            move = self.cost[state].get(symbol)
+            if move is None:
+                bits += self.unseen[state] - math.log2(_SIZE.get(symbol, 1))
+                state = 0
+            else:
+                state = move[0]
+                bits += move[1]
+            if bits < least:
+                return None
+        bits += self.ending[state]
+        return bits if bits >= least else None
+
 
 def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
     """Merge compatible states of the values' prefix tree."""
@@ -180,15 +207,16 @@ def _context(before: str) -> int:
     return out
 
 
-def count_moves(sequences: dict[str, int]) -> dict[tuple[int, int, str], int]:
-    """(level, node, symbol or "" at the end) -> strings that make the move; for SYMBOL, how often."""
+def count_moves(sequences: dict[str, int], typical=lambda sequence: False) -> dict[tuple[int, int, str], int]:
+    """(level, node, symbol or "" at the end) -> strings that make the move; for SYMBOL, how often. `typical` ones count in the tree only."""
     out: dict[tuple[int, int, str], int] = {}
     for sequence, n in sequences.items():
-        node, own = 0, set()
+        node, own, alone = 0, set(), typical(sequence)
         for i, symbol in enumerate((*sequence, "")):
             out[TREE, node, symbol] = out.get((TREE, node, symbol), 0) + n
-            own.add((CONTEXT, _context(sequence[max(0, i - 2) : i]), symbol))
-            out[SYMBOL, 0, symbol] = out.get((SYMBOL, 0, symbol), 0) + n
+            if not alone:
+                own.add((CONTEXT, _context(sequence[max(0, i - 2) : i]), symbol))
+                out[SYMBOL, 0, symbol] = out.get((SYMBOL, 0, symbol), 0) + n
             if symbol:
                 node = _long(_child(node & _ONES, symbol))
         for move in own:
@@ -199,10 +227,23 @@ def count_moves(sequences: dict[str, int]) -> dict[tuple[int, int, str], int]:
 class Ordinary:
     """Likelihood of ordinary strings from the supported moves of all candidates."""
 
-    def __init__(self, moves: dict[tuple[int, int, str], int]):
+    def __init__(self, moves: dict[tuple[int, int, str], int], typical=lambda sequence: False):
+        """`moves` without those that too few strings support; `typical` sequences are not in the counts of contexts and symbols, and added where the tree has their end."""
         self.moves: dict[tuple[int, int], dict[str, int]] = {}
         for (level, node, symbol), n in moves.items():
             self.moves.setdefault((level, node), {})[symbol] = n
+        todo, whole = [(0, "")], {}
+        while todo:
+            node, path = todo.pop()
+            for symbol, n in self.moves.get((TREE, node), {}).items():
+                if symbol:
+                    todo.append((_long(_child(node & _ONES, symbol)), path + symbol))
+                elif path and typical(path):
+                    whole[path] = n
+        for (level, node, symbol), n in count_moves(whole).items():
+            if level != TREE:
+                to = self.moves.setdefault((level, node), {})
+                to[symbol] = to.get(symbol, 0) + n
         self.strings = sum(self.moves.get((TREE, 0), {}).values())
         self.symbols = sum(self.moves.get((SYMBOL, 0), {}).values())
 
@@ -227,26 +268,67 @@ class Ordinary:
                     share, node = (max(0, arrived - sum(moves.values()) - 1) + 0.45) / (max(0, arrived - 1) + 0.5), None
             if share is not None:
                 moves = self.moves.get((CONTEXT, _context(sequence[max(0, i - 2) : i])), {})
-                n, all_ = (moves[symbol] - 1, sum(moves.values()) - 1) if symbol in moves else (max(0, own.get(symbol, 0) - at[symbol]), self.symbols - len(sequence) - 1)
+                n, all_ = (max(0, moves[symbol] - 1), sum(moves.values()) - 1) if symbol in moves else (max(0, own.get(symbol, 0) - at[symbol]), self.symbols - len(sequence) - 1)
                 out += math.log2(share) + math.log2((n + 0.05) / (max(0, all_) + 1))
             if symbol:
                 out -= math.log2(_CLASSES.get(value[i], (symbol, 1))[1])
         return out / (len(value) + 1)
 
 
-class Model:
-    """The automata of each kind with mean and deviation of their own strings' steps, and that of ordinary strings."""
+def fitted(values: list[str]) -> tuple[Automaton, float, float]:
+    """An automaton of one half of the strings with what the other half, which it has not seen, has under it: mean bits a step, and how far a string's sum strays from that by the square root of its steps.
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: Ordinary):
-        self.ordinary = ordinary if ordinary.strings >= LEAST_LABELLED else None
+    Of the two ways round that with the likelier held-back strings.
+    """
+    halves, best = (values[::2], values[1::2]), None
+    for own, other in (halves, halves[::-1]):
+        automaton = infer(own)
+        sums = [(sum(steps), len(steps)) for steps in map(automaton.steps, other)]
+        mean = sum(x for x, _ in sums) / sum(n for _, n in sums)
+        deviation = math.sqrt(sum((x - n * mean) ** 2 / n for x, n in sums) / len(sums))
+        if best is None or mean - deviation > best[1] - best[2]:
+            best = automaton, mean, deviation
+    best[0].logs()
+    return best
+
+
+class Formats:
+    """The automata of each kind with mean and deviation of held-back strings."""
+
+    def __init__(self, labelled: dict[str, list[str]]):
         self.least = shortest(labelled)
-        self.kinds = {}
-        for kind, values in sorted(labelled.items()):
+        self.kinds = []
+        for _, values in sorted(labelled.items()):
             if len(values) >= LEAST_LABELLED:
-                automaton = infer(values)
-                steps = [x for v in values for x in automaton.steps(v)]
-                mean = sum(steps) / len(steps)
-                self.kinds[kind] = (automaton, mean, math.sqrt(sum((x - mean) ** 2 for x in steps) / len(steps)))
+                self.kinds.append(fitted(values))
+        self._known: dict[str, bool] = {}
+
+    def bits(self, sequence: str) -> float | None:
+        """The highest likelihood (log2) of a sequence of classes under an automaton that it is typical of."""
+        n, best = len(sequence) + 1, None
+        for automaton, mean, deviation in self.kinds:
+            found = automaton.at_least(sequence, n * mean - SPREAD * deviation * math.sqrt(n))
+            if found is not None and (best is None or found > best):
+                best = found
+        return best
+
+    def typical(self, sequence: str) -> bool:
+        found = self._known.get(sequence)
+        if found is None:
+            found = self.bits(sequence) is not None
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            if len(sequence) <= 256:
+                self._known[sequence] = found
+        return found
+
+
+class Model:
+    """The credentials' formats, and the likelihood of ordinary strings."""
+
+    def __init__(self, formats: Formats, ordinary: Ordinary):
+        self.formats, self.least = formats, formats.least
+        self.ordinary = ordinary if ordinary.strings >= LEAST_LABELLED else None
         self._known: dict[str, bool] = {}
         self._plain: set[str] = set()
 
@@ -263,20 +345,15 @@ class Model:
         return found
 
     def _judge(self, value: str) -> bool:
-        n = len(value) + 1
-        base = None
-        for automaton, mean, deviation in self.kinds.values():
-            bits = sum(automaton.steps(value))
-            if bits >= n * mean - SPREAD * deviation * math.sqrt(n):
-                if base is None:
-                    base = n * (self.ordinary.bits(value) if self.ordinary else -math.log2(64))
-                if bits >= base + max(MARGIN * n, LEAST_BITS):
-                    return True
-        return False
+        n, bits = len(value) + 1, self.formats.bits(value.translate(_SEQUENCE))
+        if bits is None:
+            return False
+        base = n * (self.ordinary.bits(value) if self.ordinary else -math.log2(64))
+        return bits >= base + max(MARGIN * n, LEAST_BITS)
 
     def spans(self, text: str, base: list[tuple]) -> list[tuple[int, int]]:
         """(start, end) of the candidates that are secrets."""
-        if not self.kinds:
+        if not self.formats.kinds:
             return []
         if not base:  # most texts: none of their strings is a secret, as remembered
             plain = self._plain
@@ -372,12 +449,13 @@ def _lowest(values: DataFrame, most: int) -> list[str]:
     return sorted(r.value for r in few.select("value", held.alias("held")).where(F.col("held") <= LABELLED_CHARS).collect())
 
 
-def ordinary(scanned: DataFrame, least: int) -> Ordinary:
+def ordinary(scanned: DataFrame, formats: Formats) -> Ordinary:
     """Counts of all candidates' moves; only supported ones, of which a depth has at most 1 / SUPPORT_SHARE, reach the driver."""
+    least = formats.least
 
     def run(batches):
         def rows(sequences):
-            moves = list(count_moves(sequences).items())
+            moves = list(count_moves(sequences, formats.typical).items())
             for lo in range(0, len(moves), 50_000):
                 part = moves[lo : lo + 50_000]
                 yield pa.record_batch([pa.array([k[0] for k, _ in part], pa.int32()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([k[2] for k, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["level", "node", "symbol", "n"])
@@ -402,7 +480,7 @@ def ordinary(scanned: DataFrame, least: int) -> Ordinary:
     strings = counts.where((F.col("level") == TREE) & (F.col("node") == 0)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     first = (F.col("level") == SYMBOL) | ((F.col("level") == TREE) & (F.col("node") == 0))
     few = counts.where(first | (F.col("n") >= max(SUPPORT, math.ceil(strings * SUPPORT_SHARE))))
-    return Ordinary({(r.level, r.node, r.symbol): r.n for r in few.collect()})
+    return Ordinary({(r.level, r.node, r.symbol): r.n for r in few.collect()}, formats.typical)
 
 
 def learn(scanned: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> Model:
@@ -411,7 +489,8 @@ def learn(scanned: DataFrame, labelled: DataFrame | None = None, max_labelled: i
     labelled = labelled.where(F.length("value") >= 1)
     kinds = [r.kind for r in labelled.select("kind").distinct().orderBy("kind").limit(64).collect() if r.kind]
     known = {k: _lowest(labelled.where(F.col("kind") == k), max_labelled) for k in kinds}
-    return Model(known, ordinary(scanned, shortest(known)))
+    formats = Formats(known)
+    return Model(formats, ordinary(scanned, formats))
 
 
 def find_secrets(documents: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:

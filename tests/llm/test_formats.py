@@ -1,4 +1,9 @@
+import math
 import random
+import string
+from collections import Counter
+
+import pytest
 
 from ammolite.llm import secret_scan
 
@@ -34,5 +39,32 @@ def test_rare_clean_format_is_ordinary(spark):
 
 def test_counts_of_ordinary_strings_cover_every_occurrence(spark):
     docs = spark.createDataFrame([(i, "aaaaaa gggggg gggggg" + " 000000" * (i % 2)) for i in range(100)], "doc_id long, text string").repartition(3)
-    counts = secret_scan.ordinary(secret_scan.scan(docs), 6)
+    counts = secret_scan.ordinary(secret_scan.scan(docs), secret_scan.Formats({}))
     assert counts.strings == 350 and counts.moves[secret_scan.TREE, 0] == {"a": 100, "g": 200, "0": 50}
+
+
+ALNUM = string.ascii_letters + string.digits
+FORMATS = {
+    "prefixed": lambda r, w: "ghp_" + w(36, ALNUM), "dashed": lambda r, w: "sk-" + w(32, ALNUM), "upper": lambda r, w: w(20, string.ascii_uppercase + string.digits),
+    "base64": lambda r, w: w(44, ALNUM + "+/"), "grouped": lambda r, w: "-".join(w(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)), "short": lambda r, w: w(22, ALNUM), "dotted": lambda r, w: f"{w(12, ALNUM)}.{w(24, ALNUM)}",
+}
+
+
+@pytest.mark.parametrize("kind", FORMATS)
+def test_recall_of_bare_credentials_however_many_the_table_holds(kind):
+    rng = random.Random(5)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    make = lambda: FORMATS[kind](rng, word)
+    words = [word(rng.randrange(3, 14), string.ascii_lowercase) for _ in range(4000)] + [word(rng.randrange(6, 12), string.digits) for _ in range(400)] + [word(1, string.ascii_uppercase) + word(8, string.ascii_lowercase) for _ in range(1000)]
+    formats = secret_scan.Formats({"assign": [make() for _ in range(200)]})
+    for bare in (0, 100, 2000):
+        planted = [make() for _ in range(100)]
+        sequences = Counter()
+        for value in [*(rng.choice(words) for _ in range(100_000)), *planted, *(make() for _ in range(bare))]:
+            if len(value) >= formats.least:
+                sequences[value.translate(secret_scan._SEQUENCE)] += 1
+        moves = secret_scan.count_moves(sequences, formats.typical)
+        least = max(secret_scan.SUPPORT, math.ceil(sum(sequences.values()) * secret_scan.SUPPORT_SHARE))
+        model = secret_scan.Model(formats, secret_scan.Ordinary({k: n for k, n in moves.items() if n >= least or k[0] == secret_scan.SYMBOL or k[:2] == (secret_scan.TREE, 0)}, formats.typical))
+        assert sum(map(model.secret, planted)) >= 90
+        assert sum(model.secret(w) for w in words if len(w) >= formats.least) <= len(words) // 500
