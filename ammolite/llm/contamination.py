@@ -7,7 +7,9 @@ k = 5 and w = 9 each shared span of 13 words is found. Items of fewer words are
 that occurs among them the documents are fingerprinted once more, with a guarantee of just that length.
 
 Defined results: null and empty texts have no words; an item without words occurs nowhere; repeated documents keep all
-their rows, and items with the same text all count. Documents without hits have n_hit 0 and the hash of an empty list.
+their rows, and items with the same text all count. Documents without hits have n_hit 0 and the hash of an empty list. Very
+long texts count whole; null ids are kept, those of items are named by no list; empty tables give no rows, or no hits; columns
+to be kept may have any names but those that are added.
 """
 
 from __future__ import annotations

@@ -63,6 +63,7 @@ EXAMPLES = [
     "<div><a>[1]</a></div><h1>{4}</h1><p>{22}</p><p>{19}</p><p>{55}</p><p>{8}</p><div class=comments><p>[50]</p><p>[30]</p><p>[80]</p></div><div><a>[2]</a> [1]</div>",
     "<p>{120}</p><p>{35}</p><div class=sidebar><h3>[2]</h3><p>[18]</p><p>[64]</p></div><div class=cookie>[35]</div><div>[2]</div><div><a>[2]</a></div>",
     "<div><a>[6]</a></div><p>[30] <a>[60]</a></p><div><a>[9]</a></div><h2>{7}</h2><p>{85}</p><p>{64}</p><p>{5}</p>",
+    "{14}", "<p>{9}</p>", "<div>{25}</div>", "<p>{11} <a>{2}</a></p>", "<div><a>[3]</a></div>", "<p>{16}</p><p>{13}</p>",
     # forms and lists: labels and links, or a whole article in an odd place
     "<form><p>[2]</p><p>[3]</p><p>[6]</p><p>[4]</p></form><p>{75}</p><p>{48}</p><div>[3]</div><div><a>[2]</a></div>",
     "<div class=search><h2>{5}</h2><p>{50}</p><p>{80}</p><p>{65}</p><p>{28}</p></div><div><a>[2]</a></div><div>[2]</div>",

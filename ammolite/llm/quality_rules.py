@@ -7,7 +7,8 @@ expression, so that applying it costs no more than a projection.
 
 Defined results: a null text has no words and fails the base rule; labels that are null or whose document is missing are
 not used; a document labelled more than once counts with its mean label; with no usable labels the list is empty and the
-base rule alone decides. Repeated doc_ids keep all their rows.
+base rule alone decides. Repeated and null doc_ids keep all their rows, a null one is never labelled; very long texts count whole;
+equally good conditions go to the earlier statistic and the lower cut; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations

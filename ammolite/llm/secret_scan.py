@@ -275,8 +275,8 @@ class Ordinary:
         return out / (len(value) + 1)
 
 
-def fitted(values: list[str]) -> tuple[Automaton, float, float]:
-    """An automaton of one half of the strings with what the other half, which it has not seen, has under it: mean bits a step, and how far a string's sum strays from that by the square root of its steps.
+def fitted(values: list[str]) -> tuple[Automaton, float, float, Automaton]:
+    """An automaton of one half of the strings with what the other half, which it has not seen, has under it: mean bits a step, and how far a string's sum strays from that by the square root of its steps. Then that of all strings.
 
     Of the two ways round that with the likelier held-back strings.
     """
@@ -288,8 +288,10 @@ def fitted(values: list[str]) -> tuple[Automaton, float, float]:
         deviation = math.sqrt(sum((x - n * mean) ** 2 / n for x, n in sums) / len(sums))
         if best is None or mean - deviation > best[1] - best[2]:
             best = automaton, mean, deviation
+    whole = infer(values)
     best[0].logs()
-    return best
+    whole.logs()
+    return *best, whole
 
 
 class Formats:
@@ -304,18 +306,19 @@ class Formats:
         self._known: dict[str, bool] = {}
 
     def bits(self, sequence: str) -> float | None:
-        """The highest likelihood (log2) of a sequence of classes under an automaton that it is typical of."""
+        """The highest likelihood (log2) of a sequence of classes under a kind's automata, of kinds that it is typical of."""
         n, best = len(sequence) + 1, None
-        for automaton, mean, deviation in self.kinds:
+        for automaton, mean, deviation, whole in self.kinds:
             found = automaton.at_least(sequence, n * mean - SPREAD * deviation * math.sqrt(n))
-            if found is not None and (best is None or found > best):
-                best = found
+            if found is not None:
+                best = max(found, whole.at_least(sequence, -math.inf), -math.inf if best is None else best)
         return best
 
     def typical(self, sequence: str) -> bool:
         found = self._known.get(sequence)
         if found is None:
-            found = self.bits(sequence) is not None
+            n = len(sequence) + 1
+            found = any(automaton.at_least(sequence, n * mean - SPREAD * deviation * math.sqrt(n)) is not None for automaton, mean, deviation, _ in self.kinds)
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
             if len(sequence) <= 256:

@@ -14,7 +14,9 @@ texts once. A bitmap of bounded size says which minimizers may be repeated, so t
 errors cost rows, never results, since the joins are exact.
 
 Defined results: null texts have no words; documents of fewer words than a window keep them all; a null doc_id is smaller
-than nothing and has nothing smaller; rows with the same doc_id are one source and each keeps its own words.
+than nothing and has nothing smaller; rows with the same doc_id are one source and each keeps its own words; very long texts
+count whole; of equal windows the smallest doc_id is the source, and all others lose theirs; an empty table gives none; other
+columns are not looked at.
 """
 
 from __future__ import annotations

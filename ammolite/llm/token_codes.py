@@ -7,6 +7,10 @@ one level into the position at the next, so any token is read by following at mo
 A shard is one file in the shared folder: header, the documents' ids and token offsets, then the levels. Shards are
 written by tasks over a range partitioning on doc_id; a file counts only if the manifest, committed by Spark, names it,
 so repeated attempts of a task leave no duplicates.
+
+Defined results: a null or empty text has the end id alone; a very long text is one document of its shard, encoded in blocks;
+null doc_ids come first; rows of the same doc_id have documents of their own, in any order among them; an empty table gives
+no shards and no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ through that index: each record is fetched by its archive, offset and length.
 
 Defined results: a null html is an empty payload and a null url an empty one; rows that share payload and the smallest
 page_id are all responses; a null page_id is never the first of a payload that another page has. Only archives that the
-committed runs name are read, so repeated attempts of a task leave no duplicates.
+committed runs name are read, so repeated attempts of a task leave no duplicates. Repeated rows have a record each; captures of
+equal url and time go by page_id; very long payloads are one record, held whole by its task; an empty table gives none; other
+columns are not looked at.
 """
 
 from __future__ import annotations
