@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
@@ -208,7 +209,9 @@ class ChunkIds:
     together, as one text, and told apart by the vocabulary's own word marks.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 600_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 400_000):
+        # a task has one core: threads of the library's own would only hold memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

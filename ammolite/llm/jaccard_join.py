@@ -348,7 +348,9 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, v): the whole sets of the distinct `classes` (cls)."""
     wanted = _broadcast(docs.sparkSession, key_bitmap(classes, "cls"))
     sets = docs.mapInArrow(lambda batches: _set_rows(wanted.value, True)(batches), "cls long, v binary")
-    return materialize(sets.join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets = materialize(sets.join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    wanted.unpersist()
+    return sets
 
 
 def verified(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -478,6 +480,8 @@ def near_duplicates(documents: DataFrame, block_rows: int = BLOCK_ROWS, block_by
     entries = docs.mapInArrow(lambda batches: _prefix_rows(frequent.value, live.value)(batches), entry).groupBy("token", "cls").agg(F.first("size").alias("size"), F.first("core").alias("core")).join(shared, "token", "left_semi")
     entries = materialize(entries, "entries")
     discard(shared)
+    for bitmap in (frequent, live):
+        bitmap.unpersist()
 
     # the original of a group of edited copies shares more of its prefix than they do, so it comes first in its buckets
     held = entries.groupBy("cls").agg(F.first("size").alias("size"), F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("core"), F.col("token")))), 1, FIRST_BUCKETS).alias("t"))
@@ -486,6 +490,7 @@ def near_duplicates(documents: DataFrame, block_rows: int = BLOCK_ROWS, block_by
     wanted = _broadcast(spark, key_bitmap(held, "cls"))
     marks = docs.mapInArrow(lambda batches: _set_rows(wanted.value, False)(batches), "cls long, v binary").dropDuplicates(["cls"])
     marks = materialize(marks.join(held.select("cls", "size"), "cls").select("cls", "size", "v"), "signatures")
+    wanted.unpersist()
 
     # first run: neighbours in the few first buckets of each class
     few = held.select(F.explode("t").alias("token"), "cls", "size", (F.col("n") / F.col("size")).alias("shared"))
