@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # one key without nulls, so that the documents are dealt once for both the join and the repeated rows
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
     firsts = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct(), "group-firsts")
-    kept = docs.select("*", key, F.xxhash64("text").alias("_text_hash")).join(firsts, "_key", "left_semi")
-    return kept.dropDuplicates(["_key", "_text_hash"]).drop("_key", "_text_hash")
+    kept = docs.select(F.struct("*").alias("_row"), key, F.xxhash64("text").alias("_text_hash")).join(firsts, "_key", "left_semi")
+    return kept.dropDuplicates(["_key", "_text_hash"]).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
