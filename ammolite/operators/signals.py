@@ -16,6 +16,10 @@ from ammolite.functions.columns import missing
 from ammolite.operators.series import _all, _by_t, range_frame
 
 
+#: Added before rounding where many values are decimal halves: sums in another order then round alike.
+TIE = 1e-9
+
+
 def _numbered(x: DataFrame) -> DataFrame:
     return x.withColumn("i", F.row_number().over(_by_t()))
 
@@ -83,7 +87,7 @@ def moving_average(x: DataFrame, span: int, mode: str = "smooth") -> DataFrame:
 
 def bandwidth_average(x: DataFrame, bandwidth: float) -> DataFrame:
     """Mean over the closed interval of t around each row."""
-    return x.select("series", "t", F.round(F.expr(f"avg(v) {range_frame(bandwidth)}"), 6).alias("v"))
+    return x.select("series", "t", F.round(F.expr(f"avg(v) {range_frame(bandwidth)}") + TIE, 6).alias("v"))
 
 
 def find_n_peaks(x: DataFrame, n: int) -> DataFrame:
@@ -135,7 +139,7 @@ def cosine_taper(x: DataFrame, share: float = 0.05) -> DataFrame:
 
 def cumulative(x: DataFrame, dt: float = 1.0) -> DataFrame:
     """Running sum of v dt."""
-    return x.select("series", "t", F.round(F.sum(F.col("v") * dt).over(_by_t().rowsBetween(W.unboundedPreceding, 0)), 5).alias("v"))
+    return x.select("series", "t", F.round(F.sum(F.col("v") * dt).over(_by_t().rowsBetween(W.unboundedPreceding, 0)) + TIE, 5).alias("v"))
 
 
 def robust_line(x: DataFrame, factor: float = 3.0, rounds: int = 3) -> DataFrame:

@@ -87,7 +87,7 @@ SELECT series, n, round(phi, 6) AS phi, round(n * ln(va) + 2, 4) AS aic_ar1, rou
 SELECT a.series, CAST(floor((b.t - a.t) / 2 + 1e-6) AS BIGINT) AS bin, count(*) AS pairs, round(avg(a.z * b.z), 6) AS association, round(corr(a.z, b.z), 6) AS r FROM z a JOIN z b ON a.series = b.series AND b.t > a.t AND b.t - a.t <= 48 GROUP BY 1, 2""",
     "moving_average_smooth": _H + " SELECT series, t, round(avg(v) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS v FROM h",
     "moving_average_trailing": _H + " SELECT series, t, round(avg(v) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS v FROM h",
-    "fixed_bandwidth_moving_average": _H + " SELECT series, t, round(avg(v) OVER (PARTITION BY series ORDER BY t RANGE BETWEEN 4.5 PRECEDING AND 4.5 FOLLOWING), 6) AS v FROM h",
+    "fixed_bandwidth_moving_average": _H + " SELECT series, t, round(avg(v) OVER (PARTITION BY series ORDER BY t RANGE BETWEEN 4.5 PRECEDING AND 4.5 FOLLOWING) + 1e-9, 6) AS v FROM h",
     "find_n_peaks": _H + """, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM h WINDOW w AS (PARTITION BY series ORDER BY t)), p AS (SELECT series, t, v, CAST(row_number() OVER (PARTITION BY series ORDER BY v DESC, t) AS INTEGER) AS place FROM l WHERE v > a AND v > b)
 SELECT series, t, round(v, 6) AS v, place FROM p WHERE place <= 10""",
     "remove_peaks": _H + """, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM h WINDOW w AS (PARTITION BY series ORDER BY t)), p AS (SELECT series, t, CASE WHEN NOT coalesce(v > 60 AND v > a AND v > b, false) THEN v END AS v FROM l),
@@ -101,7 +101,7 @@ SELECT series, t, CASE WHEN NOT isnan(r) THEN round(r, 6) END AS r FROM c WHERE
     "pad_periodic": _PADS + "SELECT c.series, c.n + k, round(s.v, 6) FROM c, range(10) g(k), s WHERE s.series = c.series AND s.i = k % c.n",
     "cosine_taper": _N + """, u AS (SELECT series, t, v, (i - 1) / (count(*) OVER (PARTITION BY series) - 1) AS u FROM n), w AS (SELECT *, CASE WHEN least(u, 1 - u) < 0.05 THEN 0.5 - 0.5 * cos(pi() * least(u, 1 - u) / 0.05) ELSE 1 END AS w FROM u)
 SELECT series, t, round(w, 6) AS weight, round(w * v, 6) AS v FROM w""",
-    "domain_transform_cumulative": _H + " SELECT series, t, round(sum(v * 0.5) OVER (PARTITION BY series ORDER BY t), 5) AS v FROM h",
+    "domain_transform_cumulative": _H + " SELECT series, t, round(sum(v * 0.5) OVER (PARTITION BY series ORDER BY t) + 1e-9, 5) AS v FROM h",
     "robust_linear_fit": _H + ", l0 AS (" + _FIT.format(x="h") + "), k1 AS (" + _KEEP.format(l="l0") + "), l1 AS (" + _FIT.format(x="k1") + "), k2 AS (" + _KEEP.format(l="l1") + "), l2 AS (" + _FIT.format(x="k2") + "), k3 AS (" + _KEEP.format(l="l2") + "), l3 AS (" + _FIT.format(x="k3") + ") SELECT series, n AS inliers, round(b, 8) AS slope, round(a, 6) AS intercept FROM l3",
     "polynomial_trend": _H + """, u AS (SELECT series, v, (t - avg(t) OVER (PARTITION BY series)) / stddev_pop(t) OVER (PARTITION BY series) AS u FROM h),
 s AS (SELECT series, count(*) AS n, avg(v) AS y, avg(u * v) AS uy, avg(u * u * v) AS uuy, avg(u ** 3) AS k3, avg(u ** 4) AS k4 FROM u GROUP BY 1), c AS (SELECT *, (uuy - y - k3 * uy) / (k4 - 1 - k3 * k3) AS c2 FROM s)
