@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import uuid
@@ -209,7 +211,7 @@ class ChunkIds:
     together, as one text, and told apart by the vocabulary's own word marks.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 400_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 1_200_000):
         # a task has one core: threads of the library's own would only hold memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -266,6 +268,15 @@ class ChunkIds:
         return [next(whole) if c is None else b"".join(map(ids.__getitem__, c)) for c in cut]
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: Spark's Python workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
