@@ -43,6 +43,12 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collect_garbage(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of tables that are gone: it does so when the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def ensure_columns(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns only, cast to the given types: other columns can't clash with those an operator adds."""
     return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in kinds.items()))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import END_WORD, discard, ensure_columns, materialize, mix, runs, signed, word_blocks
+from ammolite.llm.common import END_WORD, collect_garbage, discard, ensure_columns, materialize, mix, runs, signed, word_blocks
 
 #: Sweeps in all, and how many of them are discarded.
 SWEEPS, BURN_IN = 3, 1
@@ -414,6 +414,8 @@ def score_texts(documents: DataFrame, held_out) -> DataFrame:
     told = learned.where("kind = 0").select("part", "w", "singles", "many")
     root = told.groupBy("w").agg(F.sum("singles").alias("fixed"), F.sum("many").alias("moving"))
     root = materialize(words.select("w", "n").join(root, "w").select("w", "n", "fixed", col("moving").cast("double").alias("moving"), F.lit(0.0).alias("p")), "root")
+    discard(words)
+    collect_garbage(docs)
     customers = col("fixed") + col("moving")
     single, double = root.agg(*(total((customers == k).cast("long")) for k in (1, 2))).first()
     d0, d1 = _share(single, double), _share(ones, twos)
@@ -430,7 +432,7 @@ def score_texts(documents: DataFrame, held_out) -> DataFrame:
     wanted = told.where("many > 0").select("part", "w")
     root_tables, kept_tables, samples, old = float(vocabulary), np.zeros(len(hot)), SWEEPS - BURN_IN, []
     for k in range(SWEEPS + 1):
-        seated = materialize(root.withColumn("t", _root_seats(customers, (STRENGTH[0] + d0 * root_tables) / (vocabulary + 1), d0, k)), "root-seated")
+        seated = drawn = materialize(root.withColumn("t", _root_seats(customers, (STRENGTH[0] + d0 * root_tables) / (vocabulary + 1), d0, k)), "root-seated")
         root_customers, root_tables = (float(x) for x in seated.agg(total(customers), total("t")).first())
         p0 = predictive(customers, col("t"), d0, STRENGTH[0], root_tables, root_customers, 1 / (vocabulary + 1))
         seated = seated.withColumn("p0", p0)
@@ -448,10 +450,11 @@ def score_texts(documents: DataFrame, held_out) -> DataFrame:
             kept_tables += (hot_single + hot_moving) / samples
         state = swept.where("kind = 1").select("part", "body", "n")
         tables = swept.where("kind = 0").groupBy("w").agg(F.sum("t").alias("now"))
-        root = materialize(seated.join(tables, "w", "left").select("w", "n", "fixed", F.coalesce("now", F.lit(0.0)).alias("moving"), "p"), "root")
-        for table in old:
+        before, root = root, materialize(seated.join(tables, "w", "left").select("w", "n", "fixed", F.coalesce("now", F.lit(0.0)).alias("moving"), "p"), "root")
+        for table in (*old, before, drawn):
             discard(table)
         old = [swept]
+        collect_garbage(docs)
     facts = told.select("part", "w").join(root.select("w", col("n").alias("c"), "p"), "w")
     empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
     facts = facts.select("part", F.lit(_WORDS).alias("kind"), empty("long", "group"), empty("int", "n"), empty("int", "m"), "w", "c", "p", empty("binary", "body"))
