@@ -134,7 +134,8 @@ def near_words(words: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(longs, pa.bool_())], names=["key", "word", "long"])
 
     keys = words.select("word").mapInArrow(run, "key long, word string, long boolean")
-    x, y = keys.alias("x"), keys.alias("y")
+    # a word has up to two dozen keys, which the sizes that a planner estimates do not tell: never broadcast
+    x, y = keys.alias("x"), keys.alias("y").hint("merge")
     # of two shorter words the pair meets under their own length
     together = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.word") < F.col("y.word")) & (F.col("x.long") | F.col("y.long")) & (F.levenshtein("x.word", "y.word", 1) == 1))
     return together.select(F.col("x.word").alias("word"), F.col("y.word").alias("other")).distinct()
