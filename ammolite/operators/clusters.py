@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ammolite.functions.storage import cut
-from ammolite.operators.spatial import point_pairs
+from ammolite.operators.spatial import near_pairs, point_pairs
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -27,17 +27,6 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         names = new
 
 
-def near_pairs(p: DataFrame, eps: float) -> DataFrame:
-    """(i, j, d) of pairs i < j at most eps apart: points meet in the cells of an eps grid that touch theirs, not with all others."""
-    cell = lambda c: F.floor(F.col(c) / eps)
-    a = p.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), u -> transform(array(-1, 0, 1), v -> struct(u, v))))")).alias("o")
-    b = p.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x").alias("bx"), cell("y").alias("by"), around)
-    b = b.select("j", "xj", "yj", (F.col("bx") + F.col("o.u")).alias("cx"), (F.col("by") + F.col("o.v")).alias("cy"))
-    d = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))
-    return a.join(b, ["cx", "cy"]).where("i < j").select("i", "j", d.alias("d")).where(F.col("d") <= eps)
-
-
 def dbscan(p: DataFrame, eps: float, least: int) -> DataFrame:
     """(id, cluster, core): core points have `least` points within eps, themselves included; a cluster is named by its least core point; a border point takes the least cluster next to it, noise has none."""
     pairs = cut(near_pairs(p, eps), "near-pairs")

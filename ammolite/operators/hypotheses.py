@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ammolite.functions import special
-from ammolite.functions.columns import average_ranks, long_form, missing
+from ammolite.functions.columns import average_ranks, long_form, missing, two_groups
+from ammolite.functions.scans import running_sums
 from ammolite.operators import univariate as u
 
 
@@ -32,9 +33,9 @@ def kruskal_wallis_test(df: DataFrame, group: str, value: str) -> DataFrame:
     return t.select("df", "n", "h", _p(special.chi2_sf("h", "df")))
 
 
-def mann_whitney_test(df: DataFrame, group: str, value: str) -> DataFrame:
-    """U of both groups and the two-sided p of the tie-corrected z."""
-    t = u.mann_whitney(df, group, value)
+def mann_whitney_test(df: DataFrame, group: str, value: str, groups: tuple | None = None) -> DataFrame:
+    """U of both groups, which must be named where there are more, and the two-sided p of the tie-corrected z."""
+    t = u.mann_whitney(df, group, value, groups)
     return t.select("n1", "n2", "u1", "u2", "z", _p(2 * special.normal_sf(F.abs("z"))))
 
 
@@ -64,10 +65,9 @@ def cochran_mantel_haenszel_test(df: DataFrame, stratum: str, exposed: str, outc
     return t.select("strata", F.round("chi2", 6).alias("chi2"), _p(special.chi2_sf("chi2", "df")), F.round("odds_ratio", 6).alias("odds_ratio"))
 
 
-def t_test(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Pooled t of the first two groups in order, its two-sided p, Cohen's d (pooled) and the interval of the difference at 95 % by the normal quantile for large samples."""
-    g = long_form(df, group, value).groupBy("grp").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s2"))
-    g = g.withColumn("k", F.row_number().over(W.orderBy("grp"))).where("k <= 2")
+def t_test(df: DataFrame, group: str, value: str, groups: tuple | None = None) -> DataFrame:
+    """Pooled t of two groups, which must be named where there are more, its two-sided p and Cohen's d (pooled)."""
+    g = two_groups(long_form(df, group, value).groupBy("grp").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s2")), groups)
     t = g.agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}") for c in ("n", "m", "s2") for k in (1, 2))).withColumn("df", F.col("n_1") + F.col("n_2") - 2)
     pooled = ((F.col("n_1") - 1) * F.col("s2_1") + (F.col("n_2") - 1) * F.col("s2_2")) / F.col("df")
     t = t.withColumn("d", (F.col("m_1") - F.col("m_2")) / F.sqrt(pooled)).withColumn("t", F.col("d") / F.sqrt(1 / F.col("n_1") + 1 / F.col("n_2")))
@@ -81,13 +81,12 @@ def paired_t_test(df: DataFrame, first: str | Column, second: str | Column) -> D
     return t.select("n", "df", F.round("m", 6).alias("mean_difference"), F.round("t", 6).alias("t"), _p(2 * special.t_sf(F.abs("t"), "df")))
 
 
-def ks_test(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Largest distance of the empirical distributions of the first two groups, the value where it lies (the least of equals), its sign, and the limit's p."""
-    x = long_form(df, group, value)
-    two = x.groupBy("grp").agg(F.count("*").alias("n")).orderBy("grp").limit(2).withColumn("k", F.row_number().over(W.orderBy("grp")))
-    at = x.join(F.broadcast(two), "grp").groupBy("v").agg(*(F.sum(F.when(F.col("k") == k, 1 / F.col("n")).otherwise(0.0)).alias(c) for k, c in ((1, "a"), (2, "b"))))
-    w = W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = at.select("v", (F.sum("a").over(w) - F.sum("b").over(w)).alias("gap"))
+def ks_test(df: DataFrame, group: str, value: str, groups: tuple | None = None) -> DataFrame:
+    """Largest distance of the empirical distributions of two groups, which must be named where there are more, the value where it lies (the least of equals), its sign, and the limit's p."""
+    x = two_groups(long_form(df, group, value), groups)
+    two = x.groupBy("grp").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+    at = x.drop("k").join(F.broadcast(two), "grp").groupBy("v").agg(*(F.sum(F.when(F.col("k") == k, 1 / F.col("n")).otherwise(0.0)).alias(c) for k, c in ((1, "a"), (2, "b"))))
+    steps = running_sums(at, ("v",), upto_a="a", upto_b="b").select("v", (F.col("upto_a") - F.col("upto_b")).alias("gap"))
     top = steps.agg(F.max_by(F.struct("v", "gap"), F.struct(F.round(F.abs("gap"), 12), -F.col("v"))).alias("s")).select("s.*")
     sizes = two.agg((F.product(F.col("n").cast("double")) / F.sum("n")).alias("m"), F.max("k").alias("groups"))
     t = top.join(sizes).where("groups = 2").withColumn("x", F.sqrt("m") * F.abs("gap"))
@@ -106,8 +105,8 @@ def log_rank(df: DataFrame, group: Column, time: str | Column, event: Column) ->
     """Log-rank chi-square and p of two groups, given as a boolean: at each event time observed against expected, tied events by the hypergeometric variance."""
     x = df.select(group.alias("g"), missing(time).alias("t"), event.alias("e")).where("g is not null and t is not null")
     at = x.groupBy("t").agg(F.count_if("g").alias("n1"), F.count("*").alias("n"), F.count_if(F.col("g") & F.col("e")).alias("d1"), F.count_if("e").alias("d"))
-    later = W.orderBy(F.col("t").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    r = at.select("d1", "d", F.sum("n1").over(later).alias("r1"), F.sum("n").over(later).cast("double").alias("r")).where("d > 0")
+    later = running_sums(at, (F.desc("t"),), r1="n1", r="n")
+    r = later.select("d1", "d", "r1", F.col("r").cast("double").alias("r")).where("d > 0")
     expect = F.col("d") * F.col("r1") / F.col("r")
     variance = F.when(F.col("r") > 1, expect * (1 - F.col("r1") / F.col("r")) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
     s = r.agg(F.sum("d1").alias("observed"), F.sum(expect).alias("expected"), F.sum(variance).alias("v"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ammolite.functions.columns import missing
+from ammolite.functions.storage import cut
 
 #: Blocks into which points are dealt for pairs: a pair of blocks is a key of the join.
 BLOCKS = 8
@@ -51,7 +52,7 @@ def pairwise_distances(vectors: DataFrame, key: str, vector: str, metric: str =
 def ripley_k(p: DataFrame, radii: list[float]) -> DataFrame:
     """K(r) = A 2 #{i < j, d <= r} / (n (n - 1)) without edge correction, A the bounding box, and L(r) - r."""
     box = p.agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
-    near = point_pairs(p).where(F.col("d") <= max(radii)).agg(*(F.count_if(F.col("d") <= r).alias(f"c{k}") for k, r in enumerate(radii)))
+    near = near_pairs(p, max(radii)).agg(*(F.count_if(F.col("d") <= r).alias(f"c{k}") for k, r in enumerate(radii)))
     rows = near.join(box).select("n", "area", F.explode(F.array(*(F.struct(F.lit(float(r)).alias("r"), F.col(f"c{k}").alias("pairs")) for k, r in enumerate(radii)))).alias("x")).select("n", "area", "x.*")
     k = F.col("area") * 2 * F.col("pairs") / (F.col("n") * (F.col("n") - 1))
     return rows.select("r", "pairs", F.round(k, 6).alias("k"), F.round(F.sqrt(k / math.pi) - F.col("r"), 6).alias("l_minus_r"))
@@ -67,18 +68,72 @@ def morans_i(p: DataFrame, values: DataFrame) -> DataFrame:
     return t.select("n", F.when(F.col("same") == 0, F.round(F.col("up") / F.col("down"), 6)).alias("i"), F.round(-1 / (F.col("n") - 1), 6).alias("expected"))
 
 
+def near_pairs(p: DataFrame, eps: float) -> DataFrame:
+    """(i, j, d) of pairs i < j at most eps apart: points meet in the cells of an eps grid that touch theirs, not with all others."""
+    cell = lambda c: F.floor(F.col(c) / eps)
+    a = p.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), cell("x").alias("cx"), cell("y").alias("cy"))
+    around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), u -> transform(array(-1, 0, 1), v -> struct(u, v))))")).alias("o")
+    b = p.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x").alias("bx"), cell("y").alias("by"), around)
+    b = b.select("j", "xj", "yj", (F.col("bx") + F.col("o.u")).alias("cx"), (F.col("by") + F.col("o.v")).alias("cy"))
+    d = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))
+    return a.join(b, ["cx", "cy"]).where("i < j").select("i", "j", d.alias("d")).where(F.col("d") <= eps)
+
+
+def _candidates(queries: DataFrame, pool: DataFrame, same: bool) -> DataFrame:
+    """(i, level, side, j, d): each query point against the points of its cell and the eight around it, at the query's own level."""
+    around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), u -> transform(array(-1, 0, 1), v -> struct(u, v))))")).alias("o")
+    q = queries.select("id", "x", "y", "level", "side", "cx", "cy", around).select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "level", "side", (F.col("cx") + F.col("o.u")).alias("cx"), (F.col("cy") + F.col("o.v")).alias("cy"))
+    met = q.join(pool.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "level", "cx", "cy"), ["level", "cx", "cy"])
+    d = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))
+    return (met.where("i != j") if same else met).select("i", "level", "side", "j", d.alias("d"))
+
+
 def nearest_neighbours(p: DataFrame, k: int, other: DataFrame | None = None) -> DataFrame:
-    """The k nearest points of each (of `other` if given), ties by id: (i, j, place, d)."""
-    d = point_pairs(p, other, both=True)
-    # the k best of each block first, so that no task sorts all of a point's distances
-    part = d.withColumn("part", F.pmod(F.xxhash64("j"), F.lit(BLOCKS))).withColumn("r", F.row_number().over(W.partitionBy("i", "part").orderBy("d", "j"))).where(F.col("r") <= k)
-    return part.withColumn("place", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).where(F.col("place") <= k).select("i", "j", "place", "d")
+    """The k nearest points of each (of `other` if given), ties by id: (i, j, place, d).
+
+    Grids of all sides, each half of the last, cover the points. A point looks into its cell and those around it on the finest grid
+    whose cell holds more than k points; if the k-th of them is further than a cell's side, it looks again on a grid four times as coarse. Of points at the same
+    place only the k + 1 least ids can be anybody's neighbours, so crowds at one place meet in no pairs.
+    """
+    pool, same = (p if other is None else other).select("id", "x", "y"), other is None
+    queries = p.select("id", "x", "y")
+    # crowds at one place: the least ids of each part first, then of all
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    for keys in ([F.col("x"), F.col("y"), part], [F.col("x"), F.col("y")]):
+        pool = pool.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
+    pool = cut(pool, "places")
+    box = pool.union(queries).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side")).first()
+    empty = queries.select(F.col("id").alias("i"), F.lit(1).alias("place"), F.lit(0.0).alias("d")).limit(0).join(pool.select(F.col("id").alias("j")).limit(0), how="cross").select("i", "j", "place", "d")
+    n = pool.count()
+    if not n or box.side is None:
+        return empty
+    whole = box.side * (1 + 1e-9) or 1.0
+    levels = list(range(0, max(0, int(math.log2(max(1.0, n / (k + 1))) / 2)) + 13, 2))
+    side = F.lit(whole) / F.pow(F.lit(2.0), F.col("level"))
+    celled = lambda x: x.withColumn("side", side).withColumns({"cx": F.floor((F.col("x") - box.x) / F.col("side")), "cy": F.floor((F.col("y") - box.y) / F.col("side"))})
+    every = lambda x: celled(x.withColumn("level", F.explode(F.array(*map(F.lit, levels)))))
+    full = every(pool).groupBy("level", "cx", "cy").count().where(F.col("count") > k).select("level", "cx", "cy")
+    finest = every(queries).join(full, ["level", "cx", "cy"]).groupBy("id").agg(F.max("level").alias("level"))
+    pending = cut(celled(queries.join(finest, "id", "left").withColumn("level", F.coalesce("level", F.lit(0)))), "pending")
+    index, out = every(pool), None
+    for _ in levels:
+        used = [r.level for r in pending.select("level").distinct().collect()]  # as many as there are grids, at most
+        met = _candidates(pending, index.where(F.col("level").isin(used)), same)
+        ranked = met.withColumn("place", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).where(F.col("place") <= k)
+        told = ranked.withColumns({"last": F.max("d").over(W.partitionBy("i")), "got": F.count("*").over(W.partitionBy("i"))})
+        found = cut(told.where(((F.col("got") == k) & (F.col("last") <= F.col("side"))) | (F.col("level") == 0)).select("i", "j", "place", "d"), "neighbours")
+        out = found if out is None else out.unionByName(found)
+        rest = pending.where("level > 0").join(found.select(F.col("i").alias("id")).distinct(), "id", "left_anti")
+        pending = cut(celled(rest.select("id", "x", "y", (F.col("level") - 2).alias("level"))), "pending")
+        if pending.isEmpty():
+            break
+    return out
 
 
 def nearest_neighbour_index(p: DataFrame) -> DataFrame:
     """Mean distance to the nearest neighbour over that of a random pattern, 0.5 sqrt(A / n), in the bounding box, and its z."""
     box = p.agg(F.count("*").cast("double").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
-    m = point_pairs(p, both=True).groupBy("i").agg(F.min("d").alias("d")).agg(F.avg("d").alias("m")).join(box)
+    m = nearest_neighbours(p, 1).agg(F.avg("d").alias("m")).join(box)
     expected = 0.5 * F.sqrt(F.col("area") / F.col("n"))
     return m.select(F.col("n").cast("long").alias("n"), F.round("m", 6).alias("mean_distance"), F.round(F.col("m") / expected, 6).alias("index"), F.round((F.col("m") - expected) / (0.26136 / F.sqrt(F.col("n") * F.col("n") / F.col("area"))), 4).alias("z"))
 

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ammolite.functions.columns import two_groups
+from ammolite.functions.scans import running_sums
+
 
 def bin_time(occurrences: DataFrame, bins: DataFrame, method: str = "mid") -> DataFrame:
     """Assign occurrences (taxon, min_ma, max_ma) to bins (bin, min_ma, max_ma).
@@ -71,13 +74,12 @@ def day_numbers(df: DataFrame, date: str) -> DataFrame:
     return d.select(F.date_format("d", "yyyy-MM-dd").alias("d"), (n + 719163).alias("ordinal"), F.dayofyear("d").alias("day_of_year"), (n + 2440588).alias("julian_day"))
 
 
-def log_rank(df: DataFrame, group: str, time: str, event) -> DataFrame:
-    """Observed and expected events of the first group, the variance and chi-square between the first two groups in order."""
-    two = df.select(F.col(group).alias("grp")).distinct().orderBy("grp").limit(2).withColumn("k", F.row_number().over(W.orderBy("grp")))
-    x = df.where(F.col(time).isNotNull()).select(F.col(group).alias("grp"), F.col(time).alias("t"), event.alias("e")).join(F.broadcast(two), "grp")
+def log_rank(df: DataFrame, group: str, time: str, event, groups: tuple | None = None) -> DataFrame:
+    """Observed and expected events of the first of two groups, which must be named where there are more, the variance and chi-square."""
+    x = two_groups(df.where(F.col(time).isNotNull()).select(F.col(group).alias("grp"), F.col(time).alias("t"), event.alias("e")), groups)
     c = x.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("k") == 1).alias("n1"), F.count_if("e").alias("d"), F.count_if(F.col("e") & (F.col("k") == 1)).alias("d1"))
-    w = W.orderBy(F.col("t").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    r = c.select("d", "d1", F.sum("n").over(w).cast("double").alias("r"), F.sum("n1").over(w).cast("double").alias("r1")).where("d > 0")
+    later = running_sums(c, (F.desc("t"),), r="n", r1="n1")
+    r = later.select("d", "d1", F.col("r").cast("double").alias("r"), F.col("r1").cast("double").alias("r1")).where("d > 0")
     var = F.when(F.col("r") > 1, F.col("d") * (F.col("r1") / F.col("r")) * (1 - F.col("r1") / F.col("r")) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
     s = r.agg(F.sum("d1").alias("observed"), F.sum(F.col("d") * F.col("r1") / F.col("r")).alias("e"), F.sum(var).alias("v"))
     return s.select("observed", F.round("e", 5).alias("expected"), F.round("v", 5).alias("variance"), F.round((F.col("observed") - F.col("e")) * (F.col("observed") - F.col("e")) / F.col("v"), 5).alias("chi2"))

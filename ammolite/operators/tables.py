@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ammolite.functions.columns import missing
+from ammolite.functions.scans import numbered
 
 
 def subset_rows(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -45,10 +46,10 @@ def complete_columns(cells: DataFrame) -> DataFrame:
 
 
 def sort_rows(df: DataFrame, key: str, by: str, ascending: bool = True) -> DataFrame:
-    """(key, value, place): places from 0 in a stable order; descending is the ascending order reversed, missing values come last in both."""
+    """(key, value, place): places from 0 in a stable order; descending is the ascending order reversed, missing values come last in both. Rows are numbered range by range."""
     v = missing(by)
-    order = [v.asc_nulls_last(), F.col(key).asc()] if ascending else [v.desc_nulls_last(), F.col(key).desc()]
-    return df.select(key, v.alias("value"), (F.row_number().over(W.orderBy(*order)) - 1).alias("place"))
+    order = [F.col("value").asc_nulls_last(), F.col(key).asc()] if ascending else [F.col("value").desc_nulls_last(), F.col(key).desc()]
+    return numbered(df.select(key, v.alias("value")), *order)
 
 
 def column_transform(cells: DataFrame, how: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ammolite.functions.columns import average_ranks, long_form
+from ammolite.functions.columns import average_ranks, long_form, two_groups
+from ammolite.functions.scans import running_sums
 
 
 def summary_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -32,9 +33,9 @@ def one_way_anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return t.select((F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"), F.round(ssb / F.col("ssw"), 6).alias("ss_ratio"), F.when((F.col("least") >= 2) & (F.col("ssw") > 0), F.round(f, 4)).alias("f"))
 
 
-def two_sample_t(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Pooled and Welch t between the first and the second group in order; more groups are left out of it."""
-    g = _group_moments(long_form(df, group, value)).withColumn("rank", F.row_number().over(W.orderBy("grp"))).where("rank <= 2")
+def two_sample_t(df: DataFrame, group: str, value: str, groups: tuple | None = None) -> DataFrame:
+    """Pooled and Welch t between two groups, which must be named where there are more."""
+    g = two_groups(_group_moments(long_form(df, group, value)), groups).withColumnRenamed("k", "rank")
     one = lambda c, k: F.max(F.when(F.col("rank") == k, F.col(c)))
     t = g.agg(*(one(c, k).alias(f"{c}{k}") for c in ("n", "m", "s2") for k in (1, 2)))
     v1, v2 = F.col("s21") * F.col("n1") / (F.col("n1") - 1), F.col("s22") * F.col("n2") / (F.col("n2") - 1)
@@ -53,13 +54,10 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     return t.select((F.col("k") - 1).alias("df"), F.col("n"), F.round(h, 5).alias("h"))
 
 
-def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
-    """U of the first and the second group in order, with the tie-corrected normal z (no continuity correction)."""
-    x = long_form(df, group, value)
-    two = x.select("grp").distinct().orderBy("grp").limit(2)
-    r = average_ranks(x.join(F.broadcast(two), "grp"))
-    g = r.groupBy("grp").agg(F.count("*").alias("n"), F.sum("avg_rank").alias("r"), F.sum(F.col("n_ties").cast("double") * F.col("n_ties") - 1).alias("ties"))
-    g = g.withColumn("k", F.row_number().over(W.orderBy("grp")))
+def mann_whitney(df: DataFrame, group: str, value: str, groups: tuple | None = None) -> DataFrame:
+    """U of two groups, which must be named where there are more, with the tie-corrected normal z (no continuity correction)."""
+    r = average_ranks(two_groups(long_form(df, group, value), groups))
+    g = r.groupBy("grp", "k").agg(F.count("*").alias("n"), F.sum("avg_rank").alias("r"), F.sum(F.col("n_ties").cast("double") * F.col("n_ties") - 1).alias("ties"))
     one = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     t = g.agg(one("n", 1).alias("n1"), one("n", 2).alias("n2"), one("r", 1).alias("r1"), F.sum("ties").alias("ties"))
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), (F.col("n1") + F.col("n2")).cast("double")
@@ -68,13 +66,12 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     return t.select("n1", "n2", F.round(u, 1).alias("u1"), F.round(n1 * n2 - u, 1).alias("u2"), F.round((u - n1 * n2 / 2) / sd, 6).alias("z"))
 
 
-def ks_two_sample(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Largest distance of the empirical distributions of the first two groups, at distinct pooled values."""
-    x = long_form(df, group, value)
-    two = x.groupBy("grp").agg(F.count("*").alias("n")).orderBy("grp").limit(2).withColumn("k", F.row_number().over(W.orderBy("grp")))
-    at = x.join(F.broadcast(two), "grp").groupBy("v").agg(F.sum(F.when(F.col("k") == 1, 1 / F.col("n")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("k") == 2, 1 / F.col("n")).otherwise(0.0)).alias("b"))
-    w = W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return at.select(F.abs(F.sum("a").over(w) - F.sum("b").over(w)).alias("d")).agg(F.round(F.max("d"), 6).alias("d"))
+def ks_two_sample(df: DataFrame, group: str, value: str, groups: tuple | None = None) -> DataFrame:
+    """Largest distance of the empirical distributions of two groups, which must be named where there are more, at distinct pooled values."""
+    x = two_groups(long_form(df, group, value), groups)
+    at = x.join(F.broadcast(x.groupBy("grp").agg(F.count("*").alias("n"))), "grp").groupBy("v").agg(F.sum(F.when(F.col("k") == 1, 1 / F.col("n")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("k") == 2, 1 / F.col("n")).otherwise(0.0)).alias("b"))
+    steps = running_sums(at, ("v",), upto_a="a", upto_b="b")
+    return steps.select(F.abs(F.col("upto_a") - F.col("upto_b")).alias("d")).agg(F.round(F.max("d"), 6).alias("d"))
 
 
 def contingency_chi_square(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ammolite.operators import spectra as o
 
 N, MOST = 720, 128
-_AT = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000)
 
 
-def hours(s, d, by=F.lit("all")):
+def hours(s, d, by="'all'"):
     """(series, pos, v): value of the events of each hour; hours without events have none."""
-    return s.read.parquet(f"{d}/events.parquet").groupBy(by.alias("series"), _AT.alias("pos")).agg(F.sum("value").alias("v"))
+    at = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000)
+    return s.read.parquet(f"{d}/events.parquet").groupBy(F.expr(by).alias("series"), at.alias("pos")).agg(F.sum("value").alias("v"))
 
 
 def _rounded(f, *columns, digits=5):
@@ -20,7 +20,7 @@ def _rounded(f, *columns, digits=5):
 
 
 def _kind(s, d, name):
-    return hours(s, d, F.col("event_type")).where(F.col("series") == name)
+    return hours(s, d, "event_type").where(F.col("series") == name)
 
 
 QUERIES = {

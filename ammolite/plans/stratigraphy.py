@@ -34,7 +34,7 @@ QUERIES = {
     "range_extension": lambda s, d: o.strauss_sadler(o.ranges(occurrences(s, d))),
     "depth_to_time": lambda s, d: o.depth_to_time(_depths(s, d), s.createDataFrame(ANCHORS, "depth double, age double")),
     "date_to_day_number": lambda s, d: o.day_numbers(s.read.parquet(f"{d}/orders.parquet"), "o_orderdate"),
-    "log_rank_test": lambda s, d: o.log_rank(_lifetimes(s, d), "l_returnflag", "days", F.col("ended")),
+    "log_rank_test": lambda s, d: o.log_rank(_lifetimes(s, d), "l_returnflag", "days", F.col("ended"), ("A", "N")),
 }
 
 _O = """WITH o AS (SELECT o_orderkey AS id, o_custkey AS taxon, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS DOUBLE) AS lo, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS DOUBLE) + o_orderkey % 200 AS hi FROM orders),
