@@ -77,6 +77,8 @@ def _chirp(x: DataFrame, n: int, inverse: bool, most: int) -> DataFrame:
     size = 1
     while size < 2 * n - 1:
         size *= 2
+    if size > most * most:
+        raise ValueError(f"{n} values are too many for pieces of {most}")
     sign = 1 if inverse else -1
     # pos squared modulo 2n, without leaving 64 bits
     angle = lambda: F.lit(sign * np.pi / n) * F.expr(f"cast((cast(pos as decimal(38, 0)) * pos) % {2 * n} as double)")

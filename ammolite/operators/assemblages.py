@@ -163,12 +163,13 @@ def fisher_alpha(x: DataFrame, rounds: int = 60) -> DataFrame:
     return g.select("sample", "s", F.col("n").cast("long").alias("n"), F.round(F.col("s") / -F.log("y"), 4).alias("alpha"), F.round(1 - F.col("y"), 6).alias("x"))
 
 
-def c_score(x: DataFrame) -> DataFrame:
+def c_score(x: DataFrame, least: float = 0.0) -> DataFrame:
     """Mean of (r_i - shared)(r_j - shared) over all pairs of taxa, and the share of pairs that never meet; r is the number of samples that hold a taxon.
+    A taxon is present where it has at least `least` individuals.
 
     Pairs that share nothing need no rows: over all pairs the sum of r_i r_j comes from the totals.
     """
-    held = x.select("sample", "taxon").distinct()
+    held = x.where(F.col("n") >= least).select("sample", "taxon").distinct()
     r = held.groupBy("taxon").agg(F.count("*").cast("double").alias("r"))
     h = held.join(r, "taxon")
     met = h.select("sample", F.col("taxon").alias("a"), F.col("r").alias("ra")).join(h.select("sample", F.col("taxon").alias("b"), F.col("r").alias("rb")), "sample").where("a < b")

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ammolite.functions.blocks import SIZE, blocked
 from ammolite.functions.columns import average_ranks, long_form
+from ammolite.functions.scans import numbered
+from ammolite.functions.storage import cut
 
 #: A null value counts as reaching the observed one from this relative distance on: sums in another order differ by less.
 SLACK = 1e-9
@@ -31,10 +34,10 @@ def shuffled(labels: DataFrame, n: int, seed: int = 1) -> DataFrame:
 
     Sorted by sample, the values are numbered; a replicate gives its k-th sample by key the k-th value.
     """
-    numbered = labels.select(F.row_number().over(W.orderBy("sample")).alias("k"), "value")
+    places = numbered(labels.select("sample", "value"), "sample", name="k").select((F.col("k") + 1).alias("k"), "value")
     keyed = labels.select("sample").crossJoin(F.broadcast(replicates(n, labels.sparkSession)))
     keyed = keyed.select("rep", "sample", F.row_number().over(W.partitionBy("rep").orderBy(order_key(seed, "rep", "sample"), "sample")).alias("k"))
-    return keyed.join(numbered, "k").select("rep", "sample", "value")
+    return keyed.join(places, "k").select("rep", "sample", "value")
 
 
 def p_value(null: DataFrame, observed: DataFrame, statistic: str, two_sided: bool = False) -> DataFrame:
@@ -46,28 +49,40 @@ def p_value(null: DataFrame, observed: DataFrame, statistic: str, two_sided: boo
     return observed.join(F.broadcast(t)).withColumn("p", F.round((F.col("hits") + 1) / (F.col("n_valid") + 1), 6)).drop("hits")
 
 
-def _within(pairs: DataFrame, groups: DataFrame, n: int, seed: int, weight: str, by_size: bool) -> DataFrame:
+def _within(pairs: DataFrame, groups: DataFrame, n: int, seed: int, weight: str, by_size: bool, size: int = SIZE) -> DataFrame:
     """(rep, within): for replicate 0, the labels as they are, and each shuffled one the sum of `weight` over pairs (i, j) in one group, by 1 / group size if asked.
 
-    A sample's labels in all replicates are one array, so a pair is one row however many replicates there are.
+    The weights are a matrix in blocks; a block's task gets the labels of its rows and columns in all replicates, a byte pair each, and sums group by group.
     """
     code = groups.select("grp").distinct().select("grp", (F.row_number().over(W.orderBy("grp")) - 1).cast("short").alias("code"))
-    labels = groups.join(F.broadcast(code), "grp").select("sample", F.col("code").alias("value"))
+    labels = cut(groups.join(F.broadcast(code), "grp").select("sample", F.col("code").alias("value")), "labels")
     drawn = labels.select(F.lit(0).cast("long").alias("rep"), "sample", "value").unionByName(shuffled(labels, n, seed))
-    codes = drawn.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "value"))), lambda x: x["value"]).alias("codes"))
-    sizes = labels.groupBy("value").agg(F.count("*").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("value", "m"))), lambda x: x["m"]).alias("sizes"))
-    rows = pairs.select("i", "j", F.col(weight).alias("w")).join(codes.select(F.col("sample").alias("i"), F.col("codes").alias("a")), "i").join(codes.select(F.col("sample").alias("j"), F.col("codes").alias("b")), "j").select("w", "a", "b").join(F.broadcast(sizes))
+    names = cut(numbered(labels.select("sample").distinct(), "sample"), "samples")
+    held, counts = names.count(), [r.m for r in labels.groupBy("value").agg(F.count("*").alias("m")).orderBy("value").collect()]
+    a, b = names.select(F.col("sample").alias("i"), F.col("place").alias("pi")), names.select(F.col("sample").alias("j"), F.col("place").alias("pj"))
+    entries = pairs.select("i", "j", F.col(weight).cast("double").alias("v")).join(a, "i").join(b, "j").select(F.least("pi", "pj").alias("i"), F.greatest("pi", "pj").alias("j"), "v")
+    matrix = blocked(entries, held, size)
+
+    def pack(key, t):
+        rows = min(size, held - key[0].as_py() * size)
+        m = np.zeros((rows, n + 1), np.int16)
+        m[t["r"].to_numpy(), t["rep"].to_numpy()] = t["value"].to_numpy()
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "codes": pa.array([m.tobytes()], pa.binary())})
+
+    at = F.col("place")
+    codes = drawn.join(names, "sample").select((at / size).cast("int").alias("b"), (at % size).cast("int").alias("r"), "rep", "value").groupBy("b").applyInArrow(pack, "b int, codes binary")
+    codes = cut(codes, "codes")
+    rows = matrix.join(codes.select(F.col("b").alias("bi"), F.col("codes").alias("x")), "bi").join(codes.select(F.col("b").alias("bj"), F.col("codes").alias("y")), "bj").select("m", "x", "y")
 
     def sums(batches):
         total = np.zeros(n + 1)
-        for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.slice(lo, 2000)
-                x, y = (part.column(c).flatten().to_numpy().reshape(len(part), n + 1) for c in ("a", "b"))
-                w = np.where(x == y, part.column("w").to_numpy(zero_copy_only=False)[:, None], 0.0)
-                if by_size:
-                    w /= np.array(part.column("sizes")[0].as_py(), float)[x]
-                total += w.sum(0)
+        for batch in batches:
+            for m, x, y in zip(*(batch.column(c).to_pylist() for c in ("m", "x", "y"))):
+                x, y = (np.frombuffer(z, np.int16).reshape(-1, n + 1) for z in (x, y))
+                m = np.frombuffer(m, np.float64).reshape(len(x), len(y))
+                for g, k in enumerate(counts):
+                    # every pair stands in the matrix twice
+                    total += np.einsum("ir,ir->r", (x == g).astype(np.float64), m @ (y == g).astype(np.float64)) / (2 * k if by_size else 2)
         yield pa.record_batch([np.arange(n + 1), total], names=["rep", "within"])
 
     return rows.mapInArrow(sums, "rep long, within double").groupBy("rep").agg(F.sum("within").alias("within"))

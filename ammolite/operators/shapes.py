@@ -180,6 +180,6 @@ def relative_warps(aligned: DataFrame, consensus: np.ndarray, count: int = 2, al
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1][:, :count]
     spark = aligned.sparkSession
     warps = spark.createDataFrame([(i + 1, float(v), float(v / values.sum()) if values.sum() else 0.0) for i, v in enumerate(values[:count])], "warp int, value double, share double")
-    scored = cut(_mapped(aligned.select("specimen", "shape"), lambda s: (deviations(s) @ vectors)[:, :, None], 1), "scores").select("specimen", F.posexplode("shape").alias("k", "score"))
+    scored = cut(_mapped(aligned.select("specimen", "shape"), lambda s: deviations(s) @ vectors, dims), "scores").select("specimen", F.posexplode("shape").alias("k", "score"))
     signs = scored.groupBy("k").agg(F.signum(F.max_by("score", F.round(F.abs("score"), 9))).alias("sign"))
     return warps, scored.join(F.broadcast(signs), "k").select("specimen", (F.col("k") + 1).alias("warp"), (F.col("score") * F.when(F.col("sign") < 0, -1).otherwise(1)).alias("score"))

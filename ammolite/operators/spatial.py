@@ -108,7 +108,7 @@ def nearest_neighbours(p: DataFrame, k: int, other: DataFrame | None = None) ->
     if not n or box.side is None:
         return empty
     whole = box.side * (1 + 1e-9) or 1.0
-    levels = list(range(0, max(0, int(math.log2(max(1.0, n / (k + 1))) / 2)) + 13, 2))
+    levels = list(range(0, max(0, int(math.log2(max(1.0, n / (k + 1))) / 2)) + 25, 2))
     side = F.lit(whole) / F.pow(F.lit(2.0), F.col("level"))
     celled = lambda x: x.withColumn("side", side).withColumns({"cx": F.floor((F.col("x") - box.x) / F.col("side")), "cy": F.floor((F.col("y") - box.y) / F.col("side"))})
     every = lambda x: celled(x.withColumn("level", F.explode(F.array(*map(F.lit, levels)))))

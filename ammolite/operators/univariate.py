@@ -127,3 +127,17 @@ def kaplan_meier(df: DataFrame, group: str, time: str, event) -> DataFrame:
     green = F.when(F.col("d") < F.col("at_risk"), F.col("d") / (F.col("at_risk").cast("double") * (F.col("at_risk") - F.col("d"))))
     s = F.when(gone == 1, F.lit(0.0)).otherwise(F.exp(F.sum(step).over(so_far)))
     return x.select("grp", "t", "at_risk", F.col("d").alias("events"), F.round(s, 6).alias("survival"), F.when(gone == 0, F.round(s * F.sqrt(F.sum(green).over(so_far)), 6)).alias("se"))
+
+
+def survival_intervals(curve: DataFrame, z: float = 1.959964) -> DataFrame:
+    """(grp, t, survival, lower, upper): intervals of kaplan_meier()'s curve on the log-log scale; null where survival is 1 or 0."""
+    s = F.col("survival")
+    inside = (s > 0) & (s < 1) & F.col("se").isNotNull()
+    theta, wide = F.log(-F.log(s)), F.lit(z) * F.col("se") / (s * F.abs(F.log(s)))
+    bound = lambda sign: F.when(inside, F.round(F.exp(-F.exp(theta + sign * wide)), 5))
+    return curve.select("grp", "t", "survival", bound(1).alias("lower"), bound(-1).alias("upper"))
+
+
+def median_survival(curve: DataFrame) -> DataFrame:
+    """(grp, median): the first time at which a curve has come down to a half; null where it never does."""
+    return curve.groupBy("grp").agg(F.min(F.when(F.col("survival") <= 0.5, F.col("t"))).alias("median"))

@@ -74,9 +74,8 @@ def _rounds(pieces: DataFrame, pairs: DataFrame, window: int | None, block: int)
             for a, b, i, j, la, lb, x, y, top, left, corner in f[["a", "b", "i", "j", "la", "lb", "x", "y", "top", "left", "corner"]].itertuples(index=False):
                 x, y = np.frombuffer(x, np.float64), np.frombuffer(y, np.float64)
                 p = _costs(x, y, _unpack(top, len(y)), _unpack(left, len(x)), 0.0 if i == j == 0 else np.inf if corner is None or np.isnan(corner) else corner, i * block, j * block, window)
-                end = p[-1, -1] if i == la and j == lb else np.nan
-                rows.append((a, b, i, j, _pack(p[-1, 1:]), _pack(p[1:, -1]), p[-1, -1], end))
-            yield pd.DataFrame(rows, columns=["a", "b", "i", "j", "bottom", "right", "corner", "distance"])
+                rows.append((a, b, i, j, _pack(p[-1, 1:]), _pack(p[1:, -1]), p[-1, -1], i == la and j == lb))
+            yield pd.DataFrame(rows, columns=["a", "b", "i", "j", "bottom", "right", "corner", "last"])
 
     for r in range(rounds):
         here = pairs.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(r) - F.col("lb")), F.least(F.lit(r), F.col("la"))))).where(f"i <= la and {r} - i between 0 and lb").withColumn("j", (F.lit(r) - F.col("i")).cast("int"))
@@ -91,9 +90,9 @@ def _rounds(pieces: DataFrame, pairs: DataFrame, window: int | None, block: int)
             moved = lambda e, di, dj, *cols: e.select("a", "b", (F.col("i") + di).cast("int").alias("i"), (F.col("j") + dj).cast("int").alias("j"), *cols)
             here = here.join(moved(before, 1, 0, F.col("bottom").alias("top")), key, "left").join(moved(before, 0, 1, F.col("right").alias("left")), key, "left")
             here = here.join(moved(earlier, 1, 1, "corner"), key, "left") if earlier is not None else here.withColumn("corner", F.lit(None).cast("double"))
-        done = cut(here.mapInPandas(run, f"{names}, bottom binary, right binary, corner double, distance double"), "warp")
+        done = cut(here.mapInPandas(run, f"{names}, bottom binary, right binary, corner double, last boolean"), "warp")
         edges.append(done)
-        found = done.where("not isnan(distance)").select("a", "b", F.when(F.col("distance") < float("inf"), F.col("distance")).alias("distance"))
+        found = done.where("last").select("a", "b", F.when(F.col("corner") < float("inf"), F.col("corner")).alias("distance"))
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = pairs.select("a", "b", F.lit(None).cast("double").alias("distance")).limit(0)

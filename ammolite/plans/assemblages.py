@@ -26,7 +26,7 @@ QUERIES = {
     "geometric_series": lambda s, d: a.geometric_series(_brands(s, d)),
     "log_normal": lambda s, d: a.log_normal(_community(s, d)),
     "fisher_alpha": lambda s, d: a.fisher_alpha(_brands(s, d)),
-    "c_score": lambda s, d: a.c_score(_brands(s, d).where("n >= 3")),
+    "c_score": lambda s, d: a.c_score(_brands(s, d), 3),
     "diversity_t_test": lambda s, d: a.group_diversity(_community(s, d), _present(s, d)),
 }
 

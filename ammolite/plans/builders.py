@@ -1,10 +1,12 @@
-"""Queries of time warping, shapes, trees, null models and regressions."""
+"""Queries of time warping, shapes, trees, null models, regressions, biostratigraphy and mode decomposition."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from ammolite.operators import biostratigraphy as b
+from ammolite.operators import modes as e
 from ammolite.operators import nullmodels as m
 from ammolite.operators import phylogeny as t
 from ammolite.operators import regressions as r
@@ -93,7 +95,7 @@ def _cherries(s, d):
     named = n.select("n_nationkey", "n_name", F.row_number().over(_by_key()).alias("k"), F.count("*").over(_all()).alias("n"))
     leaves = named.select(F.lit(0).alias("tree_id"), (1000 + F.col("k")).cast("long").alias("node_id"), F.least(F.col("k"), F.col("n") - 1).cast("long").alias("parent_id"), F.col("n_name").alias("name"))
     spine = named.where("k < n").select(F.lit(0).alias("tree_id"), F.col("k").cast("long").alias("node_id"), F.when(F.col("k") > 1, F.col("k") - 1).cast("long").alias("parent_id"), F.lit(None).cast("string").alias("name"))
-    x = n.select(F.col("n_name").alias("name"), F.explode(F.array(F.struct(F.lit(0).alias("site"), F.substring("n_name", 1, 1).alias("state")), F.struct(F.lit(1), F.length("n_name").cast("string")), F.struct(F.lit(2), F.col("n_regionkey").cast("string")))).alias("s")).select("name", "s.site", "s.state")
+    x = n.select(F.col("n_name").alias("name"), F.posexplode(F.array(F.substring("n_name", 1, 1), F.length("n_name").cast("string"), F.col("n_regionkey").cast("string"))).alias("site", "state"))
     return leaves.unionByName(spine), x
 
 
@@ -129,7 +131,37 @@ def _arma(s, d):
     return r.hannan_rissanen(e, 2, 1, 10)[0].withColumn("value", F.round("value", 6))
 
 
+def _ranges(s, d):
+    """Labels as sections; twenty neighbouring vectors are an event, which lasts from the least of their first numbers for 0.02."""
+    v = s.read.parquet(f"{d}/embeddings.parquet").groupBy("label", F.floor(F.col("vec_id") / 20).cast("long").alias("event")).agg(F.min(F.col("embedding")[0].cast("double")).alias("fad"))
+    return b.ranges(v.select(F.lit(1).alias("study"), "label", "event", "fad", (F.col("fad") + 0.02).alias("lad")), "study", "label", "event", "fad", "lad")
+
+
+def _listed(x):
+    return x.withColumn("events", F.concat_ws(",", F.transform("events", lambda v: v.cast("string"))))
+
+
+def _rasc(s, d):
+    """Distances of events: in how many sections the first one appears after the other."""
+    x = _ranges(s, d)
+    both = b.contradictions(x).select(F.explode(F.array(F.struct("a", "b", F.col("b_first").alias("n")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("a_first").alias("n")))).alias("r")).select(F.lit(1).alias("study"), "r.a", "r.b", F.col("r.n").cast("double").alias("d"))
+    return b.rasc(both)
+
+
+def _by_type(s, d):
+    return _daily(s, d)
+
+
 QUERIES = {
+    "co_occurrences": lambda s, d: b.co_occurrences(_ranges(s, d)),
+    "contradictions": lambda s, d: b.contradictions(_ranges(s, d)),
+    "widespread": lambda s, d: b.widespread(_ranges(s, d), 8).groupBy("event").agg(F.count("*").alias("sections")),
+    "associations": lambda s, d: _listed(b.associations(b.co_occurrences(_ranges(s, d)))),
+    "association_zones": lambda s, d: _listed(b.zones(b.associations(b.co_occurrences(_ranges(s, d))), 0.5)),
+    "rasc": _rasc,
+    "emd": lambda s, d: e.emd(_by_type(s, d)).groupBy("series", "mode").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("v") * F.col("v"))), 5).alias("rms")),
+    "emd_total": lambda s, d: e.emd(_by_type(s, d)).groupBy("series", "pos").agg(F.round(F.sum("v"), 6).alias("v")),
+    "eemd": lambda s, d: e.emd(_by_type(s, d), trials=20, noise=0.2).groupBy("series", "mode").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("v") * F.col("v"))), 5).alias("rms")),
     "dtw": _dtw(None),
     "dtw_window": _dtw(5),
     "dtw_path": _path,
@@ -201,7 +233,17 @@ UNION ALL SELECT step + 1, b + (j * g - i * k) / (h * j - i * i), c + (h * k - i
 f AS (SELECT * FROM n WHERE step = 8)
 SELECT 'l_discount' AS covariate, round(b, 6) AS beta, round(exp(b), 6) AS hazard_ratio, round(sqrt(j / (h * j - i * i)), 6) AS se, round(b / sqrt(j / (h * j - i * i)), 6) AS z FROM f UNION ALL SELECT 'l_tax', round(c, 6), round(exp(c), 6), round(sqrt(h / (h * j - i * i)), 6), round(c / sqrt(h / (h * j - i * i)), 6) FROM f"""
 
+_RANGES = "WITH RECURSIVE r AS (SELECT label AS s, vec_id // 20 AS e, min(CAST(embedding[1] AS DOUBLE)) AS f FROM embeddings GROUP BY 1, 2), p AS (SELECT a.e AS a, b.e AS b, a.f AS fa, b.f AS fb FROM r a JOIN r b ON a.s = b.s AND a.e < b.e), o AS (SELECT a, b, count(*) AS sections FROM p WHERE fa < fb + 0.02 AND fb < fa + 0.02 GROUP BY 1, 2)"
+
 ORACLE_SQL = {
+    "co_occurrences": _RANGES + " SELECT 1 AS study, a, b, sections FROM o",
+    "contradictions": _RANGES + " SELECT 1 AS study, a, b, count(*) FILTER (fa < fb) AS a_first, count(*) FILTER (fb < fa) AS b_first FROM p GROUP BY a, b HAVING count(*) FILTER (fa < fb) > 0 AND count(*) FILTER (fb < fa) > 0",
+    "widespread": _RANGES + ", n AS (SELECT e, count(*) AS n FROM r GROUP BY 1) SELECT e AS event, n AS sections FROM n WHERE n >= 8 OR (SELECT max(n) FROM n) < 8 AND e = (SELECT e FROM n ORDER BY n DESC, e LIMIT 1)",
+    # all sets, grown by larger events, that no further event could join
+    "associations": _RANGES + """, g AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o), v AS (SELECT DISTINCT a AS e FROM g), c AS (SELECT [a, b] AS s, b AS last FROM o UNION ALL SELECT list_append(c.s, v.e), v.e FROM c JOIN v ON v.e > c.last AND (SELECT count(*) FROM g WHERE g.b = v.e AND list_contains(c.s, g.a)) = len(c.s))
+SELECT 1 AS study, array_to_string(s, ',') AS events FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE NOT list_contains(c.s, v.e) AND (SELECT count(*) FROM g WHERE g.b = v.e AND list_contains(c.s, g.a)) = len(c.s))""",
+    # modes and trend add up to the series
+    "emd_total": _DAYS.split(",\nc AS")[0].format(band="").replace("WITH RECURSIVE", "WITH") + " SELECT series, pos, round(v, 6) AS v FROM x",
     "dtw": _DAYS.format(band=""),
     "dtw_window": _DAYS.format(band="AND abs(a.pos - b.pos) <= 5"),
     "gpa": _GPA + " SELECT f.id AS specimen, round(any_value(z.size), 6) AS size, round(sqrt(sum((f.x - m.x) ** 2 + (f.y - m.y) ** 2)), 6) AS distance FROM f JOIN m ON m.k = f.k JOIN z ON z.id = f.id AND z.k = f.k GROUP BY f.id",

@@ -48,7 +48,7 @@ def grouped(s, d):
 
 def landmarks(s, d):
     """Vectors as .tps specimens of three landmarks with a scale."""
-    v = s.read.parquet(f"{d}/embeddings.parquet").where("label = 3").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    v = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     lines = v.select("vec_id", F.posexplode(F.concat(F.array(F.lit("LM=3")), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat_ws(" ", F.round(F.get("e", 2 * k), 4), F.round(F.get("e", 2 * k + 1), 4))), F.array(F.concat(F.lit("ID=v"), F.col("vec_id").cast("string")), F.lit("SCALE=2"))))).select((F.col("vec_id") * 10 + F.col("pos")).alias("k"), F.col("col").alias("value"))
     x = text.read_landmarks(s, _written(lines, "tps", 1))
     return x.select("id", "lm", F.round(F.col("coords")[0], 4).alias("x"), F.round(F.col("coords")[1], 4).alias("y"))
@@ -98,7 +98,7 @@ ORACLE_SQL = {
     "missing_tokens": """
 WITH c AS (SELECT id, ['?', ' na ', 'N/A', '-', '', '1.5', 'x', 'NULL', '-2', '1e3'][id % 10 + 1] AS cell FROM range(40) t(id)) SELECT id, cell, upper(trim(cell)) IN ('?', '*', '-', 'NA', 'N/A', 'NAN', 'NONE', 'NULL') AS missing, TRY_CAST(cell AS DOUBLE) AS value FROM c""",
     "dat_round_trip": "SELECT r_name AS grp, n_name AS label, n_nationkey / 4 AS first, CASE WHEN n_nationkey % 3 <> 0 THEN 7.0 END AS second FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "tps_round_trip": "SELECT 'v' || vec_id AS id, CAST(k + 1 AS INTEGER) AS lm, round(2 * round(CAST(embedding[2 * k + 1] AS DOUBLE), 4), 4) AS x, round(2 * round(CAST(embedding[2 * k + 2] AS DOUBLE), 4), 4) AS y FROM embeddings, range(3) g(k) WHERE label = 3",
+    "tps_round_trip": "SELECT 'v' || vec_id AS id, CAST(k + 1 AS INTEGER) AS lm, round(2 * round(CAST(embedding[2 * k + 1] AS DOUBLE), 4), 4) AS x, round(2 * round(CAST(embedding[2 * k + 2] AS DOUBLE), 4), 4) AS y FROM embeddings, range(3) g(k)",
     "columns_round_trip": "SELECT CAST(event_id AS DOUBLE) AS id, round(value, 2) AS value, CAST(NULL AS DOUBLE) AS flag FROM events",
     "newick": _T + " SELECT r_name AS tree_id, 0 AS node_id, NULL AS parent_id, r_name AS name, 2.5 AS length FROM region UNION ALL SELECT r_name, k, 0, n_name, n_nationkey / 4 + 1 FROM n",
     "newick_depths": _T + " SELECT r_name AS tree_id, r_name AS name, 0 AS depth, 0.0 AS root_distance, any_value(c) AS leaves FROM n GROUP BY r_name UNION ALL SELECT r_name, n_name, 1, n_nationkey / 4 + 1, 1 FROM n",

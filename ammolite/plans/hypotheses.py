@@ -15,8 +15,8 @@ def _ships(s, d):
 
 
 def _spending(s, d):
-    """Order totals of customers by year."""
-    return _read(s, d, "orders").select("o_custkey", F.year(F.col("o_orderdate").cast("date")).alias("y"), "o_totalprice").where("y < 1999")
+    """Order totals of customers by quarter of the year."""
+    return _read(s, d, "orders").select("o_custkey", F.quarter(F.col("o_orderdate").cast("date")).alias("y"), "o_totalprice")
 
 
 QUERIES = {
@@ -53,7 +53,7 @@ _T = _TWO_SIDED.format(f="power(1 + power(i * abs(r.z) / 2000, 2) / r.df, -(r.df
 _RANKS = univariate._RANKS
 _BEFORE = univariate.ORACLE_SQL
 _TABLE = """
-WITH c AS (SELECT o_custkey AS s, year(CAST(o_orderdate AS DATE)) AS m, avg(o_totalprice) AS v FROM orders WHERE year(CAST(o_orderdate AS DATE)) < 1999 GROUP BY ALL),
+WITH c AS (SELECT o_custkey AS s, quarter(CAST(o_orderdate AS DATE)) AS m, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
 x AS (SELECT * FROM c WHERE s IN (SELECT s FROM c GROUP BY s HAVING count(*) = (SELECT count(DISTINCT m) FROM c))),
 g AS (SELECT count(DISTINCT s) AS n, count(DISTINCT m) AS k, var_pop(v) * count(v) AS sst FROM x),
 q AS (SELECT n, k, sst, k * (SELECT var_pop(a) * count(a) FROM (SELECT avg(v) AS a FROM x GROUP BY s)) AS ss, n * (SELECT var_pop(a) * count(a) FROM (SELECT avg(v) AS a FROM x GROUP BY m)) AS sm FROM g)"""

@@ -60,6 +60,10 @@ ORACLE_SQL = {
 m AS (SELECT value, count(*) AS m FROM lab GROUP BY 1), t AS (SELECT (SELECT count(*) FROM lab) AS n, (SELECT count(*) FROM m) AS g, (SELECT sum(bray_curtis * bray_curtis) FROM d) AS q),
 w AS (SELECT a.rep, sum(bray_curtis * bray_curtis / m.m) AS w FROM d JOIN z a ON a.sample = d.i JOIN z b ON b.sample = d.j AND b.rep = a.rep AND b.value = a.value JOIN m ON m.value = a.value GROUP BY a.rep),
 st AS (SELECT r.rep, n, g, ((q / n - coalesce(w, 0)) / (g - 1)) / (coalesce(w, 0) / (n - g)) AS f FROM range(0, 1000) r(rep) LEFT JOIN w ON w.rep = r.rep, t)""" + _P_OF.format(x="f", abs="", columns="o.n, o.g", digits=5),
+    "permanova_vectors": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), d AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.e, b.e), 5) AS d FROM e a JOIN e b ON a.vec_id < b.vec_id), lab AS (SELECT vec_id AS sample, label AS value, row_number() OVER (ORDER BY vec_id) AS k FROM e)" + _DRAW + """,
+m AS (SELECT value, count(*) AS m FROM lab GROUP BY 1), t AS (SELECT (SELECT count(*) FROM lab) AS n, (SELECT count(*) FROM m) AS g, (SELECT sum(d * d) FROM d) AS q),
+w AS (SELECT a.rep, sum(d * d / m.m) AS w FROM z a JOIN z b ON b.rep = a.rep AND b.value = a.value AND a.sample < b.sample JOIN d ON d.i = a.sample AND d.j = b.sample JOIN m ON m.value = a.value GROUP BY a.rep),
+st AS (SELECT w.rep, n, g, ((q / n - w) / (g - 1)) / (w / (n - g)) AS f FROM w, t)""" + _P_OF.format(x="f", abs="", columns="o.n, o.g", digits=5),
     "anosim_test": ecology._P + _G + _DRAW + """,
 q AS (SELECT i, j, rank() OVER (ORDER BY bray_curtis) + (count(*) OVER (PARTITION BY bray_curtis) - 1) / 2 AS r FROM d), t AS (SELECT (SELECT sum(r) FROM q) AS t, (SELECT count(*) FROM q) AS m, (SELECT sum(k * (k - 1)) / 2 FROM (SELECT count(*) AS k FROM lab GROUP BY value)) AS mw),
 w AS (SELECT a.rep, sum(r) AS w FROM q JOIN z a ON a.sample = q.i JOIN z b ON b.sample = q.j AND b.rep = a.rep AND b.value = a.value GROUP BY a.rep),

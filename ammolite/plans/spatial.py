@@ -44,7 +44,7 @@ QUERIES = {
     "nearest_neighbour": lambda s, d: p.nearest_neighbour_index(_places(s, d)),
     "grid_interpolate": lambda s, d: p.grid_interpolate(_sites(s, d), _worth(s, d), 12),
     "contiguity_weights": lambda s, d: p.contiguity(_places(s, d)),
-    "classify_knn": lambda s, d: p.knn_classify(_labelled(s, d), _places(s, d).where("id % 2 = 0").select((-F.col("id") - 1).alias("id"), "x", "y"), 5),
+    "classify_knn": lambda s, d: p.knn_classify(_labelled(s, d), _places(s, d).select((-F.col("id") - 1).alias("id"), "x", "y"), 5),
     "spherical": lambda s, d: p.spherical(_vectors(s, d), "label", "embedding"),
     "rose_diagram": lambda s, d: p.rose(s.read.parquet(f"{d}/events.parquet"), F.hour("ts") * 15.0 + F.minute("ts") / 4),
     "mahalanobis_distance": lambda s, d: p.mahalanobis(_vectors(s, d), "vec_id", F.col("embedding")[0], F.col("embedding")[1]),
@@ -70,7 +70,7 @@ WITH p AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x, CAST(s_nationkey AS DO
 g AS (SELECT r * 12 + c AS node, lx + c * (hx - lx) / 11 AS x, ly + r * (hy - ly) / 11 AS y FROM b, range(12) a(c), range(12) q(r)), d AS (SELECT node, p.id, v, sqrt((g.x - p.x) ** 2 + (g.y - p.y) ** 2) AS d FROM g, p QUALIFY row_number() OVER (PARTITION BY node ORDER BY sqrt((g.x - p.x) ** 2 + (g.y - p.y) ** 2), p.id) <= 8)
 SELECT node, round(coalesce(avg(v) FILTER (d = 0), sum(v / (d * d)) FILTER (d > 0) / sum(1 / (d * d)) FILTER (d > 0)), 4) AS v FROM d GROUP BY node""",
     "contiguity_weights": _D + " SELECT i, j FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 4",
-    "classify_knn": _P + """, d AS (SELECT -a.id - 1 AS i, b.label, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS k FROM p a, p b WHERE a.id % 2 = 0), c AS (SELECT i, label, count(*) AS votes FROM d WHERE k <= 5 GROUP BY ALL)
+    "classify_knn": _P + """, d AS (SELECT -a.id - 1 AS i, b.label, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS k FROM p a, p b), c AS (SELECT i, label, count(*) AS votes FROM d WHERE k <= 5 GROUP BY ALL)
 SELECT i AS id, label, votes FROM c QUALIFY row_number() OVER (PARTITION BY i ORDER BY votes DESC, label) = 1""",
     "spherical": _P + """, u AS (SELECT label, x / sqrt(x * x + y * y + v * v) AS x, y / sqrt(x * x + y * y + v * v) AS y, v / sqrt(x * x + y * y + v * v) AS z FROM p WHERE x * x + y * y + v * v > 0), s AS (SELECT label, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM u GROUP BY 1 HAVING count(*) >= 3),
 r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r, sqrt(x * x + y * y + z * z) / n AS b FROM s)

@@ -103,6 +103,13 @@ x AS (SELECT a, b, c, (q[2] - p[2]) * (r[3] - p[3]) - (q[3] - p[3]) * (r[2] - p[
  (p[1] * (q[2] * r[3] - q[3] * r[2]) + p[2] * (q[3] * r[1] - q[1] * r[3]) + p[3] * (q[1] * r[2] - q[2] * r[1])) / 6 AS v FROM f)"""
 _NEAR = "WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), d AS (SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id <> b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.02)"
 
+#: A tree grown from the least id, each time by the nearest point outside: in the last step every other point has its edge.
+_PRIM = """WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), o AS (SELECT * FROM p ORDER BY id LIMIT 1),
+t AS (SELECT 0 AS step, p.id, p.x, p.y, p.id = o.id AS held, sqrt((p.x - o.x) ** 2 + (p.y - o.y) ** 2) AS d, o.id AS par FROM p, o
+UNION ALL SELECT t.step + 1, t.id, t.x, t.y, t.held OR t.id = n.id, CASE WHEN t.held OR t.id = n.id THEN t.d ELSE least(t.d, sqrt((t.x - n.x) ** 2 + (t.y - n.y) ** 2)) END,
+ CASE WHEN NOT t.held AND t.id <> n.id AND sqrt((t.x - n.x) ** 2 + (t.y - n.y) ** 2) < t.d THEN n.id ELSE t.par END FROM t, (SELECT id, x, y FROM t WHERE NOT held ORDER BY d, id LIMIT 1) n),
+e AS (SELECT id, par, d FROM t WHERE step = (SELECT count(*) - 1 FROM p) AND id <> par)"""
+
 ORACLE_SQL = {
     "subset_rows": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice, CAST(place AS INTEGER) AS place FROM part JOIN (VALUES (7, 0), (3, 1), (150, 2)) v(k, place) ON k = p_partkey",
     "subset_columns": "SELECT p_partkey, p_retailprice FROM part",
@@ -127,4 +134,7 @@ SELECT shape, n, round(sum(sx * c) * p / (2 * pi() ** 2 * n * n), 6) AS a, round
     "dbscan": _NEAR + """, core AS (SELECT id FROM p WHERE (SELECT count(*) FROM d WHERE i = id) + 1 >= 5), w AS (SELECT i, j FROM d WHERE i IN (SELECT id FROM core) AND j IN (SELECT id FROM core)),
 r AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, w.j FROM r JOIN w ON w.i = r.b), k AS (SELECT a AS id, min(b) AS c FROM r GROUP BY 1)
 SELECT p.id, coalesce(k.c, (SELECT min(q.c) FROM d JOIN k q ON q.id = d.j WHERE d.i = p.id)) AS cluster, k.c IS NOT NULL AS core FROM p LEFT JOIN k ON k.id = p.id""",
+    "minimum_spanning_tree": _PRIM + " SELECT count(*) AS edges, round(sum(d), 5) AS length, round(max(d), 6) AS longest FROM e",
+    "single_linkage": _PRIM + """, f AS (SELECT id, par, row_number() OVER (ORDER BY d DESC) <= 4 AS gone FROM e), u AS (SELECT id AS a, id AS b FROM p UNION ALL SELECT u.a, f.par FROM u JOIN f ON f.id = u.b WHERE NOT f.gone),
+g AS (SELECT a, max_by(b, k) AS top FROM (SELECT a, b, (SELECT count(*) FROM f WHERE f.id = u.b AND NOT f.gone) = 0 AS k FROM u) GROUP BY a) SELECT min(a) AS cluster, count(*) AS n FROM g GROUP BY top""",
 }

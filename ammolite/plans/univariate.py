@@ -32,6 +32,8 @@ QUERIES = {
     "cochran_mantel_haenszel": lambda s, d: u.cochran_mantel_haenszel(_strata(s, d), "l_returnflag", "large", "ended"),
     "directional": lambda s, d: u.directional(_read(s, d, "events"), "event_type", F.hour("ts") * 15.0),
     "kaplan_meier": lambda s, d: u.kaplan_meier(_lifetimes(s, d), "l_returnflag", "days", F.col("ended")),
+    "survival_intervals": lambda s, d: u.survival_intervals(u.kaplan_meier(_lifetimes(s, d), "l_returnflag", "days", F.col("ended"))),
+    "median_survival": lambda s, d: u.median_survival(u.kaplan_meier(_lifetimes(s, d), "l_returnflag", "days", F.col("ended"))),
 }
 
 _RANKS = """
@@ -85,3 +87,8 @@ r AS (SELECT grp, t, d, sum(n) OVER (PARTITION BY grp ORDER BY t DESC) AS k FROM
 x AS (SELECT *, max(CAST(d = k AS INTEGER)) OVER w AS gone, sum(CASE WHEN d < k THEN ln(1 - d / k) END) OVER w AS ls, sum(CASE WHEN d < k THEN d / (CAST(k AS DOUBLE) * (k - d)) END) OVER w AS g FROM r WHERE d > 0 WINDOW w AS (PARTITION BY grp ORDER BY t))
 SELECT grp, t, CAST(k AS BIGINT) AS at_risk, d AS events, round(CASE WHEN gone = 1 THEN 0 ELSE exp(ls) END, 6) AS survival, CASE WHEN gone = 0 THEN round(exp(ls) * sqrt(g), 6) END AS se FROM x""",
 }
+ORACLE_SQL |= {
+    "survival_intervals": f"""SELECT grp, t, survival, CASE WHEN survival > 0 AND survival < 1 THEN round(exp(-exp(ln(-ln(survival)) + 1.959964 * se / (survival * abs(ln(survival))))), 5) END AS lower,
+CASE WHEN survival > 0 AND survival < 1 THEN round(exp(-exp(ln(-ln(survival)) - 1.959964 * se / (survival * abs(ln(survival))))), 5) END AS upper FROM ({ORACLE_SQL['kaplan_meier']})""",
+    "median_survival": f"SELECT grp, min(CASE WHEN survival <= 0.5 THEN t END) AS median FROM ({ORACLE_SQL['kaplan_meier']}) GROUP BY grp",
+}
