@@ -278,7 +278,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mach
     if 0 < totals.t < totals.n and len(found):
         machine = fit_machine(found["string"].tolist(), found["t"].to_numpy(float), (found["n"] - found["t"]).to_numpy(float))
     rows = _apply(texts.where("part = 1" if totals.t else "true").select(F.col("toxic").alias("doc_id"), "text"), machine, whole=True).toPandas()
-    seen = np.array(rows["evidence"].tolist()).reshape(len(rows), -1)
+    seen = np.array(rows["evidence"].tolist(), float).reshape(len(rows), 2 * len(MARGINS) + 2)
     return fit_score(machine, seen, (rows["doc_id"].to_numpy() > 0).astype(float))
 
 

@@ -14,7 +14,7 @@ def test_query_matches_its_sql(spark, name):
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_pipeline_stages_keep_the_columns_of_documents(spark):
