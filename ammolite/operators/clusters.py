@@ -51,7 +51,10 @@ def minimum_spanning_tree(p: DataFrame) -> DataFrame:
         if best.isEmpty():
             break
         tree = best if tree is None else tree.unionByName(best)
-        names = connected(tree, p)
+        # components, not points, are joined by the new edges: there are at most half as many in every round
+        ends = best.join(n[0], "i").join(n[1], "j").select(F.col("a").alias("i"), F.col("b").alias("j"))
+        joined = connected(ends, names.select(F.col("component").alias("id")).distinct())
+        names = cut(names.join(joined.select(F.col("id").alias("component"), F.col("component").alias("new")), "component").select("id", F.col("new").alias("component")), "components")
     tree = pairs.limit(0) if tree is None else tree
     return tree.select("i", "j", "d").distinct()
 

@@ -103,8 +103,8 @@ r AS (SELECT DISTINCT section, step, a, b, inc, total, m FROM s WHERE step > 0)"
 
 ORACLE_SQL = {
     "pcoa_eigenvalues": _E + """ SELECT CAST(k AS INTEGER) AS axis, round(e, 6) AS eigenvalue, round(e / (SELECT sum(e) FROM v WHERE e > 1e-9), 6) AS share, round(e / (SELECT list_sum(list_transform(m, lambda x, h: x[h])) FROM m), 6) AS share_of_trace FROM v WHERE k <= 3""",
-    "pcoa_coordinates": _E + """, x AS (SELECT k, e, p, tp, list_position(list_transform(p, lambda y, h: y[h]), list_max(list_transform(p, lambda y, h: y[h]))) AS at FROM v WHERE k <= 3)
-SELECT ids[u.i] AS sample, CAST(k AS INTEGER) AS axis, round(sqrt(greatest(e, 0) / tp) * p[at][u.i] / sqrt(p[at][at]), 5) AS value FROM x, m, (SELECT unnest(range(1, n + 1)) AS i FROM m) u""",
+    "pcoa_coordinates": _E + """, y AS (SELECT k, e, p, tp, list_position(list_transform(p, lambda y, h: y[h]), list_max(list_transform(p, lambda y, h: y[h]))) AS top FROM v WHERE k <= 3)
+SELECT ids[u.i] AS sample, CAST(k AS INTEGER) AS axis, round(sqrt(greatest(e, 0) / tp) * p[top][u.i] / sqrt(p[top][top]), 5) AS value FROM y, m, (SELECT unnest(range(1, n + 1)) AS i FROM m) u""",
     "linkage_average": _tree("avg(f.d)") + _OUT,
     "linkage_complete": _tree("max(f.d)") + _OUT,
     "linkage_single": _tree("min(f.d)") + _OUT,
