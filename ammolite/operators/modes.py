@@ -95,7 +95,7 @@ def emd(x: DataFrame, modes: int = 10, sifts: int = 50, tolerance: float = 0.2,
     kinds = dict(x.dtypes)
     rows = x.select("series", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+    def run(key, f):
         f = f.sort_values("pos")
         v = f["v"].to_numpy()
         total = np.zeros((modes + 1, len(v)))
