@@ -3,10 +3,9 @@
 Bigrams of all words are put into one order, rare ones first. An edit touches at most two of a word's bigrams, so two
 words that are one edit apart share one of the three rarest of each, and that bigram lies at the same distance from the
 start in both (the edit is behind it) or from the end (the edit is before it). Words are joined on such a bigram with its
-place. Where it lies at the start of the word's text side by side with nothing, that alone would put too many words
-together, so the key also holds what the edit cannot have touched: everything on the bigram's other side, and of the side
-with the edit either the half next to the bigram or the half beyond, as one of the two is whole. The pairs that meet are
-verified by their edit distance.
+place. That alone would put too many words together, so the key also holds what the edit cannot have touched: everything on
+the bigram's other side, and of the side with the edit either the half next to the bigram or the half beyond, as one of the
+two is whole. The pairs that meet are verified by their edit distance.
 
 Words are counted in tasks and then by a grouping; the order of the bigrams has at most as many entries as there are
 pairs of the 90 letters. Groups of near words are followed to their last form by pointer jumping, one join a round.
@@ -22,13 +21,12 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import discard, ensure_columns, materialize, text_blocks
+from ammolite.llm.common import discard, ensure_columns, materialize
 
 LETTERS = re.compile("[A-Za-z\u00c0-\u00ff]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
