@@ -7,11 +7,14 @@ Positions without a value count as 0, so series with gaps should be interpolated
 from __future__ import annotations
 
 import math
+import zlib
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ammolite.functions.fourier import MOST, convolved, dft, filtered
@@ -244,3 +247,108 @@ def coherence(x: DataFrame, y: DataFrame, n: int, segments: int = 4) -> DataFram
     s = parts.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("xx", "yy", "re", "im")))
     level = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.nullif(F.col("xx") * F.col("yy"), F.lit(0.0))
     return s.select("k", (F.col("k") / length).alias("frequency"), level.alias("coherence"), F.atan2("im", "re").alias("phase"))
+
+
+def red_windows(n: int, count: int, fraction: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray]:
+    """(grid in units of 1 / n, windows (first place, tricube weights), odd window widths) of `count` frequencies from 1 to n // 2.
+
+    A window is as wide as twice the fraction of its frequency, at least 5 points and at most a quarter of the grid.
+    """
+    grid = np.linspace(1, n // 2, count)
+    widths = np.clip(np.round(2 * fraction * grid / (grid[1] - grid[0])), 5, max(5, count // 4)).astype(int) | 1
+    windows = []
+    for m, w in enumerate(widths.tolist()):
+        lo, hi = max(0, m - w // 2), min(count, m + w // 2 + 1)
+        windows.append((lo, (1 - ((np.arange(lo, hi) - m) / (w / 2)) ** 2) ** 3))
+    return grid, windows, widths
+
+
+def _averaged(v: np.ndarray, windows: list) -> np.ndarray:
+    return np.array([v[lo : lo + len(w)] @ w / w.sum() for lo, w in windows])
+
+
+def red_noise(n: int, phi: float, rng: np.random.Generator) -> np.ndarray:
+    """A first-order autoregression of unit variance, centred."""
+    shocks = rng.normal(size=n)
+    shocks[1:] *= math.sqrt(1 - phi * phi)
+    v = np.fromiter(accumulate(shocks.tolist(), lambda a, b: phi * a + b), float, n)
+    return v - v.mean()
+
+
+def redfit(x: DataFrame, n: int, step: float = 1.0, frequencies: int | None = None, window: float = 0.6, simulations: int = 100, level: float = 0.05, seed: int = 1, most: int = MOST) -> DataFrame:
+    """(series, k, frequency, phi, raw, score, power, red, noise_sd, width, dof, p, peak): a periodogram against red noise, frequency by frequency.
+
+    The series loses its straight line; phi is its first autocorrelation (within 0.99 of 0), `raw` the periodogram's distance
+    from red noise of that phi over its root, on a grid of five points a resolution element (200 to 4,000 unless given, at least 32).
+    `score`, `power` and `red` are raw distances, periodogram and red noise averaged under tricube windows, `dof` the
+    effective number of points under one. p = (1 + replicates of red noise whose averaged power is at least the series') /
+    (simulations + 1), 1 without any. A peak has p at most `level` and a positive score no smaller than its neighbours'.
+
+    phi comes from the transform (the circular product less the pair that closes the circle), so the series is not joined with
+    itself. A replicate is made and transformed in one task, n values. Series without variance have no rows; empty tables give none.
+    """
+    if not 0 < window < 5:
+        raise ValueError("the window must lie between 0 and 5")
+    if n < 16:
+        raise ValueError("at least 16 positions are needed")
+    count = frequencies or min(4000, max(200, 5 * max(2, round(n // 2 / n * (n - 1)))))
+    if count < 32:
+        raise ValueError("at least 32 frequencies are needed")
+    spark, kind, half = x.sparkSession, dict(x.dtypes)["series"], n // 2
+    rows, _ = centred(x, n)
+    middle = (n - 1) / 2
+    slopes = cut(rows.groupBy("series").agg((F.sum(F.col("re") * (F.col("pos") - middle)) / (n * (n * n - 1) / 12)).alias("slope")), "slopes")
+    rows = cut(rows.join(slopes, "series").select("series", "pos", (F.col("re") - F.col("slope") * (F.col("pos") - middle)).alias("re"), "im"), "detrended")
+    square = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    spectrum = cut(dft(rows, n, most=most).select("series", "pos", square.alias("e")), "spectrum")
+    ends = rows.where(F.col("pos").isin(0, n - 1)).groupBy("series").agg(F.sum(F.when(F.col("pos") == 0, F.col("re"))).alias("first"), F.sum(F.when(F.col("pos") == n - 1, F.col("re"))).alias("last"))
+    sums = spectrum.groupBy("series").agg((F.sum("e") / n).alias("s0"), (F.sum(F.col("e") * F.cos(2 * math.pi * F.col("pos") / n)) / n).alias("s1")).join(ends, "series")
+    later = F.col("s0") - F.col("first") * F.col("first")
+    phi = F.greatest(F.lit(-0.99), F.least(F.lit(0.99), (F.col("s1") - F.col("first") * F.col("last")) / later))
+    # what a straight line leaves of itself by rounding is no variance
+    levels = rows.join(slopes, "series").groupBy("series").agg(F.max(F.abs(F.col("slope") * middle)).alias("line"))
+    fits = cut(sums.join(levels, "series").where((F.col("s0") / n > 0) & (F.sqrt(F.col("s0") / n) > 1e-12 * F.col("line"))).select("series", F.when(later > 0, phi).otherwise(0.0).alias("phi"), (F.col("s0") / n).alias("variance")), "fits")
+    grid, windows, widths = red_windows(n, count, window)
+    below = np.minimum(np.floor(grid).astype(int), half - 1)
+    share = grid - below
+    # two rows a grid point
+    ties = spark.createDataFrame(pd.DataFrame({"k": np.tile(np.arange(count), 2), "pos": np.concatenate([below, below + 1]), "w": np.concatenate([1 - share, share])}), "k int, pos long, w double")
+    fine = spectrum.where(F.col("pos").between(1, half)).join(F.broadcast(ties), "pos").join(fits, "series")
+    fine = fine.groupBy("series", "phi", "k").agg(F.sum(F.col("w") * F.col("e") / (n * F.col("variance"))).alias("power"))
+    totals = np.array([w.sum() for _, w in windows])
+    squares = np.array([(w * w).sum() for _, w in windows])
+    angle = 2 * math.pi * grid / n
+
+    def fit(key, f):
+        phi, power = key[1], np.zeros(count)
+        power[f["k"].to_numpy()] = f["power"]
+        red = (1 - phi**2) / (1 - 2 * phi * np.cos(angle) + phi**2)
+        spread = (1 - phi**4) / (n**2 * (1 - 2 * phi**2 * np.cos(2 * angle) + phi**4))
+        raw = (power - red) / np.sqrt(red)
+        sd = np.sqrt(np.array([spread[lo : lo + len(w)] @ (w * w) for lo, w in windows]) / squares) * totals
+        out = {"series": [key[0]] * count, "k": np.arange(count), "frequency": grid / (n * step), "phi": phi, "raw": raw, "score": _averaged(raw, windows)}
+        return pd.DataFrame(out | {"power": _averaged(power, windows), "red": _averaged(red, windows), "noise_sd": sd, "width": widths, "dof": totals**2 / squares})
+
+    found = cut(fine.groupBy("series", "phi").applyInPandas(fit, f"series {kind}, k int, frequency double, phi double, raw double, score double, power double, red double, noise_sd double, width int, dof double"), "redfit")
+    if simulations < 1:
+        tested = found.withColumn("p", F.lit(1.0))
+    else:
+
+        def replicate(batches):
+            for batch in batches:
+                names, hits = batch.column("series"), []
+                for name, rep, phi, seen in zip(names.to_pylist(), *(batch.column(c).to_pylist() for c in ("rep", "phi", "seen"))):
+                    v = red_noise(n, phi, np.random.default_rng([seed, rep, zlib.crc32(str(name).encode())]))
+                    power = np.abs(np.fft.rfft(v)) ** 2 / (n * (v**2).mean())
+                    null = _averaged(power[below] * (1 - share) + power[below + 1] * share, windows)
+                    hits.append((null >= np.array(seen)).astype(np.int32).tolist())
+                yield pa.record_batch([names, pa.array(hits, pa.list_(pa.int32()))], names=["series", "hits"])
+
+        seen = found.groupBy("series", "phi").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "power"))), lambda c: c["power"]).alias("seen"))
+        dealt = seen.crossJoin(F.broadcast(spark.range(simulations).withColumnRenamed("id", "rep"))).repartition("series", "rep")
+        drawn = dealt.select("series", "rep", "phi", "seen").mapInArrow(replicate, f"series {kind}, hits array<int>")
+        counts = drawn.select("series", F.posexplode("hits").alias("k", "hit")).groupBy("series", "k").agg(F.sum("hit").alias("hits"))
+        tested = found.join(counts, ["series", "k"]).withColumn("p", (F.col("hits") + 1) / (simulations + 1)).drop("hits")
+    near = W.partitionBy("series").orderBy("k")  # as many rows as there are frequencies
+    peak = (F.col("p") <= level) & (F.col("score") > 0) & (F.col("score") >= F.lag("score").over(near)) & (F.col("score") >= F.lead("score").over(near))
+    return tested.withColumn("peak", F.coalesce(peak, F.lit(False)))

@@ -35,6 +35,8 @@ QUERIES = {
     "wavelet_mexican_hat": _rounded(lambda s, d: o.wavelet(hours(s, d), N, list(range(2, 13)), "mexican_hat", MOST).drop("frequency"), "power", digits=2),
     "evolutionary_spectrum": _rounded(lambda s, d: o.evolutionary(hours(s, d), N, 180, 0.5, 60), "power", digits=2),
     "evolutionary_multitaper": _rounded(lambda s, d: o.evolutionary(hours(s, d), N, 180, 0.5, 60, "mtm"), "power"),
+    "redfit": _rounded(lambda s, d: o.redfit(hours(s, d, "event_type"), N, simulations=0, most=MOST).drop("frequency", "p", "peak"), "phi", "raw", "score", "power", "red", "noise_sd", "dof"),
+    "redfit_peaks": _rounded(lambda s, d: o.redfit(hours(s, d, "event_type"), N, most=MOST).where("peak").select("series", "k", "frequency", "score", "p"), "frequency", "score", "p"),
     "coherence": _rounded(lambda s, d: o.coherence(_kind(s, d, "click"), _kind(s, d, "view"), N, 6).select("k", "coherence"), "coherence"),
 }
 
@@ -45,8 +47,19 @@ _FILTER = _H + ", w AS (SELECT f.d, sum(({r}) * cos(2 * pi() * ((k.k * f.d) % 72
 _WAVE = _H + """, e AS (SELECT s, t, {re} AS re, {im} AS im FROM (SELECT s.s, t.t, t.t / s.s AS e FROM range(2, 13) s(s), range(-60, 61) t(t) WHERE abs(t.t) <= 5 * s.s)),
 u AS (SELECT s, t, re / n AS re, im / n AS im FROM (SELECT *, sqrt(sum(re * re + im * im) OVER (PARTITION BY s)) AS n FROM e))
 SELECT 'all' AS series, CAST(s AS INTEGER) AS scale, g.pos, round(sum(u.re * o.v) ** 2 + sum(u.im * o.v) ** 2, 2) AS power, least(g.pos, 719 - g.pos) >= sqrt(2) * s AS reliable FROM g JOIN u ON true JOIN g o ON o.pos = g.pos + u.t GROUP BY s, g.pos"""
+#: The grid has five points a resolution element, 1,800; windows are at most a quarter of it.
+_REDFIT = """WITH h AS (SELECT event_type AS series, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000000) AS BIGINT) AS pos, sum(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT n.series, g.t AS pos, coalesce(v, 0) AS v FROM (SELECT DISTINCT series FROM h) n CROSS JOIN range(720) g(t) LEFT JOIN h ON h.series = n.series AND h.pos = g.t),
+l AS (SELECT series, regr_slope(v, pos) AS b, regr_intercept(v, pos) AS a FROM g GROUP BY 1), z AS (SELECT series, pos, v - a - b * pos AS z FROM g JOIN l USING (series)), s AS (SELECT series, sum(z * z) AS q FROM z GROUP BY 1),
+a AS (SELECT x.series, greatest(-0.99, least(0.99, sum(x.z * y.z) / sum(y.z * y.z))) AS phi FROM z x JOIN z y ON y.series = x.series AND y.pos = x.pos + 1 GROUP BY 1),
+p AS (SELECT series, k, (sum(z * cos(2 * pi() * ((k * pos) % 720) / 720)) ** 2 + sum(z * sin(2 * pi() * ((k * pos) % 720) / 720)) ** 2) / any_value(q) AS p FROM z JOIN s USING (series), range(1, 361) f(k) GROUP BY series, k),
+m AS (SELECT m, 1 + m * 359 / 1799 AS x, least(floor(1 + m * 359 / 1799), 359) AS lo FROM range(1800) g(m)), r AS (SELECT m, 2 * floor(greatest(5, least(450, round(1.2 * x / (359 / 1799)))) / 2) + 1 AS w FROM m),
+f AS (SELECT a.series, m.m, (1 - (x - lo)) * b.p + (x - lo) * c.p AS p, (1 - phi ** 2) / (1 - 2 * phi * cos(2 * pi() * x / 720) + phi ** 2) AS red, (1 - phi ** 4) / (720 ** 2 * (1 - 2 * phi ** 2 * cos(4 * pi() * x / 720) + phi ** 4)) AS spread, phi FROM m CROSS JOIN a JOIN p b ON b.series = a.series AND b.k = lo JOIN p c ON c.series = a.series AND c.k = lo + 1),
+t AS (SELECT r.m, o.m AS o, r.w, (1 - ((o.m - r.m) / (r.w / 2)) ** 2) ** 3 AS t FROM r JOIN m o ON abs(o.m - r.m) < r.w / 2)
+SELECT f.series, CAST(t.m AS INTEGER) AS k, round(any_value(f.phi), 5) AS phi, round(any_value((f.p - f.red) / sqrt(f.red)) FILTER (t.o = t.m), 5) AS raw, round(sum(t * (f.p - f.red) / sqrt(f.red)) / sum(t), 5) AS score, round(sum(t * f.p) / sum(t), 5) AS power, round(sum(t * f.red) / sum(t), 5) AS red,
+ round(sqrt(sum(t * t * spread) / sum(t * t)) * sum(t), 5) AS noise_sd, CAST(any_value(w) AS INTEGER) AS width, round(sum(t) ** 2 / sum(t * t), 5) AS dof FROM t JOIN f ON f.m = t.o GROUP BY f.series, t.m"""
 
 ORACLE_SQL = {
+    "redfit": _REDFIT,
     "power_spectrum": _SPECTRUM.format(n=720),
     "power_spectrum_chirp": _SPECTRUM.format(n=701),
     "gaussian_lowpass": _FILTER.format(n=720, r="exp(-2 * pi() ** 2 * 36 * f * f)", v="v"),

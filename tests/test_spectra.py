@@ -98,3 +98,60 @@ def test_coherence_of_a_series_with_itself_delayed(spark):
     assert np.mean([r.coherence for r in got]) > 0.8
     r = next(r for r in got if r.k == 5)
     assert abs(r.phase + 2 * np.pi * r.frequency * 2) < 0.5
+
+
+def plain_redfit(v, frequencies=None, window=0.6):
+    """REDFIT's curves of one series by plain loops over whole arrays."""
+    n = len(v)
+    t = np.arange(n)
+    v = v - np.polyval(np.polyfit(t, v, 1), t)
+    phi = np.clip((v[1:] * v[:-1]).sum() / (v[1:] ** 2).sum(), -0.99, 0.99)
+    power = np.abs(np.fft.rfft(v - v.mean())) ** 2 / (n * v.var())
+    count = frequencies or min(4000, max(200, 5 * max(2, round(n // 2 / n * (n - 1)))))
+    f = np.linspace(1, n // 2, count)
+    fine = np.interp(f, np.arange(1, n // 2 + 1), power[1 : n // 2 + 1])
+    red = (1 - phi**2) / (1 - 2 * phi * np.cos(2 * np.pi * f / n) + phi**2)
+    raw = (fine - red) / np.sqrt(red)
+    out = []
+    for m in range(count):
+        w = min(max(round(2 * window * f[m] / (f[1] - f[0])), 5), max(5, count // 4))
+        w += w % 2 == 0
+        u = (np.arange(count) - m) / (w / 2)
+        k = np.where(np.abs(u) < 1, (1 - u**2) ** 3, 0)
+        out.append((raw @ k / k.sum(), fine @ k / k.sum(), red @ k / k.sum(), k.sum() ** 2 / (k**2).sum()))
+    return phi, raw, np.array(out)
+
+
+def series_rows(spark, **series):
+    return spark.createDataFrame([(name, t, float(x)) for name, v in series.items() for t, x in enumerate(v)], "series string, pos long, v double")
+
+
+@pytest.mark.parametrize(("n", "frequencies"), [(200, None), (97, 60)])
+def test_redfit_matches_plain_curves(spark, n, frequencies):
+    rng = np.random.default_rng(n)
+    v = spectra.red_noise(n, 0.6, rng) + 0.02 * np.arange(n) + 0.8 * np.sin(2 * np.pi * np.arange(n) / 11)
+    got = spectra.redfit(series_rows(spark, a=v, b=rng.normal(size=n)), n, 2.0, frequencies, simulations=0, most=64).where("series = 'a'").orderBy("k").toPandas()
+    phi, raw, curves = plain_redfit(v, frequencies)
+    assert np.allclose(got["phi"], phi) and np.allclose(got["raw"], raw)
+    assert np.allclose(got[["score", "power", "red", "dof"]], curves) and np.isclose(got["frequency"].iloc[-1], n // 2 / (2 * n))
+    assert (got["p"] == 1).all() and not got["peak"].any()
+
+
+def test_redfit_finds_a_cycle_in_red_noise(spark):
+    """A planted cycle is a peak at its period; red noise alone is called significant about as often as the level says."""
+    n, rng = 256, np.random.default_rng(8)
+    noise = spectra.red_noise(n, 0.7, rng)
+    got = spectra.redfit(series_rows(spark, cycle=noise + 1.5 * np.sin(2 * np.pi * np.arange(n) / 8), noise=noise), n, simulations=99).toPandas()
+    peaks = got[got["peak"] & (got["series"] == "cycle")]
+    assert abs(1 / peaks.loc[peaks["score"].idxmax(), "frequency"] - 8) < 0.3 and peaks["p"].min() == 0.01
+    assert (got[got["series"] == "noise"]["p"] <= 0.05).mean() < 0.2
+    again = spectra.redfit(series_rows(spark, noise=noise), n, simulations=99).orderBy("k").toPandas()
+    assert (again["p"].to_numpy() == got[got["series"] == "noise"].sort_values("k")["p"].to_numpy()).all()
+
+
+def test_redfit_of_flat_and_empty_series(spark):
+    flat = series_rows(spark, line=np.arange(64) * 0.3, level=np.ones(64))
+    assert spectra.redfit(flat, 64, simulations=3).count() == 0
+    assert spectra.redfit(flat.limit(0), 64, simulations=3).count() == 0
+    with pytest.raises(ValueError):
+        spectra.redfit(flat, 64, window=6)
