@@ -96,11 +96,42 @@ def mapped(x: DataFrame, width: int, f: Callable[[np.ndarray], np.ndarray]) -> D
     return x.mapInArrow(run, "b int, p binary")
 
 
-def largest(matrix: DataFrame, n: int, width: int, wanted: int, centred: bool = False, factor: float = 1.0, shift: float = 0.0, size: int = SIZE, rounds: int = 100) -> tuple[np.ndarray, DataFrame]:
+def scattered(entries: DataFrame, size: int = SIZE) -> DataFrame:
+    """Blocks (bi, bj, m) of a sparse matrix of any shape from (i, j, v), each the places and values of what is there."""
+    at = entries.select((F.col("i") / size).cast("int").alias("bi"), (F.col("j") / size).cast("int").alias("bj"), (F.col("i") % size).cast("int").alias("r"), (F.col("j") % size).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
+
+    def build(key, table):
+        m = b"".join(table[k].to_numpy().astype(t).tobytes() for k, t in (("v", np.float64), ("r", np.int32), ("c", np.int32)))
+        return pa.table({"bi": pa.array([key[0].as_py()], pa.int32()), "bj": pa.array([key[1].as_py()], pa.int32()), "m": pa.array([m], pa.binary())})
+
+    return cut(at.groupBy("bi", "bj").applyInArrow(build, "bi int, bj int, m binary"), "scattered")
+
+
+def times_scattered(matrix: DataFrame, x: DataFrame, width: int, rows: int, flipped: bool = False, size: int = SIZE) -> DataFrame:
+    """Sparse matrix of that many rows times panel, or its transpose (of that many rows) if flipped; rows without entries are in no block, or 0."""
+    own, other = ("bj", "bi") if flipped else ("bi", "bj")
+
+    def part(batches):
+        for batch in batches:
+            out = []
+            for b, m, p in zip(*(batch.column(c).to_pylist() for c in (own, "m", "p"))):
+                count = len(m) // 16
+                v, places = np.frombuffer(m, np.float64, count), np.frombuffer(m, np.int32, 2 * count, 8 * count).reshape(2, count)
+                to, of = places[::-1] if flipped else places
+                y = np.zeros((min(size, rows - b * size), width))
+                np.add.at(y, to, v[:, None] * np.frombuffer(p, np.float64).reshape(-1, width)[of])
+                out.append(y.tobytes())
+            yield pa.record_batch([batch.column(own), pa.array(out, pa.binary())], names=["b", "p"])
+
+    return cut(_added(matrix.join(x, matrix[other] == x.b).select(own, "m", "p").mapInArrow(part, "b int, p binary"), "b"), "product")
+
+
+def largest(matrix: DataFrame, n: int, width: int, wanted: int, centred: bool = False, factor: float = 1.0, shift: float = 0.0, size: int = SIZE, rounds: int = 100, product: Callable[[DataFrame], DataFrame] | None = None) -> tuple[np.ndarray, DataFrame]:
     """Eigenvalues (descending) and vectors (a panel) within the subspace that `width` columns span when they are multiplied again and again.
 
     The matrix is `factor` times the given one plus `shift`, before and after which columns are centred if asked for.
     Rounds end when the `wanted` eigenvalues of largest size no longer change; those are then the matrix's own.
+    `product` multiplies a panel where the symmetric matrix is not held as blocks.
     """
     spark = matrix.sparkSession
 
@@ -121,7 +152,7 @@ def largest(matrix: DataFrame, n: int, width: int, wanted: int, centred: bool =
         keep = e > max(e.max(), 1e-300) * 1e-13
         turn = np.where(keep, u / np.sqrt(np.where(keep, e, 1.0)), 0.0)
         x = cut(mapped(x, width, lambda p, mean=mean, turn=turn: (p - mean) @ turn), "panel")
-        basis, y = x, times(matrix, x, width)
+        basis, y = x, product(x) if product else times(matrix, x, width)
         inner, _, sums = together(x, y, width, width)
         # x's columns are centred, so centring y changes nothing in the projection
         projected = factor * (inner + inner.T) / 2 + shift * np.diag((turn != 0).any(0).astype(float))

@@ -2,7 +2,8 @@
 
 Distances are rows (i, j, d), one for every pair i < j of samples. Principal coordinates come from products of the squared
 distances, held in blocks, with a thin panel of vectors that is centred before and after; the double-centred matrix itself is
-never made. Non-metric scaling has one task a restart while a distance matrix is small, and beyond that keeps
+never made. Correspondence analysis multiplies the table itself, as sparse blocks, with such a panel and back; what is expected of a
+cell is taken off the panel, so empty cells are never made. Non-metric scaling has one task a restart while a distance matrix is small, and beyond that keeps
 the pairs range-partitioned by distance, so that every round is a join, pooling inside ranges and pooling of what is left.
 """
 
@@ -12,10 +13,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ammolite.functions.blocks import SIZE, blocked, largest
+from ammolite.functions.blocks import SIZE, blocked, largest, mapped, scattered, times_scattered, together
 from ammolite.functions.scans import numbered
 from ammolite.functions.storage import cut
 
@@ -70,8 +72,6 @@ def pcoa(pairs: DataFrame, axes: int = 2, correction: str = "cmdscale", spare: i
     scale = np.sqrt(np.maximum(kept, 0.0))
 
     def unpack(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for b, p in zip(batch.column("b").to_pylist(), batch.column("p").to_pylist()):
                 x = np.frombuffer(p, np.float64).reshape(-1, width)[:, :axes] * scale
@@ -209,3 +209,136 @@ def nmds(pairs: DataFrame, dimensions: int = 2, restarts: int = 10, rounds: int
                 found, config = (raw, first, done, r), x.select("place", F.posexplode("x").alias("axis", "value")).withColumn("axis", F.col("axis") + 1)
     fit = spark.createDataFrame([(*found, found[0] < 0.05)], kinds)
     return fit, config.join(names, "place").select("sample", "axis", "value")
+
+
+def correspondence(counts: DataFrame, axes: int = 2, spare: int = 30, size: int = SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Eigenvalues (axis, eigenvalue, inertia, share), row scores (sample, axis, value) and column scores (taxon, axis, value) of a table (sample, taxon, n).
+
+    `inertia` is the squared singular value of the standardised residuals, `eigenvalue` that over the table's sum, `share` its part of
+    all. Scores are principal coordinates: singular vectors times singular values over roots of masses. Cells of one sample and taxon
+    add up; missing ones and rows or columns without counts are left out; a negative count is an error. There is one axis fewer than the lesser
+    side at most. Signs: the largest row score of an axis is positive. Tables of fewer than two rows or columns have no axes; where every cell is as expected all are 0, without shares.
+    """
+    spark = counts.sparkSession
+    cells = counts.select("sample", "taxon", F.col("n").cast("double").alias("n")).where("sample is not null and taxon is not null and n is not null and not isnan(n)")
+    cells = cut(cells.groupBy("sample", "taxon").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n != 0 or least < 0"), "cells")
+    if cells.where("least < 0").limit(1).count():
+        raise ValueError("counts must not be negative")
+    total = cells.agg(F.sum("n")).first()[0] or 0.0
+    side = lambda c: cut(numbered(cells.groupBy(c).agg((F.sum("n") / F.lit(total or 1.0)).alias("mass")), c), c)
+    samples, taxa = side("sample"), side("taxon")
+    n, m = samples.count(), taxa.count()
+    axes = min(axes, n - 1, m - 1)
+    kinds, kinds_of = dict(counts.dtypes), "axis int, eigenvalue double, inertia double, share double"
+    if axes < 1:
+        empty = lambda c: spark.createDataFrame([], f"{c} {kinds[c]}, axis int, value double")
+        return spark.createDataFrame([], kinds_of), empty("sample"), empty("taxon")
+    width = min(n, axes + spare)
+    a, b = samples.select("sample", F.col("place").alias("i"), F.col("mass").alias("ri")), taxa.select("taxon", F.col("place").alias("j"), F.col("mass").alias("cj"))
+    entries = cut(cells.join(a, "sample").join(b, "taxon").select("i", "j", (F.col("n") / total / F.sqrt(F.col("ri") * F.col("cj"))).alias("v")), "entries")
+    whole = entries.agg(F.sum(F.col("v") * F.col("v"))).first()[0] - 1
+    if whole <= 1e-12:
+        # every cell is as expected: what is left is rounding
+        none = lambda t, c: t.select(c, F.explode(F.sequence(F.lit(1), F.lit(axes))).alias("axis"), F.lit(0.0).alias("value"))
+        return spark.createDataFrame([(k + 1, 0.0, 0.0, None) for k in range(axes)], kinds_of), none(samples, "sample"), none(taxa, "taxon")
+    matrix = scattered(entries, size)
+    # the roots of the row masses are the trivial direction, of singular value 1
+    roots = _as_panel(samples.select("place", F.sqrt("mass").alias("v")), n, size)
+
+    def product(x: DataFrame) -> DataFrame:
+        back = times_scattered(matrix, times_scattered(matrix, x, width, m, True, size), width, n, False, size)
+        return cut(_less(back, roots, width), "product")
+
+    values, vectors = largest(matrix, n, width, axes, size=size, product=product)
+    values = np.maximum(values[:axes], 0.0)
+    kept = cut(_first(vectors, width, axes), "vectors")
+    images = times_scattered(matrix, kept, axes, m, True, size)
+    rows = cut(_unpacked(kept, axes, size).join(samples, "place").select("sample", "place", "axis", (F.col("value") * _at(np.sqrt(values)) / F.sqrt("mass")).alias("value")), "rows")
+    columns = _unpacked(images, axes, size).join(taxa, "place").select("taxon", "axis", (F.col("value") / F.sqrt("mass")).alias("value"))
+    signs = rows.groupBy("axis").agg(F.signum(F.max_by("value", F.struct(F.round(F.abs("value"), 9), -F.col("place")))).alias("sign"))
+    turned = lambda t, c: t.join(F.broadcast(signs), "axis").select(c, "axis", F.when(F.col("sign") < 0, -F.col("value")).otherwise(F.col("value")).alias("value"))
+    eigen = spark.createDataFrame([(k + 1, float(v / total), float(v), float(v / whole)) for k, v in enumerate(values)], kinds_of)
+    return eigen, turned(rows, "sample"), turned(columns, "taxon")
+
+
+def _at(values: np.ndarray):
+    return F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("axis"))
+
+
+def _as_panel(rows: DataFrame, n: int, size: int) -> DataFrame:
+    """A panel of one column from (place, v)."""
+
+    def build(key, table):
+        b = key[0].as_py()
+        p = np.zeros(min(size, n - b * size))
+        p[table["r"].to_numpy()] = table["v"].to_numpy()
+        return pa.table({"b": pa.array([b], pa.int32()), "p": pa.array([p.tobytes()], pa.binary())})
+
+    at = rows.select((F.col("place") / size).cast("int").alias("b"), (F.col("place") % size).cast("int").alias("r"), "v")
+    return cut(at.groupBy("b").applyInArrow(build, "b int, p binary"), "panel")
+
+
+def _less(x: DataFrame, unit: DataFrame, width: int) -> DataFrame:
+    """The panel without its part along a unit vector."""
+    along, _, _ = together(unit, x, 1, width)
+
+    def run(batches):
+        for batch in batches:
+            rows = [(np.frombuffer(p, np.float64).reshape(-1, width) - np.frombuffer(q, np.float64)[:, None] * along).tobytes() for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())]
+            yield pa.record_batch([batch.column("b"), pa.array(rows, pa.binary())], names=["b", "p"])
+
+    return x.join(unit.withColumnRenamed("p", "q"), "b").select("b", "p", "q").mapInArrow(run, "b int, p binary")
+
+
+def _first(x: DataFrame, width: int, axes: int) -> DataFrame:
+    return mapped(x, width, lambda p: p[:, :axes])
+
+
+def _unpacked(x: DataFrame, axes: int, size: int) -> DataFrame:
+    """(place, axis, value) of a panel."""
+
+    def run(batches):
+        for batch in batches:
+            for b, p in zip(batch.column("b").to_pylist(), batch.column("p").to_pylist()):
+                p = np.frombuffer(p, np.float64).reshape(-1, axes)
+                yield pa.record_batch([pa.array(np.repeat(np.arange(len(p)) + b * size, axes)), pa.array(np.tile(np.arange(1, axes + 1), len(p)).astype(np.int32)), pa.array(p.ravel())], names=["place", "axis", "value"])
+
+    return x.mapInArrow(run, "place long, axis int, value double")
+
+
+def detrended(eigen: DataFrame, scores: DataFrame, gradient: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Axes (axis, eigenvalue, r_squared, retained, detrended, place) and scores (sample, axis, value) of a correspondence analysis, each axis less what others say of it.
+
+    r_squared is that of an axis' row scores regressed on the axes before it, or of the first on a gradient (sample, value) if given;
+    the rest of its variance is retained: scores are multiplied by its root, the eigenvalue by itself. `place` orders axes by what is left.
+    An axis of which nothing is left (1e-12) predicts nothing. Samples without a gradient, or a constant one, are an error. Only the axes' covariances come to the driver.
+    """
+    axes = [r.axis for r in eigen.select("axis").orderBy("axis").collect()]
+    spark = eigen.sparkSession
+    if not axes:
+        return spark.createDataFrame([], "axis int, eigenvalue double, r_squared double, retained double, detrended double, place int"), scores
+    wide = scores.groupBy("sample").agg(*(F.max(F.when(F.col("axis") == k, F.col("value"))).alias(f"x{k}") for k in axes))
+    names = [f"x{k}" for k in axes]
+    if gradient is not None:
+        wide, names = wide.join(gradient.select("sample", F.col("value").cast("double").alias("x0")), "sample", "left"), ["x0", *names]
+    pairs = [(p, q) for k, p in enumerate(names) for q in names[k:]]
+    found = wide.agg(*(F.covar_pop(p, q).alias(f"{p}_{q}") for p, q in pairs), *([F.count_if(F.col("x0").isNull() | F.isnan("x0")).alias("gaps")] if gradient is not None else [])).first()
+    if gradient is not None and (found["gaps"] or found["x0_x0"] <= 0):
+        raise ValueError("the gradient needs a value for every sample, not all of them equal")
+    c = np.array([[found[f"{p}_{q}"] if k <= h else found[f"{q}_{p}"] for h, q in enumerate(names)] for k, p in enumerate(names)])
+    at, gone, kept, shares = {k: names.index(f"x{k}") for k in axes}, set(), {}, {}
+    for k in axes:
+        before = [at[h] for h in axes if h < k and h not in gone] if k > axes[0] else [0] if gradient is not None else []
+        y, share = at[k], 0.0
+        if before and c[y, y] > 0:
+            inner = c[np.ix_(before, before)]
+            scale = np.sqrt(np.diag(inner))
+            share = float(np.clip(c[y, before] / scale @ np.linalg.lstsq(inner / np.outer(scale, scale), c[before, y] / scale, rcond=None)[0] / c[y, y], 0, 1))
+        left = 1 - share if 1 - share > 1e-12 else 0.0
+        if left == 0:
+            gone.add(k)
+        kept[k], shares[k] = left, share
+    rest = spark.createDataFrame([(k, shares[k], kept[k]) for k in axes], "axis int, r_squared double, retained double")
+    table = eigen.select("axis", "eigenvalue").join(F.broadcast(rest), "axis").withColumn("detrended", F.col("eigenvalue") * F.col("retained"))
+    table = table.withColumn("place", F.row_number().over(Window.orderBy(F.col("detrended").desc(), "axis")))  # a row an axis
+    return table, scores.join(F.broadcast(rest), "axis").select("sample", "axis", (F.col("value") * F.sqrt("retained")).alias("value"))

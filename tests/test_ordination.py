@@ -215,3 +215,76 @@ def test_numbers_and_running_sums_over_ranges(spark):
         sums[k] = total
     assert {r.k: r.s for r in scans.running_sums(df, ("v", "k"), s="w").collect()} == sums
     assert scans.numbered(df.limit(0), "v").collect() == []
+
+
+def table(spark, x):
+    return spark.createDataFrame([(f"s{i:02}", f"t{j:02}", float(x[i, j])) for i in range(len(x)) for j in range(x.shape[1]) if x[i, j]], "sample string, taxon string, n double")
+
+
+def dense_correspondence(x):
+    p = x / x.sum()
+    r, c = p.sum(1), p.sum(0)
+    u, s, v = np.linalg.svd((p - np.outer(r, c)) / np.sqrt(np.outer(r, c)), full_matrices=False)
+    return s, u * s / np.sqrt(r)[:, None], v.T * s / np.sqrt(c)[:, None]
+
+
+def wide(df, key, axes):
+    rows = df.collect()
+    names = sorted({r[key] for r in rows})
+    out = np.zeros((len(names), axes))
+    for r in rows:
+        out[names.index(r[key]), r.axis - 1] = r.value
+    return out
+
+
+@pytest.mark.parametrize(("shape", "spare", "size"), [((9, 14), 30, 512), ((23, 11), 6, 5)])
+def test_correspondence_matches_the_dense_one(spark, shape, spare, size):
+    """In one block, and over several with a subspace that has to turn."""
+    x = np.random.default_rng(4).poisson(1.5, shape) + np.outer(np.arange(shape[0]) % 4 == 0, np.arange(shape[1]) % 3 == 0) * 8
+    x[0, 0] += 1
+    eigen, rows, columns = o.correspondence(table(spark, x), 3, spare, size)
+    s, row, column = dense_correspondence(x.astype(float))
+    got = sorted(eigen.collect())
+    assert np.allclose([r.inertia for r in got], s[:3] ** 2) and np.allclose([r.eigenvalue for r in got], s[:3] ** 2 / x.sum())
+    assert np.allclose([r.share for r in got], s[:3] ** 2 / (s**2).sum())
+    a, b = wide(rows, "sample", 3), wide(columns, "taxon", 3)
+    sign = np.sign((a * row[:, :3]).sum(0))
+    assert np.allclose(a, row[:, :3] * sign, atol=1e-5) and np.allclose(b, column[:, :3] * sign, atol=1e-5)
+    assert all(a[np.abs(a[:, k]).argmax(), k] > 0 for k in range(3))
+
+
+def test_correspondence_of_odd_tables(spark):
+    """Empty rows, repeated and missing cells, no structure, one column, nothing, negative counts."""
+    x = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 2.0), ("a", "y", 1.0), ("b", "y", 4.0), ("b", "x", None), ("c", "x", 0.0), (None, "x", 2.0)], "sample string, taxon string, n double")
+    eigen, rows, columns = o.correspondence(x, 5)
+    s, row, _ = dense_correspondence(np.array([[3.0, 1.0], [0.0, 4.0]]))
+    assert [round(r.inertia, 9) for r in eigen.collect()] == [round(s[0] ** 2, 9)] and rows.count() == 2 and columns.count() == 2
+    even = o.correspondence(table(spark, np.outer([1, 2, 3], [2, 1, 4])), 2)
+    assert all(abs(r.inertia) < 1e-9 and r.share is None for r in even[0].collect())
+    for few in (x.where("taxon = 'x'"), x.limit(0)):
+        assert [t.count() for t in o.correspondence(few)] == [0, 0, 0]
+    with pytest.raises(ValueError):
+        o.correspondence(table(spark, np.array([[1, 2], [-3, 4]])))
+
+
+def test_detrended_axes(spark):
+    x = np.random.default_rng(9).poisson(2, (15, 8)) + np.maximum(0, 6 - 2 * np.abs(np.arange(15)[:, None] / 2 - np.arange(8)[None])).astype(int)
+    eigen, rows, _ = o.correspondence(table(spark, x), 4)
+    scores, values = wide(rows, "sample", 4), np.array([r.eigenvalue for r in sorted(eigen.collect())])
+    slope = np.arange(15) + np.random.default_rng(2).normal(size=15)
+    for gradient in (None, slope):
+        want, left = [], scores.copy()
+        for k in range(4):
+            predictors = left[:, :k] if k else np.zeros((15, 0)) if gradient is None else gradient[:, None]
+            design = np.column_stack([predictors, np.ones(15)])
+            fitted = design @ np.linalg.lstsq(design, scores[:, k], rcond=None)[0]
+            want.append(1 - ((scores[:, k] - fitted) ** 2).sum() / ((scores[:, k] - scores[:, k].mean()) ** 2).sum())
+            left[:, k] = scores[:, k] * np.sqrt(1 - want[-1])
+        held = None if gradient is None else spark.createDataFrame([(f"s{i:02}", float(v)) for i, v in enumerate(gradient)], "sample string, value double")
+        axes, moved = o.detrended(eigen, rows, held)
+        got = sorted(axes.collect())
+        assert np.allclose([r.r_squared for r in got], want, atol=1e-9) and np.allclose([r.detrended for r in got], values * (1 - np.array(want)))
+        assert [r.place for r in got] == (np.argsort(np.argsort(-values * (1 - np.array(want)), kind="stable"), kind="stable") + 1).tolist()
+        assert np.allclose(wide(moved, "sample", 4), left, atol=1e-9)
+    with pytest.raises(ValueError):
+        o.detrended(eigen, rows, spark.createDataFrame([("s00", 1.0)], "sample string, value double"))
