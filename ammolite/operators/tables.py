@@ -71,7 +71,7 @@ def principal_components(df: DataFrame, key: str, columns: list[str], n: int = 2
     """Eigenvalues with their shares, loadings (vector times sqrt of the eigenvalue), and scores.
 
     Covariances are one aggregate over the rows; only their matrix, as wide as there are columns, is decomposed on the
-    driver. Missing values count as the column's mean. Signs: the largest weight of a component is positive.
+    driver. Missing values count as the column's mean. Signs: the largest weight of a component, the first of equal ones, is positive.
     """
     x = df.select(F.col(key).alias("key"), *(missing(c).alias(c) for c in columns))
     means = x.agg(*(F.avg(c).alias(c) for c in columns)).first()
@@ -86,7 +86,7 @@ def principal_components(df: DataFrame, key: str, columns: list[str], n: int = 2
     scale = np.where(sd > 0, sd, 1.0) if standardize else np.ones(len(columns))
     values, vectors = np.linalg.eigh(c / np.outer(scale, scale))
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(columns))])
+    vectors = vectors * np.sign(vectors[np.round(np.abs(vectors), 9).argmax(0), np.arange(len(columns))])
     spark = df.sparkSession
     total = values.sum() or 1.0
     eigen = spark.createDataFrame([(k + 1, round(float(values[k]), 6), round(float(values[k] / total), 6)) for k in range(n)], "component int, eigenvalue double, share double")

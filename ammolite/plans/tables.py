@@ -124,6 +124,8 @@ ORACLE_SQL = {
     "column_center": _M + " SELECT row_id, var, round(value - avg(value) OVER (PARTITION BY var), 6) AS value FROM c",
     "standardize_rows": _G + " SELECT row_id, var, round((value - avg(value) OVER w) / CASE WHEN stddev_samp(value) OVER w > 0 THEN stddev_samp(value) OVER w ELSE 1 END, 6) AS value FROM c WINDOW w AS (PARTITION BY row_id)",
     "pca_eigenvalues": _PC + " SELECT 1 AS component, round(1 + abs(r), 6) AS eigenvalue, round((1 + abs(r)) / 2, 6) AS share FROM r UNION ALL SELECT 2, round(1 - abs(r), 6), round((1 - abs(r)) / 2, 6) FROM r",
+    "pca_loadings": _PC + """, l AS (SELECT 'p_size' AS var, 1 AS component, sqrt((1 + abs(r)) / 2) AS loading FROM r UNION ALL SELECT 'p_retailprice', 1, sign(r) * sqrt((1 + abs(r)) / 2) FROM r UNION ALL SELECT 'p_size', 2, sqrt((1 - abs(r)) / 2) FROM r UNION ALL SELECT 'p_retailprice', 2, -sign(r) * sqrt((1 - abs(r)) / 2) FROM r) SELECT var, component, round(loading, 6) AS loading FROM l""",
+    "pca_scores": _PC + " SELECT key, round((a + sign(r) * b) / sqrt(2), 5) AS pc1, round((a - sign(r) * b) / sqrt(2), 5) AS pc2 FROM z, r",
     "mesh_summary": _F + " SELECT count(*) AS faces, round(sum(sqrt(nx * nx + ny * ny + nz * nz) / 2), 5) AS surface, round(sum(v), 6) AS volume FROM x",
     "mesh_normals": _F + ", u AS (SELECT a AS id, nx, ny, nz FROM x UNION ALL SELECT b, nx, ny, nz FROM x UNION ALL SELECT c, nx, ny, nz FROM x), s AS (SELECT id, sum(nx) AS x, sum(ny) AS y, sum(nz) AS z FROM u GROUP BY 1) SELECT id, round(x / sqrt(x * x + y * y + z * z), 5) AS nx, round(y / sqrt(x * x + y * y + z * z), 5) AS ny, round(z / sqrt(x * x + y * y + z * z), 5) AS nz FROM s",
     "quaternions": _QM,
