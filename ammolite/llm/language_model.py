@@ -35,7 +35,7 @@ SWEEPS, BURN_IN = 3, 1
 #: Strengths of the root and of the context restaurants.
 STRENGTH = (1.0, 1.0)
 #: Bytes of text that are counted together, and tokens of a part: bounds on a task's memory.
-GROUP_BYTES, PART_TOKENS = 2_000_000, 1_000_000
+GROUP_BYTES, PART_TOKENS = 2_000_000, 500_000
 #: A context is dealt out by its words where it has this share of a part's tokens.
 HOT_SHARE = 0.25
 
