@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ammolite.functions import special
+from ammolite.functions.columns import ratio
 
 
 def _log_choose(n: Column, k: Column) -> Column:
@@ -180,10 +181,13 @@ def c_score(x: DataFrame, least: float = 0.0) -> DataFrame:
 
 
 def group_diversity(x: DataFrame, groups: DataFrame) -> DataFrame:
-    """Welch's and the pooled t of Shannon's and Simpson's index between the first two groups (sample, grp) in order."""
+    """Welch's and the pooled t of Shannon's and Simpson's index between the first two groups (sample, grp) in order.
+
+    Indices are rounded, so rich samples may all have the same: without variance t is infinite, or NaN where the means are equal too.
+    """
     d = _indices(x, ["sample"]).join(groups, "sample").select("grp", F.explode(F.create_map(F.lit("shannon"), F.col("shannon"), F.lit("simpson"), F.col("simpson"))).alias("index", "v"))
     g = d.groupBy("index", "grp").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s2")).withColumn("k", F.row_number().over(W.partitionBy("index").orderBy("grp"))).where("k <= 2")
     t = g.groupBy("index").agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for c in ("n", "m", "s2") for k in (1, 2)))
     n1, n2, v1, v2, gap = F.col("n1"), F.col("n2"), F.col("s21"), F.col("s22"), F.col("m1") - F.col("m2")
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-    return t.select("index", "n1", "n2", F.round(gap / F.sqrt(v1 / n1 + v2 / n2), 5).alias("t_welch"), F.round(gap / F.sqrt(pooled * (1 / n1 + 1 / n2)), 5).alias("t_pooled"))
+    pooled = ratio((n1 - 1) * v1 + (n2 - 1) * v2, (n1 + n2 - 2).cast("double"))
+    return t.select("index", "n1", "n2", F.round(ratio(gap, F.sqrt(v1 / n1 + v2 / n2)), 5).alias("t_welch"), F.round(ratio(gap, F.sqrt(pooled * (1 / n1 + 1 / n2))), 5).alias("t_pooled"))
