@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ammolite.operators import communities as c
 from ammolite.operators import permutation as p
-from ammolite.operators import spatial
 from ammolite.plans import ecology
 
 N = 999
@@ -20,14 +19,6 @@ def _suppliers(s, d):
     return s.read.parquet(f"{d}/supplier.parquet")
 
 
-def _vector_pairs(s, d):
-    return spatial.pairwise_distances(s.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding")
-
-
-def _labels(s, d):
-    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sample"), F.col("label").alias("grp"))
-
-
 def _shannon(s, d):
     """Shannon entropy of each nation's parts, with the region."""
     x = ecology._community(s, d)
@@ -37,7 +28,7 @@ def _shannon(s, d):
 
 QUERIES = {
     "permanova_test": lambda s, d: p.permanova_test(_pairs(s, d), "bray_curtis", ecology._present(s, d), N),
-    "permanova_vectors": lambda s, d: p.permanova_test(_vector_pairs(s, d), "d", _labels(s, d), N),
+    "permanova_vectors": lambda s, d: p.permanova_vectors(s.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", "label", N),
     "anosim_test": lambda s, d: p.anosim_test(_pairs(s, d), "bray_curtis", ecology._present(s, d), N),
     "mantel_test": lambda s, d: p.mantel_test(_pairs(s, d), "bray_curtis", "canberra", N),
     "partial_mantel_test": lambda s, d: p.partial_mantel_test(_pairs(s, d), "bray_curtis", "canberra", "manhattan", N),
