@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ammolite.functions.scans import numbered
 from ammolite.functions.storage import cut
-from ammolite.operators.spatial import near_pairs, point_pairs
+from ammolite.operators.pairs import block_pairs
+from ammolite.operators.spatial import near_pairs
+
+
+#: Edges that a task contracts.
+EDGES = 500_000
+
+
+def _stars(batches):
+    """(i, j) from every end of the edges to the least node that these edges connect it with; nodes that are the least themselves are left out."""
+    tables = [b for b in batches if b.num_rows]
+    if tables:
+        t = pa.Table.from_batches(tables)
+        ids, code = np.unique(np.concatenate([t["i"].to_numpy(), t["j"].to_numpy()]), return_inverse=True)
+        a, b = code[: t.num_rows], code[t.num_rows :]
+        root = np.arange(len(ids))
+        while True:
+            x, y = root[a], root[b]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        far = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.record_batch([pa.array(ids[far], t.schema.field("i").type), pa.array(ids[root[far]], t.schema.field("i").type)], names=["i", "j"])
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the least id reachable from each node over edges (i, j).
 
-    Every round a node takes the least name among its neighbours, then the name of that name: paths halve.
+    Tasks replace their edges by stars first, which makes long paths short. Then in every round a node takes the least name among its
+    neighbours, then the name of that name: paths halve.
     """
-    both = cut(edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "edges")
+    found = cut(edges.select("i", "j").where("i != j").distinct(), "edges")
+    parts = max(1, -(-found.count() // EDGES))
+    kind = dict(found.dtypes)["i"]
+    stars = cut((found.coalesce(1) if parts == 1 else found.repartitionByRange(parts, "i")).mapInArrow(_stars, f"i {kind}, j {kind}"), "stars")
+    if parts == 1:
+        return nodes.select("id").join(stars.withColumnRenamed("i", "id"), "id", "left").select("id", F.coalesce("j", "id").alias("component"))
+    both = cut(stars.unionByName(stars.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "edges")
     names = cut(nodes.select("id", F.col("id").alias("component")), "names")
     while True:
         seen = both.join(names.select(F.col("id").alias("j"), "component"), "j").groupBy("i").agg(F.min("component").alias("least"))
@@ -39,9 +72,61 @@ def dbscan(p: DataFrame, eps: float, least: int) -> DataFrame:
     return x.select("id", F.coalesce("component", "beside").alias("cluster"), F.col("component").isNotNull().alias("core"))
 
 
+#: Points of a block of the spanning tree: two blocks are a task's tree, whose time grows by their square.
+TREE_BLOCK = 2048
+
+
+def shortest_tree(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d) with i < j of the shortest tree over a few thousand points, ties by (d, i, j): Prim's, all distances of the newest point at once."""
+    n = len(x)
+    out = np.empty(max(0, n - 1), np.int64), np.empty(max(0, n - 1), np.int64), np.empty(max(0, n - 1))
+    at, index, best, edge = 0, np.arange(n), np.full(n, np.inf), np.zeros(n, np.int64)
+    best[:1] = np.nan  # inside: never the least
+    for k in range(n - 1):
+        d = np.sqrt((x - x[at]) ** 2 + (y - y[at]) ** 2)
+        code = np.minimum(index, at) * n + np.maximum(index, at)
+        nearer = (d < best) | ((d == best) & (code < edge))
+        best[nearer], edge[nearer] = d[nearer], code[nearer]
+        least = np.nanmin(best)
+        ties = np.flatnonzero(best == least)
+        at = ties[np.argmin(edge[ties])] if len(ties) > 1 else ties[0]
+        out[0][k], out[1][k], out[2][k] = edge[at] // n, edge[at] % n, least
+        best[at] = np.nan
+    return out
+
+
+def _tree_edges(p: DataFrame) -> DataFrame:
+    """(i, j, d), i < j: few edges that hold a shortest tree over all points.
+
+    Points are dealt into compact blocks. An edge of the whole tree is one of the tree over the blocks of its two ends, and, with both ends in one block, of the tree
+    over that: each pair of blocks leaves the edges between the two, each block those inside. Neighbouring blocks leave many, distant ones few.
+    """
+    held = cut(p, "points")
+    n = held.count()
+    blocks = max(1, min(8, n // 64), -(-n // TREE_BLOCK))
+    strips = max(1, round(blocks**0.5))
+    strip = numbered(held, "x", "id").withColumn("strip", F.floor(F.col("place") * strips / n).cast("int")).drop("place")
+    dealt = numbered(strip, "strip", "y", "id").select("id", F.array("x", "y").alias("v"), F.floor(F.col("place") * blocks / n).cast("int").alias("own"))
+
+    def fold(ids, v, others, w, same):
+        if not same:
+            own = np.concatenate([np.zeros(len(ids), bool), np.ones(len(others), bool)])
+            ids, v = np.concatenate([ids, others]), np.concatenate([v, w])
+            order = np.argsort(ids, kind="stable")
+            ids, v, own = ids[order], v[order], own[order]
+        i, j, d = shortest_tree(np.ascontiguousarray(v[:, 0]), np.ascontiguousarray(v[:, 1]))
+        kept = slice(None) if same else own[i] != own[j]
+        return {"i": ids[i[kept]], "j": ids[j[kept]], "d": d[kept]}
+
+    return block_pairs(dealt, "id", "v", fold, "i long, j long, d double", "own", blocks)
+
+
 def minimum_spanning_tree(p: DataFrame) -> DataFrame:
-    """(i, j, d): edges of a shortest tree over all points, by Boruvka's rounds: each component takes its shortest way out, ties by (d, i, j)."""
-    pairs = cut(point_pairs(p), "pairs")
+    """(i, j, d): edges of a shortest tree over all points, ties by (d, i, j).
+
+    The few edges that blocks of points leave go through Boruvka's rounds: each component takes its shortest way out.
+    """
+    pairs = cut(_tree_edges(p), "pairs")
     names, tree = p.select("id", F.col("id").alias("component")), None
     while True:
         n = names.select(F.col("id").alias("i"), F.col("component").alias("a")), names.select(F.col("id").alias("j"), F.col("component").alias("b"))
@@ -54,6 +139,7 @@ def minimum_spanning_tree(p: DataFrame) -> DataFrame:
         # components, not points, are joined by the new edges: there are at most half as many in every round
         ends = best.join(n[0], "i").join(n[1], "j").select(F.col("a").alias("i"), F.col("b").alias("j"))
         joined = connected(ends, names.select(F.col("component").alias("id")).distinct())
+        pairs = cut(out.select("i", "j", "d"), "pairs")
         names = cut(names.join(joined.select(F.col("id").alias("component"), F.col("component").alias("new")), "component").select("id", F.col("new").alias("component")), "components")
     tree = pairs.limit(0) if tree is None else tree
     return tree.select("i", "j", "d").distinct()
@@ -61,8 +147,9 @@ def minimum_spanning_tree(p: DataFrame) -> DataFrame:
 
 def single_linkage(p: DataFrame, clusters: int) -> DataFrame:
     """(id, cluster): what is left connected when the clusters - 1 longest edges of the minimum spanning tree go, which is single linkage cut to so many clusters."""
-    tree = minimum_spanning_tree(p).withColumn("k", F.row_number().over(W.orderBy(F.desc("d"), "i", "j"))).where(F.col("k") >= clusters)
-    return connected(tree, p).select("id", F.col("component").alias("cluster"))
+    tree = cut(minimum_spanning_tree(p), "tree")
+    longest = tree.orderBy(F.desc("d"), "i", "j").limit(max(0, clusters - 1))
+    return connected(tree.join(F.broadcast(longest), ["i", "j"], "left_anti"), p).select("id", F.col("component").alias("cluster"))
 
 
 def kmeans(vectors: DataFrame, key: str, vector: str | Column, k: int, seed: int = 1) -> DataFrame:
