@@ -31,7 +31,7 @@ from ammolite.llm.common import ChunkIds, ensure_columns, materialize, release,
 
 CAPACITY = 2048
 #: Pieces in a block, on average; the islands of a block; epochs between migrations; individuals and offspring of an island.
-BLOCK, ISLANDS, EPOCHS, POPULATION, OFFSPRING = 4096, 2, 2, 3, 4
+BLOCK, ISLANDS, EPOCHS, POPULATION, OFFSPRING = 4096, 2, 2, 6, 16
 #: Bins filled less than this are taken apart and packed again together with those of other blocks.
 POOR = 0.97
 
@@ -90,18 +90,18 @@ def evolve(lengths: list[int], seeds: list[Bins], capacity: int, rng: random.Ran
     """
     people = list(seeds)
     while len(people) < POPULATION:
-        noise = 0 if not people else 0.15 * len(people)
+        noise = 0 if not people else 0.075 * len(people)
         order = sorted(range(len(lengths)), key=lambda i: (-lengths[i] * (1 + noise * rng.random()), i))
         people.append(best_fit(lengths, order, [], capacity))
-    score = lambda x: fitness(lengths, x, capacity)
-    people.sort(key=score, reverse=True)
+    # scores are kept beside the individuals: they cost as much as a crossover
+    scored = sorted(((fitness(lengths, x, capacity), x) for x in people), key=lambda x: x[0], reverse=True)
     for _ in range(OFFSPRING):
-        if len(people[0]) * capacity == sum(lengths):
+        if len(scored[0][1]) * capacity == sum(lengths):
             break
-        a, b = people[0], people[1 + rng.randrange(len(people) - 1)]
+        a, b = scored[0][1], scored[1 + rng.randrange(len(scored) - 1)][1]
         child = mutate(lengths, crossover(lengths, a, b, capacity, rng), capacity, rng)
-        people = sorted([*people, child], key=score, reverse=True)[:POPULATION]
-    return people
+        scored = sorted([*scored, (fitness(lengths, child, capacity), child)], key=lambda x: x[0], reverse=True)[:POPULATION]
+    return [x for _, x in scored]
 
 
 def tokenize_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
