@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ammolite.functions.columns import average_ranks
+from ammolite.functions.storage import cut
 
 
 def communities(df: DataFrame, sample: str, taxon: str, count: str) -> DataFrame:
@@ -79,16 +80,19 @@ def anosim(pairs: DataFrame, distance: str, groups: DataFrame) -> DataFrame:
 def simper(x: DataFrame, groups: DataFrame, first: object, second: object) -> DataFrame:
     """Each taxon's mean contribution to the Bray-Curtis dissimilarity over all pairs of samples from two groups, largest share first."""
     g = groups.where(F.col("grp").isin(first, second))
-    own = x.join(g, "sample").groupBy("sample", "grp").agg(F.sum("n").alias("t"))
-    side = lambda which, s, n, t: own.where(F.col("grp") == F.lit(which)).select(F.col("sample").alias(s), F.col("t").alias(t))
-    pairs = side(first, "i", "u", "ti").join(side(second, "j", "v", "tj")).withColumn("total", F.col("ti") + F.col("tj"))
-    counts = pairs.agg(F.count("*").alias("m"))
-    # a taxon contributes where at least one of the two samples holds it: |u - v| = u + v - 2 min(u, v)
-    a, b = x.select(F.col("sample").alias("i"), "taxon", F.col("n").alias("u")), x.select(F.col("sample").alias("j"), "taxon", F.col("n").alias("v"))
-    p = pairs.select("i", "j", "total")
-    one = p.join(a, "i").select("i", "j", "total", "taxon", "u", F.lit(0.0).alias("v")).unionByName(p.join(b, "j").select("i", "j", "total", "taxon", F.lit(0.0).alias("u"), "v"))
-    c = one.groupBy("i", "j", "taxon").agg((F.abs(F.sum("u") - F.sum("v")) / F.first("total")).alias("c"))
-    s = c.groupBy("taxon").agg(F.sum("c").alias("s")).join(F.broadcast(counts)).select("taxon", (F.col("s") / F.col("m")).alias("average"))
+    x = cut(x.join(F.broadcast(g.select("sample", "grp")), "sample").select("sample", "grp", "taxon", "n"), "held")
+    own = x.groupBy("sample", "grp").agg(F.sum("n").alias("t"))
+    counts = own.agg((F.count_if(F.col("grp") == F.lit(first)) * F.count_if(F.col("grp") == F.lit(second))).alias("m"))
+    # |u - v| = u + v - 2 min(u, v): what a sample holds counts once with the reciprocal totals of all its pairs, and only samples that share a taxon meet in it
+    total = lambda which, t: own.where(F.col("grp") == F.lit(which)).select(F.col("sample").alias(f"s{t}"), F.col("t").alias(t))
+    pairs = cut(total(first, "ti").join(total(second, "tj"), how="cross").withColumn("r", 1 / (F.col("ti") + F.col("tj"))), "pairs")
+    weight = lambda t: pairs.groupBy(F.col(f"s{t}").alias("sample")).agg(F.sum("r").alias("weight"), F.first(t).alias("t"))
+    held = lambda t: x.select("sample", "taxon", "n").join(F.broadcast(weight(t)), "sample")
+    one = held("ti").unionByName(held("tj")).select("taxon", (F.col("n") * F.col("weight")).alias("c"))
+    a, b = (held(t).select("taxon", F.col("n").alias(n), F.col("t").alias(t)) for t, n in (("ti", "u"), ("tj", "v")))
+    both = a.join(b, "taxon").select("taxon", (-2 * F.least("u", "v") / (F.col("ti") + F.col("tj"))).alias("c"))
+    c = one.unionByName(both).groupBy("taxon").agg(F.sum("c").alias("s"))
+    s = cut(c.join(F.broadcast(counts)).where("m > 0").select("taxon", (F.greatest(F.col("s"), F.lit(0.0)) / F.col("m")).alias("average")), "averages")
     whole = s.agg(F.sum("average").alias("overall"))
     return s.join(F.broadcast(whole)).select("taxon", F.round("average", 8).alias("average"), F.round(F.col("average") / F.col("overall"), 8).alias("share"))
 
