@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,17 +29,41 @@ def interpolate_nearest(x: DataFrame, at: DataFrame) -> DataFrame:
 def radiocarbon(determinations: DataFrame, curve: DataFrame, delta: float = 0.0, delta_error: float = 0.0, level: float = 0.95) -> DataFrame:
     """Calibrated ages of (id, age, error) on a yearly curve (cal, mu, sigma): median (the year whose cumulative share is nearest to 0.5), most likely year, and the size and ends of the smallest set that holds `level`.
 
-    The curve has a bounded number of years; every determination meets those within eight of its standard errors.
+    The curve has a bounded number of years; every determination meets those within eight of its standard errors, in arrays that are gone with the next one:
+    no row a year is made or sorted. Determinations of the same id count as one.
     """
-    s = F.sqrt(F.col("error") * F.col("error") + F.col("sigma") * F.col("sigma") + delta_error * delta_error)
-    z = (F.col("age") - delta - F.col("mu")) / s
-    p = determinations.join(F.broadcast(curve), F.abs(F.col("age") - delta - F.col("mu")) <= 8 * (F.col("error") + F.col("sigma") + delta_error)).select("id", "cal", (F.exp(-z * z / 2) / s).alias("w"))
-    p = p.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy("id")))
-    up = F.sum("p").over(W.partitionBy("id").orderBy("cal").rowsBetween(W.unboundedPreceding, 0))
-    dense = F.sum("p").over(W.partitionBy("id").orderBy(F.desc("p"), "cal").rowsBetween(W.unboundedPreceding, 0))
-    q = p.select("id", "cal", "p", up.alias("up"), (dense - F.col("p") < level).alias("inside"))
-    g = q.groupBy("id").agg(F.min_by("cal", F.struct(F.round(F.abs(F.col("up") - 0.5), 12), F.col("cal"))).alias("median"), F.max_by("cal", F.struct(F.round("p", 14), -F.col("cal"))).alias("mode"), F.count_if("inside").alias("years"), F.min(F.when(F.col("inside"), F.col("cal"))).alias("low"), F.max(F.when(F.col("inside"), F.col("cal"))).alias("high"))
-    return g.select("id", "median", "mode", "years", "low", "high")
+    kinds = dict(curve.dtypes)
+    years = curve.select("cal", F.col("mu").cast("double"), F.col("sigma").cast("double")).orderBy("cal").toArrow()
+    cal, mu, sigma = (years.column(k).to_numpy() for k in range(3))
+    kind = years.schema.field("cal").type
+    told = determinations.select("id", F.col("age").cast("double"), F.col("error").cast("double")).dropna().groupBy("id").agg(F.collect_list(F.struct("age", "error")).alias("r"))
+    held = dict(told.dtypes)["id"]
+
+    def run(batches):
+        for batch in batches:
+            kept, out = [], []
+            for k, r in enumerate(batch.column("r").to_pylist()):
+                at, w = [], []
+                for d in r:
+                    near = np.flatnonzero(np.abs(d["age"] - delta - mu) <= 8 * (d["error"] + sigma + delta_error))
+                    s = np.sqrt(d["error"] * d["error"] + sigma[near] * sigma[near] + delta_error * delta_error)
+                    z = (d["age"] - delta - mu[near]) / s
+                    at.append(near)
+                    w.append(np.exp(-z * z / 2) / s)
+                at, w = np.concatenate(at), np.concatenate(w)
+                if not len(at):
+                    continue
+                order = np.argsort(at, kind="stable")
+                year, p = cal[at[order]], w[order] / w.sum()
+                dense = np.argsort(-p, kind="stable")
+                inside = year[dense[np.cumsum(p[dense]) - p[dense] < level]]
+                ends = (inside.min(), inside.max()) if len(inside) else (None, None)
+                out.append((year[np.round(np.abs(np.cumsum(p) - 0.5), 12).argmin()], year[np.round(p, 14).argmax()], len(inside), *ends))
+                kept.append(k)
+            median, mode, n, low, high = zip(*out) if out else [()] * 5
+            yield pa.record_batch([batch.column("id").take(pa.array(kept, pa.int64())), pa.array(median, kind), pa.array(mode, kind), pa.array(n, pa.int64()), pa.array(low, kind), pa.array(high, kind)], names=["id", "median", "mode", "years", "low", "high"])
+
+    return told.mapInArrow(run, f"id {held}, median {kinds['cal']}, mode {kinds['cal']}, years long, low {kinds['cal']}, high {kinds['cal']}")
 
 
 def change_points(x: DataFrame, block: int, prior: float = 0.01, threshold: float = 0.95) -> DataFrame:
