@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import ChunkIds, ensure_columns, materialize, release, text_blocks, tokenizer_path
+from ammolite.llm.common import chunk_ids, ensure_columns, materialize, release, text_blocks, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces in a block, on average; the islands of a block; epochs between migrations; individuals and offspring of an island.
@@ -108,10 +108,10 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capac
     """doc_id, piece, start, length, ids_crc32 of every piece of every whole text (null: empty)."""
 
     def cut(batches):
-        coder, end = ChunkIds(tokenizer, keep_space=False), struct.pack("<I", end_id)
+        coder, end = chunk_ids(tokenizer, keep_space=False), struct.pack("<I", end_id)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
-            for lo, hi in text_blocks(texts):
+            for lo, hi in text_blocks(texts, 16_000_000):
                 rows = []
                 for key, raw in zip(keys[lo:hi], coder.batch(texts[lo:hi])):
                     raw += end
@@ -120,7 +120,6 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capac
                         rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 columns = list(zip(*rows))
                 yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        del coder
         release()
 
     return ensure_columns(documents, doc_id="long", text="string").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ class ChunkIds:
     together, as one text, and told apart by the vocabulary's own word marks.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 1_200_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 250_000):
         # a task has one core: threads of the library's own would only hold memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -230,6 +231,7 @@ class ChunkIds:
         self.chunk = re.compile(rf" ?{_RUN}| ?\S+|\s+(?!\S)|\s+" if keep_space else rf"{_RUN}|\S+")
         self.simple = re.compile(rf" [{_LETTERS}]+" if keep_space else rf"[{_LETTERS}]+").fullmatch
         self.odd = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufeff]")
+        self.inner = re.compile(r"(?<=\s) (?!\S)")
         self.keep_space, self.most, self.known = keep_space, most, {}
         names = map(self.tok.id_to_token, range(self.tok.get_vocab_size()))
         self.mark = np.array([x.startswith("\u0120") if keep_space else x.endswith("</w>") for x in names])
@@ -246,32 +248,80 @@ class ChunkIds:
             cut = np.flatnonzero(self.mark[ids])
             ends = np.append(cut[1:], len(ids)) if self.keep_space else cut + 1
             if len(ends) != len(part) or ends[-1] != len(ids):
-                out += self._encode(part)
+                # a word without the mark somewhere: smaller parts leave few words beside it
+                half = len(part) // 2
+                out += self._encode(part) if len(part) <= 64 else self._encode_words(part[:half]) + self._encode_words(part[half:])
                 continue
             raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
             out += [raw[i:j] for i, j in zip(at, at[1:])]
         return out
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if self.odd.search(t) else self.chunk.findall(t) for t in texts]
-        every = set()
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of each of many short texts without odd characters."""
+        cut = [u if self.simple(u) else self.chunk.findall(u) for u in units]
+        every = {c for c in cut if type(c) is str}
         for c in cut:
-            if c:
+            if type(c) is list:
                 every.update(c)
-        missing = every.difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = every
-            words = [w for w in missing if self.simple(w)]
-            self.known.update(zip(words, self._encode_words(words)))
-            rest = [w for w in missing if not self.simple(w)]
-            self.known.update(zip(rest, self._encode(rest)))
-        # the few chunks of this block in a small table: looking every one up in the large table would wait for memory
-        ids = {w: self.known[w] for w in every}
-        whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(ids.__getitem__, c)) for c in cut]
+        missing, ids = every.difference(self.known), self.known
+        words = [w for w in missing if self.simple(w)]
+        rest = [w for w in missing if not self.simple(w)] if len(words) < len(missing) else []
+        ids.update(zip(words, self._encode_words(words)))
+        ids.update(zip(rest, self._encode(rest)))
+        out = [ids[c] if type(c) is str else b"".join([ids[x] for x in c]) for c in cut]
+        # what was seen first stays: frequent chunks come early
+        for c in reversed(words + rest):
+            if len(ids) <= self.most:
+                break
+            del ids[c]
+        return out
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Texts are split at single spaces, each distinct piece is looked up once, and ids are gathered by the pieces' numbers.
+        """
+        odd = [self.odd.search(t) is not None for t in texts]
+        whole = iter(self._encode([t for t, o in zip(texts, odd) if o]))
+        # a space between two white spaces, or one at the end behind another, belongs to the run before it: such texts are one piece
+        lone = [not o and self.keep_space and self.inner.search(t) is not None for t, o in zip(texts, odd)]
+        alone = iter(self._units([t for t, x in zip(texts, lone) if x]))
+        split = iter(self._gathered([t for t, o, x in zip(texts, odd, lone) if not o and not x]))
+        return [next(whole if o else alone if x else split) for o, x in zip(odd, lone)]
+
+    def _gathered(self, texts: list[str]):
+        """Ids of texts that may be cut before every space."""
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.keep_space and len(texts):
+            # the first piece of a text has no space before it
+            first, at = np.unique(code[bounds[:-1]], return_inverse=True)
+            code[bounds[:-1]] = at + len(names)
+            names = [" " + x for x in names] + [names[k] for k in first.tolist()]
+        raw = self._units(names)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), "<u4")
+        del raw, names, pieces, coded
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 500_000, "right")) - 1)
+            c = code[bounds[lo] : bounds[hi]]
+            ends = np.concatenate(([0], np.cumsum(sizes[c])))
+            ids, cuts = flat[runs(sizes[c], starts[c])], ends[bounds[lo : hi + 1] - bounds[lo]].tolist()
+            yield from (ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:]))
+            lo = hi
+
+
+_CODERS: dict[tuple, ChunkIds] = {}
+
+
+def chunk_ids(path: str, keep_space: bool) -> ChunkIds:
+    """The ChunkIds of this worker process: what one task has encoded the next ones need not encode again."""
+    if (path, keep_space) not in _CODERS:
+        _CODERS[path, keep_space] = ChunkIds(path, keep_space)
+    return _CODERS[path, keep_space]
 
 
 def release() -> None:

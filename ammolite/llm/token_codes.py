@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ammolite.llm.common import ChunkIds, ensure_columns, materialize, scratch_path, text_blocks, tokenizer_path
+from ammolite.llm.common import chunk_ids, ensure_columns, materialize, scratch_path, text_blocks, tokenizer_path
 
 MAGIC = b"AMDAC01\n"
 SUPER = 512
@@ -144,7 +144,7 @@ def write_shards(documents: DataFrame, out: str, tokenizer: str, end_id: int = 0
     docs = ensure_columns(documents, doc_id="long", text="string").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def write(batches):
-        coder, fs, root = ChunkIds(tokenizer, keep_space=True), *_filesystem(out)
+        coder, fs, root = chunk_ids(tokenizer, keep_space=True), *_filesystem(out)
         end = struct.pack("<I", end_id)
         part, seq, held, keys, ids = TaskContext.get().partitionId(), 0, 0, [], []
 
@@ -160,7 +160,7 @@ def write_shards(documents: DataFrame, out: str, tokenizer: str, end_id: int = 0
 
         for b in batches:
             texts, names = [x or "" for x in b.column(1).to_pylist()], b.column(0).to_pylist()
-            for lo, hi in text_blocks(texts):
+            for lo, hi in text_blocks(texts, 16_000_000):
                 for key, raw in zip(names[lo:hi], coder.batch(texts[lo:hi])):
                     one = np.frombuffer(raw + end, "<u4")
                     if held and held + len(one) > shard_tokens:

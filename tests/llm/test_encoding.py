@@ -31,6 +31,28 @@ def test_chunked_ids_are_those_of_the_whole_text():
         assert got == whole_ids(name, texts)
 
 
+def test_spaces_that_are_no_cuts():
+    texts = ["a  b", " a", "  a", "a ", "a  ", "a\n b", "a \nb", "a \n b", " ", "  ", "a\u00a0 b", "a \u00a0b", "a \u2003 b", "one two one  two\n one", "", "two,one two. (one) 12 two"]
+    for name, keep in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        for part in (texts, texts[::-1], texts * 3):
+            got = [np.frombuffer(x, "<u4").tolist() for x in ChunkIds(tokenizer_path(name), keep).batch(part)]
+            assert got == whole_ids(name, part)
+
+
+def test_chunks_are_remembered_across_tasks_up_to_a_bound(monkeypatch):
+    from ammolite.llm import common
+
+    path, words = tokenizer_path("byte_bpe_50k.json"), [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    coder = common.chunk_ids(path, True)
+    assert common.chunk_ids(path, True) is coder
+    first = coder.batch([" ".join(words)])
+    monkeypatch.setattr(coder, "_encode", lambda texts: [b""] * len(texts) if not texts else 1 / 0)
+    monkeypatch.setattr(coder, "_encode_words", lambda texts: [] if not texts else 1 / 0)
+    assert coder.batch([" ".join(words)]) == first
+    small = ChunkIds(path, True, most=10)
+    assert small.batch([" ".join(words)]) == first and len(small.known) == 10 and small.batch([" ".join(words)]) == first
+
+
 def test_codes_give_random_access():
     rng = random.Random(1)
     docs = [np.array([rng.choice([3, 200, 256, 40_000, 70_000, 2**31]) for _ in range(n)], np.uint32) for n in (0, 1, 700, 3, 5000)]
