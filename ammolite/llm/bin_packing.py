@@ -38,9 +38,14 @@ POOR = 0.97
 Bins = list[list[int]]
 
 
+def _fills(lengths: list[int], bins: Bins) -> list[int]:
+    at = lengths.__getitem__
+    return [sum(map(at, b)) for b in bins]
+
+
 def best_fit(lengths: list[int], order: list[int], bins: Bins, capacity: int) -> Bins:
     """Put the pieces of `order` into the fullest bin that takes each, or a new one. `bins` is changed in place."""
-    free = sorted((capacity - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
+    free = sorted((capacity - x, k) for k, x in enumerate(_fills(lengths, bins)))
     for i in order:
         at = bisect.bisect_left(free, (lengths[i], -1))
         if at == len(free):
@@ -57,12 +62,12 @@ def best_fit(lengths: list[int], order: list[int], bins: Bins, capacity: int) ->
 
 def fitness(lengths: list[int], bins: Bins, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum([(x / capacity) ** 2 for x in _fills(lengths, bins)])
 
 
 def crossover(lengths: list[int], a: Bins, b: Bins, capacity: int, rng: random.Random) -> Bins:
     """`a`, with some well-filled bins of `b` put in whole."""
-    pool = sorted(range(len(b)), key=lambda k: (-sum(lengths[i] for i in b[k]), k))[: max(1, len(b) // 2)]
+    pool = sorted(range(len(b)), key=_fills(lengths, b).__getitem__, reverse=True)[: max(1, len(b) // 2)]
     injected = [list(b[k]) for k in sorted(rng.sample(pool, max(1, len(pool) // 3)))]
     taken = {i for bin_ in injected for i in bin_}
     kept, displaced = injected, []
@@ -76,7 +81,7 @@ def crossover(lengths: list[int], a: Bins, b: Bins, capacity: int, rng: random.R
 
 def mutate(lengths: list[int], bins: Bins, capacity: int, rng: random.Random) -> Bins:
     """Take the emptiest bins and a few others apart and best-fit their pieces."""
-    order = sorted(range(len(bins)), key=lambda k: (sum(lengths[i] for i in bins[k]), k))
+    order = sorted(range(len(bins)), key=_fills(lengths, bins).__getitem__)
     out = {*order[: max(1, len(bins) // 20)], *rng.sample(order, min(len(order), 3))}
     loose = [i for k in out for i in bins[k]]
     return best_fit(lengths, sorted(loose, key=lambda i: (-lengths[i], rng.random())), [list(b) for k, b in enumerate(bins) if k not in out], capacity)
@@ -91,12 +96,13 @@ def evolve(lengths: list[int], seeds: list[Bins], capacity: int, rng: random.Ran
     people = list(seeds)
     while len(people) < POPULATION:
         noise = 0 if not people else 0.075 * len(people)
-        order = sorted(range(len(lengths)), key=lambda i: (-lengths[i] * (1 + noise * rng.random()), i))
+        order = sorted(range(len(lengths)), key=[-x * (1 + noise * rng.random()) for x in lengths].__getitem__)
         people.append(best_fit(lengths, order, [], capacity))
     # scores are kept beside the individuals: they cost as much as a crossover
     scored = sorted(((fitness(lengths, x, capacity), x) for x in people), key=lambda x: x[0], reverse=True)
+    total = sum(lengths)
     for _ in range(OFFSPRING):
-        if len(scored[0][1]) * capacity == sum(lengths):
+        if len(scored[0][1]) * capacity == total:
             break
         a, b = scored[0][1], scored[1 + rng.randrange(len(scored) - 1)][1]
         child = mutate(lengths, crossover(lengths, a, b, capacity, rng), capacity, rng)
@@ -111,7 +117,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capac
         coder, end = chunk_ids(tokenizer, keep_space=False), struct.pack("<I", end_id)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
-            for lo, hi in text_blocks(texts, 16_000_000):
+            for lo, hi in text_blocks(texts, 8_000_000):
                 rows = []
                 for key, raw in zip(keys[lo:hi], coder.batch(texts[lo:hi])):
                     raw += end
