@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ammolite.functions.scans import numbered
 from ammolite.functions.storage import cut
 from ammolite.operators.pairs import block_pairs
-from ammolite.operators.spatial import near_pairs
 
 
 #: Edges that a task contracts.
@@ -60,16 +59,72 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         names = new
 
 
+#: Steps to the cells that can hold points within eps, and those of them that go forward: each two cells meet once.
+_AROUND = [(u, v) for u in range(-2, 3) for v in range(-2, 3)]
+_FORWARD = [(u, v) for u, v in _AROUND if (u, v) >= (0, 0)]
+
+
+def _moved(rows: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Each row once for every step, at the cell it steps to."""
+    o = rows.withColumn("o", F.explode(F.array(*(F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in steps))))
+    return o.withColumns({"cx": F.col("cx") + F.col("o.u"), "cy": F.col("cy") + F.col("o.v")})
+
+
+def _touching(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether any point of a is at most eps from one of b: those nearest to the other side's box come first."""
+    gaps = []
+    for x, y in ((a, b), (b, a)):
+        out = np.maximum(np.maximum(y.min(0) - x, x - y.max(0)), 0)
+        gap = np.sqrt((out * out).sum(1))
+        order = np.argsort(gap, kind="stable")
+        gaps.append(x[order[: np.searchsorted(gap[order], eps * (1 + 1e-9), "right")]])
+    a, b = gaps
+    for i in range(0, len(a), 256):
+        for j in range(0, len(b), 1024):
+            d = np.sqrt((a[i : i + 256, None, 0] - b[None, j : j + 1024, 0]) ** 2 + (a[i : i + 256, None, 1] - b[None, j : j + 1024, 1]) ** 2)
+            if (d <= eps).any():
+                return True
+    return False
+
+
 def dbscan(p: DataFrame, eps: float, least: int) -> DataFrame:
-    """(id, cluster, core): core points have `least` points within eps, themselves included; a cluster is named by its least core point; a border point takes the least cluster next to it, noise has none."""
-    pairs = cut(near_pairs(p, eps), "near-pairs")
-    both = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    core = p.select("id").join(both.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("k")), "id", "left").where(F.coalesce("k", F.lit(0)) + 1 >= least).select("id")
-    ci, cj = core.select(F.col("id").alias("i")), core.select(F.col("id").alias("j"))
-    named = connected(pairs.select("i", "j").join(ci, "i").join(cj, "j"), core)
-    border = both.join(named.select(F.col("id").alias("j"), "component"), "j").groupBy(F.col("i").alias("id")).agg(F.min("component").alias("beside"))
-    x = p.select("id").join(named, "id", "left").join(border, "id", "left")
-    return x.select("id", F.coalesce("component", "beside").alias("cluster"), F.col("component").isNotNull().alias("core"))
+    """(id, cluster, core): core points have `least` points within eps (above 0), themselves included; a cluster is named by its least core point; a border point takes the least cluster next to it, noise has none.
+
+    All points of a cell whose diagonal is eps are within eps, so where a cell holds `least` they are core and nothing is counted; only points of emptier cells meet others.
+    Cells with core points, not points, are what is joined: two of them where any two of their core points are within eps. No pairs of points are kept.
+    """
+    side = eps / 2**0.5 * (1 - 1e-9)
+    cell = lambda c: F.floor(F.col(c) / side)
+    x = p.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    full = x.groupBy("cx", "cy").agg(F.count("*").alias("held"))
+    x = cut(x.join(full, ["cx", "cy"]), "cells")
+    d = F.sqrt(F.pow(F.col("x") - F.col("xj"), 2) + F.pow(F.col("y") - F.col("yj"), 2))
+
+    def beside(asked: DataFrame, others: DataFrame, *more: str) -> DataFrame:
+        """(id, more) of the others within eps of the points asked."""
+        o = others.select("cx", "cy", F.col("x").alias("xj"), F.col("y").alias("yj"), *more)
+        return _moved(asked.select("id", "x", "y", "cx", "cy"), _AROUND).join(o, ["cx", "cy"]).where(d <= eps).select("id", *more)
+
+    counted = beside(x.where(F.col("held") < least), x).groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    x = cut(x.join(counted, "id", "left").withColumn("core", (F.col("held") >= least) | F.col("k").isNotNull()).drop("k", "held"), "cores")
+    core = x.where("core")
+    names = cut(core.groupBy("cx", "cy").agg(F.min("id").alias("name")), "names")
+    kind = dict(names.dtypes)["name"]
+
+    def meet(t: pa.Table) -> pa.Table:
+        own, named, at = t["own"].to_numpy(), t["name"].to_numpy(), np.column_stack([t["x"].to_numpy(), t["y"].to_numpy()])
+        others = [n for n in np.unique(named[~own]) if own.any() and _touching(at[own], at[~own & (named == n)], eps)]
+        return pa.table({"i": pa.array(list(named[own][:1]) * len(others), t.schema.field("name").type), "j": pa.array(others, t.schema.field("name").type)})
+
+    places = core.join(names, ["cx", "cy"]).select("cx", "cy", "name", "x", "y").distinct()
+    met = _moved(places, _FORWARD).select("cx", "cy", "name", "x", "y", F.expr("o.u = 0 and o.v = 0").alias("own"))
+    edges = met.groupBy("cx", "cy").applyInArrow(meet, f"i {kind}, j {kind}")
+    joined = connected(edges, names.select(F.col("name").alias("id"))).select(F.col("id").alias("name"), F.col("component").alias("cluster"))
+    cells = cut(names.join(joined, "name").select("cx", "cy", "cluster"), "clusters")
+    inner = core.join(cells, ["cx", "cy"]).select("id", "x", "y", "cx", "cy", "cluster")
+    outer = x.where("not core")
+    border = beside(outer, inner, "cluster").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return inner.select("id", "cluster", F.lit(True).alias("core")).unionByName(outer.select("id").join(border, "id", "left").select("id", "cluster", F.lit(False).alias("core")))
 
 
 #: Points of a block of the spanning tree: two blocks are a task's tree, whose time grows by their square.
