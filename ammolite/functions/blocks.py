@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ammolite.functions.storage import cut
 
 SIZE = 512
+#: Bytes of products that a task gathers before they leave.
+HELD = 8_000_000
 
 
 def blocked(entries: DataFrame, n: int, size: int = SIZE) -> DataFrame:
@@ -112,16 +114,31 @@ def times_scattered(matrix: DataFrame, x: DataFrame, width: int, rows: int, flip
     own, other = ("bj", "bi") if flipped else ("bi", "bj")
 
     def part(batches):
+        # rows are read where Arrow holds them, products of one block are added before they leave, and leave a few at a time
+        held: dict[int, np.ndarray] = {}
+
+        def gathered():
+            out = pa.record_batch([pa.array(list(held), pa.int32()), pa.array([y.tobytes() for y in held.values()], pa.binary())], names=["b", "p"])
+            held.clear()
+            return out
+
         for batch in batches:
-            out = []
-            for b, m, p in zip(*(batch.column(c).to_pylist() for c in (own, "m", "p"))):
-                count = len(m) // 16
+            own_, m_, p_ = (batch.column(c) for c in (own, "m", "p"))
+            for k in range(batch.num_rows):
+                b, m, p = own_[k].as_py(), m_[k].as_buffer(), p_[k].as_buffer()
+                count = m.size // 16
                 v, places = np.frombuffer(m, np.float64, count), np.frombuffer(m, np.int32, 2 * count, 8 * count).reshape(2, count)
                 to, of = places[::-1] if flipped else places
-                y = np.zeros((min(size, rows - b * size), width))
-                np.add.at(y, to, v[:, None] * np.frombuffer(p, np.float64).reshape(-1, width)[of])
-                out.append(y.tobytes())
-            yield pa.record_batch([batch.column(own), pa.array(out, pa.binary())], names=["b", "p"])
+                if b not in held:
+                    if sum(y.nbytes for y in held.values()) >= HELD:
+                        yield gathered()
+                    held[b] = np.zeros((min(size, rows - b * size), width))
+                x_ = np.frombuffer(p, np.float64).reshape(-1, width)
+                for lo in range(0, count, size * 16):
+                    t = slice(lo, lo + size * 16)
+                    np.add.at(held[b], to[t], v[t, None] * x_[of[t]])
+        if held:
+            yield gathered()
 
     return cut(_added(matrix.join(x, matrix[other] == x.b).select(own, "m", "p").mapInArrow(part, "b int, p binary"), "b"), "product")
 
