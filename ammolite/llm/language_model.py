@@ -9,11 +9,13 @@ them the predictive probabilities.
 Restaurants are named by 56-bit hashes of the actual words before, so there are as many as the corpus has. An entry
 (context, word, customers) belongs to a part, by its context; the entries of contexts that very many tokens have are dealt
 out by context and word, and only their totals and sums over the root go through the driver. Groups of documents are counted
-before they are dealt and sent as byte planes of sorted entries. A dish with one customer has one table in every sample, so
-sweeps visit the entries with more than one and add the others as a constant. What the root must know of a dish in a part is
-a row (part, word). For scoring, groups send their entries again with the documents of every token; each part returns sums by
-document. Random numbers are hashes of entry and sweep: no seating depends on partitions. Up to 128 customers are seated one
-by one; more in blocks of a 64th of those present, with a binomial number of new tables for a block.
+before they are dealt and sent as compressed byte planes, in which a bounded number of frequent words have codes of two
+bytes. A dish with one customer has one table in every sample, so sweeps visit the entries with more than one and add the
+others as a constant. The root is dealt out in buckets of words; a part and a bucket exchange a row of numbers in the order of
+the part's words there, not a row a word. For scoring, groups send their entries again with the documents of every token;
+each part returns sums by document, in whole steps of 2**-26. Random numbers are hashes of entry and sweep: no seating depends
+on partitions. Up to 128 customers are seated one by one; more in blocks of a 64th of those present, with a binomial number of
+new tables for a block.
 
 Defined results: a null text is empty and has one token, the end; a null doc_id is trained on (its remainder is taken as 0);
 repeated rows are texts of their own; very long texts count whole; words of equal hash are one; with no training tokens every
@@ -22,8 +24,10 @@ word is unknown and both scores are logarithms of 1 / (V + 1) = 1; an empty tabl
 
 from __future__ import annotations
 
+import struct
+from functools import partial
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,116 +43,145 @@ GROUP_BYTES, PART_TOKENS = 2_000_000, 500_000
 #: A context is dealt out by its words where it has this share of a part's tokens.
 HOT_SHARE = 0.25
 
+#: Words of a bucket of the root, on average.
+BUCKET_WORDS = 200_000
+#: So many of the most frequent words have codes of two bytes where entries are sent; others go by their names.
+CODED = 65_534
+
 #: What a group tells of each of its documents.
 _NAME = np.dtype([("doc_id", "<i8"), ("nameless", "?"), ("held_out", "?"), ("n_tokens", "<i8")])
 #: Stands before a text. Names of words and contexts have 56 bits.
 BEGIN_WORD, NAME_BITS = np.uint64(0x9FB21C651E98DF25), np.uint64((1 << 56) - 1)
-_WIDE = 7
-
-
-def planes(x: np.ndarray, width: int) -> bytes:
-    """The low bytes of unsigned numbers, all lowest bytes first: planes of equal bytes take next to no room when compressed."""
-    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unplanes(raw: memoryview, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
-def pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
-    return b"".join(planes(x, width) for x, width in columns)
-
-
-def unpack(raw: bytes, counts: list[tuple[int, int]]) -> list[np.ndarray]:
-    out, at, view = [], 0, memoryview(raw)
-    for n, width in counts:
-        out.append(unplanes(view[at:], n, width))
-        at += n * width
+_RARE = 65_535
+#: Sums of logarithms are sent as whole multiples of this.
+_STEP = 2.0**-26
+_CODEC = pa.Codec("zstd", 1)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers, each with its length, the bytes that its largest number takes, and the numbers, all lowest bytes first, compressed: planes of like bytes take little room."""
+    out = []
+    for x in columns:
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        out += [struct.pack("<IB", len(x), width), np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    raw = b"".join(out)
+    return struct.pack("<Q", len(raw)) + _CODEC.compress(raw, asbytes=True)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    raw = _CODEC.decompress(memoryview(body)[8:], struct.unpack_from("<Q", body)[0], asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        n, width = struct.unpack_from("<IB", raw, at)
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 5).reshape(width, n).T
+        out.append(x.view("<u8").ravel())
+        at += 5 + n * width
     return out
 
 
 def _steps(v: np.ndarray) -> np.ndarray:
-    """Differences of sorted names, the first from 0."""
-    return np.diff(v, prepend=np.uint64(0))
+    """Differences of sorted numbers, the first from 0."""
+    return np.diff(v, prepend=v.dtype.type(0))
 
 
 def _groups(batches):
-    """Groups of documents: (first key, names, context, word and document of every token)."""
+    """Groups of documents: (first key, names, word and document of every token)."""
     for b in batches:
         keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
         names = np.zeros(len(keys), _NAME)
         names["doc_id"], names["nameless"] = b.column(3).fill_null(0).to_numpy(zero_copy_only=False), b.column(3).is_null().to_numpy(zero_copy_only=False)
         names["held_out"] = b.column(1).to_numpy(zero_copy_only=False)
         for lo, hi, block in word_blocks(b.column(2), lower=True, most=GROUP_BYTES):
-            # an empty place before each text's first word, its end after its last
+            # an end after each text's last word
             counts = block.counts
             w = np.full(len(block.hashes) + len(counts), END_WORD)
             w[runs(counts, np.cumsum(counts + 1) - (counts + 1))] = block.hashes
-            v = np.full(len(w), BEGIN_WORD)
-            v[runs(counts, np.cumsum(counts + 1) - counts)] = block.hashes
             names["n_tokens"][lo:hi] = counts + 1
-            yield int(keys[lo]), names[lo:hi], v & NAME_BITS, w & NAME_BITS, np.repeat(np.arange(hi - lo), counts + 1)
+            yield int(keys[lo]), names[lo:hi], w & NAME_BITS, np.repeat(np.arange(hi - lo), counts + 1)
 
 
 def _word_rows(batches):
     """(w, n, m): training tokens and all tokens of each word of a group."""
-    for _, names, _, w, doc in _groups(batches):
+    for _, names, w, doc in _groups(batches):
         held = names["held_out"][doc]
         words, at = np.unique(w, return_inverse=True)
         all_ = np.bincount(at, minlength=len(words))
         yield pa.record_batch([signed(words), all_ - np.bincount(at, held, len(words)).astype(np.int64), all_], names=["w", "n", "m"])
 
 
-def part_of(v: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
-    """The part of each entry: by its context, by context and word where the context is hot."""
-    key = np.where(np.isin(v, hot), mix(v ^ mix(w)), mix(v))
-    return (key % np.uint64(parts)).astype(np.int64)
+def _bucket_order(words: np.ndarray, buckets: int):
+    """Sorted words by the root's buckets: their order, and (bucket, from, to) of each bucket in it."""
+    bucket = (mix(words ^ _salt(0, 2)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    return order, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]))
 
 
-def _entry_starts(part, v, w):
-    return np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+_ROW = "part int, bucket int, kind int, n long, body binary, a double, b double"
+_STATE, _ENTRIES, _NAMES, _HOT, _HOT_TABLES, _WORDS, _INDEX, _TABLES, _SEATED, _REPLY, _SUMS = range(11)
 
 
-_REQUEST = "part int, kind int, `group` long, n int, m int, w long, c long, p double, body binary"
-_WORDS, _STATE, _ENTRIES, _NAMES = range(4)
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """From (part, bucket, kind, n, body, a, b); the last ones may be left out."""
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64())
+    columns = list(zip(*((*r, *(None,) * (7 - len(r))) for r in rows))) or [()] * 7
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "bucket", "kind", "n", "body", "a", "b"])
 
 
-def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "kind", "group", "n", "m", "w", "c", "p", "body"])
+def _sorted_tokens(v: np.ndarray, w: np.ndarray, doc: np.ndarray, n_words: int, n_docs: int):
+    """Numbers of context, word and document of all tokens, sorted by these: as one number each where they have room in it."""
+    wide, narrow = n_words.bit_length(), n_docs.bit_length()
+    if 2 * wide + narrow > 63:
+        order = np.lexsort((doc, w, v))
+        return v[order], w[order], doc[order]
+    key = np.sort(((v << wide | w) << narrow) | doc)
+    return key >> (wide + narrow), key >> narrow & ((1 << wide) - 1), key & ((1 << narrow) - 1)
 
 
-def _entry_rows(parts: int, hot: np.ndarray, with_tokens: bool):
-    """A row for each part that a group has entries in: steps of contexts, words, training customers; with tokens also how many tokens an entry has and their documents."""
+def _entry_rows(parts: int, hot: np.ndarray, coded: np.ndarray, with_tokens: bool):
+    """A row for each part that a group has entries in: entries of each context, contexts, words, training customers; with tokens also how many tokens an entry has and their documents."""
 
     def run(batches):
-        for group, names, v, w, doc in _groups(batches):
-            part = part_of(v, w, parts, hot)
-            order = np.lexsort((w, v, part))
-            v, w, part, doc = v[order], w[order], part[order], doc[order]
-            first = _entry_starts(part, v, w)
+        for group, names, w, doc in _groups(batches):
+            words, w = np.unique(np.append(w, BEGIN_WORD & NAME_BITS), return_inverse=True)
+            # a word is the context of the next one, an empty place that of a text's first word
+            v, w = np.concatenate((w[-1:], w[:-2])), w[:-1]
+            v[np.flatnonzero(np.diff(doc, prepend=-1))] = np.searchsorted(words, BEGIN_WORD & NAME_BITS)
+            v, w, doc = _sorted_tokens(v, w, doc, len(words), len(names))
+            first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
             train = np.add.reduceat((~names["held_out"][doc]).astype(np.int64), first)
-            sizes = np.diff(np.append(first, len(v)))
-            cuts = np.flatnonzero(np.diff(part[first], prepend=-1))
+            sizes, v, w = np.diff(np.append(first, len(v))), v[first], w[first]
+            # the part of each entry: by its context, by context and word where the context is hot
+            name = mix(words)
+            key, burning = name[v], np.isin(words, hot)[v]
+            key[burning] = mix(words[v[burning]] ^ name[w[burning]])
+            part = (key % np.uint64(parts)).astype(np.uint16 if parts <= 65_536 else np.int64)
+            order = np.argsort(part, kind="stable")
+            part, v, w, train, sizes, first = part[order].astype(np.int64), v[order], w[order], train[order], sizes[order], first[order]
+            if with_tokens:
+                doc, ends = doc[runs(sizes, first)], np.append(0, np.cumsum(sizes)).tolist()
+            code = np.searchsorted(coded, words)
+            code = np.where(coded[np.minimum(code, len(coded) - 1)] == words, code, _RARE)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
             rows = []
-            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(first)]):
-                e = first[lo:hi]
-                body = [(_steps(v[e]), _WIDE), (w[e], _WIDE), (train[lo:hi], 4)]
-                at, end = int(first[lo]), int(first[hi]) if hi < len(first) else len(v)
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
+                begins = np.flatnonzero(np.diff(v[lo:hi], prepend=-1))
+                context, word = v[lo:hi][begins], w[lo:hi]
+                vc, wc = code[context], code[word]
+                body = [np.diff(np.append(begins, hi - lo)), vc, words[context[vc == _RARE]], wc, words[word[wc == _RARE]], train[lo:hi]]
                 if with_tokens:
-                    body += [(sizes[lo:hi], 4), (doc[at:end], 4)]
-                rows.append((int(part[at]), _ENTRIES, group, hi - lo, end - at, None, None, None, pack(body)))
+                    body += [sizes[lo:hi], doc[ends[lo] : ends[hi]], np.array([ends[hi] - ends[lo]])]
+                rows.append((int(part[lo]), None, _ENTRIES, group, pack(*body)))
             if with_tokens:
-                rows.append((group % parts, _NAMES, group, len(names), 0, None, None, None, names.tobytes()))
+                rows.append((group % parts, None, _NAMES, group, names.tobytes()))
             yield _row_batch(rows)
 
     return run
 
 
 def _by_part(of_part):
-    """Rows come sorted by part: `of_part` gets those of each part, as a table."""
+    """Rows come sorted by their first column, a part or bucket: `of_part` gets those of each, as a table."""
 
     def run(batches):
         held, key = [], None
@@ -168,66 +201,119 @@ def _by_part(of_part):
     return run
 
 
-def _decode(rows: pa.Table, with_tokens: bool):
-    """Of rows of kind _ENTRIES: contexts, words, training customers; with tokens also the row that each entry is from, how many tokens it has, and their documents."""
-    out = [[] for _ in range(6 if with_tokens else 3)]
-    for k, (n, m, body) in enumerate(zip(rows["n"].to_pylist(), rows["m"].to_pylist(), rows["body"].to_pylist())):
-        found = unpack(body, [(n, _WIDE), (n, _WIDE), (n, 4), *([(n, 4), (m, 4)] if with_tokens else [])])
-        found[0] = np.cumsum(found[0])
-        if with_tokens:
-            found.insert(3, np.full(n, k))
-        for column, values in zip(out, found):
-            column.append(values)
-    return [np.concatenate(c) if c else np.empty(0, np.uint64) for c in out]
+def _of_kind(rows: pa.Table, kind: int, by: str) -> tuple[list, list]:
+    """Values of the column `by`, in order, and bodies of the rows of a kind."""
+    rows = rows.filter(pa.array(rows["kind"].to_numpy() == kind)).sort_by(by)
+    return rows[by].to_pylist(), rows["body"].to_pylist()
 
 
-class Entries:
-    """Distinct entries of a part from those of its groups: context, word, customers; `of` names the entry of each one given."""
+def _joined(bodies: list, n: int) -> list[np.ndarray]:
+    """`n` columns of all bodies, end to end."""
+    found = [unpack(body) for body in bodies]
+    return [np.concatenate([x[k] for x in found]) if found else np.empty(0, np.uint64) for k in range(n)]
+
 
-    def __init__(self, v: np.ndarray, w: np.ndarray, n: np.ndarray):
-        order = np.lexsort((w, v))
-        first = _entry_starts(np.zeros(len(v)), v[order], w[order]) if len(v) else np.empty(0, np.int64)
+def _by_name(code: np.ndarray, rare: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    out = coded[np.minimum(code, np.uint64(len(coded) - 1)).astype(np.int64)]
+    out[code == _RARE] = rare
+    return out
+
+
+class Entries:
+    """Distinct entries of a part from those of its groups: context, word, customers; `of` names the entry of each one given. They are told apart by 64-bit hashes."""
+
+    def __init__(self, each: np.ndarray, vc: np.ndarray, v_rare: np.ndarray, wc: np.ndarray, w_rare: np.ndarray, n: np.ndarray, coded: np.ndarray):
+        v, w = np.repeat(_by_name(vc, v_rare, coded), each.astype(np.int64)), _by_name(wc, w_rare, coded)
+        key = entry_seeds(v, w, 0)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
         self.v, self.w = v[order[first]], w[order[first]]
         self.n = np.add.reduceat(n[order].astype(np.int64), first) if len(v) else np.empty(0, np.int64)
         self.of = np.empty(len(v), np.int64)
         self.of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
         self.context, self.at = np.unique(self.v, return_inverse=True)
+        #: those with several customers, by context
+        many = np.flatnonzero(self.n > 1)
+        self.many = many[np.argsort(self.at[many], kind="stable")]
 
     def totals(self, values: np.ndarray) -> np.ndarray:
         """Sum over each context."""
         return np.bincount(self.at, values, len(self.context))
 
 
-_LEARNED = "part int, kind int, w long, singles long, many long, n long, m long, body binary"
-
-
-def _merge(hot: np.ndarray):
-    """From a part's entries: the state of those with several customers (kind 1; its n and m count entries of one and of two), a row for each word (kind 0), a row for each hot context with its single entries and customers (kind 2)."""
+def _merge(hot: np.ndarray, coded: np.ndarray, buckets: int):
+    """From a part's entries: the state of those with several customers (a and b count entries of one and of two), the words of each bucket of the root, single entries and customers of hot contexts, and at how many tables others are at first."""
 
     def of_part(part, rows):
-        e = Entries(*_decode(rows, False))
-        single, many = e.n == 1, e.n > 1
+        e = Entries(*_joined(_of_kind(rows, _ENTRIES, "n")[1], 6), coded)
+        single, many = e.n == 1, e.many
+        alone, customers = e.totals(single).astype(np.int64), e.totals(e.n)
+        ones = np.ones(len(many), np.int64)
+        out = [(part, None, _STATE, None, pack(_steps(e.v[many]), e.w[many], e.n[many], ones, 0 * ones, alone[e.at[many]]), float(single.sum()), float((e.n == 2).sum()))]
         words, at = np.unique(e.w, return_inverse=True)
-        alone = e.totals(single).astype(np.int64)
-        body = pack([(_steps(e.v[many]), _WIDE), (e.w[many], _WIDE), (e.n[many], 8), (np.ones(int(many.sum())), 8), (np.zeros(int(many.sum())), 8), (alone[e.at[many]], 8)])
-        burning = np.flatnonzero(np.isin(e.context, hot))
-        customers = e.totals(e.n).astype(np.int64)
-        k = [1, len(words), len(burning)]
-        zeros = lambda n: np.zeros(n, np.int64)
-        yield pa.record_batch(
-            [
-                np.full(sum(k), part, np.int32), np.repeat(np.array([1, 0, 2], np.int32), k), np.concatenate([zeros(1), signed(words), signed(e.context[burning])]),
-                np.concatenate([[int(many.sum())], np.bincount(at, single, len(words)).astype(np.int64), alone[burning]]), np.concatenate([zeros(1), np.bincount(at, many, len(words)).astype(np.int64), customers[burning]]),
-                np.concatenate([[int(single.sum())], zeros(k[1] + k[2])]), np.concatenate([[int((e.n == 2).sum())], zeros(k[1] + k[2])]), pa.array([body] + [None] * (k[1] + k[2]), pa.binary()),
-            ],
-            names=["part", "kind", "w", "singles", "many", "n", "m", "body"],
-        )
+        order, cuts = _bucket_order(words, buckets)
+        counts = [np.bincount(at, x, len(words)).astype(np.int64)[order] for x in (e.n, single, e.n > 1)]
+        words = words[order]
+        out += [(part, bucket, _WORDS, None, pack(_steps(words[lo:hi]), *(c[lo:hi] for c in counts))) for bucket, lo, hi in cuts]
+        several = e.totals(e.n > 1)
+        for k in np.flatnonzero(np.isin(e.context, hot)).tolist():
+            out += [(part, None, _HOT, int(e.context[k]), None, float(alone[k]), float(customers[k])), (part, None, _HOT_TABLES, int(e.context[k]), None, float(several[k]))]
+        yield _row_batch(out)
 
     return of_part
 
 
+def _index(bucket, rows):
+    """From the words of a bucket's parts: its words with training tokens, single entries and others (a and b count words of one and of two customers); and for each part the places of its words, and which have entries of several customers there."""
+    parts, bodies = _of_kind(rows, _WORDS, "part")
+    found = [unpack(body) for body in bodies]
+    names = [np.cumsum(x[0]) for x in found]
+    words, at = np.unique(np.concatenate(names), return_inverse=True)
+    c, fixed, moving = (np.bincount(at, np.concatenate([x[k] for x in found]), len(words)).astype(np.int64) for k in (1, 2, 3))
+    out = [(None, bucket, _WORDS, None, pack(_steps(words), c, fixed, moving), float((fixed + moving == 1).sum()), float((fixed + moving == 2).sum()))]
+    lo = 0
+    for part, name, x in zip(parts, names, found):
+        out.append((part, bucket, _INDEX, None, pack(_steps(at[lo : lo + len(name)]), x[3] > 0)))
+        lo += len(name)
+    yield _row_batch(out)
+
+
+def _root(k: int, weight: float, discount: float):
+    """A bucket's step of the root: from its parts' tables (at first one an entry) its words' customers and tables (a and b: their sums), and for each part those of the words that it seats.
+
+    After the last sweep each part gets training tokens and the customers and tables of all sweeps kept, of all its words.
+    """
+
+    def of_bucket(bucket, rows):
+        steps, c, fixed, moving = unpack(_of_kind(rows, _WORDS, "part")[1][0])
+        words = np.cumsum(steps)
+        parts, bodies = _of_kind(rows, _INDEX, "part")
+        places = []
+        for body in bodies:
+            at, seats = unpack(body)
+            places.append((np.cumsum(at).astype(np.int64), seats > 0))
+        if k:
+            sent = dict(zip(*_of_kind(rows, _TABLES, "part")))
+            moving = np.zeros(len(words), np.uint64)
+            for part, (at, seats) in zip(parts, places):
+                if part in sent:
+                    moving[at[seats]] += unpack(sent[part])[0]
+        customers = (fixed + moving).astype(np.int64)
+        tables = _seat(customers, np.full(len(words), weight), discount, mix(words ^ _salt(k, 0))).astype(np.int64)
+        out = [(None, bucket, _SEATED, k, pack(customers, tables), float(customers.sum()), float(tables.sum()))]
+        told = [customers, tables] if k < SWEEPS else [c, *(x for body in _of_kind(rows, _SEATED, "n")[1] for x in unpack(body)), customers, tables]
+        for part, (at, seats) in zip(parts, places):
+            if k == SWEEPS or seats.any():
+                at = at if k == SWEEPS else at[seats]
+                out.append((part, bucket, _REPLY, None, pack(*(x[at] for x in told))))
+        yield _row_batch(out)
+
+    return of_bucket
+
+
 def predictive(n, tables, discount, strength, all_tables, all_customers, parent):
-    """Probability of a dish with `n` customers at `tables` tables; of NumPy arrays and of Columns."""
+    """Probability of a dish with `n` customers at `tables` tables."""
     return (n - discount * tables + (strength + discount * all_tables) * parent) / (strength + all_customers)
 
 
@@ -279,42 +365,28 @@ def entry_seeds(v: np.ndarray, w: np.ndarray, sweep: int) -> np.ndarray:
     return mix(mix(v ^ _salt(sweep, 1)) + w)
 
 
-def _root_seats(n, weight: float, discount: float, sweep: int):
-    """Column: tables of a word's `n` customers in the root."""
-
-    @F.pandas_udf("double")
-    def seat(n: pd.Series, w: pd.Series) -> pd.Series:
-        counts = n.to_numpy(np.int64)
-        return pd.Series(_seat(counts, np.full(len(counts), weight), discount, mix(w.to_numpy(np.int64).view(np.uint64) ^ _salt(sweep, 0))))
-
-    return seat(n.cast("long"), F.col("w"))
-
-
-def _sweep(sweep: int, keep: bool, discount: float, hot: np.ndarray, hot_tables: np.ndarray):
-    """A part's sweep. Rows: (part, w, p) of its words with several customers somewhere, then its state (body). Returns the new state, tables by word (kind 0) and by hot context (kind 2)."""
+def _sweep(sweep: int, keep: bool, discount: float, hot: np.ndarray, hot_tables: np.ndarray, buckets: int, p_root):
+    """A part's sweep, from its state and what the root told it: the new state, tables by word for each bucket, and by hot context. `p_root` is the root's probability by customers and tables."""
 
     def of_part(part, rows):
-        told = rows["body"].is_null().to_numpy()
-        words = rows["w"].to_numpy()[told].view(np.uint64)
-        order = np.argsort(words)
-        words, p0 = words[order], rows["p"].to_numpy()[told][order]
-        body, n = rows["body"].to_pylist()[-1], rows["n"].to_pylist()[-1]
-        v, w, customers, tables, kept, alone = unpack(body, [(n, _WIDE), (n, _WIDE), *[(n, 8)] * 4])
+        v, w, customers, tables, kept, alone = unpack(_of_kind(rows, _STATE, "n")[1][0])
         v, tables, kept = np.cumsum(v), tables.astype(np.float64), kept.astype(np.float64)
         context, at = np.unique(v, return_inverse=True)
         total = np.bincount(at, tables, len(context)) + _once(alone, at, len(context))
         burning = np.isin(context, hot)
         total[burning] = hot_tables[np.searchsorted(hot, context[burning])]
-        weight = (STRENGTH[1] + discount * total[at]) * p0[np.searchsorted(words, w)]
-        new = _seat(customers.astype(np.int64), weight, discount, entry_seeds(v, w, sweep))
-        state = pack([(_steps(v), _WIDE), (w, _WIDE), (customers, 8), (new, 8), (kept + new if keep else kept, 8), (alone, 8)])
         own, word = np.unique(w, return_inverse=True)
-        sums, burnt = np.bincount(word, new, len(own)), np.bincount(at, new, len(context))[burning]
-        k = [1, len(own), len(burnt)]
-        yield pa.record_batch(
-            [np.full(sum(k), part, np.int32), np.repeat(np.array([1, 0, 2], np.int32), k), np.concatenate([[0], signed(own), signed(context[burning])]), np.concatenate([[0.0], sums, burnt]), np.concatenate([[n], np.zeros(k[1] + k[2], np.int64)]).astype(np.int32), pa.array([state] + [None] * (k[1] + k[2]), pa.binary())],
-            names=["part", "kind", "w", "t", "n", "body"],
-        )
+        order, cuts = _bucket_order(own, buckets)
+        p0 = np.empty(len(own))
+        p0[order] = p_root(*_joined(_of_kind(rows, _REPLY, "bucket")[1], 2))
+        weight = (STRENGTH[1] + discount * total[at]) * p0[word]
+        new = _seat(customers.astype(np.int64), weight, discount, entry_seeds(v, w, sweep))
+        out = [(part, None, _STATE, None, pack(_steps(v), w, customers, new, kept + new if keep else kept, alone))]
+        sums = np.bincount(word, new, len(own))[order]
+        out += [(part, bucket, _TABLES, None, pack(sums[lo:hi])) for bucket, lo, hi in cuts]
+        burnt = np.bincount(at, new, len(context))
+        out += [(part, None, _HOT_TABLES, int(context[k]), None, float(burnt[k])) for k in np.flatnonzero(burning).tolist()]
+        yield _row_batch(out)
 
     return of_part
 
@@ -326,70 +398,64 @@ def _once(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _score(n_training: int, vocabulary: int, discount: float, samples: int, hot: np.ndarray, hot_tables: np.ndarray, hot_customers: np.ndarray):
-    """(group, n, body): sums by document of each group's tokens in the part (known words, base, score), and the groups' names."""
+def _score(n_training: int, vocabulary: int, discount: float, hot: np.ndarray, hot_tables: np.ndarray, hot_customers: np.ndarray, coded: np.ndarray, buckets: int, p_roots: list):
+    """For each group its names, and sums by document of its tokens in the part: known words, base and score, the latter negative and in whole steps."""
+    samples = len(p_roots)
 
     def of_part(part, rows):
-        kind = rows["kind"].to_numpy()
-        pick = lambda k: rows.filter(pa.array(kind == k))
-        told, state, asked, named = pick(_WORDS), pick(_STATE), pick(_ENTRIES), pick(_NAMES)
-        groups, ns, bodies = list(named["group"].to_pylist()), list(named["n"].to_pylist()), list(named["body"].to_pylist())
-        if len(asked):
-            v, w, n, source, tokens, doc = _decode(asked, True)
-            e = Entries(v, w, n)
-            words = told["w"].to_numpy().view(np.uint64)
-            order = np.argsort(words)
-            at = order[np.searchsorted(words, e.w, sorter=order)]
-            c, p0 = told["c"].to_numpy()[at], told["p"].to_numpy()[at]
+        out = [(None, None, _NAMES, group, body) for group, body in zip(*_of_kind(rows, _NAMES, "n"))]
+        groups, bodies = _of_kind(rows, _ENTRIES, "n")
+        if groups:
+            *given, tokens, doc, sizes = _joined(bodies, 9)
+            ends = [0, *np.cumsum(sizes.astype(np.int64)).tolist()]
+            e = Entries(*given, coded)
+            words, at = np.unique(e.w, return_inverse=True)
+            order, _ = _bucket_order(words, buckets)
+            told = _joined(_of_kind(rows, _REPLY, "bucket")[1], 1 + 2 * samples)
+            c, p = np.empty(len(words)), np.empty(len(words))
+            c[order], p[order] = told[0], sum(p_root(*told[1 + 2 * k : 3 + 2 * k]) / samples for k, p_root in enumerate(p_roots))
+            c, p0 = c[at], p[at]
             tables = np.minimum(e.n, 1).astype(np.float64)
-            for body, m in zip(state["body"].to_pylist(), state["n"].to_pylist()):
-                _, _, _, _, kept, _ = unpack(body, [(m, _WIDE), (m, _WIDE), *[(m, 8)] * 4])
-                tables[e.n > 1] = kept / samples  # the same entries in the same order
+            # the same entries in the same order
+            tables[e.many] = unpack(_of_kind(rows, _STATE, "n")[1][0])[4] / samples
             total, customers = e.totals(tables), e.totals(e.n)
             burning = np.isin(e.context, hot)
             place = np.searchsorted(hot, e.context[burning])
             total[burning], customers[burning] = hot_tables[place], hot_customers[place]
             p = predictive(e.n, tables, discount, STRENGTH[1], total[e.at], customers[e.at], p0)
-            logs = np.log10(p), np.log10((c + 1) / (n_training + vocabulary + 1))
-            row = np.repeat(source, tokens.astype(np.int64)).astype(np.int64)
+            values = [(c > 0).astype(np.float64), -np.log10((c + 1) / (n_training + vocabulary + 1)) / _STEP, -np.log10(p) / _STEP]
             which = np.repeat(e.of, tokens.astype(np.int64))
-            cuts = np.searchsorted(row, np.arange(len(asked) + 1))
-            doc = doc.astype(np.int64)
-            for k, group in enumerate(asked["group"].to_pylist()):
-                d, x = doc[cuts[k] : cuts[k + 1]], which[cuts[k] : cuts[k + 1]]
-                there, d = np.unique(d, return_inverse=True)
-                sums = [np.bincount(d, y, len(there)) for y in (c[x] > 0, logs[1][x], logs[0][x])]
-                groups.append(group)
-                ns.append(-len(there))
-                bodies.append(pack([(there, 4), (sums[0].astype(np.uint64), 4)]) + sums[1].tobytes() + sums[2].tobytes())
-        yield pa.record_batch([pa.array(groups, pa.int64()), pa.array(ns, pa.int32()), pa.array(bodies, pa.binary())], names=["group", "n", "body"])
+            for group, lo, hi in zip(groups, ends, ends[1:]):
+                there, d, x = None, doc[lo:hi].astype(np.int64), which[lo:hi]
+                if d.max() > 4 * len(d):
+                    there, d = np.unique(d, return_inverse=True)
+                counts = np.bincount(d)
+                present = np.flatnonzero(counts)
+                sums = [np.rint(np.maximum(np.bincount(d, y[x])[present], 0)) for y in values]
+                out.append((None, None, _SUMS, group, pack(_steps(present if there is None else there), *sums)))
+        yield _row_batch(out)
 
     return of_part
 
 
 def _documents(n_training: int):
-    """Rows (group, n, body) come sorted by group, its names (n > 0) last."""
+    """The documents of each group from its names and sums."""
 
-    def run(batches):
-        sums: list[tuple] = []
-        for b in batches:
-            for group, n, body in zip(*(c.to_pylist() for c in b.columns)):
-                if n < 0:
-                    there, known = unpack(body, [(-n, 4), (-n, 4)])
-                    sums.append((there.astype(np.int64), known, *np.frombuffer(body, np.float64, offset=-8 * n).reshape(2, -n)))
-                    continue
-                names = np.frombuffer(body, _NAME)
-                out = [np.zeros(n) for _ in range(3)]
-                for there, *values in sums:
-                    for total, x in zip(out, values):
-                        total[there] += x
-                sums = []
-                yield pa.record_batch(
-                    [pa.array(names["doc_id"], mask=names["nameless"]), pa.array(names["held_out"].tolist(), pa.bool_()), names["n_tokens"].astype(np.int64), out[0].astype(np.int64), np.full(n, n_training, np.int64), out[1], out[2]],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+    def of_group(group, rows):
+        for body in _of_kind(rows, _NAMES, "n")[1]:
+            names = np.frombuffer(body, _NAME)
+            out = [np.zeros(len(names), np.int64) for _ in range(3)]
+            for sums in _of_kind(rows, _SUMS, "n")[1]:
+                there, *values = unpack(sums)
+                there = np.cumsum(there).astype(np.int64)
+                for total, x in zip(out, values):
+                    total[there] += x.astype(np.int64)
+            yield pa.record_batch(
+                [pa.array(names["doc_id"], mask=names["nameless"]), pa.array(names["held_out"].tolist(), pa.bool_()), names["n_tokens"].astype(np.int64), out[0], np.full(len(names), n_training, np.int64), -_STEP * out[1], -_STEP * out[2]],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
-    return run
+    return of_group
 
 
 def _share(one, two) -> float:
@@ -397,85 +463,79 @@ def _share(one, two) -> float:
     return float(min(0.95, max(0.05, one / (one + 2 * two)))) if one else 0.5
 
 
+def frequent_words(words: DataFrame) -> list[int]:
+    """At most CODED words, the most frequent ones, from rows (w, m): those from a sixteenth of an octave of m upwards that has room for all of them."""
+    level = F.floor(16 * F.log2("m"))
+    room, least = CODED, None
+    for at, n in sorted(words.groupBy(level.alias("at")).agg(F.count("*")).collect(), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, at
+    return [] if least is None else [r.w for r in words.where(level >= least).select("w").collect()]
+
+
 def score_texts(documents: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; `held_out` is a boolean Column over doc_id."""
     col, total = F.col, lambda x: F.coalesce(F.sum(x), F.lit(0))
     docs = ensure_columns(documents, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text", "doc_id")
     words = materialize(docs.mapInArrow(_word_rows, "w long, n long, m long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "words")
-    n_training, vocabulary, tokens = words.agg(total("n"), total((col("n") > 0).cast("long")), total("m")).first()
-    parts = max(1, -(-tokens // PART_TOKENS))
-    frequent = words.where(col("m") >= HOT_SHARE * PART_TOKENS).select("w").collect()  # fewer than tokens / (HOT_SHARE * PART_TOKENS)
-    hot = np.unique(np.array([*(r.w & int(NAME_BITS) for r in frequent), int(BEGIN_WORD & NAME_BITS)], np.uint64))
-
-    dealt = lambda df, *order: df.repartition(parts, "part").sortWithinPartitions("part", *order)
-    learned = dealt(docs.mapInArrow(_entry_rows(parts, hot, False), _REQUEST).select("part", "kind", "group", "n", "m", "body"))
-    learned = materialize(learned.mapInArrow(_by_part(_merge(hot)), _LEARNED), "learned")
-    ones, twos = learned.where("kind = 1").agg(total("n"), total("m")).first()
-    told = learned.where("kind = 0").select("part", "w", "singles", "many")
-    root = told.groupBy("w").agg(F.sum("singles").alias("fixed"), F.sum("many").alias("moving"))
-    root = materialize(words.select("w", "n").join(root, "w").select("w", "n", "fixed", col("moving").cast("double").alias("moving"), F.lit(0.0).alias("p")), "root")
+    n_training, vocabulary, tokens, names = words.agg(total("n"), total((col("n") > 0).cast("long")), total("m"), F.count("*")).first()
+    parts, buckets = max(1, -(-tokens // PART_TOKENS)), max(1, -(-names // BUCKET_WORDS))
+    begin = int(BEGIN_WORD & NAME_BITS)
+    coded = np.unique(np.array([begin, *frequent_words(words)], np.uint64))
+    often = words.where(col("m") >= HOT_SHARE * PART_TOKENS).select("w").collect()  # fewer than tokens / (HOT_SHARE * PART_TOKENS)
+    hot = np.unique(np.array([begin, *(r.w for r in often)], np.uint64))
     discard(words)
+
+    dealt = lambda df, key, n: df.select(key, *(c for c in df.columns if c != key)).repartition(n, key).sortWithinPartitions(key)
+    by_part = lambda df, of_part, tag: materialize(dealt(df, "part", parts).mapInArrow(_by_part(of_part), _ROW), tag)
+    by_bucket = lambda df, of_bucket, tag: materialize(dealt(df, "bucket", buckets).mapInArrow(_by_part(of_bucket), _ROW), tag)
+    of_kind = lambda df, *kinds: df.where(col("kind").isin(*kinds))
+    learned = by_part(docs.mapInArrow(_entry_rows(parts, hot, coded, False), _ROW), _merge(hot, coded, buckets), "learned")
     collect_garbage(docs)
-    customers = col("fixed") + col("moving")
-    single, double = root.agg(*(total((customers == k).cast("long")) for k in (1, 2))).first()
+    ones, twos = of_kind(learned, _STATE).agg(total("a"), total("b")).first()
+    root = by_bucket(of_kind(learned, _WORDS), _index, "root")
+    single, double = of_kind(root, _WORDS).agg(total("a"), total("b")).first()
     d0, d1 = _share(single, double), _share(ones, twos)
 
     def by_context(rows, *columns):
         """Sums over the hot contexts, a bounded list, in its order."""
-        found = {r[0] & int(NAME_BITS): r[1:] for r in rows.groupBy("w").agg(*(F.sum(c) for c in columns)).collect()}
-        return [np.array([float(found.get(int(h), (0,) * len(columns))[k] or 0) for h in hot]) for k in range(len(columns))]
+        found = {r[0]: r[1:] for r in rows.groupBy("n").agg(*(F.sum(c) for c in columns)).collect()}
+        return [np.array([float(found.get(int(h), (0,) * len(columns))[k]) for h in hot]) for k in range(len(columns))]
 
-    hot_single, hot_customers = by_context(learned.where("kind = 2"), "singles", "many")
+    hot_single, hot_customers = by_context(of_kind(learned, _HOT), "a", "b")
     # at first every dish has one table in every restaurant that serves it
-    state = learned.where("kind = 1").select("part", "body", col("singles").cast("int").alias("n"))
-    (hot_moving,) = by_context(_first_tables(learned, hot), "t")
-    wanted = told.where("many > 0").select("part", "w")
-    root_tables, kept_tables, samples, old = float(vocabulary), np.zeros(len(hot)), SWEEPS - BURN_IN, []
+    state, rows = learned, root
+    (hot_moving,) = by_context(of_kind(learned, _HOT_TABLES), "a")
+    root_tables, kept_tables, samples, p_roots, kept = float(vocabulary), np.zeros(len(hot)), SWEEPS - BURN_IN, [], []
     for k in range(SWEEPS + 1):
-        seated = drawn = materialize(root.withColumn("t", _root_seats(customers, (STRENGTH[0] + d0 * root_tables) / (vocabulary + 1), d0, k)), "root-seated")
-        root_customers, root_tables = (float(x) for x in seated.agg(total(customers), total("t")).first())
-        p0 = predictive(customers, col("t"), d0, STRENGTH[0], root_tables, root_customers, 1 / (vocabulary + 1))
-        seated = seated.withColumn("p0", p0)
+        for before in kept if k == SWEEPS else []:
+            rows = rows.unionByName(of_kind(before, _SEATED))
+        seated = by_bucket(rows, _root(k, (STRENGTH[0] + d0 * root_tables) / (vocabulary + 1), d0), "root-seated")
+        root_customers, root_tables = (float(x) for x in of_kind(seated, _SEATED).agg(total("a"), total("b")).first())
+        p_root = partial(_root_probability, discount=d0, tables=root_tables, customers=root_customers, vocabulary=vocabulary)
         if k > BURN_IN:
-            seated = seated.withColumn("p", col("p") + col("p0") / samples)
+            p_roots.append(p_root)
+            kept.append(seated)
         if k == SWEEPS:
-            root = seated
             break
-        rows = wanted.join(seated.select("w", "p0"), "w").select("part", "w", col("p0").alias("p"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("body"))
-        rows = rows.unionByName(state.select("part", F.lit(0).cast("long").alias("w"), F.lit(0.0).alias("p"), "n", "body"))
-        swept = dealt(rows, col("body").isNotNull()).mapInArrow(_by_part(_sweep(k, k >= BURN_IN, d1, hot, hot_single + hot_moving)), "part int, kind int, w long, t double, n int, body binary")
-        swept = materialize(swept, "swept")
-        (hot_moving,) = by_context(swept.where("kind = 2"), "t")
+        swept = by_part(of_kind(state, _STATE).unionByName(of_kind(seated, _REPLY)), _sweep(k, k >= BURN_IN, d1, hot, hot_single + hot_moving, buckets, p_root), "swept")
+        (hot_moving,) = by_context(of_kind(swept, _HOT_TABLES), "a")
         if k >= BURN_IN:
             kept_tables += (hot_single + hot_moving) / samples
-        state = swept.where("kind = 1").select("part", "body", "n")
-        tables = swept.where("kind = 0").groupBy("w").agg(F.sum("t").alias("now"))
-        before, root = root, materialize(seated.join(tables, "w", "left").select("w", "n", "fixed", F.coalesce("now", F.lit(0.0)).alias("moving"), "p"), "root")
-        for table in (*old, before, drawn):
-            discard(table)
-        old = [swept]
+        discard(state)
+        if k <= BURN_IN:
+            discard(seated)
+        state, rows = swept, root.unionByName(of_kind(swept, _TABLES))
         collect_garbage(docs)
-    facts = told.select("part", "w").join(root.select("w", col("n").alias("c"), "p"), "w")
-    empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    facts = facts.select("part", F.lit(_WORDS).alias("kind"), empty("long", "group"), empty("int", "n"), empty("int", "m"), "w", "c", "p", empty("binary", "body"))
-    state = state.select("part", F.lit(_STATE).alias("kind"), empty("long", "group"), "n", empty("int", "m"), empty("long", "w"), empty("long", "c"), empty("double", "p"), "body")
-    asked = docs.mapInArrow(_entry_rows(parts, hot, True), _REQUEST)
-    score = _by_part(_score(n_training, vocabulary, d1, samples, hot, kept_tables, hot_customers))
-    sums = dealt(asked.unionByName(facts).unionByName(state), "kind").mapInArrow(score, "`group` long, n int, body binary")
-    return sums.repartition("group").sortWithinPartitions("group", "n").mapInArrow(_documents(n_training), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _first_tables(learned: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(w, t): one table for each entry of several customers, by hot context."""
+    asked = docs.mapInArrow(_entry_rows(parts, hot, coded, True), _ROW).unionByName(of_kind(seated, _REPLY)).unionByName(of_kind(state, _STATE))
+    sums = dealt(asked, "part", parts).mapInArrow(_by_part(_score(n_training, vocabulary, d1, hot, kept_tables, hot_customers, coded, buckets, p_roots)), _ROW)
+    sums = sums.select("n", "kind", "body").repartition("n").sortWithinPartitions("n")
+    return sums.mapInArrow(_by_part(_documents(n_training)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-    def run(batches):
-        for b in batches:
-            for n, body in zip(*(c.to_pylist() for c in b.columns)):
-                v = np.cumsum(unpack(body, [(n, _WIDE)])[0])
-                found, t = np.unique(v[np.isin(v, hot)], return_counts=True)
-                yield pa.record_batch([signed(found), t.astype(np.float64)], names=["w", "t"])
 
-    return learned.where("kind = 1").select(F.col("singles").cast("int"), "body").mapInArrow(run, "w long, t double")
+def _root_probability(n, t, discount: float, tables: float, customers: float, vocabulary: int):
+    return predictive(n.astype(np.float64), t.astype(np.float64), discount, STRENGTH[0], tables, customers, 1 / (vocabulary + 1))
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

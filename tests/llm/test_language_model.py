@@ -130,3 +130,38 @@ def test_seating_has_the_mean_of_the_restaurant_process():
                 t += rng.random() < 2.0 / (i - 0.3 * t + 2.0)
             exact.append(t)
         assert abs(got.mean() - np.mean(exact)) < 5 * np.std(exact) / 20 + 0.02 * np.mean(exact) and abs(got.std() - np.std(exact)) < 0.25 * np.std(exact) + 0.1
+
+
+def test_steps_exchange_rows_a_part_not_a_word(spark, monkeypatch):
+    rows = corpus(n=40)
+    words = {w for _, t in rows for w in (t or "").lower().split()} | {None}
+    n_tokens = sum(len((t or "").split()) + 1 for _, t in rows)
+    made = []
+
+    def watched(df, tag, real=lm.materialize):
+        out = real(df, tag)
+        made.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(lm, "materialize", watched)
+    monkeypatch.setattr(lm, "CODED", 20)
+    monkeypatch.setattr(lm, "PART_TOKENS", n_tokens // 4)
+    found = sorted(((*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 7 == 2).collect()), key=str)
+    assert max(n for tag, n in made if tag != "words") < len(words) / 4
+    for a, b in zip(found, by_force(rows, lambda d: d % 7 == 2), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], abs_tol=2e-5) and math.isclose(a[6], b[6], abs_tol=2e-5)
+
+
+def test_columns_are_packed_by_the_bytes_they_need():
+    columns = [np.array([3, 0, 255]), np.array([1 << 55, 7], np.uint64), np.array([], np.int64), np.array([True, False]), np.full(10_000, 1.0)]
+    raw = lm.pack(*columns)
+    assert [x.tolist() for x in lm.unpack(raw)] == [c.astype(np.int64).tolist() for c in columns] and len(raw) < 200
+    assert lm.unpack(lm.pack()) == []
+
+
+def test_frequent_words_are_bounded(spark, monkeypatch):
+    words = spark.createDataFrame([(k, 1000 - k) for k in range(100)] + [(k, 1) for k in range(100, 3000)], "w long, m long")
+    monkeypatch.setattr(lm, "CODED", 150)
+    assert sorted(lm.frequent_words(words)) == list(range(100))
+    monkeypatch.setattr(lm, "CODED", 20)
+    assert len(lm.frequent_words(words)) <= 20
