@@ -43,48 +43,57 @@ def _fills(lengths: list[int], bins: Bins) -> list[int]:
     return [sum(map(at, b)) for b in bins]
 
 
-def best_fit(lengths: list[int], order: list[int], bins: Bins, capacity: int) -> Bins:
-    """Put the pieces of `order` into the fullest bin that takes each, or a new one. `bins` is changed in place."""
-    free = sorted((capacity - x, k) for k, x in enumerate(_fills(lengths, bins)))
+def best_fit(lengths: list[int], order: list[int], bins: Bins, capacity: int, fills: list[int] | None = None) -> Bins:
+    """Put the pieces of `order` into the fullest bin that takes each, or a new one. `bins`, and their sums `fills` if given, are changed in place."""
+    fills = _fills(lengths, bins) if fills is None else fills
+    free = sorted([(capacity - x, k) for k, x in enumerate(fills)])
     for i in order:
         at = bisect.bisect_left(free, (lengths[i], -1))
         if at == len(free):
             bins.append([i])
+            fills.append(lengths[i])
             left, k = capacity - lengths[i], len(bins) - 1
         else:
             left, k = free.pop(at)
             bins[k].append(i)
+            fills[k] += lengths[i]
             left -= lengths[i]
         if left:
             bisect.insort(free, (left, k))
     return bins
 
 
-def fitness(lengths: list[int], bins: Bins, capacity: int) -> tuple[int, float]:
+def fitness(lengths: list[int], bins: Bins, capacity: int, fills: list[int] | None = None) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    return -len(bins), sum([(x / capacity) ** 2 for x in _fills(lengths, bins)])
+    return -len(bins), sum([(x / capacity) ** 2 for x in (_fills(lengths, bins) if fills is None else fills)])
 
 
-def crossover(lengths: list[int], a: Bins, b: Bins, capacity: int, rng: random.Random) -> Bins:
-    """`a`, with some well-filled bins of `b` put in whole."""
-    pool = sorted(range(len(b)), key=_fills(lengths, b).__getitem__, reverse=True)[: max(1, len(b) // 2)]
-    injected = [list(b[k]) for k in sorted(rng.sample(pool, max(1, len(pool) // 3)))]
+def crossover(lengths: list[int], a: Bins, b: Bins, capacity: int, rng: random.Random, fills_a: list[int] | None = None, fills_b: list[int] | None = None, fills: list[int] | None = None) -> Bins:
+    """`a`, with some well-filled bins of `b` put in whole. Sums of bins that are known need not be made; the child's are added to `fills`."""
+    fills_a, fills_b, fills = (_fills(lengths, a) if fills_a is None else fills_a), (_fills(lengths, b) if fills_b is None else fills_b), [] if fills is None else fills
+    pool = sorted(range(len(b)), key=fills_b.__getitem__, reverse=True)[: max(1, len(b) // 2)]
+    chosen = sorted(rng.sample(pool, max(1, len(pool) // 3)))
+    injected = [list(b[k]) for k in chosen]
+    fills += [fills_b[k] for k in chosen]
     taken = {i for bin_ in injected for i in bin_}
     kept, displaced = injected, []
-    for bin_ in a:
+    for bin_, filled in zip(a, fills_a):
         if taken.isdisjoint(bin_):
             kept.append(list(bin_))
+            fills.append(filled)
         else:
             displaced += [i for i in bin_ if i not in taken]
-    return best_fit(lengths, sorted(displaced, key=lambda i: (-lengths[i], i)), kept, capacity)
+    return best_fit(lengths, sorted(displaced, key=lambda i: (-lengths[i], i)), kept, capacity, fills)
 
 
-def mutate(lengths: list[int], bins: Bins, capacity: int, rng: random.Random) -> Bins:
-    """Take the emptiest bins and a few others apart and best-fit their pieces."""
-    order = sorted(range(len(bins)), key=_fills(lengths, bins).__getitem__)
+def mutate(lengths: list[int], bins: Bins, capacity: int, rng: random.Random, fills: list[int] | None = None) -> Bins:
+    """Take the emptiest bins and a few others apart and best-fit their pieces. `fills`, if given, is changed in place."""
+    fills = _fills(lengths, bins) if fills is None else fills
+    order = sorted(range(len(bins)), key=fills.__getitem__)
     out = {*order[: max(1, len(bins) // 20)], *rng.sample(order, min(len(order), 3))}
     loose = [i for k in out for i in bins[k]]
-    return best_fit(lengths, sorted(loose, key=lambda i: (-lengths[i], rng.random())), [list(b) for k, b in enumerate(bins) if k not in out], capacity)
+    fills[:] = [x for k, x in enumerate(fills) if k not in out]
+    return best_fit(lengths, sorted(loose, key=lambda i: (-lengths[i], rng.random())), [list(b) for k, b in enumerate(bins) if k not in out], capacity, fills)
 
 
 def evolve(lengths: list[int], seeds: list[Bins], capacity: int, rng: random.Random) -> list[Bins]:
@@ -93,21 +102,23 @@ def evolve(lengths: list[int], seeds: list[Bins], capacity: int, rng: random.Ran
     Fewest bins are not the end: fuller bins leave the free places in fewer ones, which are packed again with those of
     other blocks. Only where every bin is full can nothing be gained.
     """
-    people = list(seeds)
+    people = [(list(x), _fills(lengths, x)) for x in seeds]
     while len(people) < POPULATION:
         noise = 0 if not people else 0.075 * len(people)
         order = sorted(range(len(lengths)), key=[-x * (1 + noise * rng.random()) for x in lengths].__getitem__)
-        people.append(best_fit(lengths, order, [], capacity))
-    # scores are kept beside the individuals: they cost as much as a crossover
-    scored = sorted(((fitness(lengths, x, capacity), x) for x in people), key=lambda x: x[0], reverse=True)
+        fills: list[int] = []
+        people.append((best_fit(lengths, order, [], capacity, fills), fills))
+    # scores and sums are kept beside the individuals: they cost as much as a crossover
+    scored = sorted(((fitness(lengths, x, capacity, y), x, y) for x, y in people), key=lambda x: x[0], reverse=True)
     total = sum(lengths)
     for _ in range(OFFSPRING):
         if len(scored[0][1]) * capacity == total:
             break
-        a, b = scored[0][1], scored[1 + rng.randrange(len(scored) - 1)][1]
-        child = mutate(lengths, crossover(lengths, a, b, capacity, rng), capacity, rng)
-        scored = sorted([*scored, (fitness(lengths, child, capacity), child)], key=lambda x: x[0], reverse=True)[:POPULATION]
-    return [x for _, x in scored]
+        (_, a, fills_a), (_, b, fills_b), fills = scored[0], scored[1 + rng.randrange(len(scored) - 1)], []
+        child = crossover(lengths, a, b, capacity, rng, fills_a, fills_b, fills)
+        child = mutate(lengths, child, capacity, rng, fills)
+        scored = sorted([*scored, (fitness(lengths, child, capacity, fills), child, fills)], key=lambda x: x[0], reverse=True)[:POPULATION]
+    return [x for _, x, _ in scored]
 
 
 def tokenize_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -117,7 +128,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capac
         coder, end = chunk_ids(tokenizer, keep_space=False), struct.pack("<I", end_id)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
-            for lo, hi in text_blocks(texts, 8_000_000):
+            for lo, hi in text_blocks(texts, 16_000_000):
                 rows = []
                 for key, raw in zip(keys[lo:hi], coder.batch(texts[lo:hi])):
                     raw += end

@@ -171,6 +171,21 @@ def test_crossover_injects_whole_bins_and_loses_nothing():
     assert sum(sorted(x) in [sorted(y) for y in b] for x in child) >= len(b) // 6
 
 
+def test_sums_of_bins_are_made_once_and_stay_right(monkeypatch):
+    rng = random.Random(3)
+    sizes = [rng.randrange(100, 1500) for _ in range(120)]
+    a, b = (bin_packing.best_fit(sizes, rng.sample(range(120), 120), [], 2048) for _ in range(2))
+    sums, calls = bin_packing._fills, []
+    monkeypatch.setattr(bin_packing, "_fills", lambda *x: calls.append(1) or sums(*x))
+    people = bin_packing.evolve(sizes, [a, b], 2048, random.Random(4))
+    assert len(calls) <= 2  # those of the two that came, none for an offspring
+    fills = []
+    child = bin_packing.crossover(sizes, a, b, 2048, rng, sums(sizes, a), sums(sizes, b), fills)
+    assert fills == sums(sizes, child)
+    child = bin_packing.mutate(sizes, child, 2048, rng, fills)
+    assert fills == sums(sizes, child) and all(sorted(i for x in p for i in x) == list(range(120)) for p in [*people, child])
+
+
 def test_packing_keeps_columns_of_any_name(spark):
     pieces = spark.createDataFrame([(1, 0, 700, "x", 5, 9), (None, 0, 2048, None, 6, 9), (1, 0, 700, "x", 5, 9)], "doc_id long, piece int, length long, row string, block int, offset int")
     got = bin_packing.pack(pieces)
